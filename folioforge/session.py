@@ -42,3 +42,17 @@ def cut(df: DataFrame) -> DataFrame:
     reads it: later passes neither recompute nor depend on executors' own disks."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of any file system Spark can reach."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def broadcast_if_small(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
+    """df marked for broadcast if its counted rows are few; else as it is, for a shuffled join."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if rows <= limit else df
