@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import exact_dedup, mixing, sharding, simhash, token_files, warc
+from folioforge.llm import exact_dedup, language_id, mixing, sharding, simhash, token_files, warc
 from folioforge.session import table
 
 
@@ -28,6 +28,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -63,7 +67,7 @@ FROM w
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_mixing, op2_exact_dedup, op6_token_files, op7_simhash, op9_warc, op10_sharding]
+    named = [op1_mixing, op2_exact_dedup, op6_token_files, op7_simhash, op8_language_id, op9_warc, op10_sharding]
     return {f.__name__: f for f in named}
 
 
