@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import exact_dedup, language_id, mixing, sharding, simhash, token_files, warc
+from folioforge.llm import exact_dedup, language_id, mixing, quality, sharding, simhash, token_files, warc
 from folioforge.session import table
 
 
@@ -20,6 +20,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -53,6 +58,64 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM w
 """
 
+_RATIOS = ", ".join(f"('{m}', coalesce(CAST({over} AS DOUBLE) / nullif({under}, 0), 0))" for m, (over, under, _, _) in quality.METRICS.items())
+_FLOORS = ", ".join(f"('{m}', {floor}, {low})" for m, (_, _, floor, low) in quality.METRICS.items())
+OP3_SQL = (
+    r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents
+), c AS (
+  SELECT r, doc_id, lang, source, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(t, '\p{Lu}')) AS n_upper,
+         len(regexp_extract_all(t, '[\p{P}\p{S}]')) AS n_marks
+  FROM d
+), win AS (
+  SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM c)
+), rep AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1
+), cover AS (
+  SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY r
+), f AS (
+  SELECT c.r, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, n_symbols, n_upper, n_marks,
+         len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM c LEFT JOIN cover USING (r)
+), b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
+), x AS (
+  SELECT r, lang, source, base_failed, m.metric, m.x FROM b, LATERAL (VALUES """
+    + _RATIOS
+    + f""") AS m(metric, x)
+), g AS (
+  SELECT lang, source, metric, CASE WHEN x > 0 THEN CAST(ceil(ln(x) / ln({quality.GAMMA!r})) AS INT) END AS bucket FROM x WHERE NOT base_failed
+), s AS (
+  SELECT 0 AS level, lang, source, metric, bucket, count(*) AS n FROM g GROUP BY ALL
+  UNION ALL SELECT 1, lang, NULL, metric, bucket, count(*) FROM g GROUP BY ALL
+  UNION ALL SELECT 2, NULL, NULL, metric, bucket, count(*) FROM g GROUP BY ALL
+), u AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket NULLS FIRST) AS upto,
+         sum(n) OVER (PARTITION BY level, lang, source, metric) AS every,
+         coalesce(2 * pow({quality.GAMMA!r}, bucket) / {quality.GAMMA + 1!r}, 0) AS v FROM s
+), q AS (
+  SELECT level, lang, source, metric, max(every) AS every, min(v) FILTER (upto >= 0.25 * every) AS q1, min(v) FILTER (upto >= 0.75 * every) AS q3
+  FROM u GROUP BY ALL
+), h AS (
+  SELECT level, lang, source, q.metric, every, q3 + 3.0 * greatest(q3 - q1, floor) AS high,
+         CASE WHEN low THEN q1 - 3.0 * greatest(q3 - q1, floor) ELSE -1 END AS low
+  FROM q JOIN (VALUES {_FLOORS}) AS k(metric, floor, low) USING (metric)
+), j AS (
+  SELECT x.r, bool_or(x.x < coalesce(h0.low, h1.low, h2.low) OR x.x > coalesce(h0.high, h1.high, h2.high)) AS beyond
+  FROM x
+  LEFT JOIN h h0 ON h0.level = 0 AND h0.every >= 100 AND h0.metric = x.metric AND h0.lang IS NOT DISTINCT FROM x.lang AND h0.source IS NOT DISTINCT FROM x.source
+  LEFT JOIN h h1 ON h1.level = 1 AND h1.every >= 100 AND h1.metric = x.metric AND h1.lang IS NOT DISTINCT FROM x.lang
+  LEFT JOIN h h2 ON h2.level = 2 AND h2.metric = x.metric
+  GROUP BY x.r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(beyond, false) AS kept
+FROM b JOIN j USING (r)
+"""
+)
+
 OP9_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
@@ -67,9 +130,9 @@ FROM w
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_mixing, op2_exact_dedup, op6_token_files, op7_simhash, op8_language_id, op9_warc, op10_sharding]
+    named = [op1_mixing, op2_exact_dedup, op3_quality, op6_token_files, op7_simhash, op8_language_id, op9_warc, op10_sharding]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op9_warc": OP9_SQL}
+    return {"op3_quality": OP3_SQL, "op2_exact_dedup": OP2_SQL, "op9_warc": OP9_SQL}
