@@ -32,7 +32,7 @@ METRICS = {
     "symbols_a_word": ("n_symbols", "n_words", 0.03, False),
     "upper_a_char": ("n_upper", "word_chars", 0.05, False),
     "marks_a_char": ("n_marks", "word_chars", 0.03, False),
-    "dup_lines_a_line": ("n_dup_lines", "n_lines", 0.1, False),
+    "dup_lines_a_line": ("n_dup_lines", "n_lines", 0.2, False),
     "repeats_a_word": ("n_repeat_words", "n_words", 0.1, False),
     "chars_a_word": ("word_chars", "n_words", 0.4, True),
 }
