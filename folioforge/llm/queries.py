@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import exact_dedup, language_id, mixing, quality, sharding, simhash, token_files, warc
+from folioforge.llm import exact_dedup, language_id, mixing, pii, quality, sharding, simhash, token_files, warc
 from folioforge.session import table
 
 
@@ -25,6 +25,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = pii.replace_entities(table(spark, sf_dir, "documents"))
+    return replaced.select("doc_id", "text", "n_entities")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -130,7 +135,7 @@ FROM w
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_mixing, op2_exact_dedup, op3_quality, op6_token_files, op7_simhash, op8_language_id, op9_warc, op10_sharding]
+    named = [op1_mixing, op2_exact_dedup, op3_quality, op4_pii, op6_token_files, op7_simhash, op8_language_id, op9_warc, op10_sharding]
     return {f.__name__: f for f in named}
 
 
