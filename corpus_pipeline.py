@@ -1,24 +1,54 @@
-"""The corpus pipeline: a list of stages, each over what the stage before it kept."""
+"""The corpus pipeline: a list of stages, each over what the stage before it kept.
+
+Language ID drops documents without a language or with a score under one half; exact
+dedup keeps one row of each text; SimHash near-dedup keeps one row of each component;
+mixing takes each source's documents up to its target, some of them twice and the one
+at the cut in part; SentencePiece encodes what was taken.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.llm.exact_dedup import drop_exact_copies
+from folioforge.llm.language_id import keep_identified
 from folioforge.llm.mixing import mix_documents
+from folioforge.llm.sentencepiece_nbest import encode_documents
+from folioforge.llm.simhash import drop_near_copies
 from folioforge.session import table
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_identified(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_copies(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_documents(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("mixing", mixing)]
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("sentencepiece", sentencepiece),
+]
 
+#: Language models, fingerprints' components and segmentation are beyond SQL; tests/llm holds
+#: the stages against brute force.
 ORACLE_SQL = None
 
 

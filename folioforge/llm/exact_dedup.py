@@ -13,7 +13,7 @@ three are never merged.
 
 Texts are equal when identical after deletion of [\\x20\\x09-\\x0D]; null counts as
 empty. Rows repeating id and text are the same document and share one verdict. A
-null id sorts after every other. An empty table gives an empty result.
+null id sorts after every other. Extra columns stay. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -70,6 +70,16 @@ def exact_dedup(docs: DataFrame, fan_in: int = 8, id_col: str = "doc_id", text_c
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text another row keeps."""
+    """docs with one row for each text. Of rows that repeat id and text any one stays; rows
+    without an id are never dropped, for nothing tells them apart."""
     verdict = exact_dedup(docs, id_col=id_col, text_col=text_col)
-    return keep_rows(docs, verdict.where(~F.col("kept")).select("doc_id"), id_col, "left_anti")
+    dropped = verdict.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id", "text_sha256")
+    again = cut(verdict.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return keep_rows(docs, dropped.select("doc_id"), id_col, "left_anti")
+    # some ids come more than once: their rows, few, are told apart by text
+    once = keep_rows(keep_rows(docs, again, id_col, "left_anti"), dropped.select("doc_id"), id_col, "left_anti")
+    more = keep_rows(docs, again, id_col).withColumn("__ff_text", F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, "").cast("binary"), 256))
+    gone = dropped.select(F.col("doc_id").alias("__ff_id"), F.col("text_sha256").alias("__ff_gone"))
+    more = more.join(gone, (more[id_col] == gone["__ff_id"]) & (more["__ff_text"] == gone["__ff_gone"]), "left_anti")
+    return once.unionByName(more.dropDuplicates([id_col, "__ff_text"]).select(*docs.columns))

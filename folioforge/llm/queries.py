@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import exact_dedup, language_id, mixing, pii, quality, sharding, simhash, token_files, warc
+from folioforge.llm import exact_dedup, language_id, mixing, pii, quality, sentencepiece_nbest, sharding, simhash, token_files, warc
 from folioforge.session import table
 
 
@@ -30,6 +30,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replaced.select("doc_id", "text", "n_entities")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_nbest.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -135,7 +139,7 @@ FROM w
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_mixing, op2_exact_dedup, op3_quality, op4_pii, op6_token_files, op7_simhash, op8_language_id, op9_warc, op10_sharding]
+    named = [op1_mixing, op2_exact_dedup, op3_quality, op4_pii, op5_sentencepiece, op6_token_files, op7_simhash, op8_language_id, op9_warc, op10_sharding]
     return {f.__name__: f for f in named}
 
 

@@ -248,6 +248,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the row of the smallest id of each component only."""
+    """docs with the row of the smallest id of each component only; rows without an id are
+    never dropped, for nothing tells them apart. Rows that repeat an id share its fate."""
     found = near_duplicates(docs, id_col, text_col)
-    return keep_rows(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), id_col, "left_anti")
+    dropped = found.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone and doc_id is not null")
+    return keep_rows(docs, dropped.select("doc_id"), id_col, "left_anti")
