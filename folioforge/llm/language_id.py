@@ -61,6 +61,12 @@ class Model:
     def scorer(self) -> Scorer:
         return Scorer(self)
 
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
+        if not self.langs:
+            return [UND] * len(texts), np.zeros(len(texts))
+        return self.scorer.predict(texts)  # laid out once a worker
+
 
 def fit(samples: dict[str, Iterable[bytes]], order: int = 3, most_contexts: int = 1 << 15) -> Model:
     if not 0 <= order <= 3:
@@ -187,8 +193,6 @@ class Scorer:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         langs, known = self.model.langs, [bool(t) and _LETTER.search(t) is not None for t in texts]
-        if not langs:
-            return [UND] * len(texts), np.zeros(len(texts))
         bits = self.code_lengths([t.encode("utf-8", "surrogatepass") if k else b"" for t, k in zip(texts, known)])
         best = bits.argmin(axis=1)
         posterior = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000.0)).sum(axis=1)
@@ -222,9 +226,8 @@ def predictor(docs: DataFrame, model: Model):
 
     @F.pandas_udf("lang string, score double")
     def predicted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = shared.value.scorer  # laid out once a worker
         for texts in parts:
-            lang, score = scorer.predict([t if isinstance(t, str) else None for t in texts])
+            lang, score = shared.value.predict([t if isinstance(t, str) else None for t in texts])
             yield pd.DataFrame({"lang": lang, "score": score})
 
     return predicted
