@@ -210,7 +210,7 @@ def theme_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return themes.theme_books(themes.assignments(_records(spark, sf_dir)), _books(spark, sf_dir), gone, "other").select("book_id", "title")
 
 
-_OBS = f"""(SELECT doc_id AS book_id, CASE WHEN doc_id % 2 = 0 THEN upper(w[1]) ELSE w[1] END AS canonical, lang AS substrate, 'gloss ' || doc_id AS gloss, 'c' || doc_id AS chunk_id, round((doc_id % 97) / 97.0::DOUBLE, 4) AS support
+_OBS = f"""(SELECT doc_id AS book_id, CASE WHEN doc_id % 2 = 0 THEN upper(w[1]) ELSE w[1] END AS canonical, lang AS substrate, 'gloss ' || doc_id AS gloss, 'c' || doc_id AS chunk_id, (doc_id % 97) / 97.0::DOUBLE AS support
     FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents) WHERE len(w) > 0)"""
 
 
@@ -219,7 +219,7 @@ def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     canonical = F.when(F.col("doc_id") % 2 == 0, F.upper(w)).otherwise(w)
     found = docs(spark, sf_dir).select(
         F.col("doc_id").alias("book_id"), canonical.alias("canonical"), F.col("lang").alias("substrate"), F.concat(F.lit("gloss "), F.col("doc_id")).alias("gloss"),
-        F.concat(F.lit("c"), F.col("doc_id")).alias("chunk_id"), F.round((F.col("doc_id") % 97) / 97.0, 4).alias("support"),
+        F.concat(F.lit("c"), F.col("doc_id")).alias("chunk_id"), ((F.col("doc_id") % 97) / 97.0).alias("support"),
     )
     return found.where("canonical is not null")
 

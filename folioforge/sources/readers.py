@@ -33,7 +33,7 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 def read_rdf(spark: SparkSession, path: str) -> DataFrame:
     """book_id (from the file name) and translators (null if unreadable), a row a file."""
-    files = spark.read.option("wholetext", True).text(path).withColumn("name", F.input_file_name())
+    files = spark.read.text(path, wholetext=True).withColumn("name", F.input_file_name())
     return files.select(F.regexp_extract("name", r"pg(\d+)\.rdf", 1).cast("int").alias("book_id"), rdf_translators("value").alias("translators"))
 
 
@@ -90,7 +90,7 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
     """The text of each file at path."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
 
 
 def _scalar(text: str):
@@ -120,7 +120,13 @@ def lexicon_file(text: str) -> dict:
             if not m:
                 raise ValueError(f"not understood: {lines[at][1]!r}")
             key, rest, at = _scalar(m[1]), m[2], at + 1
-            if rest:
+            if rest and re.fullmatch(r"[|>][+-]?", rest):  # a text over several lines
+                part = []
+                while at < len(lines) and lines[at][0] > indent:
+                    part.append(lines[at][1])
+                    at += 1
+                found[key] = ("\n" if rest[0] == "|" else " ").join(part) + ("" if rest.endswith("-") else "\n")
+            elif rest:
                 found[key] = _scalar(rest)
             elif at < len(lines) and (lines[at][0] > indent or lines[at][1].startswith("- ") and lines[at][0] == indent):
                 found[key], at = block(at, lines[at][0])
@@ -156,7 +162,7 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
                     continue
             yield pd.DataFrame(rows, columns=names)
 
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.y*ml").text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.y*ml")
     return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("name"), "value").mapInPandas(passages, LEXICON)
 
 
