@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ BATCH = 64
 class WordEncoder:
     """Encodes texts word by word with a memo of at most 2 * `most` words."""
 
-    def __init__(self, file: str, most: int = 250_000):
+    def __init__(self, file: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -70,7 +71,7 @@ class WordEncoder:
                         cores[part] = part.decode("utf-8", "surrogatepass")
         order = list(cores)
         for w, got in zip(order, self.tokenizer.encode_batch_fast([cores[w] for w in order], add_special_tokens=False)):
-            self.young[w] = np.array(got.ids, self.dtype).tobytes()
+            self.young[w] = array(self.dtype.char, got.ids).tobytes()
         for w, (core, tail) in tails.items():
             self.young[w] = self.young[core] + self.young[tail]
 
@@ -82,15 +83,15 @@ class WordEncoder:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         missing = []
-        for w in {w for words in split for w in words} - young.keys():
-            if w in old:
-                young[w] = old[w]
+        for w in set().union(*split) - young.keys():
+            if (ids := old.get(w)) is not None:
+                young[w] = ids
             else:
                 missing.append(w)
         if missing:
             self._new(missing)
         for words in split:
-            yield b"".join([young[w] for w in words]) + stop
+            yield b"".join(map(young.__getitem__, words)) + stop
 
 
 _encoders: dict[str, WordEncoder] = {}
