@@ -43,7 +43,7 @@ LONG = 64
 class Lattice:
     """A model file's pieces and the searches over them."""
 
-    def __init__(self, model_file: str, scores: str = "zipf", most: int = 200_000):
+    def __init__(self, model_file: str, scores: str = "zipf", most: int = 400_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -83,7 +83,7 @@ class Lattice:
         self.values = np.array([keys[k] for k in sorted(keys)], np.int32)
         self.cuts = not any(re.search(r"[^\W\d_][,.]", p) for p in self.ids)  # a word and the mark after it are apart
         self.most, self.young, self.old, self.lists = most, {}, {}, {}
-        self.unit_ids, self.old_ids, self.new = [], [], []
+        self.unit_ids, self.old_ids = [], []
         self.facts = self.old_facts = np.empty((0, 3))
 
     @staticmethod
@@ -134,25 +134,31 @@ class Lattice:
 
     # -- many words at once ----------------------------------------------------------
 
-    def viterbi(self, units: list[str]) -> list[tuple[bytes, float, float]]:
+    def viterbi(self, units: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Of each word: best ids as 16-bit bytes, best score, and what the second best costs."""
-        out: list = [None] * len(units)
-        by_length: dict[int, list[int]] = {}
-        for k, u in enumerate(units):
-            by_length.setdefault(len(u), []).append(k)
-        for length, own in by_length.items():
-            if length > LONG:
-                for k in own:
-                    two = self.nbest(units[k], 2)
-                    out[k] = (np.array(two[0][1], "<u2").tobytes(), two[0][0], two[0][0] - two[1][0] if len(two) > 1 else math.inf)
+        ids: list[bytes] = [b""] * len(units)
+        score, cost = np.zeros(len(units)), np.zeros(len(units))
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        order = np.argsort(sizes, kind="stable")
+        starts = [0, *(np.flatnonzero(np.diff(sizes[order])) + 1).tolist(), len(units)]
+        for a, b in zip(starts, starts[1:]):
+            if a == b:
                 continue
-            for a in range(0, len(own), 20_000):
-                part = own[a : a + 20_000]
-                for k, found in zip(part, self._viterbi([units[k] for k in part], length)):
-                    out[k] = found
-        return out
+            length = int(sizes[order[a]])
+            for at in range(a, b, 20_000):
+                own = order[at : min(b, at + 20_000)]
+                if length > LONG:
+                    for k in own.tolist():
+                        two = self.nbest(units[k], 2)
+                        ids[k], score[k] = np.array(two[0][1], "<u2").tobytes(), two[0][0]
+                        cost[k] = two[0][0] - two[1][0] if len(two) > 1 else math.inf
+                    continue
+                found, score[own], cost[own] = self._viterbi([units[k] for k in own.tolist()], length)
+                for k, x in zip(own.tolist(), found):
+                    ids[k] = x
+        return ids, score, cost
 
-    def _viterbi(self, units: list[str], length: int) -> Iterator[tuple[bytes, float, float]]:
+    def _viterbi(self, units: list[str], length: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         n = len(units)
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, length).astype(np.uint64) + np.uint64(1)
         best, last, piece = np.full((length + 1, n), -np.inf), np.zeros((length + 1, n), np.int32), np.full((length + 1, n), -1, np.int32)
@@ -197,16 +203,19 @@ class Lattice:
             off = on[i + size, who] != size
             w = who[off]
             through[w] = np.maximum(through[w], best[i, w] + s[off] + back[i + size, w])
-        paths, total = steps.T, best[length]
-        for k, u in enumerate(units):
-            ends = np.flatnonzero(paths[k])
-            ids = paths[k][ends] - 2
-            if (ids < 0).any():
-                flat: list[int] = []
-                for e, p in zip(ends.tolist(), ids.tolist()):
-                    flat += [p] if p >= 0 else self.fallback(_literal(u[e - 1]))
-                ids = np.array(flat)
-            yield ids.astype("<u2").tobytes(), float(total[k]), float(total[k] - through[k])
+        marks = steps.T
+        taken = marks != 0
+        flat, ends = marks[taken] - 2, taken.sum(axis=1).cumsum() * 2
+        data = np.maximum(flat, 0).astype("<u2").tobytes()
+        cuts = [0, *ends.tolist()]
+        ids = [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        for k in np.flatnonzero((marks == 1).any(axis=1)).tolist():
+            own: list[int] = []
+            for end in np.flatnonzero(marks[k]).tolist():
+                p = int(marks[k, end]) - 2
+                own += [p] if p >= 0 else self.fallback(_literal(units[k][end - 1]))
+            ids[k] = np.array(own, "<u2").tobytes()
+        return ids, best[length], best[length] - through
 
     @staticmethod
     def _push(best, last, piece, kept, i, size, who, p, s) -> None:
@@ -219,54 +228,42 @@ class Lattice:
 
     # -- texts -----------------------------------------------------------------------
 
-    def _remember(self, unit: str, ids: bytes, score: float, cost: float) -> None:
-        self.young[unit] = len(self.unit_ids)
-        self.unit_ids.append(ids)
-        self.new.append((score, cost, len(ids)))
+    def _remember(self, units: list[str], ids: list[bytes], score: np.ndarray, cost: np.ndarray) -> None:
+        self.young.update(zip(units, range(len(self.unit_ids), len(self.unit_ids) + len(units))))
+        self.unit_ids += ids
+        self.facts = np.concatenate([self.facts, np.stack([score, cost, np.fromiter(map(len, ids), np.float64, len(ids))], axis=1)])
 
     def _learn(self, units: set[str]) -> None:
         """Puts the best path of each unit into the memo."""
-        words, joined = {}, []
-        for u in units:
-            if (i := self.old.get(u)) is not None:
-                self._remember(u, self.old_ids[i], *self.old_facts[i, :2].tolist())
-            elif self.cuts and len(u) > 1 and u[-1] in ",." and u[-2].isalpha():
-                joined.append((u, u[:-1], BARE + u[-1]))
-            else:
-                words[u] = None
-        for _, core, tail in joined:
-            for x in (core, tail):
-                if x not in self.young:
-                    words[x] = None
-        for u, found in zip(words, self.viterbi([_spelled(u) for u in words])):
-            self._remember(u, *found)
-        facts = self._facts()
-        for u, core, tail in joined:
-            i, j = self.young[core], self.young[tail]
-            (s, c, _), (t, d, _) = facts[i].tolist(), facts[j].tolist()
-            self._remember(u, self.unit_ids[i] + self.unit_ids[j], s + t, min(c, d))
-
-    def _facts(self) -> np.ndarray:
-        """Score, second best's cost and bytes of ids of each unit in the memo."""
-        if self.new:
-            self.facts, self.new = np.concatenate([self.facts, np.array(self.new, np.float64)]), []
-        return self.facts
+        again = [u for u in units if u in self.old]
+        if again:
+            at = [self.old[u] for u in again]
+            known = self.old_facts[at]
+            self._remember(again, [self.old_ids[i] for i in at], known[:, 0], known[:, 1])
+            units = units.difference(again)
+        joined = [u for u in units if u[-1:] in (",", ".") and len(u) > 1 and u[-2].isalpha()] if self.cuts else []
+        words = units.difference(joined)
+        words.update(x for u in joined for x in (u[:-1], BARE + u[-1]) if x not in self.young)
+        new = list(words)
+        self._remember(new, *self.viterbi([_spelled(u) for u in new]))
+        if joined:
+            left, right = [self.young[u[:-1]] for u in joined], [self.young[BARE + u[-1]] for u in joined]
+            a, b = self.facts[left], self.facts[right]
+            self._remember(joined, [self.unit_ids[i] + self.unit_ids[j] for i, j in zip(left, right)], a[:, 0] + b[:, 0], np.minimum(a[:, 1], b[:, 1]))
 
     def encode(self, texts: list[str | None], nbest: int = 1) -> Iterator[list[tuple[float, bytes]]]:
         """Of each text: its nbest segmentations, best first, as score and 16-bit ids."""
         if len(self.young) > self.most:
-            self.old, self.old_ids, self.old_facts = self.young, self.unit_ids, self._facts()
+            self.old, self.old_ids, self.old_facts = self.young, self.unit_ids, self.facts
             self.young, self.unit_ids, self.facts = {}, [], np.empty((0, 3))
-        get = self.young.get
         split = [_split(t) for t in texts]
-        places = [list(map(get, units)) for units in split]
-        if missing := {u for units, own in zip(split, places) if None in own for u, i in zip(units, own) if i is None}:
+        if missing := set().union(*split) - self.young.keys():
             self._learn(missing)
-            places = [list(map(get, units)) if None in own else own for units, own in zip(split, places)]
-        facts = self._facts()
-        for units, own in zip(split, places):
-            base = b"".join([self.unit_ids[i] for i in own])
-            mine = facts[np.array(own, np.int64)] if own else np.empty((0, 3))
+        place_of, ids_of = self.young.__getitem__, self.unit_ids.__getitem__
+        for units in split:
+            own = list(map(place_of, units))
+            base = b"".join(map(ids_of, own))
+            mine = self.facts[own] if own else np.empty((0, 3))
             score = float(mine[:, 0].sum())
             if nbest == 1 or not own:
                 yield [(score, base)]
