@@ -11,7 +11,7 @@ from folioforge.functions import text as T
 from folioforge.functions.sentences import sentence_spans, snap_selection, split_sentences
 from folioforge.operators import chunking, xhtml
 from folioforge.plans.registry import query
-from folioforge.session import table
+from folioforge.session import texts
 
 #: In SQL: Unicode white space and word characters, and the word pattern.
 WS = r"[\x09-\x0D\x85\p{Z}]"
@@ -20,7 +20,7 @@ WORD = T.WORD.replace("'", "''")
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return texts(spark, sf_dir, "documents")
 
 
 def canonical_sql(raw: str) -> str:
@@ -102,7 +102,7 @@ _RESOLVED = reduce(lambda x, e: f"replace({x}, '&{e[0]};', '{e[1]}')", T.ENTITIE
 @query(f"SELECT page_id, sha256({_RESOLVED}) AS html_sha256 FROM (SELECT page_id, html, position('<!DOCTYPE' IN html) AS a FROM pages)")
 def doctype_and_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = T.resolve_entities(T.strip_doctype(F.col("html")))
-    return table(spark, sf_dir, "pages").select("page_id", T.content_hash(html).alias("html_sha256"))
+    return texts(spark, sf_dir, "pages").select("page_id", T.content_hash(html).alias("html_sha256"))
 
 
 @query(
@@ -117,8 +117,8 @@ def paragraph_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = docs(spark, sf_dir).select("doc_id", T.canonicalise(F.col("text")).alias("canonical_text"))
-    return texts.withColumn("c", F.explode(chunking.chunks(F.col("canonical_text"), separator="\n")))
+    canonical = docs(spark, sf_dir).select("doc_id", T.canonicalise(F.col("text")).alias("canonical_text"))
+    return canonical.withColumn("c", F.explode(chunking.chunks(F.col("canonical_text"), separator="\n")))
 
 
 @query()
@@ -149,14 +149,14 @@ def snap_to_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunk that holds each paragraph's first byte."""
-    texts = docs(spark, sf_dir).select("doc_id", T.canonicalise(F.col("text")).alias("text"))
+    canonical = docs(spark, sf_dir).select("doc_id", T.canonicalise(F.col("text")).alias("text"))
     spans = chunk_text(spark, sf_dir).select("doc_id", "byte_start", "byte_end", "chunk_id")
-    points = chunking.paragraph_offsets(texts, "doc_id", F.col("text"), "\n").select("doc_id", F.col("byte_start").alias("at"))
+    points = chunking.paragraph_offsets(canonical, "doc_id", F.col("text"), "\n").select("doc_id", F.col("byte_start").alias("at"))
     return chunking.containing_chunk(spans, points, "doc_id")
 
 
 def _paragraphs(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", xhtml.paragraphs(F.col("html"), strict).alias("r"))
+    return texts(spark, sf_dir, "pages").select("page_id", xhtml.paragraphs(F.col("html"), strict).alias("r"))
 
 
 @query()

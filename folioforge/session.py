@@ -56,3 +56,13 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = 100_000) -> DataFr
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if rows <= limit else df
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str, small: int = 1 << 30) -> DataFrame:
+    """A table whose rows cost CPU rather than bytes. One that lies in fewer files than there are
+    cores, and is under `small` bytes, is dealt out over the cores first: a file of one row
+    group is one task otherwise. Larger tables have files enough and are read as they lie."""
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if len(df.inputFiles()) < cores and size < small else df
