@@ -16,7 +16,7 @@ from folioforge.llm.language_id import keep_identified
 from folioforge.llm.mixing import mix_documents
 from folioforge.llm.sentencepiece_nbest import encode_documents
 from folioforge.llm.simhash import drop_near_copies
-from folioforge.session import table
+from folioforge.session import texts
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +15,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value evaluated once a row, however often body uses it:
-    the optimizer may inline a projected column into every place that reads it, a
-    lambda's variable it may not."""
-    return F.transform(F.array(value), body)[0]
-
-
 def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", how: str = "left_semi") -> DataFrame:
     """Rows of docs whose id is (left_semi) or is not (left_anti) in the first column
     of keys; a null id equals a null id. Columns of docs stay as they are."""

@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.columns import SPACE, keep_rows, let
+from folioforge.functions.binding import let
+from folioforge.llm.columns import SPACE, keep_rows
 from folioforge.session import cut
 
 KEY = ["text_sha256", "norm_chars", "norm_hash"]

@@ -8,50 +8,50 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.llm import exact_dedup, language_id, mixing, pii, quality, sentencepiece_nbest, sharding, simhash, token_files, warc
-from folioforge.session import table
+from folioforge.session import texts
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(texts(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(texts(spark, sf_dir, "documents"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents"))
+    judged = quality.judge(texts(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replaced = pii.replace_entities(table(spark, sf_dir, "documents"))
+    replaced = pii.replace_entities(texts(spark, sf_dir, "documents"))
     return replaced.select("doc_id", "text", "n_entities")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_nbest.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepiece_nbest.encode_documents(texts(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.round_trip(texts(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(texts(spark, sf_dir, "documents"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(table(spark, sf_dir, "documents"))
+    return language_id.identify(texts(spark, sf_dir, "documents"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.round_trip(texts(spark, sf_dir, "pages"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents")).drop("row_number")
+    return sharding.shard(texts(spark, sf_dir, "documents")).drop("row_number")
 
 
 OP2_SQL = r"""
