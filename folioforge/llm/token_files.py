@@ -42,6 +42,11 @@ LENGTH = 2048
 BATCH = 64
 
 
+def _ends_in_letter(word: bytes) -> bool:
+    last = word.decode("utf-8", "surrogatepass")[-1]
+    return last.isalpha() and ord(last) < 0x250  # letters in any version of Unicode
+
+
 class WordEncoder:
     """Encodes texts word by word with a memo of at most 2 * `most` words."""
 
@@ -57,18 +62,15 @@ class WordEncoder:
         """Puts the ids of words into the memo."""
         cores, tails = {}, {}
         for w in words:
-            text = w.decode("utf-8", "surrogatepass")
-            if len(text) > 1 and text[-1] in ",." and text[-2].isalpha() and ord(text[-2]) < 0x250:
+            if w[-1:] in (b",", b".") and len(w) > 1 and (w[-2:-1].isalpha() or w[-2] > 127 and _ends_in_letter(w[:-1])):
                 tails[w] = (w[:-1], w[-1:])
             else:
-                cores[w] = text
-        for core, tail in tails.values():
-            for part in (core, tail):
-                if part not in self.young:
-                    if part in self.old:
-                        self.young[part] = self.old[part]
-                    else:
-                        cores[part] = part.decode("utf-8", "surrogatepass")
+                cores[w] = w.decode("utf-8", "surrogatepass")
+        for part in {p for pair in tails.values() for p in pair} - self.young.keys() - cores.keys():
+            if (ids := self.old.get(part)) is not None:
+                self.young[part] = ids
+            else:
+                cores[part] = part.decode("utf-8", "surrogatepass")
         order = list(cores)
         for w, got in zip(order, self.tokenizer.encode_batch_fast([cores[w] for w in order], add_special_tokens=False)):
             self.young[w] = array(self.dtype.char, got.ids).tobytes()
@@ -193,8 +195,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, length: int =
         with fs.open_output_stream(temp[0]) as ids_out, fs.open_output_stream(temp[1]) as index_out:
             writer, index = SequenceWriter(ids_out, encoder.dtype, length), pa.ipc.new_file(index_out, _INDEX)
             for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    rows = batch.slice(at, 1000)
+                for at in range(0, batch.num_rows, 2000):
+                    rows = batch.slice(at, 2000)
                     counts = []
                     for ids in encoder.encode(rows.column(1).to_pylist(), end):
                         writer.add(ids)
