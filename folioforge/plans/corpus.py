@@ -141,7 +141,8 @@ def pending_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("book_id"), F.col("vec_id").alias("chunk_ord"), "embedding")
     d = docs(spark, sf_dir).join(e, F.col("doc_id") == F.col("chunk_ord"), "left_semi").select(F.lit(0).alias("book_id"), F.col("doc_id").alias("chunk_ord"))
-    return publish.with_embeddings(d, e).select(F.col("chunk_ord").alias("doc_id"), F.col("embedding").isNotNull().alias("embedded"))
+    paired = e.join(d.select("chunk_ord"), "chunk_ord", "left_semi").select("book_id", "chunk_ord", "embedding")  # the tables hold other ids too
+    return publish.with_embeddings(d, paired).select(F.col("chunk_ord").alias("doc_id"), F.col("embedding").isNotNull().alias("embedded"))
 
 
 _RECORDS = """(SELECT doc_id AS book_id, CASE WHEN doc_id % 3 = 0 THEN ['knowledge', 'other'] WHEN doc_id % 3 = 1 THEN ['reality'] ELSE ['meaning', 'knowledge'] END AS themes,
@@ -210,13 +211,13 @@ def theme_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return themes.theme_books(themes.assignments(_records(spark, sf_dir)), _books(spark, sf_dir), gone, "other").select("book_id", "title")
 
 
-_OBS = f"""(SELECT doc_id AS book_id, CASE WHEN doc_id % 2 = 0 THEN upper(w[1]) ELSE w[1] END AS canonical, lang AS substrate, 'gloss ' || doc_id AS gloss, 'c' || doc_id AS chunk_id, (doc_id % 97) / 97.0::DOUBLE AS support
+_OBS = f"""(SELECT doc_id AS book_id, CASE WHEN doc_id % 2 = 0 THEN 'OF ' ELSE 'of ' END || w[1] AS canonical, lang AS substrate, 'gloss ' || doc_id AS gloss, 'c' || doc_id AS chunk_id, (doc_id % 97) / 97.0::DOUBLE AS support
     FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents) WHERE len(w) > 0)"""
 
 
 def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.get(T.search_words(F.col("text")), F.lit(0))
-    canonical = F.when(F.col("doc_id") % 2 == 0, F.upper(w)).otherwise(w)
+    canonical = F.concat(F.when(F.col("doc_id") % 2 == 0, "OF ").otherwise("of "), w)
     found = docs(spark, sf_dir).select(
         F.col("doc_id").alias("book_id"), canonical.alias("canonical"), F.col("lang").alias("substrate"), F.concat(F.lit("gloss "), F.col("doc_id")).alias("gloss"),
         F.concat(F.lit("c"), F.col("doc_id")).alias("chunk_id"), ((F.col("doc_id") % 97) / 97.0).alias("support"),
@@ -226,10 +227,10 @@ def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT arg_min(canonical, {{'a': -support, 'b': book_id}}) AS canonical, substrate, arg_min(gloss, {{'a': -support, 'b': book_id}}) AS gloss, count(*) AS size, round(avg(support), 6) AS support_mean,
-    list(book_id || '/' || chunk_id ORDER BY support DESC, book_id, chunk_id) AS citations, lower(any_value(canonical)) IN ('the', 'de') AS seed_match FROM {_OBS} GROUP BY lower(canonical), substrate"""
+    list(book_id || '/' || chunk_id ORDER BY support DESC, book_id, chunk_id) AS citations, lower(any_value(canonical)) IN ('of the', 'of de') AS seed_match FROM {_OBS} GROUP BY lower(canonical), substrate"""
 )
 def cluster_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seed = spark.createDataFrame([("The",), ("de",), ("de",)], "term string")
+    seed = spark.createDataFrame([("Of The",), ("of de",), ("of de",)], "term string")
     found = harvest.ordered(harvest.cluster(_observations(spark, sf_dir), seed))
     return found.withColumn("citations", F.transform("citations", lambda c: F.concat_ws("/", c["book_id"], c["chunk_id"])))
 
