@@ -192,13 +192,15 @@ def replace_entities(docs: DataFrame, key: str = "folioforge", id_col: str = "do
     holding = docs.where(has_entities(text))
     found = holding.select(F.col(id_col).alias("__ff_id"), F.xxhash64(text).alias("__ff_hash"), F.posexplode(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("pos", "entity"))
     found = cut(found.withColumn("kind", kind_of(F.col("entity"))))
-    known = assign_surrogates(cut(found.select("kind", "entity").distinct()), key)
-    parts = (
+    # entities are few bytes but much work each: AQE would put them into one task
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    known = assign_surrogates(cut(found.select("kind", "entity").distinct().repartition(parts)), key)
+    replacements = (
         found.join(known, ["kind", "entity"])
         .groupBy("__ff_id", "__ff_hash")
         .agg(F.sort_array(F.collect_set(F.struct("pos", "surrogate"))).alias("__ff_found"))
     )
-    joined = holding.join(parts, holding[id_col].eqNullSafe(parts["__ff_id"]) & (F.xxhash64(text) == parts["__ff_hash"]))
+    joined = holding.join(replacements, holding[id_col].eqNullSafe(replacements["__ff_id"]) & (F.xxhash64(text) == replacements["__ff_hash"]))
     pieces = F.zip_with(F.split(text, PATTERN, -1), F.col("__ff_found.surrogate"), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
     changed = joined.withColumn(text_col, F.array_join(pieces, "")).withColumn("n_entities", F.size("__ff_found").cast("long"))
     others = [c for c in docs.columns if c != "n_entities"]
