@@ -304,8 +304,7 @@ class Lattice:
         return self.lists[unit, n]
 
     def decode(self, ids: np.ndarray) -> str:
-        pieces = self.bytes
-        text = b"".join([pieces[i] for i in ids.tolist()])
+        text = b"".join(map(self.bytes.__getitem__, ids.tolist()))
         return text[1:].decode("utf-8", "surrogatepass") if len(ids) else ""
 
 
