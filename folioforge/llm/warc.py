@@ -55,7 +55,7 @@ def resolve_revisits(heads: DataFrame, least: int = 1000) -> DataFrame:
     )
 
 
-def write_warc(pages: DataFrame, path: str, least: int = 1000, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 10_000) -> None:
+def write_warc(pages: DataFrame, path: str, least: int = 1000, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 4_000) -> None:
     """Writes a record for each row of pages (page_id, url, html) into archives under path."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     full = pages.select(
