@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
-from folioforge.functions.vectors import cosine
+from folioforge.functions.vectors import cosine, embed, pack_half
 from folioforge.operators import bm25, dense, evaluation, fusion, search
 from folioforge.plans.registry import query
 from folioforge.plans.text import WORD, docs
@@ -290,3 +290,10 @@ def eval_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hits as they are reported, with titles."""
     titles = docs(spark, sf_dir).groupBy(F.substring("source", 4, 9).cast("int").alias("book_id")).agg(F.min_by("text", "doc_id").alias("title"))
     return evaluation.records(search.titled(_search(spark, sf_dir), titles), 5)
+
+
+@query()
+def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all documents by the stand-in model, packed as half-precision bytes."""
+    vectors = docs(spark, sf_dir).select("doc_id", embed(F.col("text")).alias("v"))
+    return vectors.select("doc_id", F.size("v").alias("size"), F.length(pack_half("v")).alias("bytes"))

@@ -124,3 +124,16 @@ def test_vectors(spark):
     assert (s.entail, round(s.entail + s.neutral + s.contradict, 9)) == (1.0, 1.0)
     pooled = spark.createDataFrame([([1.0, 0.0, 9.0, 9.0, 0.0, 1.0], [1, 0, 1])], "t array<float>, m array<int>").select(V.mean_pool("t", "m").alias("v")).first().v
     assert pooled == pytest.approx([0.7071, 0.7071], abs=1e-4)
+
+
+def test_embed(spark):
+    texts = ["the cat sat", "the cat sat down", None, "", "other words entirely"] * 20
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", V.embed(F.col("t"), at_once=7).alias("v")).orderBy("id").collect()
+    for r in rows:
+        t = texts[r.id]
+        assert (r.v is None) == (t is None)
+        if t is not None:
+            assert r.v == pytest.approx(V.hashed([t])[0])
+            assert np.linalg.norm(r.v) == pytest.approx(1 if t else 0)
+    near, far = (np.dot(rows[0].v, rows[k].v) for k in (1, 4))
+    assert near > far
