@@ -120,7 +120,7 @@ def identified(passages: DataFrame, model: Callable[[Column], Column], text_col:
     return asked.unionByName(passages.where(~needed).withColumn("terms_json", F.lit(None).cast("string")))
 
 
-def fathomed(passages: DataFrame, terms: DataFrame, model: Callable[[Column], Column]) -> DataFrame:
+def grounded(passages: DataFrame, terms: DataFrame, model: Callable[[Column], Column]) -> DataFrame:
     """Paraphrase and glossary of routed passages (passage_id, text, author, tier, entry_id, terms,
     resolution). terms: entry_id, english, substrate, gloss of the lexicon."""
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("english", "substrate", "gloss"))), lambda t: F.concat(F.lit("- "), t["english"], F.lit(" (`"), t["substrate"], F.lit("`): "), t["gloss"])), "\n")

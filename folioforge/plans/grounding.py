@@ -94,14 +94,14 @@ def route_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def fathom(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ground_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole path over the conversations' turns, with a model that repeats its passage."""
     turns = table(spark, sf_dir, "conversations").select(F.format_string("%d/%d", "conv_id", "turn").alias("passage_id"), "text", F.lit(None).cast("string").alias("author"), F.lit("simple").alias("tier"), F.lit("auto").alias("mode"))
     lexicon = spark.createDataFrame(LEXICON, "entry_id string, ord int, fingerprint string")
     echo = lambda prompt: F.concat(F.lit("PARAPHRASE: "), F.regexp_extract(prompt, '(?s)"""\n(.*)\n"""', 1), F.lit("\nGLOSSARY:\n- it (`ergon`): that"))
     terms = spark.createDataFrame(TERMS, "entry_id string, ord int, english string, substrate string, gloss string")
     routed = grounding.routed(grounding.identified(grounding.lexicon_match(turns, lexicon), lambda prompt: F.lit('{"terms": []}')))
-    answered = grounding.fathomed(routed, terms, echo)
+    answered = grounding.grounded(routed, terms, echo)
     scored = judge.score_paraphrases(answered.select("passage_id", "text", "paraphrase"), "passage_id", "text", "paraphrase")
     return answered.select("passage_id", "resolution", F.size("glossary").alias("entries")).join(scored.select("passage_id", "support", "contradiction_max", "faithful"), "passage_id")
 

@@ -221,7 +221,7 @@ def test_curated_answers_are_guarded(spark):
     passages = spark.createDataFrame([(0, "text", "A", "simple", "e", [], "curated"), (1, "text", None, "scholarly", None, ["x"], "jit")], "passage_id int, text string, author string, tier string, entry_id string, terms array<string>, resolution string")
     terms = spark.createDataFrame([("e", "function", "ergon", "g")], "entry_id string, english string, substrate string, gloss string")
     model = lambda p: F.concat(F.lit("PARAPHRASE: ok\nGLOSSARY:\n- a (`ergon`): one\n- b (`invented`): two\nlen "), F.length(p))
-    got = {r.passage_id: [tuple(e) for e in r.glossary] for r in grounding.fathomed(passages, terms, model).collect()}
+    got = {r.passage_id: [tuple(e) for e in r.glossary] for r in grounding.grounded(passages, terms, model).collect()}
     assert got == {0: [("function", "one", "ergon")], 1: [("a", "one", "ergon"), ("b", "two", "invented")]}
 
 
