@@ -1,7 +1,8 @@
 """The corpus pipeline: a list of stages, each over what the stage before it kept.
 
 Language ID drops documents without a language or with a score under one half; exact
-dedup keeps one row of each text; SimHash near-dedup keeps one row of each component;
+dedup keeps one row of each text; near-dedup keeps one row of each component of texts
+whose five-word shingles have a Jaccard similarity of 0.8 or more;
 mixing takes each source's documents up to its target, some of them twice and the one
 at the cut in part; SentencePiece encodes what was taken.
 """
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from folioforge.llm.exact_dedup import drop_exact_copies
 from folioforge.llm.language_id import keep_identified
 from folioforge.llm.mixing import mix_documents
+from folioforge.llm.near_dedup import drop_similar
 from folioforge.llm.sentencepiece_nbest import encode_documents
-from folioforge.llm.simhash import drop_near_copies
 from folioforge.session import texts
 
 
@@ -28,7 +29,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_copies(docs)
+    return drop_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
