@@ -347,6 +347,11 @@ _lattices: dict[tuple[str, str], Lattice] = {}
 FIELDS = "doc_id long, ids array<int>, n_tokens long, score double, nbest_scores array<double>, nbest_tokens array<long>, nbest_crc32 array<long>, round_trip boolean"
 
 
+def round_trips(lattice: Lattice, text: str | None, arrays: list[np.ndarray]) -> bool:
+    """Whether every segmentation decodes to the text."""
+    return all(lattice.decode(x) == (text or "") for x in arrays)
+
+
 def encode_documents(docs: DataFrame, model_file: str, nbest: int = 4, scores: str = "zipf", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """FIELDS of every row of docs: the best segmentation's ids, the nbest scores, token counts
     and checksums (crc32 of the ids as little-endian 32-bit integers), best first, and whether
@@ -369,7 +374,7 @@ def encode_documents(docs: DataFrame, model_file: str, nbest: int = 4, scores: s
                     each.append([s for s, _ in found])
                     tokens.append([len(x) for x in arrays])
                     sums.append([zlib.crc32(x.astype("<u4").tobytes()) for x in arrays])
-                    same.append(all(lattice.decode(x) == (text or "") for x in arrays[:1]))
+                    same.append(round_trips(lattice, text, arrays))
                 offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [

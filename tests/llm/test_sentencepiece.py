@@ -70,3 +70,10 @@ def test_empty_and_scores_of_the_file(spark, empty):
     assert S.encode_documents(empty, FILE).count() == 0
     got = S.encode_documents(make(spark, [(1, "the end", "en", "a")]), FILE, scores="file").first()
     assert got.round_trip and got.score < 0
+
+
+def test_round_trip_reads_every_segmentation(lattice):
+    arrays = [np.frombuffer(x, "<u2") for _, x in next(iter(lattice.encode(["the end"], 4)))]
+    assert len(arrays) == 4 and S.round_trips(lattice, "the end", arrays)
+    for k in range(4):
+        assert not S.round_trips(lattice, "the end", [x[:-1] if i == k else x for i, x in enumerate(arrays)])
