@@ -58,7 +58,7 @@ KINDS = {
     "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "secret": r"(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,})(?![\p{L}\p{N}])",
-    "card": r"\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?!\d)",
+    "card": r"(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
     "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)",
     "given": rf"(?:{_ALL_GIVEN})(?= {_NAME})",
@@ -198,11 +198,16 @@ def replace_entities(docs: DataFrame, key: str = "folioforge", id_col: str = "do
     replacements = (
         found.join(known, ["kind", "entity"])
         .groupBy("__ff_id", "__ff_hash")
-        .agg(F.sort_array(F.collect_set(F.struct("pos", "surrogate"))).alias("__ff_found"))
+        .agg(F.sort_array(F.collect_set(F.struct("pos", "surrogate"))).alias("__ff_found"), F.sort_array(F.collect_set(F.when(F.col("kind") == "surname", F.struct("entity", "surrogate"))), False).alias("__ff_names"))
     )
     joined = holding.join(replacements, holding[id_col].eqNullSafe(replacements["__ff_id"]) & (F.xxhash64(text) == replacements["__ff_hash"]))
-    pieces = F.zip_with(F.split(text, PATTERN, -1), F.col("__ff_found.surrogate"), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
-    changed = joined.withColumn(text_col, F.array_join(pieces, "")).withColumn("n_entities", F.size("__ff_found").cast("long"))
+    # surnames found in a text are replaced where they stand alone in it too, the longest first
+    alone = lambda names: F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), names, F.lit(r")(?![\p{L}\p{N}])"))
+    swapped = lambda gap: F.aggregate("__ff_names", gap, lambda done, n: F.regexp_replace(done, alone(n["entity"]), n["surrogate"]))
+    gaps = F.split(text, PATTERN, -1)
+    bare = F.aggregate(gaps, F.lit(0), lambda n, gap: n + F.regexp_count(gap, alone(F.array_join("__ff_names.entity", "|"))))
+    pieces = F.zip_with(gaps, F.col("__ff_found.surrogate"), lambda gap, new: F.concat(swapped(gap), F.coalesce(new, F.lit(""))))
+    changed = joined.withColumn("n_entities", (F.size("__ff_found") + F.when(F.size("__ff_names") > 0, bare).otherwise(0)).cast("long")).withColumn(text_col, F.array_join(pieces, ""))
     others = [c for c in docs.columns if c != "n_entities"]
     same = docs.where(~has_entities(text)).withColumn("n_entities", F.lit(0).cast("long"))
     return changed.select(*others, "n_entities").unionByName(same.select(*others, "n_entities"))

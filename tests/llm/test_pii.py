@@ -85,3 +85,12 @@ def test_repeated_rows(spark):
 
 def test_empty(empty):
     assert pii.replace_entities(empty).count() == 0
+
+
+def test_bare_surnames_and_cards_of_4_6_5(spark):
+    rows = [(0, "John Smith came. Smith said Smithson and Dr. Smith-Jones left; Smith-Jones too.", "en", "a"), (1, "card 3782 822463 10005.", "en", "a"), (2, "Smith alone", "en", "a")]
+    got = {r.doc_id: r for r in pii.replace_entities(make(spark, rows)).collect()}
+    first, again, double, double_again = re.fullmatch(r"\w+ (\w+) came\. (\w+) said Smithson and Dr\. (\w+-\w+) left; (\w+-\w+) too\.", got[0].text).groups()
+    assert first == again != "Smith" and double == double_again != "Smith-Jones" and got[0].n_entities == 5
+    assert re.fullmatch(r"card 3\d{3} \d{6} \d{5}\.", got[1].text) and "822463" not in got[1].text and luhn(got[1].text)
+    assert got[2].text == "Smith alone"
