@@ -8,14 +8,16 @@ pass; only id and fingerprint leave it.
 Links (at most 3 differing bits) are looked for among distinct fingerprints, so
 copies count once however many there are. Of four 16-bit blocks at least one is equal
 in any linked pair: each fingerprint goes to four tasks' tries, once for each block,
-rotated so that the block leads. A task sorts its fingerprints, which makes the
-sorted array an implicit binary trie with the block's value as root, and joins each
-trie with itself: pairs of nodes go down together, a differing bit costs one of the
-budget, and a pair is pruned when its cost passes 3. A root with more than
-`most_in_trie` fingerprints is dealt out anew by the same argument on the remaining
-bits (four blocks of 12, then of 9), which loses no link. A task gives a spanning
-forest of the links it finds, not all pairs. Components are then joined across tasks
-by alternating star contraction with checkpoints.
+rotated so that the block leads. Sorted fingerprints are an implicit binary trie with
+the block's value as root, and each trie is joined with itself: pairs of nodes go down
+together, a differing bit costs one of the budget, a pair is pruned when its cost passes
+3, and two nodes that hold one fingerprint each are compared over the bits that are left.
+Tasks sort by root and read root after root, so that one holds little more than its
+largest. A root with more than `most_in_trie` fingerprints is dealt out anew by the same
+argument on the remaining bits (four blocks of 12, then of 9), which loses no link; below
+the last of them 27 bits are left, so a root holds 1 GB at most. A task gives a spanning
+forest of the links of each root, kept up to date as they are found, not all pairs.
+Components are then joined across tasks by alternating star contraction with checkpoints.
 
 component_id is the smallest doc_id reachable, the row's own included. Null ids share
 a component with what they resemble but are never its name unless all are null. Rows
@@ -42,6 +44,8 @@ BUDGET = 3
 SHINGLE = 3
 #: Widths of the blocks that are split off at each level: 4 * 16 = 64, 4 * 12 = 48, 4 * 9 = 36.
 WIDTHS = (16, 12, 9)
+#: Fingerprints that a task joins at once, if its roots are not larger.
+ROWS = 1 << 16
 
 
 def fingerprint(text: str | None, at_once: int = 1 << 16) -> int:
@@ -71,43 +75,30 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col)).alias("fp"))
 
 
-def _pairs(lo_a, hi_a, lo_b, hi_b, same):
-    """Positions (i, j) of all members of the given pairs of ranges, i < j within one range."""
-    size_b = hi_b - lo_b
-    count = (hi_a - lo_a) * size_b
-    which = np.repeat(np.arange(len(count)), count)
-    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    i, j = lo_a[which] + step // size_b[which], lo_b[which] + step % size_b[which]
-    fit = ~same[which] | (i < j)
-    return i[fit], j[fit]
-
-
-def trie_join(values: np.ndarray, depth: int, budget: int = BUDGET, direct: int = 64, at_once: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+def trie_join(values: np.ndarray, depth: int, budget: int = BUDGET, at_once: int = 1 << 18, seen: dict[str, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) of all pairs of the sorted distinct values that agree in their leading
-    `depth` bits and differ in at most `budget` bits."""
-    none = np.empty(0, np.int64)
+    `depth` bits and differ in at most `budget` bits, some at a time. seen: gets the numbers of
+    node pairs that went down, were pruned, and came to single values."""
     if len(values) < 2:
-        return none, none
+        return
+    seen = {} if seen is None else seen
     lead = values >> np.uint64(BITS - depth)
     starts = np.flatnonzero(np.concatenate(([True], lead[1:] != lead[:-1]))).astype(np.int64)
     ends = np.append(starts[1:], len(values)).astype(np.int64)
     many = ends - starts > 1
-    roots = (starts[many], ends[many], starts[many], ends[many], np.zeros(many.sum(), np.int8), np.ones(many.sum(), bool))
-    stack, found = [(depth, roots)], []
+    stack = [(depth, (starts[many], ends[many], starts[many], ends[many], np.zeros(many.sum(), np.int8), np.ones(many.sum(), bool)))]
     while stack:
         at, frontier = stack.pop()
-        if not len(frontier[0]):
-            continue
         if len(frontier[0]) > at_once:
             half = len(frontier[0]) // 2
             stack += [(at, tuple(x[:half] for x in frontier)), (at, tuple(x[half:] for x in frontier))]
             continue
-        lo_a, hi_a, lo_b, hi_b, cost, same = frontier
-        few = ((hi_a - lo_a) * (hi_b - lo_b) <= direct) | (at >= BITS)
-        i, j = _pairs(*(x[few] for x in (lo_a, hi_a, lo_b, hi_b, same)))
-        near = np.bitwise_count(values[i] ^ values[j]) <= budget
-        found.append((i[near], j[near]))
-        lo_a, hi_a, lo_b, hi_b, cost, same = (x[~few] for x in frontier)
+        single = (frontier[1] - frontier[0] == 1) & (frontier[3] - frontier[2] == 1)
+        i, j = frontier[0][single], frontier[2][single]
+        if len(i):
+            near = np.bitwise_count(values[i] ^ values[j]) <= budget
+            yield i[near], j[near]
+        lo_a, hi_a, lo_b, hi_b, cost, same = (x[~single] for x in frontier)
         if not len(lo_a):
             continue
         bit = np.uint64(1) << np.uint64(BITS - 1 - at)
@@ -121,25 +112,29 @@ def trie_join(values: np.ndarray, depth: int, budget: int = BUDGET, direct: int
         two = ~same
         children.append(tuple(x[two] for x in (mid_a, hi_a, lo_b, mid_b)) + (cost[two] + 1, same[two]))
         merged = [np.concatenate(x) for x in zip(*children)]
-        alive = (merged[1] > merged[0]) & (merged[3] > merged[2]) & (merged[4] <= budget) & ~(merged[5] & (merged[1] - merged[0] < 2))
-        stack.append((at + 1, tuple(x[alive] for x in merged)))
-    return (np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])) if found else (none, none)
+        there = (merged[1] > merged[0]) & (merged[3] > merged[2]) & ~(merged[5] & (merged[1] - merged[0] < 2))
+        alive = there & (merged[4] <= budget)
+        for name, n in (("down", len(lo_a)), ("pruned", int((there & ~alive).sum())), ("single", len(i))):
+            seen[name] = seen.get(name, 0) + n
+        if alive.any():
+            stack.append((at + 1, tuple(x[alive] for x in merged)))
 
 
-def spanning(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spanning(n: int, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, least node) that join what the links i-j join, at most one for a node."""
     label = np.arange(n)
-    while len(i):
-        least = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, label[i], least)
-        np.minimum.at(label, label[j], least)
-        while not np.array_equal(label[label], label):
-            label = label[label]
-        if np.array_equal(before, label):
-            break
-        open_ = label[i] != label[j]
-        i, j = i[open_], j[open_]
+    for i, j in found:
+        while len(i):
+            least = np.minimum(label[i], label[j])
+            before = label.copy()
+            np.minimum.at(label, label[i], least)
+            np.minimum.at(label, label[j], least)
+            while not np.array_equal(label[label], label):
+                label = label[label]
+            if np.array_equal(before, label):
+                break
+            open_ = label[i] != label[j]
+            i, j = i[open_], j[open_]
     moved = np.flatnonzero(label != np.arange(n))
     return moved, label[moved]
 
@@ -197,23 +192,32 @@ def _deal(frame: DataFrame, level: int) -> DataFrame:
 
 
 def _joined(frame: DataFrame, level: int) -> DataFrame:
-    """The spanning edges (a, b) of the links that each task's tries hold."""
+    """The spanning edges (a, b) of the links that each root's trie holds."""
     depth = sum(WIDTHS[: level + 1])
 
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
-        if not parts:
-            return
-        fp, codes = (np.concatenate(x) for x in zip(*parts))
+    def of_roots(fp: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
         for code in np.unique(codes):
             own = fp[codes == code]
             values = arrange(own.view(np.uint64), _path(int(code), level))
             order = np.argsort(values)
-            i, j = trie_join(values[order], depth)
-            node, to = spanning(len(own), i, j)
+            node, to = spanning(len(own), trie_join(values[order], depth))
             yield pa.RecordBatch.from_arrays([pa.array(own[order[node]]), pa.array(own[order[to]])], names=["a", "b"])
 
-    return frame.repartition("code", "lead").select("fp", "code").mapInArrow(edges, "a long, b long")
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, enough = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)], ROWS
+        for batch in batches:
+            held = [np.concatenate((x, batch.column(k).to_numpy(zero_copy_only=False))) for k, x in enumerate(held)]
+            fp, code, lead = held
+            if len(fp) < enough:
+                continue
+            whole = int(np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (lead[1:] != lead[:-1])))[-1])  # the last root may go on
+            yield from of_roots(fp[:whole], code[:whole])
+            held = [x[whole:] for x in held]
+            enough = max(ROWS, 2 * len(held[0]))
+        yield from of_roots(*held[:2])
+
+    sorted_ = frame.repartition("code", "lead").sortWithinPartitions("code", "lead")
+    return sorted_.select("fp", "code", "lead").mapInArrow(edges, "a long, b long")
 
 
 def links(distinct: DataFrame, most_in_trie: int = 50_000) -> DataFrame:

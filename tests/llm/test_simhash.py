@@ -75,9 +75,9 @@ def planted(n, seed):
 
 @pytest.mark.parametrize("depth", [1, 16, 28, 37])
 def test_trie_join_finds_all_pairs_of_a_root(depth):
-    values = np.array(planted(120, depth), np.uint64)
-    i, j = simhash.trie_join(values, depth, direct=2, at_once=50)
-    got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
+    values, seen = np.array(planted(120, depth), np.uint64), {}
+    got = {(min(a, b), max(a, b)) for i, j in simhash.trie_join(values, depth, at_once=50, seen=seen) for a, b in zip(i.tolist(), j.tolist())}
+    assert seen["down"] > 0 and seen["pruned"] > 0
     want = {
         (a, b)
         for a in range(len(values))
@@ -102,6 +102,33 @@ def test_links_lose_nothing_at_any_level(spark, most):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
 
 
+def test_node_pairs_go_down_on_the_whole_table(spark):
+    """Every link within a root comes out of the descent, and pruning cuts most of its pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    prints = [r.fp for r in simhash.fingerprints(docs).select("fp").distinct().collect()]
+    fps, linked, seen = np.array(prints, np.int64).view(np.uint64), set(), {}
+    for block in range(4):
+        values = np.sort(simhash.arrange(fps, [block]))
+        order = np.argsort(simhash.arrange(fps, [block]))
+        for i, j in simhash.trie_join(values, 16, seen=seen):
+            linked |= {tuple(sorted(x)) for x in zip(fps[order[i]].tolist(), fps[order[j]].tolist())}
+    assert seen["down"] > 1_000 and seen["pruned"] > 1_000 and seen["single"] > 1_000
+    want = set()
+    for k in range(len(fps)):
+        near = np.flatnonzero(np.bitwise_count(fps[k + 1 :] ^ fps[k]) <= simhash.BUDGET)
+        want |= {tuple(sorted((int(fps[k]), int(fps[k + 1 + m])))) for m in near}
+    assert linked == want
+
+
+@pytest.mark.parametrize("rows", [1, 7])
+def test_tasks_read_root_after_root(spark, rows, monkeypatch):
+    values = [int(np.uint64(v).view(np.int64)) for v in planted(100, 9)]
+    frame = spark.createDataFrame([(v,) for v in values], "fp long")
+    whole = {tuple(r) for r in connected_components(simhash.links(frame)).collect()}
+    monkeypatch.setattr(simhash, "ROWS", rows)
+    assert {tuple(r) for r in connected_components(simhash.links(frame)).collect()} == whole
+
+
 def test_arrange_moves_blocks_to_the_front():
     fp = np.array([0x0123456789ABCDEF], np.uint64)
     assert f"{int(simhash.arrange(fp, [1])[0]):016x}" == "4567012389abcdef"
