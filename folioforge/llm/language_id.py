@@ -6,19 +6,25 @@ longest context that the language's tree holds: -log2 of count / (total + distin
 the byte was seen there, else -log2 of the escape probability distinct / (total +
 distinct) plus its code length in the next shorter context, down to 8 bits for any
 byte (method C, statistics frozen). A text's code length is the exact sum over all
-its bytes; the shortest wins, and the score is the posterior probability under equal
-priors, 1 / sum over languages of 2 ** -(its bits - the best bits).
+its bytes, and the shortest wins.
 
-Scoring looks every position up in one flat table: the trees' contexts are merged,
-each context has a row of code lengths for all byte classes and languages, with the
-escapes already added up. Bytes that no tree saw share one class. Texts of any length
-are scored whole, in pieces of bounded size.
+The score is the posterior probability under equal priors, 1 / sum over languages of
+2 ** -(its bits - the best bits), times how well the text fits the language that won: bits a
+byte are compared with the median and the spread that texts of the language have which the
+trees were not fitted on, 1 / (1 + (deviations above the median / REACH) ** 4). Text of no
+learned language so scores under one half, however far the least bad language is ahead.
+
+Scoring looks every position up in flat tables: the trees' contexts of a few languages
+are merged, each context has a row of code lengths for all byte classes and these
+languages, with the escapes already added up. Bytes that no tree saw share one class.
+Texts of any length are scored whole, in pieces of bounded size.
 
 Fitting uses at most some `docs_per_lang` texts a language (a hash of the id decides
-which; texts over `most_bytes` are not used for fitting) of rows whose crc32 of the id
-in decimal, modulo 5, is not 0 and whose language is not null. At most `most_contexts`
-contexts of full order are kept, those seen most often. With these bounds the model
-has a bounded size, whatever the input.
+which), and of a text over `most_bytes` a window of so many bytes at a place that the hash
+decides, of rows whose crc32 of the id in decimal, modulo 5, is not 0 and whose language is
+not null; a quarter of these texts gives medians and spreads, the rest the trees. So the model
+has a bounded size for each language, some 10 MB laid out. More than `most_langs` languages
+raise an error. Two jobs do the fitting: counts of the languages, and the sample.
 
 Texts that are null or have no letter are `und` with score 0; so is everything if
 there is nothing to learn from. Ties go to the language first in code point order.
@@ -26,8 +32,9 @@ there is nothing to learn from. Ties go to the language first in code point orde
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -43,9 +50,14 @@ FOLDS = 5
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+#: Deviations above the median at which a text counts half.
+REACH = 20.0
+WINDOW = 64
+
+
 @dataclass
-class Model:
-    """Byte classes, and the counts of byte after context for each language."""
+class Trees:
+    """Byte classes, and the counts of byte after context for each of a few languages."""
 
     langs: list[str]
     classes: np.ndarray  # of each byte: 1.. for bytes seen, 0 for the others
@@ -57,21 +69,74 @@ class Model:
     def base(self) -> int:
         return int(self.classes.max()) + 1
 
+
+@dataclass
+class Model:
+    """Trees, and of each language the median bits a byte, the deviation of long texts from it, and
+    the variance of a byte (columns of `spread`)."""
+
+    langs: list[str]
+    trees: list[Trees]
+    spread: np.ndarray
+
     @cached_property
-    def scorer(self) -> Scorer:
-        return Scorer(self)
+    def scorers(self) -> list[Scorer]:
+        return [Scorer(t) for t in self.trees]  # laid out once a worker
+
+    def code_lengths(self, texts: list[bytes], at_once: int = 1 << 18) -> np.ndarray:
+        """Bits of each text (row) under each language (column)."""
+        return np.concatenate([s.code_lengths(texts, at_once) for s in self.scorers], axis=1)
+
+    def fits(self, bits: np.ndarray, lengths: np.ndarray, langs: np.ndarray) -> np.ndarray:
+        """How well texts of so many bits and bytes fit their languages (places), from 1 down to 0."""
+        mean, own, of_byte = self.spread[langs].T
+        n = np.maximum(lengths, 1)
+        above = np.maximum(bits / n - mean, 0) / np.sqrt(own * own + of_byte / n)
+        return 1 / (1 + (above / REACH) ** 4)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text."""
         if not self.langs:
             return [UND] * len(texts), np.zeros(len(texts))
-        return self.scorer.predict(texts)  # laid out once a worker
-
-
-def fit(samples: dict[str, Iterable[bytes]], order: int = 3, most_contexts: int = 1 << 15) -> Model:
+        known = [bool(t) and _LETTER.search(t) is not None for t in texts]
+        data = [t.encode("utf-8", "surrogatepass") if k else b"" for t, k in zip(texts, known)]
+        bits = self.code_lengths(data)
+        best, least = bits.argmin(axis=1), bits.min(axis=1)
+        posterior = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000.0)).sum(axis=1)
+        score = posterior * self.fits(least, np.array(list(map(len, data)), np.int64), best)
+        return [self.langs[b] if k else UND for b, k in zip(best.tolist(), known)], np.where(known, score, 0.0)
+
+
+def fit(samples: dict[str, list[bytes]], order: int = 3, held: dict[str, list[bytes]] | None = None, together: int | None = None) -> Model:
+    """A model of samples, with medians and spreads from `held`, other texts of the same languages;
+    a language without such texts fits any text. together: languages whose trees share a table."""
     if not 0 <= order <= 3:
         raise ValueError("order must be 0 to 3")
     langs = sorted(samples)
+    together = together or (4 if len(langs) <= 16 else 1)
+    model = Model(langs, [_trees({x: samples[x] for x in langs[i : i + together]}, order) for i in range(0, len(langs), together)], np.empty((0, 3)))
+    model.spread = np.array([_spread(model, i, [t for t in (held or {}).get(lang, []) if t]) for i, lang in enumerate(langs)]).reshape(-1, 3)
+    return model
+
+
+def _spread(model: Model, lang: int, texts: list[bytes]) -> tuple[float, float, float]:
+    if not texts:
+        return 0.0, math.inf, 0.0
+    own = model.scorers[lang // len(model.trees[0].langs)]
+    bits = lambda x: own.code_lengths(x)[:, lang % len(model.trees[0].langs)]
+    lengths = np.array(list(map(len, texts)), np.float64)
+    of_text = bits(texts)
+    each = of_text / lengths
+    mean = float(np.median(each))
+    windows = [t[i : i + WINDOW] for t in texts for i in range(0, len(t) - WINDOW + 1, WINDOW)]
+    # of nine tenths of the texts, for some are in another language than said; few texts say little
+    deviation = lambda x: float(np.quantile(np.abs(x - np.median(x)), 0.9)) / 1.645
+    of_byte = WINDOW * deviation(bits(windows) / WINDOW) ** 2 if len(windows) > 1 else 8.0
+    return mean, max(deviation(each), 0.1 * mean) + 3 / len(texts), of_byte
+
+
+def _trees(samples: dict[str, list[bytes]], order: int) -> Trees:
+    langs = list(samples)
     texts = {lang: [np.frombuffer(t, np.uint8) for t in samples[lang] if t] for lang in langs}
     seen = np.zeros(256, bool)
     for own in texts.values():
@@ -92,24 +157,19 @@ def fit(samples: dict[str, Iterable[bytes]], order: int = 3, most_contexts: int
                         key = key * base + c[i : len(c) - k + i]
                     keys.append(key)
             each.append(np.unique(np.concatenate(keys), return_counts=True) if keys else (np.empty(0, np.int64), np.empty(0, np.int64)))
-        every = np.unique(np.concatenate([x[0] for x in each])) if each else np.empty(0, np.int64)
+        every = np.unique(np.concatenate([x[0] for x in each]))
         table = np.zeros((len(every), len(langs)), np.int64)
         for i, (keys, n) in enumerate(each):
             table[np.searchsorted(every, keys), i] = n
         grams.append(every)
         counts.append(table)
-    if len(contexts := np.unique(grams[order] // base)) > most_contexts:
-        totals = np.bincount(np.searchsorted(contexts, grams[order] // base), counts[order].sum(axis=1), len(contexts))
-        kept = np.sort(contexts[np.argsort(-totals, kind="stable")[:most_contexts]])
-        fits = np.isin(grams[order] // base, kept)
-        grams[order], counts[order] = grams[order][fits], counts[order][fits]
-    return Model(langs, classes, order, grams, counts)
+    return Trees(langs, classes, order, grams, counts)
 
 
 class Scorer:
-    """A model laid out for lookup."""
+    """Trees laid out for lookup."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Trees):
         self.model, base, n = model, model.base, len(model.langs)
         self.classes = model.classes.astype(np.int32)
         self.base, self.order = base, model.order
@@ -191,33 +251,30 @@ class Scorer:
                 return 0
             digits = digits[1:]
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        langs, known = self.model.langs, [bool(t) and _LETTER.search(t) is not None for t in texts]
-        bits = self.code_lengths([t.encode("utf-8", "surrogatepass") if k else b"" for t, k in zip(texts, known)])
-        best = bits.argmin(axis=1)
-        posterior = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000.0)).sum(axis=1)
-        return [langs[b] if k else UND for b, k in zip(best.tolist(), known)], np.where(known, posterior, 0.0)
-
 
 def held_out(id_: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
-def fit_on(docs: DataFrame, docs_per_lang: int = 400, most_bytes: int = 20_000, most_langs: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 3) -> Model:
+def fit_on(docs: DataFrame, docs_per_lang: int = 400, most_bytes: int = 5_000, most_langs: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 3) -> Model:
     """A model of the languages of docs, from a bounded sample of its training folds."""
     train = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    usable = (F.octet_length(text_col) > 0) & (F.octet_length(text_col) <= most_bytes)
-    sizes = train.where(usable).groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    sizes = train.groupBy(F.col(lang_col).alias("lang")).count().limit(most_langs + 1).collect()
     if not sizes:
         return fit({})
+    if len(sizes) > most_langs:
+        raise ValueError(f"more than {most_langs} languages")
     # rows whose hash falls under docs_per_lang / count: about as many for each language, by no shuffle
     chance = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, docs_per_lang / r["count"])))])
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = train.where(usable & (draw < F.coalesce(chance[F.col(lang_col)], F.lit(0.0))))
+    draw = lambda seed: F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30))
+    data, size = F.col(text_col).cast("binary"), F.octet_length(text_col)
+    window = F.substring(data, (draw(12) % F.greatest(size - most_bytes + 1, F.lit(1))).cast("int") + 1, F.lit(most_bytes))
+    sample = train.where((size > 0) & (draw(11) / float(1 << 30) < chance[F.col(lang_col)]))
     samples: dict[str, list[bytes]] = {}
-    for r in sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).toLocalIterator():
-        samples.setdefault(r["lang"], []).append(r["text"].encode("utf-8", "surrogatepass"))
-    return fit(samples, order)
+    held: dict[str, list[bytes]] = {}
+    for r in sample.select(F.col(lang_col).alias("lang"), window.alias("data"), (draw(13) % 4 == 0).alias("held")).collect():  # of bounded size
+        (held if r["held"] else samples).setdefault(r["lang"], []).append(bytes(r["data"]))
+    return fit({x: samples.get(x) or held.pop(x) for x in samples.keys() | held.keys()}, order, held)
 
 
 def predictor(docs: DataFrame, model: Model):

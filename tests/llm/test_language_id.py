@@ -2,6 +2,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 from tests.llm.conftest import HARD, make
 
@@ -38,14 +39,59 @@ def brute(text, lang, order=3):
 def test_code_lengths_equal_brute_force(at_once):
     rng = random.Random(4)
     texts = [b"abc", b"z", b"", b"xxxxx", b"abcdzzab bcd", *(bytes(rng.choice(b"abcdez ") for _ in range(rng.randrange(200))) for _ in range(20))]
-    got = L.fit(SAMPLES).scorer.code_lengths(texts, at_once)
-    for t, row in zip(texts, got):
-        assert row.tolist() == pytest.approx([brute(t, "a"), brute(t, "b")], abs=1e-3)
-
-
-def test_pruned_contexts_still_score():
-    scorer = L.fit(SAMPLES, most_contexts=5).scorer
-    assert (scorer.code_lengths([b"abcd" * 10]) > 0).all()
+    for together in (1, 4):
+        got = L.fit(SAMPLES, together=together).code_lengths(texts, at_once)
+        for t, row in zip(texts, got):
+            assert row.tolist() == pytest.approx([brute(t, "a"), brute(t, "b")], abs=1e-3)
+
+
+def test_spreads_are_those_of_other_texts():
+    held = {"a": [b"abcd abcd dcba " * 9, b"dcba abca" * 20, b"ddd aaa bcd" * 15]}
+    model = L.fit(SAMPLES, held=held)
+    bits = [brute(t, "a") for t in held["a"]]
+    sizes = [len(t) for t in held["a"]]
+    least, mean, most = sorted(b / n for b, n in zip(bits, sizes))
+    apart = sorted((mean - least, most - mean))
+    deviation = (apart[0] + 0.8 * (apart[1] - apart[0])) / 1.645  # the ninth tenth of nought and these two
+    windows = [t[i : i + 64] for t in held["a"] for i in range(0, len(t) - 63, 64)]
+    each = [brute(w, "a") / 64 for w in windows]
+    variance = 64 * (np.quantile(np.abs(each - np.median(each)), 0.9) / 1.645) ** 2
+    assert model.spread[0].tolist() == pytest.approx([mean, max(deviation, 0.1 * mean) + 1, variance], rel=1e-3)
+    assert model.spread[1].tolist() == [0.0, math.inf, 0.0]
+
+
+UNLEARNED = [
+    "Litwo! Ojczyzno moja! ty jesteś jak zdrowie. Ile cię trzeba cenić, ten tylko się dowie, kto cię stracił.",
+    "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。",
+    "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.",
+]
+
+
+def test_text_of_no_learned_language_scores_under_a_half(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*"doc_id text lang source n_chars".split())
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("fit", "fit")
+    model = L.fit_on(docs.repartition(40))
+    spark.sparkContext.setJobGroup("", "")
+    assert len(jobs.getJobIdsForGroup("fit")) <= 6  # AQE runs a job for each exchange; not one for each partition
+    lang, score = model.predict([t * k for t in UNLEARNED for k in (1, 20)])
+    assert (score < 0.5).all(), score
+    planted = make(spark, [(10**7 + i, t, None, "a") for i, t in enumerate(UNLEARNED)] + [(10**7 + 9, None, "en", "a"), (10**7 + 10, "12 34", "en", "a")])
+    kept = {r.doc_id for r in L.keep_identified(docs.unionByName(planted)).select("doc_id").collect()}
+    letters = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert kept <= letters and len(letters - kept) <= len(letters) / 200, letters - kept
+
+
+def test_long_texts_are_fitted_on_by_windows(spark):
+    rows = [(i, ("lorem ipsum dolor sit amet " if i % 2 else "quick brown foxes jump over ") * 800, "la" if i % 2 else "en", "a") for i in range(40)]
+    model = L.fit_on(make(spark, rows), most_bytes=500)
+    assert model.langs == ["en", "la"] and model.predict([rows[0][1], rows[1][1]])[0] == ["en", "la"]
+
+
+def test_too_many_languages_are_an_error(spark):
+    rows = [(i, "some text", f"l{i}", "a") for i in range(60)]
+    with pytest.raises(ValueError, match="more than 10 languages"):
+        L.fit_on(make(spark, rows), most_langs=10)
 
 
 def test_held_out_accuracy_and_folds(spark):
