@@ -48,6 +48,20 @@ def test_every_level_keeps_the_smallest(spark):
     assert [r.keep_id for r in tree_merge(runs, 9, 2).collect()] == [1]
 
 
+def test_segments_split_runs_and_count_all(spark):
+    """Every text in several runs, many ranges, rounds with cuts between them."""
+    rows = [(i, f"text {i % 700}" + " " * (i // 700), "en", "a") for i in range(2800)]
+    runs = digests(make(spark, rows).repartition(30))
+    got = tree_merge(runs, 30, fan_in=2, rows=2800, segment=20, rounds_a_cut=2).collect()
+    assert sorted((r.keep_id, r.group_size) for r in got) == [(2100 + i, 4) for i in range(700)]
+
+
+def test_digests_that_differ_in_one_part_stay_apart(spark):
+    rows = [(0, 1, b"a", 1, 1, 5), (1, 2, b"a", 1, 1, 5), (1, 3, b"a", 2, 1, 5), (2, 4, b"a", 1, 2, 5), (2, 5, b"b", 1, 1, 9)]
+    runs = spark.createDataFrame(rows, "run int, doc_id long, sha binary, norm_chars long, norm_hash long, chars long")
+    assert sorted((r.keep_id, r.group_size) for r in tree_merge(runs, 3, 2).collect()) == [(1, 2), (3, 1), (4, 1), (5, 1)]
+
+
 def test_stage_keeps_one_row_of_each_text(spark, clashing):
     out = drop_exact_copies(clashing)
     assert out.columns == clashing.columns
