@@ -98,26 +98,33 @@ WITH d AS (
 ), g AS (
   SELECT lang, source, metric, CASE WHEN x > 0 THEN CAST(ceil(ln(x) / ln({quality.GAMMA!r})) AS INT) END AS bucket FROM x WHERE NOT base_failed
 ), s AS (
-  SELECT 0 AS level, lang, source, metric, bucket, count(*) AS n FROM g GROUP BY ALL
-  UNION ALL SELECT 1, lang, NULL, metric, bucket, count(*) FROM g GROUP BY ALL
-  UNION ALL SELECT 2, NULL, NULL, metric, bucket, count(*) FROM g GROUP BY ALL
+  SELECT lang, source, metric, bucket, count(*) AS n FROM g GROUP BY ALL
+), sa AS (
+  SELECT metric, bucket, sum(n) * {quality.WHOLE} // sum(sum(n)) OVER (PARTITION BY metric) AS share FROM s GROUP BY metric, bucket
+), bl AS (
+  SELECT lang, metric, bucket, sum(n) AS n FROM (
+    SELECT lang, metric, bucket, n * {quality.ROW} AS n FROM s
+    UNION ALL SELECT lang, metric, bucket, share * {quality.PRIOR * quality.ROW // quality.WHOLE} FROM sa, (SELECT DISTINCT lang FROM s)
+  ) GROUP BY ALL
+), sl AS (
+  SELECT lang, metric, bucket, n * {quality.WHOLE} // sum(n) OVER (PARTITION BY lang, metric) AS share FROM bl
+), bs AS (
+  SELECT lang, source, metric, bucket, sum(n) AS n FROM (
+    SELECT lang, source, metric, bucket, n * {quality.ROW} AS n FROM s
+    UNION ALL SELECT k.lang, k.source, metric, bucket, share * {quality.PRIOR * quality.ROW // quality.WHOLE}
+    FROM sl JOIN (SELECT DISTINCT lang, source FROM s) k ON sl.lang IS NOT DISTINCT FROM k.lang
+  ) GROUP BY ALL
 ), u AS (
-  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket NULLS FIRST) AS upto,
-         sum(n) OVER (PARTITION BY level, lang, source, metric) AS every,
-         coalesce(2 * pow({quality.GAMMA!r}, bucket) / {quality.GAMMA + 1!r}, 0) AS v FROM s
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS every,
+         coalesce(2 * pow({quality.GAMMA!r}, bucket) / {quality.GAMMA + 1!r}, 0) AS v FROM bs
 ), q AS (
-  SELECT level, lang, source, metric, max(every) AS every, min(v) FILTER (upto >= 0.25 * every) AS q1, min(v) FILTER (upto >= 0.75 * every) AS q3
-  FROM u GROUP BY ALL
+  SELECT lang, source, metric, min(v) FILTER (4 * upto >= every) AS q1, min(v) FILTER (4 * upto >= 3 * every) AS q3 FROM u GROUP BY ALL
 ), h AS (
-  SELECT level, lang, source, q.metric, every, q3 + 3.0 * greatest(q3 - q1, floor) AS high,
-         CASE WHEN low THEN q1 - 3.0 * greatest(q3 - q1, floor) ELSE -1 END AS low
+  SELECT lang, source, q.metric, q3 + {quality.REACH} * greatest(q3 - q1, floor) AS high, CASE WHEN low THEN q1 - {quality.REACH} * greatest(q3 - q1, floor) ELSE -1 END AS low
   FROM q JOIN (VALUES {_FLOORS}) AS k(metric, floor, low) USING (metric)
 ), j AS (
-  SELECT x.r, bool_or(x.x < coalesce(h0.low, h1.low, h2.low) OR x.x > coalesce(h0.high, h1.high, h2.high)) AS beyond
-  FROM x
-  LEFT JOIN h h0 ON h0.level = 0 AND h0.every >= 100 AND h0.metric = x.metric AND h0.lang IS NOT DISTINCT FROM x.lang AND h0.source IS NOT DISTINCT FROM x.source
-  LEFT JOIN h h1 ON h1.level = 1 AND h1.every >= 100 AND h1.metric = x.metric AND h1.lang IS NOT DISTINCT FROM x.lang
-  LEFT JOIN h h2 ON h2.level = 2 AND h2.metric = x.metric
+  SELECT x.r, bool_or(x.x < h.low OR x.x > h.high) AS beyond
+  FROM x LEFT JOIN h ON h.metric = x.metric AND h.lang IS NOT DISTINCT FROM x.lang AND h.source IS NOT DISTINCT FROM x.source
   GROUP BY x.r
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(beyond, false) AS kept

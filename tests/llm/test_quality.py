@@ -55,7 +55,7 @@ def test_outliers_fail_and_the_rest_stays(spark):
         assert ("symbols_a_word" in got[i].failed) == ("***" in t)
 
 
-def test_small_groups_use_the_language_thresholds(spark):
+def test_small_groups_lean_on_their_language(spark):
     rng = random.Random(8)
     rows = [(i, t, "en", "big") for i, (_, t, _, _) in enumerate(rows_of(200, rng, "big"))]
     rows += [(1000 + i, t.replace(" ", " ### "), "en", "tiny") for i, (_, t, _, _) in enumerate(rows_of(5, rng, "tiny"))]
@@ -68,10 +68,24 @@ def test_sketch_quantiles_are_within_alpha(spark):
     rng = random.Random(1)
     xs = sorted(rng.lognormvariate(0, 1) for _ in range(2000))
     frame = spark.createDataFrame([("en", "a", 1000, int(1000 * x), 0, 0, 1000, 0, 0, False) for x in xs], "lang string, source string, n_words long, word_chars long, n_upper long, n_marks long, n_lines long, n_dup_lines long, n_symbols long, base_failed boolean").selectExpr("*", "0L as n_repeat_words")
-    found = [r for r in Q.thresholds(Q.sketches(frame), 0.0).collect() if r.level == 0][0].limits["chars_a_word"]
+    found = Q.thresholds(Q.sketches(frame), 0.0).first().limits["chars_a_word"]
     assert found["low"] == pytest.approx(xs[499], rel=0.02)
     assert found["high"] == pytest.approx(xs[1499], rel=0.02)
 
 
+def test_thresholds_move_from_the_language_to_the_source(spark):
+    """Rows of a source with more marks fail while they are few, and set their own limit when many."""
+    rng, kept = random.Random(4), {}
+    for n in (2, 100, 3000):
+        sizes = [("plain", 3000, lambda: rng.randrange(30, 40)), ("marked", n, lambda: rng.randrange(150, 200))]
+        rows = [("en", s, 400, 2000, marks()) for s, k, marks in sizes for _ in range(k)]
+        frame = spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long, n_marks long")
+        frame = frame.selectExpr("*", "0L n_upper", "1L n_lines", "0L n_dup_lines", "0L n_symbols", "0L n_repeat_words", "false base_failed")
+        high = {r.source: r.limits["marks_a_char"]["high"] for r in Q.thresholds(Q.sketches(frame)).collect()}
+        kept[n] = high["marked"]
+        assert high["plain"] < 0.05
+    assert kept[2] < 0.05 < 0.1 < kept[100] and kept[3000] > 0.1
+
+
 def test_empty(empty):
     assert Q.judge(empty).count() == 0
