@@ -1,25 +1,32 @@
-"""Near copies by exact word-shingle similarity: a self-join with prefix filters.
+"""The near-dedup stage: SimHash links by trie join, completed to all texts of similarity 4/5.
 
 Words are those of the fingerprints (A-Z lower-cased, [^\\x20\\x09-\\x0D]+); a text is the
-set of its distinct 5-word shingles (fewer words: the whole sequence), each by its XXH64.
-Two texts are linked if the Jaccard similarity of their sets is at least 4/5. That takes
-in pairs whose 64-bit fingerprints differ in far more bits than a trie join can allow.
+set of its distinct 5-word shingles (fewer words: the whole sequence), each by a 64-bit hash.
+Two texts are linked if the Jaccard similarity of their sets is at least 4/5. Most such pairs
+differ in more fingerprint bits than a trie join can allow (see README), so the links of the
+trie join over the sets' fingerprints are a start that brings large groups together, and a
+self-join with prefix filters finds the rest.
 
 No link is lost: sets as similar as that share one of the first n - ceil(4n/5) + 1
 elements under any order that holds for all sets. The order here puts shingles that are
 common in the corpus last (a bounded list, which decides speed alone) and others by hash,
 so a passage that many texts hold brings no pairs unless it is nearly all of them.
 
-Texts of equal sets are one node. Pairs within a shingle's group at distances of powers
-of two (by size) are checked first; then all pairs that their components left apart. So a
-large group of near copies costs about g log g checks and not g squared. Before sets are
-moved, pairs go whose sizes or parities (of the number of elements in each of 256 classes,
-then of about as many classes as elements) differ more than similar sets can.
+Texts of equal sets are one node. The trie's links, and pairs within a shingle's group at
+distances of 1, 2 and 4 (by size), are checked first; then all pairs that their components left
+apart. So a large group of near copies costs about as many checks as it has texts, and not
+their square. A pair is decided by sizes and parities: a bit for each of a number of classes,
+of the number of elements in the class. Their difference is never more than that of the sets,
+and less by twice the collisions among the elements that differ, of which there are so many with
+a chance under 1e-12; what lies between these bounds is decided by the sets themselves. Texts
+are read twice, and those of undecided pairs once more.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,26 +35,65 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.llm import simhash
 from folioforge.llm.columns import keep_rows
 from folioforge.llm.components import connected_components
+from folioforge.llm.groups import whole_groups
 from folioforge.session import cut
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
 LEAST = (4, 5)
-CLASSES = 256
+#: Classes of the parities that go with each member of a group, and the least number of the wide ones.
+CLASSES, WIDE = 256, 2048
+#: Words whose hashes a worker keeps, and words that it looks up at once.
+MOST_WORDS, AT_ONCE = 1 << 20, 1 << 17
+_P = 0x9E3779B97F4A7C15
 
+_hashes: dict[bytes, int] = {}
 
-def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; one hash, that of b"", without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    joined = memoryview(b" ".join(words))
-    if len(words) <= width:
-        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    first = np.concatenate(([0], ends[: len(words) - width] + 1)).tolist()
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    out = np.sort(hashes)
+    return out[np.append(True, out[1:] != out[:-1])]
+
+
+def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Of each text: the sorted distinct hashes of its shingles; one hash without words."""
+    split, held = [], 0
+    for k, text in enumerate(texts):
+        split.append((text or "").encode("utf-8", "surrogatepass").lower().split())
+        held += len(split[-1])
+        if held >= AT_ONCE or k == len(texts) - 1:
+            yield from _sets(split, width)
+            split, held = [], 0
+
+
+def _sets(split: list[list[bytes]], width: int) -> Iterator[np.ndarray]:
+    if len(_hashes) > MOST_WORDS:
+        _hashes.clear()
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(first, ends[width - 1 :].tolist())], np.uint64))
+    _hashes.update((w, digest(w, 42)) for w in set().union(*split) - _hashes.keys())
+    sizes = list(map(len, split))
+    flat = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(split)), np.uint64, sum(sizes))
+    spans = max(0, len(flat) - width + 1)
+    joined = np.zeros(spans, np.uint64)
+    for i in range(width):
+        joined += flat[i : i + spans] * np.uint64(pow(_P, width - 1 - i, 1 << 64))
+    joined = (joined ^ (joined >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    joined ^= joined >> np.uint64(29)
+    at = 0
+    for words, n in zip(split, sizes):
+        yield _distinct(joined[at : at + n - width + 1]) if n >= width else np.array([digest(b" ".join(words), 43)], np.uint64)
+        at += n
+
+
+def fingerprint(found: np.ndarray, at_once: int = 1 << 16) -> int:
+    """The SimHash of a set, as a signed long: a bit is 1 if set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(found), at_once):
+        ones += np.unpackbits(found[i : i + at_once].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found)).view(">u8").astype(np.uint64).view(np.int64)[0])
 
 
 def node_of(found: np.ndarray) -> int:
@@ -71,15 +117,24 @@ def parities(found: np.ndarray, classes: int = CLASSES) -> bytes:
 
 
 def wide_parities(found: np.ndarray) -> bytes:
-    """parities of about as many classes as there are elements, a power of two."""
-    return parities(found, max(CLASSES, 1 << (len(found) - 1).bit_length()))
+    """parities of twice as many classes as there are elements or more, a power of two."""
+    return parities(found, max(WIDE, 1 << (2 * len(found) - 1).bit_length()))
 
 
-def may_be_similar(a: bytes, size_a: int, b: bytes, size_b: int) -> bool:
-    """Whether the wide parities of two sets, folded to the width of the less wide, allow a link."""
+def verdict(a: bytes, size_a: int, b: bytes, size_b: int) -> int:
+    """1 if the wide parities of two sets, folded to the width of the less wide, say that the sets
+    are linked, 0 if they aren't, -1 if that is for the sets to say."""
     width = min(len(a), len(b))
     a, b = (np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0) for x in (a, b))
-    return sum(LEAST) * int(np.bitwise_count(a ^ b).sum()) <= (LEAST[1] - LEAST[0]) * (size_a + size_b)
+    differ, most = int(np.bitwise_count(a ^ b).sum()), (LEAST[1] - LEAST[0]) * (size_a + size_b) // sum(LEAST)
+    if differ > most:
+        return 0
+    # were most + 1 elements different, these would be the collisions to expect, and c a number hardly ever reached
+    mean = (most + 1) ** 2 / (2 * 8 * width)
+    c = math.ceil(mean) + 1
+    while c * math.log(c / (math.e * mean)) + mean < 27.6:
+        c += 1
+    return 1 if differ <= most - 2 * c else -1
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -89,14 +144,22 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return LEAST[1] * shared >= LEAST[0] * (len(both) - shared)
 
 
-def candidates(group: np.ndarray, size: np.ndarray, node: np.ndarray, bits: np.ndarray, part: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def candidates(group: np.ndarray, size: np.ndarray, node: np.ndarray, bits: np.ndarray, part: np.ndarray | None, large: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of nodes of one group whose sizes and parities (bits, a row of words each) allow a link:
-    those at distances of powers of two by size, or if `part` is given all those of different parts."""
+    those at distances of 1, 2 and 4 by size, or if `part` is given all those of different parts."""
     order = np.lexsort((node, size, group))
+    if part is not None:  # groups of one part have no pairs
+        starts = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1])) if len(group) else np.empty(0, np.int64)
+        sizes = np.diff(np.append(starts, len(group)))
+        mixed = np.minimum.reduceat(part[order], starts) != np.maximum.reduceat(part[order], starts) if len(group) else np.empty(0, bool)
+        for k in np.flatnonzero(mixed & (sizes > large)).tolist():
+            own = order[starts[k] : starts[k] + sizes[k]]
+            yield from _apart(size[own], node[own], bits[own], part[own])
+        order = order[np.repeat(mixed & (sizes <= large), sizes)]
+        part = part[order]
     group, size, node, bits = group[order], size[order], node[order], bits[order]
-    part = None if part is None else part[order]
     at, step = np.arange(len(group)), 1
-    while True:
+    while part is not None or step <= 4:
         at = at[at + step < len(group)]
         at = at[(group[at] == group[at + step]) & (LEAST[1] * size[at] >= LEAST[0] * size[at + step])]
         if not len(at):
@@ -108,19 +171,53 @@ def candidates(group: np.ndarray, size: np.ndarray, node: np.ndarray, bits: np.n
         step = step * 2 if part is None else step + 1
 
 
-def _common(docs: DataFrame, text_col: str, most: int = 50_000, of_batch: int = 5_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are common within Arrow batches, sorted, with their counts; at most `most`."""
+def _apart(size: np.ndarray, node: np.ndarray, bits: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of one large group, ordered by size: each member outside its largest part with all of
+    other parts, so that what the largest part has is not gone through pair by pair."""
+    parts, counts = np.unique(part, return_counts=True)
+    outside = part != parts[counts.argmax()]
+    for k in np.flatnonzero(outside).tolist():
+        lo, hi = np.searchsorted(size, -(-LEAST[0] * size[k] // LEAST[1])), np.searchsorted(size, LEAST[1] * size[k] // LEAST[0], "right")
+        at = np.arange(lo, hi)
+        at = at[(part[at] != part[k]) & (~outside[at] | (at > k))]
+        differ = np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1, dtype=np.int64)
+        at = at[sum(LEAST) * differ <= (LEAST[1] - LEAST[0]) * (size[at] + size[k])]
+        if len(at):
+            yield np.minimum(node[at], node[k]), np.maximum(node[at], node[k])
+
+
+_PRINTS = ["kind", "doc_id", "node", "hash", "size", "fp", "bits", "wide"]
+
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prints(docs: DataFrame, id_col: str, text_col: str, of_batch: int = 5_000) -> DataFrame:
+    """_PRINTS of every row (kind 0), and the shingles (node) that are common within Arrow batches
+    with their counts (size; kind 1), so that all texts are read once for both."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                value, count = np.unique(np.concatenate([shingles(t) for t in batch.column(0).to_pylist()]), return_counts=True)
+            n = batch.num_rows
+            sets = list(shingle_sets(batch.column(1).to_pylist()))
+            made = [[node_of(x) for x in sets], batch.column(2), [len(x) for x in sets], [fingerprint(x) for x in sets]]
+            made = [x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in made]
+            bits, wide = (pa.array(map(f, sets), pa.binary()) for f in (parities, wide_parities))
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), batch.column(0), *made, bits, wide], names=_PRINTS)
+            if n:
+                value, count = np.unique(np.concatenate(sets), return_counts=True)
                 top = np.flatnonzero(count > 2)
                 top = top[np.argsort(-count[top], kind="stable")[:of_batch]]
-                yield pa.RecordBatch.from_arrays([pa.array(value[top].view(np.int64)), pa.array(count[top])], names=["value", "n"])
+                none = lambda kind, k=len(top): pa.nulls(k, kind)
+                counted = [pa.array([1] * len(top), pa.int32()), none(batch.schema.field(0).type), pa.array(value[top].view(np.int64)), none(pa.int64()), pa.array(count[top])]
+                yield pa.RecordBatch.from_arrays([*counted, none(pa.int64()), none(pa.binary()), none(pa.binary())], names=_PRINTS)
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_col, F.xxhash64(text_col).alias("hash"))
+    return cut(rows.mapInArrow(named, f"kind int, doc_id {id_type}, node long, hash long, size long, fp long, bits binary, wide binary"))
 
-    rows = docs.select(text_col).mapInArrow(counted, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(most).collect()
-    value, count = np.array([r["value"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+
+def _common(prints: DataFrame, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles, sorted, with their counts; at most `most`."""
+    rows = prints.where("kind = 1").groupBy("node").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "node").limit(most).collect()
+    value, count = np.array([r["node"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
     order = np.argsort(value)
     return value[order], count[order]
 
@@ -142,28 +239,37 @@ def _possible(keys: DataFrame, name: str, words: int = 1 << 17):
     return possible
 
 
+def _beside(pairs: DataFrame, frame: DataFrame) -> DataFrame:
+    """pairs (a, b) with the other columns of frame (node, ...) for a and for b."""
+    for x in "ab":
+        pairs = pairs.join(frame.select(*[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in frame.columns]), x)
+    return pairs.select("a", "b", *[f"{c}_{x}" for x in "ab" for c in frame.columns if c != "node"])
+
+
 def _similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of the pairs (a, b) of nodes those that are linked. nodes: node and the row (id, hash) that has its text."""
+    """Of the pairs (a, b) of nodes those that are linked."""
+
+    def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [verdict(*x) for x in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int32())], names=["a", "b", "said"])
+
+    judged = cut(_beside(pairs, nodes.select("node", "wide", "size")).mapInArrow(said, "a long, b long, said int").where("said <> 0"))
+    linked, unsure = (judged.where(f"said = {k}").select("a", "b") for k in (1, -1))
+    return linked if unsure.isEmpty() else linked.unionByName(_by_sets(unsure, nodes, docs, id_col, text_col))
+
+
+def _by_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of the pairs (a, b) of nodes those that are linked, by their sets. nodes: node and the row (id, hash) that has its text."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = cut(nodes.join(wanted, "node"))
+    rows = cut(nodes.select("node", "row_id", "row_hash").join(wanted, "node"))
     held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
     held = held.where(_possible(rows, "row_hash")("hash"))
     held = held.join(rows, held["id"].eqNullSafe(rows["row_id"]) & (held["hash"] == rows["row_hash"])).select("node", "text").dropDuplicates(["node"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "elements"])
-
-    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            made = [pa.array(map(wide_parities, found), pa.binary()), pa.array(map(len, found), pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["node", "bits", "size"])
-
-    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fit = [may_be_similar(*x) for x in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
-            yield batch.select([0, 1]).filter(pa.array(fit, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1).to_pylist())], pa.binary())], names=["node", "elements"])
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,76 +277,67 @@ def _similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col:
             fit = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)]
             yield batch.select([0, 1]).filter(pa.array(fit, pa.bool_()))
 
-    def beside(pairs: DataFrame, frame: DataFrame) -> DataFrame:
-        for x in "ab":
-            pairs = pairs.join(frame.select(*[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in frame.columns]), x)
-        return pairs.select("a", "b", *[f"{c}_{x}" for x in "ab" for c in frame.columns if c != "node"])
+    return _beside(pairs, cut(held.mapInArrow(sets, "node long, elements binary"))).mapInArrow(checked, "a long, b long")
 
-    held = cut(held.mapInArrow(sets, "node long, elements binary"))
-    fit = cut(beside(pairs, held.mapInArrow(wide, "node long, bits binary, size long")).mapInArrow(allowed, "a long, b long"))
-    return beside(fit, held).mapInArrow(checked, "a long, b long")
+
+def _trie_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that hold the links of the trie join over their fingerprints together."""
+    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    of = lambda x: first.select(F.col("fp").alias(x), F.col("rep").alias(f"rep_{x}"))
+    across = simhash.links(first.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    same = nodes.join(first, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    return across.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _candidate_pairs(members: DataFrame, parted: bool) -> DataFrame:
     """Distinct candidate pairs (a, b) of the members (shingle, node, size, bits, part)."""
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)], b"".join(b.column(4).to_pylist())) for b in batches]
-        if held:
-            group, node, size, part = (np.concatenate(x) for x in zip(*[x for x, _ in held]))
-            bits = np.frombuffer(b"".join(x for _, x in held), np.uint64).reshape(len(node), -1)
-            for a, b in candidates(group, size, node, bits, part if parted else None):
+        for group, node, size, part, bits in whole_groups(batches, 1, width=CLASSES // 8):
+            for a, b in candidates(group, size, node, bits.view(np.uint64).reshape(len(node), -1), part if parted else None):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return cut(members.repartition("shingle").select("shingle", "node", "size", "part", "bits").mapInArrow(paired, "a long, b long").where("a <> b").distinct())
+    sorted_ = members.select("shingle", "node", "size", "part", "bits").repartition("shingle").sortWithinPartitions("shingle")
+    return cut(sorted_.mapInArrow(paired, "a long, b long").where("a <> b").distinct())
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable) of every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, text_col))  # of bounded size
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            made = [pa.array([node_of(x) for x in sets], pa.int64()), batch.column(2), pa.array(map(len, sets), pa.int64()), pa.array(map(parities, sets), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "node", "hash", "size", "bits"])
+    every = _prints(docs, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(_common(every))  # of bounded size
+    prints = every.where("kind = 0")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {node_of(s): prefix(s, *shared.value) for s in map(shingles, batch.column(0).to_pylist())}
+            out = {node_of(s): prefix(s, *shared.value) for s in shingle_sets(batch.column(0).to_pylist())}
             if out:
                 columns = np.concatenate(list(out.values())).view(np.int64), np.repeat(np.array(list(out), np.int64), [len(p) for p in out.values()])
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "node"])
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-        if held:
-            shingle, node = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((node, shingle))
-            shingle, node = shingle[order], node[order]
+        for shingle, node in whole_groups(batches, 1):
             new = np.append(True, (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1]))
             shingle, node = shingle[new], node[new]
             again = shingle[1:] == shingle[:-1]
             many = np.append(again, False) | np.append(False, again)
             yield pa.RecordBatch.from_arrays([pa.array(shingle[many]), pa.array(node[many])], names=["shingle", "node"])
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    prints = cut(docs.select(F.col(id_col).alias("doc_id"), text_col, F.xxhash64(text_col).alias("hash")).mapInArrow(named, f"doc_id {id_type}, node long, hash long, size long, bits binary"))
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "hash", "size", "bits")).alias("row"))
-    nodes = cut(nodes.select("node", "least", F.col("row.doc_id").alias("row_id"), F.col("row.hash").alias("row_hash"), "row.size", "row.bits"))
+    row = F.min(F.struct("doc_id", "hash", "size", "fp", "bits", "wide")).alias("row")
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"), row)
+    nodes = cut(nodes.select("node", "least", F.col("row.doc_id").alias("row_id"), F.col("row.hash").alias("row_hash"), "row.size", "row.fp", "row.bits", "row.wide"))
     prefixes = docs.select(text_col).mapInArrow(first, "shingle long, node long")
-    members = cut(prefixes.repartition("shingle").mapInArrow(groups, "shingle long, node long"))
+    members = cut(prefixes.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(groups, "shingle long, node long"))
     members = members.join(nodes.select("node", "size", "bits"), "node")
-    sources = nodes.select("node", "row_id", "row_hash")
     tried = _candidate_pairs(members.withColumn("part", F.col("node")), parted=False)
-    linked = cut(_similar_pairs(tried, sources, docs, id_col, text_col))
+    tried = cut(tried.unionByName(_trie_pairs(nodes)).distinct())
+    linked = cut(_similar_pairs(tried, nodes, docs, id_col, text_col))
     parts = connected_components(linked)
     apart = members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     rest = cut(_candidate_pairs(apart, parted=True).join(tried, ["a", "b"], "left_anti"))
-    linked = linked.unionByName(_similar_pairs(rest, sources, docs, id_col, text_col))
-    named_parts = nodes.join(connected_components(linked), "node", "left").withColumn("part", F.coalesce("component", "node"))
+    linked = linked.unionByName(_similar_pairs(rest, nodes, docs, id_col, text_col))
+    named_parts = nodes.select("node", "least").join(connected_components(linked), "node", "left").withColumn("part", F.coalesce("component", "node"))
     least = named_parts.groupBy("part").agg(F.min("least").alias("component_id"))
-    return prints.join(cut(named_parts.join(least, "part").select("node", "component_id")), "node").select("doc_id", "component_id")
+    return prints.select("doc_id", "node").join(cut(named_parts.join(least, "part").select("node", "component_id")), "node").select("doc_id", "component_id")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.components import connected_components
 from folioforge.llm.columns import keep_rows
+from folioforge.llm.groups import whole_groups
 from folioforge.session import cut
 
 BITS = 64
@@ -204,20 +205,11 @@ def _joined(frame: DataFrame, level: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(own[order[node]]), pa.array(own[order[to]])], names=["a", "b"])
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, enough = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)], ROWS
-        for batch in batches:
-            held = [np.concatenate((x, batch.column(k).to_numpy(zero_copy_only=False))) for k, x in enumerate(held)]
-            fp, code, lead = held
-            if len(fp) < enough:
-                continue
-            whole = int(np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (lead[1:] != lead[:-1])))[-1])  # the last root may go on
-            yield from of_roots(fp[:whole], code[:whole])
-            held = [x[whole:] for x in held]
-            enough = max(ROWS, 2 * len(held[0]))
-        yield from of_roots(*held[:2])
+        for code, _, fp in whole_groups(batches, 2, ROWS):
+            yield from of_roots(fp, code)
 
     sorted_ = frame.repartition("code", "lead").sortWithinPartitions("code", "lead")
-    return sorted_.select("fp", "code", "lead").mapInArrow(edges, "a long, b long")
+    return sorted_.select("code", "lead", "fp").mapInArrow(edges, "a long, b long")
 
 
 def links(distinct: DataFrame, most_in_trie: int = 50_000) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tests.llm.conftest import make, words
 
@@ -54,11 +55,12 @@ def test_the_stage_drops_copies_beyond_three_bits(spark):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(want.values())
 
 
-def test_candidates_of_parts_are_complete():
+@pytest.mark.parametrize("large", [256, 8])
+def test_candidates_of_parts_are_complete(large):
     rng = np.random.default_rng(3)
     group, size, part = rng.integers(0, 4, 60), rng.integers(8, 14, 60), rng.integers(0, 5, 60)
     node = np.arange(60)
-    got = {p for a, b in near_dedup.candidates(group, size, node, np.zeros((60, 4), np.uint64), part) for p in zip(a.tolist(), b.tolist())}
+    got = {p for a, b in near_dedup.candidates(group, size, node, np.zeros((60, 4), np.uint64), part, large) for p in zip(a.tolist(), b.tolist())}
     fits = lambda i, j: group[i] == group[j] and part[i] != part[j] and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j])
     assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if fits(i, j)}
 
@@ -70,11 +72,33 @@ def test_parities_never_refuse_a_link():
         other = np.unique(np.concatenate((base[n // 9 :], rng.integers(0, 1 << 63, n // 12).astype(np.uint64))))
         bits = np.frombuffer(near_dedup.parities(base) + near_dedup.parities(other), np.uint64).reshape(2, -1)
         assert near_dedup.similar(base, other)
-        assert near_dedup.may_be_similar(near_dedup.wide_parities(base), len(base), near_dedup.wide_parities(other), len(other))
+        assert near_dedup.verdict(near_dedup.wide_parities(base), len(base), near_dedup.wide_parities(other), len(other))
         size = np.array([len(base), len(other)])
         assert [len(a) for a, _ in near_dedup.candidates(np.zeros(2, int), size, np.arange(2), bits, None)] == [1]
 
 
+def test_verdicts_agree_with_the_sets():
+    rng, seen = np.random.default_rng(8), set()
+    for k in range(3000):
+        n = int(rng.integers(1, 1500))
+        base = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        gone, new = rng.integers(0, len(base) // 4 + 1, 2)
+        other = np.unique(np.concatenate((base[gone:], rng.integers(0, 1 << 63, new + 1).astype(np.uint64))))
+        said = near_dedup.verdict(near_dedup.wide_parities(base), len(base), near_dedup.wide_parities(other), len(other))
+        assert said in (-1, int(near_dedup.similar(base, other)))
+        seen.add(said)
+    assert seen == {-1, 0, 1}
+
+
+def test_shingles_of_batches_and_of_single_texts():
+    texts = [words(n, n) for n in (0, 1, 4, 5, 6, 300, 70_000, 70_000, 3)] + [None, "A b\tC d e", "a B c D E"]
+    sets = list(near_dedup.shingle_sets(texts))
+    assert [len(x) for x in sets] == [len(grams(t)) for t in texts]
+    for t, x in zip(texts, sets):
+        assert np.array_equal(next(near_dedup.shingle_sets([t])), x)
+    assert np.array_equal(sets[-1], sets[-2]) and sets[0].tolist() == sets[9].tolist()
+
+
 def test_empty_and_clashes(empty, clashing):
     assert near_dedup.drop_similar(empty).count() == 0
     out = near_dedup.drop_similar(clashing)
