@@ -9,24 +9,30 @@ format: doc_id, start (the place of the document's first id among the file's ids
 n_tokens (end id included). Files hold consecutive ranges of ascending doc_id.
 
 Texts are encoded by the given tokenizers file, without special tokens; strings of
-special tokens within a text are ordinary text. The tokenizer drops white space and
-never joins across it, lower-cases, and splits a comma or full stop from a letter
-before it; so a text's ids are its white-space-separated words' ids in a row, and
-words seen before come from a bounded memo. A test holds this against encoding whole
-texts at once.
-
-Files appear under their final name only when they are whole, so a task that is run
-again, after a lost executor or beside a slow one, just writes the same file again.
-Null texts are empty: such a document has its end id only. Null ids come first. Rows
-that repeat an id follow one another. An empty table gives files without rows.
+special tokens within a text are ordinary text. If the file's own normaliser and
+pre-tokeniser are those of NORMALIZER and SPLITTER (they drop white space, never join
+across it, lower-case, and split a comma or full stop from a letter before it), a text's
+ids are its white-space-separated words' ids in a row, and words seen before come from a
+bounded memo; a test holds this against encoding whole texts. With any other file whole
+texts are encoded.
+
+A task writes files under names of its own attempt and returns these names; the names that Spark
+took as the task's result are the files that count, and are listed in the manifest beside
+them. So a task that is run again, after a lost executor or beside a slow one, leaves no
+mixture of files; what other attempts wrote is removed. There are as many files as the
+texts' bytes ask for. Rows are dealt by id, size, hash of the text and place, so that
+many rows of one id are dealt over tasks like any others. Ids may be of any type that
+orders. Null texts are empty: such a document has its end id only. Null ids come first. Rows
+that repeat an id follow one another by size, then by hash. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +40,7 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folioforge.session import cut, remove_path, shared_dir
 
@@ -42,21 +49,75 @@ LENGTH = 2048
 BATCH = 64
 
 
+#: Text bytes of a file at most, and at least where there are cores to use.
+FILE_BYTES, LEAST_BYTES = 256 << 20, 8 << 20
+
+# The parts of a tokenizers file with which words may be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 def _ends_in_letter(word: bytes) -> bool:
     last = word.decode("utf-8", "surrogatepass")[-1]
     return last.isalpha() and ord(last) < 0x250  # letters in any version of Unicode
 
 
-class WordEncoder:
-    """Encodes texts word by word with a memo of at most 2 * `most` words."""
+class TextEncoder:
+    """Encodes whole texts."""
 
-    def __init__(self, file: str, most: int = 500_000):
+    def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def encode(self, texts: list[str | None], end: int = END_ID) -> Iterator[bytes]:
+        """Each text's ids and the end id, as bytes of self.dtype."""
+        stop = np.array([end], self.dtype).tobytes()
+        for text in texts:
+            yield np.array(self._ids(text or ""), self.dtype).tobytes() + stop
+
+
+class WordEncoder(TextEncoder):
+    """Encodes texts word by word with a memo of at most 2 * `most` words."""
+
+    BREAK = "¤"  # its ids mark the ends of words that are encoded together
+
+    def __init__(self, file: str, most: int = 500_000):
+        super().__init__(file)
         self.most, self.young, self.old = most, {}, {}
+        self.mark = np.array(self._ids(self.BREAK), self.dtype)
+
+    @staticmethod
+    def fits(file: str) -> bool:
+        """Whether the file's words can be encoded one by one."""
+        with open(file, encoding="utf-8") as f:
+            told = json.load(f)
+        return told.get("normalizer") == NORMALIZER and told.get("pre_tokenizer") == SPLITTER and all(x.get("special") for x in told.get("added_tokens", []))
+
+    def _together(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of each word."""
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            flat = np.array(self._ids(f" {self.BREAK} ".join(some)), self.dtype)
+            n = len(self.mark)
+            hits = np.flatnonzero(np.logical_and.reduce([flat[k : len(flat) - n + 1 + k] == self.mark[k] for k in range(n)])) if len(flat) >= n else np.empty(0, np.int64)
+            if len(hits) != len(some) - 1:
+                yield from (np.array(self._ids(w), self.dtype).tobytes() for w in some)
+                continue
+            data, size = flat.tobytes(), self.dtype.itemsize
+            starts, ends = [0, *((hits + n) * size).tolist()], [*(hits * size).tolist(), len(data)]
+            yield from (data[a:b] for a, b in zip(starts, ends))
 
     def _new(self, words: list[bytes]) -> None:
         """Puts the ids of words into the memo."""
@@ -71,40 +132,47 @@ class WordEncoder:
                 self.young[part] = ids
             else:
                 cores[part] = part.decode("utf-8", "surrogatepass")
-        order = list(cores)
-        for w, got in zip(order, self.tokenizer.encode_batch_fast([cores[w] for w in order], add_special_tokens=False)):
-            self.young[w] = array(self.dtype.char, got.ids).tobytes()
+        plain = [w for w, text in cores.items() if self.BREAK not in text]
+        self.young.update(zip(plain, self._together([cores[w] for w in plain])))
+        for w, text in cores.items():
+            if self.BREAK in text:
+                self.young[w] = np.array(self._ids(text), self.dtype).tobytes()
         for w, (core, tail) in tails.items():
             self.young[w] = self.young[core] + self.young[tail]
 
     def encode(self, texts: list[str | None], end: int = END_ID) -> Iterator[bytes]:
-        """Each text's ids and the end id, as bytes of self.dtype."""
         stop = np.array([end], self.dtype).tobytes()
         split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = []
-        for w in set().union(*split) - young.keys():
-            if (ids := old.get(w)) is not None:
-                young[w] = ids
-            else:
-                missing.append(w)
-        if missing:
+        flat = list(chain.from_iterable(split))
+        found = list(map(self.young.get, flat))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        if gaps:
+            missing = []
+            for w in dict.fromkeys(map(flat.__getitem__, gaps)):
+                if (ids := self.old.get(w)) is not None:
+                    self.young[w] = ids
+                else:
+                    missing.append(w)
             self._new(missing)
+            for i in gaps:
+                found[i] = self.young[flat[i]]
+        at = 0
         for words in split:
-            yield b"".join(map(young.__getitem__, words)) + stop
+            yield b"".join(found[at : at + len(words)]) + stop
+            at += len(words)
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, TextEncoder] = {}
 
 
-def _encoder(file: str) -> WordEncoder:
+def _encoder(file: str) -> TextEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     if file not in _encoders:
-        _encoders[file] = WordEncoder(file)
+        _encoders[file] = WordEncoder(file) if WordEncoder.fits(file) else TextEncoder(file)
     return _encoders[file]
 
 
@@ -177,23 +245,28 @@ class Sequences:
             yield parts
 
 
-_INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+def _files(docs: DataFrame, text_col: str) -> int:
+    """How many files the texts' bytes ask for."""
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    cores = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, -(-total // FILE_BYTES), min(cores, total // LEAST_BYTES))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", end: int = END_ID) -> DataFrame:
-    """Writes docs as token files under path (a URI). Returns file and tokens, a row a file."""
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Writes docs as token files under path (a URI). Returns the manifest: file (a number), ids and
+    index (the files' names) and tokens, a row a file in order."""
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
+    schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_file)
-        part = TaskContext.get().partitionId()
+        part, own = TaskContext.get().partitionId(), uuid.uuid4().hex
         fs, folder = pyarrow.fs.FileSystem.from_uri(path)
         fs.create_dir(folder, recursive=True)
-        names, own = (f"ids-{part:06d}.arrow", f"index-{part:06d}.arrow"), uuid.uuid4().hex
-        temp = [f"{folder}/.{own}-{x}" for x in names]
+        names = (f"ids-{part:06d}-{own}.arrow", f"index-{part:06d}-{own}.arrow")
         start = 0
-        with fs.open_output_stream(temp[0]) as ids_out, fs.open_output_stream(temp[1]) as index_out:
-            writer, index = SequenceWriter(ids_out, encoder.dtype, length), pa.ipc.new_file(index_out, _INDEX)
+        with fs.open_output_stream(f"{folder}/{names[0]}") as ids_out, fs.open_output_stream(f"{folder}/{names[1]}") as index_out:
+            writer, index = SequenceWriter(ids_out, encoder.dtype, length), pa.ipc.new_file(index_out, schema)
             for batch in batches:
                 for at in range(0, batch.num_rows, 2000):
                     rows = batch.slice(at, 2000)
@@ -202,29 +275,38 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, length: int =
                         writer.add(ids)
                         counts.append(len(ids) // encoder.dtype.itemsize)
                     starts = start + np.cumsum([0, *counts[:-1]])
-                    index.write_batch(pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=_INDEX))
+                    index.write_batch(pa.RecordBatch.from_arrays([rows.column(0).cast(id_type), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=schema))
                     start += sum(counts)
             writer.close()
             index.close()
-        for a, b in zip(temp, names):
-            fs.move(a, f"{folder}/{b}")
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([start], pa.int64())], names=["file", "tokens"])
-
-    ordered = docs.select(id_col, text_col).repartitionByRange(parts, id_col).sortWithinPartitions(id_col)
-    return cut(ordered.mapInArrow(written, "file int, tokens long"))
-
-
-def read_tokens(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, read back from the files."""
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([names[0]]), pa.array([names[1]]), pa.array([start], pa.int64())], names=["file", "ids", "index", "tokens"])
+
+    order = [F.col(id_col), F.octet_length(text_col).alias("__ff_size"), F.xxhash64(text_col).alias("__ff_hash"), F.spark_partition_id().alias("__ff_place")]
+    keys = [id_col, "__ff_size", "__ff_hash", "__ff_place"]
+    ordered = docs.select(text_col, *order).repartitionByRange(_files(docs, text_col), *keys).sortWithinPartitions(*keys)
+    files = cut(ordered.select(id_col, text_col).mapInArrow(written, "file int, ids string, index string, tokens long"))
+    files.write.mode("overwrite").json(f"{path}/manifest")
+    fs, folder = pyarrow.fs.FileSystem.from_uri(path)
+    counted = {x for r in files.select("ids", "index").toLocalIterator() for x in r}  # two names a file
+    for info in fs.get_file_info(pyarrow.fs.FileSelector(folder)):
+        if info.base_name.endswith(".arrow") and info.base_name not in counted:
+            fs.delete_file(info.path)
+    return files
+
+
+def read_tokens(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, read back from the files that the
+    manifest under path names."""
+    files = spark.read.schema("file int, ids string, index string, tokens long").json(f"{path}/manifest")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    based = files.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))  # a row a file
+    based = files.select("file", "ids", "index", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))  # a row a file
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = pyarrow.fs.FileSystem.from_uri(path)
         for batch in batches:
-            for part, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sequences = Sequences(f"{path}/ids-{part:06d}.arrow")
-                with pa.ipc.open_file(fs.open_input_file(f"{folder}/index-{part:06d}.arrow")) as index:
+            for ids, index_name, base in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                sequences = Sequences(f"{path}/{ids}")
+                with pa.ipc.open_file(fs.open_input_file(f"{folder}/{index_name}")) as index:
                     for k in range(index.num_record_batches):
                         rows = index.get_batch(k)
                         spans = zip(rows.column(1).to_pylist(), rows.column(2).to_pylist())
@@ -237,8 +319,8 @@ def read_tokens(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
                         starts = pa.array(np.asarray(rows.column(1)) + base, pa.int64())
                         yield pa.RecordBatch.from_arrays([rows.column(0), starts, rows.column(2), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = based.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file")
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    spread = based.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file").select("ids", "index", "base")
+    return spread.mapInArrow(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer_file: str, length: int = LENGTH) -> DataFrame:
@@ -247,6 +329,7 @@ def round_trip(docs: DataFrame, tokenizer_file: str, length: int = LENGTH) -> Da
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     path = path if "://" in path else f"file://{path}"
     try:
-        return cut(read_tokens(spark, path, write_tokens(docs, path, tokenizer_file, length)))
+        write_tokens(docs, path, tokenizer_file, length)
+        return cut(read_tokens(spark, path, docs.schema["doc_id"].dataType.simpleString()))
     finally:
         remove_path(spark, path)
