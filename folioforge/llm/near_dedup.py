@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -46,11 +45,12 @@ SHINGLE = 5
 LEAST = (4, 5)
 #: Classes of the parities that go with each member of a group, and the least number of the wide ones.
 CLASSES, WIDE = 256, 2048
-#: Words whose hashes a worker keeps, and words that it looks up at once.
-MOST_WORDS, AT_ONCE = 1 << 20, 1 << 17
+#: Words of a text, and bytes of texts, that are hashed at once.
+MOST_WORDS, AT_ONCE = 1 << 17, 1 << 19
 _P = 0x9E3779B97F4A7C15
-
-_hashes: dict[bytes, int] = {}
+#: A random 64-bit number for each byte.
+_OF_BYTE = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 64, 256, np.uint64, False)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of _P and of its inverse modulo 2 ** 64
 
 
 def _distinct(hashes: np.ndarray) -> np.ndarray:
@@ -60,32 +60,41 @@ def _distinct(hashes: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> Iterator[np.ndarray]:
     """Of each text: the sorted distinct hashes of its shingles; one hash without words."""
-    split, held = [], 0
+    pieces: list[tuple[bytes, int, bool]] = []  # words with one space between them, their number, whether the text ends here
+    held = 0
     for k, text in enumerate(texts):
-        split.append((text or "").encode("utf-8", "surrogatepass").lower().split())
-        held += len(split[-1])
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        for at in range(0, max(1, len(words) - width + 1), MOST_WORDS):
+            some = words[at : at + MOST_WORDS + width - 1]
+            pieces.append((b" ".join(some), len(some), at + len(some) == len(words)))
+            held += len(pieces[-1][0])
         if held >= AT_ONCE or k == len(texts) - 1:
-            yield from _sets(split, width)
-            split, held = [], 0
-
-
-def _sets(split: list[list[bytes]], width: int) -> Iterator[np.ndarray]:
-    if len(_hashes) > MOST_WORDS:
-        _hashes.clear()
-    digest = xxhash.xxh64_intdigest
-    _hashes.update((w, digest(w, 42)) for w in set().union(*split) - _hashes.keys())
-    sizes = list(map(len, split))
-    flat = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(split)), np.uint64, sum(sizes))
-    spans = max(0, len(flat) - width + 1)
-    joined = np.zeros(spans, np.uint64)
-    for i in range(width):
-        joined += flat[i : i + spans] * np.uint64(pow(_P, width - 1 - i, 1 << 64))
-    joined = (joined ^ (joined >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    joined ^= joined >> np.uint64(29)
-    at = 0
-    for words, n in zip(split, sizes):
-        yield _distinct(joined[at : at + n - width + 1]) if n >= width else np.array([digest(b" ".join(words), 43)], np.uint64)
+            yield from _sets(pieces, width)
+            pieces, held = [], 0
+
+
+def _sets(pieces: list[tuple[bytes, int, bool]], width: int) -> Iterator[np.ndarray]:
+    """A byte at place p adds its number times _P ** p to a running sum, so the hash of any span
+    is the difference of two sums, brought to place 0."""
+    data = np.frombuffer(b" ".join(x for x, _, _ in pieces) + b" ", np.uint8)
+    if len(data) > len(_powers[0]):
+        n = 1 << int(len(data) - 1).bit_length()
+        _powers[:] = (np.cumprod(np.append(np.uint64(1), np.full(n - 1, x, np.uint64))) for x in (_P, pow(_P, -1, 1 << 64)))
+    sums = np.append(np.uint64(0), np.cumsum(_OF_BYTE[data] * _powers[0][: len(data)]))
+    ends = np.flatnonzero(data == 32)
+    starts = np.append(0, ends[:-1] + 1)
+    found, at = [], 0
+    for _, n, last in pieces:
+        n = max(1, n)  # a text without words has an empty place between two spaces
+        spans = max(1, n - width + 1)
+        a = starts[at : at + spans]
+        h = (sums[ends[at + min(width, n) - 1 : at + n]] - sums[a]) * _powers[1][a]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        found.append(h ^ (h >> np.uint64(29)))
         at += n
+        if last:
+            yield _distinct(np.concatenate(found) if len(found) > 1 else found[0])
+            found = []
 
 
 def fingerprint(found: np.ndarray, at_once: int = 1 << 16) -> int:
