@@ -1,12 +1,12 @@
 """SentencePiece encoding and decoding with N-best segmentation.
 
-A text, spaces escaped and a dummy prefix added as its model file says, is a lattice of
-pieces; a segmentation's score is the sum of its pieces' scores, and the N best are
+A text, spaces escaped and a dummy prefix added, is a lattice of pieces; a segmentation's score is the sum of its pieces' scores, and the N best are
 found by A-star search from the end of the lattice to its start, with the forward
 Viterbi scores as heuristic, which is exact, so each popped path is the next best one.
 
-No piece crosses from one word into the next (checked when the file is loaded), so the
-lattice falls apart into words: Viterbi runs forward and backward over all new words
+When a model file is loaded, its own normaliser is read and must be this one: no mapping of
+characters, a dummy prefix, white space escaped and kept as it is; any other file is
+refused. No piece crosses from one word into the next (checked too), so the lattice falls apart into words: Viterbi runs forward and backward over all new words
 of a batch at once, which gives each word's best path and how much its second best
 costs. A text's N best differ from the best only in the N - 1 words whose second best
 costs least; only these are searched, and their lists are merged.
@@ -40,6 +40,41 @@ _P = np.uint64(0x100000001B3)
 LONG = 64
 
 
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of the fields of a serialised message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte, at = message[at], at + 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+            continue
+        size = number() if key & 7 == 2 else {1: 8, 5: 4}[key & 7]
+        yield key >> 3, message[at : at + size]
+        at += size
+
+
+def check_normalizer(model: bytes) -> None:
+    """Raises ValueError unless a serialised model leaves texts as they are but for a dummy prefix and
+    escaped spaces. Field numbers and defaults are those of the public format."""
+    parts = dict(_fields(model))
+    trainer, own = dict(_fields(parts.get(2, b""))), dict(_fields(parts.get(3, b"")))
+    if own.get(2, b""):
+        raise ValueError("the model file maps characters to others")
+    if not own.get(3, 1) or not own.get(5, 1) or own.get(4, 1) or trainer.get(24, 0):
+        raise ValueError("the model file treats white space in another way: " + ", ".join(f"{n} {own.get(k, 1)}" for n, k in (("dummy prefix", 3), ("extra white space removed", 4), ("escaped", 5))))
+
+
 class Lattice:
     """A model file's pieces and the searches over them."""
 
@@ -47,6 +82,7 @@ class Lattice:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        check_normalizer(sp.serialized_model_proto())
         n = sp.get_piece_size()
         if n > 1 << 16:
             raise ValueError("more pieces than 16 bits hold")
@@ -344,7 +380,7 @@ def _spelled(unit: str) -> str:
 
 _lattices: dict[tuple[str, str], Lattice] = {}
 
-FIELDS = "doc_id long, ids array<int>, n_tokens long, score double, nbest_scores array<double>, nbest_tokens array<long>, nbest_crc32 array<long>, round_trip boolean"
+FIELDS = "ids array<int>, n_tokens long, score double, nbest_scores array<double>, nbest_tokens array<long>, nbest_crc32 array<long>, round_trip boolean"
 
 
 def round_trips(lattice: Lattice, text: str | None, arrays: list[np.ndarray]) -> bool:
@@ -353,7 +389,7 @@ def round_trips(lattice: Lattice, text: str | None, arrays: list[np.ndarray]) ->
 
 
 def encode_documents(docs: DataFrame, model_file: str, nbest: int = 4, scores: str = "zipf", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """FIELDS of every row of docs: the best segmentation's ids, the nbest scores, token counts
+    """doc_id and FIELDS of every row of docs: the best segmentation's ids, the nbest scores, token counts
     and checksums (crc32 of the ids as little-endian 32-bit integers), best first, and whether
     every one of them decodes to the text."""
 
@@ -378,7 +414,7 @@ def encode_documents(docs: DataFrame, model_file: str, nbest: int = 4, scores: s
                 offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        rows.column(0).cast(pa.int64()),
+                        rows.column(0),
                         pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat))),
                         pa.array(counts, pa.int64()),
                         pa.array(best, pa.float64()),
@@ -387,7 +423,7 @@ def encode_documents(docs: DataFrame, model_file: str, nbest: int = 4, scores: s
                         pa.array(sums, pa.list_(pa.int64())),
                         pa.array(same, pa.bool_()),
                     ],
-                    names=[x.split()[0] for x in FIELDS.split(", ")],
+                    names=["doc_id", *(x.split()[0] for x in FIELDS.split(", "))],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(encoded, FIELDS)
+    return docs.select(id_col, text_col).mapInArrow(encoded, f"doc_id {docs.schema[id_col].dataType.simpleString()}, {FIELDS}")

@@ -77,3 +77,21 @@ def test_round_trip_reads_every_segmentation(lattice):
     assert len(arrays) == 4 and S.round_trips(lattice, "the end", arrays)
     for k in range(4):
         assert not S.round_trips(lattice, "the end", [x[:-1] if i == k else x for i, x in enumerate(arrays)])
+
+
+def test_other_normalizers_are_refused(tmp_path):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=FILE).serialized_model_proto()
+    S.check_normalizer(model)
+    own = bytes([10, 8]) + b"identity" + bytes([18, 0, 24, 1, 32, 0, 50, 0])
+    assert model.count(own) == 1
+    for changed, why in ((own.replace(bytes([32, 0]), bytes([32, 1])), "white space"), (own.replace(bytes([24, 1]), bytes([24, 0])), "white space"), (own.replace(bytes([18, 0, 24, 1]), bytes([18, 2, 65, 65])), "maps")):
+        (tmp_path / "other.model").write_bytes(model.replace(own, changed))
+        with pytest.raises(ValueError, match=why):
+            S.check_normalizer((tmp_path / "other.model").read_bytes())
+
+
+def test_ids_of_other_types(spark):
+    got = S.encode_documents(spark.createDataFrame([("a", "one two"), (None, None)], "doc_id string, text string"), FILE).collect()
+    assert {(r.doc_id, r.round_trip) for r in got} == {("a", True), (None, True)}
