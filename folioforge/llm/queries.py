@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import exact_dedup, language_id, mixing, pii, quality, sentencepiece_nbest, sharding, simhash, token_files, warc
+from folioforge.llm import exact_dedup, language_id, mixing, pii, quality, sentencepiece_nbest, sharding, simhash, sql, token_files, warc
 from folioforge.session import texts
 
 
@@ -151,4 +151,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": OP3_SQL, "op2_exact_dedup": OP2_SQL, "op9_warc": OP9_SQL}
+    return {"op1_mixing": sql.mixing_sql(), "op2_exact_dedup": OP2_SQL, "op3_quality": OP3_SQL, "op9_warc": OP9_SQL, "op10_sharding": sql.sharding_sql()}
