@@ -1,14 +1,16 @@
 """The corpus pipeline: a list of stages, each over what the stage before it kept.
 
 Language ID drops documents without a language or with a score under one half; exact
-dedup keeps one row of each text; near-dedup keeps one row of each component of texts
-whose five-word shingles have a Jaccard similarity of 0.8 or more;
-mixing takes each source's documents up to its target, some of them twice and the one
+dedup keeps one row of each text; near-dedup starts from the links of SimHash prints by trie
+join and keeps one row of each component of texts whose five-word shingles have a Jaccard
+similarity of 0.8 or more; mixing takes each source's documents up to its target, some of them twice and the one
 at the cut in part; SentencePiece encodes what was taken.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +19,7 @@ from folioforge.llm.language_id import keep_identified
 from folioforge.llm.mixing import mix_documents
 from folioforge.llm.near_dedup import drop_similar
 from folioforge.llm.sentencepiece_nbest import encode_documents
-from folioforge.session import texts
+from folioforge.session import remove_path, shared_dir, texts
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = texts(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """The last stage's rows. Each stage's result is written as Parquet in the shared folder and read
+    again by the next one; it goes when the next one's is there."""
+    docs, base = texts(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
+        docs = spark.read.parquet(f"{base}/{k}-{name}")
+        if k:
+            remove_path(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
     return docs

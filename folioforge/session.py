@@ -17,6 +17,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -26,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new
-    local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset
+    a new local one, for a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         current = spark.sparkContext.getCheckpointDir()
+        if current is None and not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = current.rpartition("/")[0] if current else "file://" + tempfile.mkdtemp(prefix="folioforge-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
@@ -39,7 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Computes df once into the shared checkpoint folder and returns a frame that
-    reads it: later passes neither recompute nor depend on executors' own disks."""
+    reads it: later passes neither recompute nor depend on executors' own disks. Spark deletes the
+    files with the frame if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
