@@ -143,7 +143,3 @@ def enough_kept(decided: DataFrame, least: int = LEAST_KEPT) -> DataFrame:
     if kept < least:
         raise ValueError(f"only {kept} works are kept; {least} is the least")
     return decided
-
-
-def any_of(text: Column, literals: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(x) for x in literals])

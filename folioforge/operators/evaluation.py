@@ -8,11 +8,21 @@ from pyspark.sql import functions as F
 from folioforge.functions.text import one_line
 
 
+def marked(hits: DataFrame, expected: DataFrame) -> DataFrame:
+    """hits with whether they are expected. expected: query_id, book_id, a row for each pair."""
+    wanted = expected.select("query_id", "book_id").distinct().withColumn("relevant", F.lit(True))
+    return hits.join(wanted, ["query_id", "book_id"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(False)))
+
+
+def expecting(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of queries with expected_ids: the queries with whether they expect anything, and the expected pairs."""
+    return queries.withColumn("expects", F.size("expected_ids") > 0), queries.select("query_id", F.explode("expected_ids").alias("book_id"))
+
+
 def per_query(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """query_id, expected_rank, expected_best and reciprocal_rank; the first two are null and the
-    last 0 where nothing expected is found or expected. queries: query_id, expected_ids."""
-    wanted = queries.select("query_id", F.explode("expected_ids").alias("book_id")).distinct()
-    found = hits.join(wanted, ["query_id", "book_id"]).groupBy("query_id").agg(F.min("rank").alias("expected_rank"), F.max("score").alias("expected_best"))
+    last 0 where nothing expected is found or expected. hits: query_id, score, rank, relevant."""
+    found = hits.where("relevant").groupBy("query_id").agg(F.min("rank").alias("expected_rank"), F.max("score").alias("expected_best"))
     rr = F.coalesce(1.0 / F.col("expected_rank"), F.lit(0.0))
     return queries.select("query_id").join(found, "query_id", "left").withColumn("reciprocal_rank", rr)
 
@@ -20,8 +30,8 @@ def per_query(queries: DataFrame, hits: DataFrame) -> DataFrame:
 def summary(queries: DataFrame, measured: DataFrame, hits: DataFrame) -> DataFrame:
     """One row: recall, mrr and hits at 1, 5 and 10 over phrase queries that expect something
     (their number counts as 1 at least), and the best score of any adversarial query, 0 at
-    least. queries: query_id, kind, expected_ids."""
-    kinds = queries.select("query_id", "kind", (F.size("expected_ids") > 0).alias("expects"))
+    least. queries: query_id, kind, expects."""
+    kinds = queries.select("query_id", "kind", "expects")
     of = measured.join(kinds, "query_id").where("kind = 'phrase'")
     share = lambda c: F.sum(F.when(F.col("expects") & c, 1.0).otherwise(0.0)) / F.greatest(F.sum(F.col("expects").cast("int")), F.lit(1))
     within = lambda n: F.coalesce(F.col("expected_rank") <= n, F.lit(False))

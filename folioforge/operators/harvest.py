@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.operators.judge import is_faithful
+from folioforge.operators.judge import is_faithful, score_paraphrases
 from folioforge.session import broadcast_if_small
 
 PER_CHUNK = 5
@@ -43,18 +43,31 @@ def gated(scored: DataFrame) -> DataFrame:
 
 
 def cluster(observations: DataFrame, seed: DataFrame) -> DataFrame:
-    """canonical, substrate, gloss, size, support_mean, citations (support from high to low) and
-    seed_match of each cluster. seed: term, matched in lower case."""
+    """key, canonical, substrate, gloss, size, support_mean and seed_match of each cluster. seed:
+    term, matched in lower case."""
     grouped = observations.groupBy(F.lower("canonical").alias("key"), "substrate").agg(
         F.count(F.lit(1)).alias("size"),
         F.round(F.avg("support"), 6).alias("support_mean"),
         F.min(F.struct((-F.col("support")).alias("low"), "book_id", "chunk_id", "canonical", "gloss")).alias("top"),
-        F.collect_list(F.struct((-F.col("support")).alias("low"), "book_id", "chunk_id", "support")).alias("found"),
     )
     known = seed.select(F.lower("term").alias("key")).distinct()
     marked = grouped.join(broadcast_if_small(known.withColumn("seed_match", F.lit(True)), known.count()), "key", "left")
-    citations = F.transform(F.array_sort("found"), lambda c: F.struct(c["book_id"].alias("book_id"), c["chunk_id"].alias("chunk_id"), c["support"].alias("support")))
-    return marked.select("top.canonical", "substrate", "top.gloss", "size", "support_mean", citations.alias("citations"), F.coalesce("seed_match", F.lit(False)).alias("seed_match"))
+    return marked.select("key", "top.canonical", "substrate", "top.gloss", "size", "support_mean", F.coalesce("seed_match", F.lit(False)).alias("seed_match"))
+
+
+def citations(observations: DataFrame) -> DataFrame:
+    """A row for each observation of a cluster (key, substrate): a cluster may have any number. Their
+    order is support from high to low, then book and chunk."""
+    return observations.select(F.lower("canonical").alias("key"), "substrate", "book_id", "chunk_id", "support")
+
+
+def harvested(chunks: DataFrame, identify: Callable[[Column], Column], gloss: Callable[[Column, Column], Column], score: Callable[[Column, Column], Column], seed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks to clusters and their citations: terms by a model's answers, glosses, the gate by the
+    sentences of gloss and chunk, clusters. chunks: book_id, chunk_id, text."""
+    found = glossed(candidates(chunks, identify), gloss).withColumn("observation", F.concat_ws("/", "book_id", "chunk_id", "canonical"))
+    scored = score_paraphrases(found, "observation", "text", "gloss", score).select("observation", "support", "contradiction_max")
+    kept = gated(found.join(scored, "observation")).select("book_id", "chunk_id", "canonical", "substrate", "gloss", "support")
+    return cluster(kept, seed), citations(kept)
 
 
 def ordered(clusters: DataFrame) -> DataFrame:

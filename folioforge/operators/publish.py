@@ -31,12 +31,22 @@ def slice_matches(chunks: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.withColumn("same", byte_slice(F.col("canonical_text"), F.col("byte_start"), F.col("byte_end")) == F.col("text")).drop("canonical_text")
 
 
+BLOCK, LEVELS = 4096, 3
+
+
 def shard_summary(rows: DataFrame, book: Column, payload: Column, order: str) -> DataFrame:
-    """book_id, sha256 (over the hashes of its rows in order), bytes and chunks of each book; the
-    texts themselves are not gathered."""
-    hashed = rows.select(book.alias("book_id"), F.struct(F.col(order).alias("o"), content_hash(payload).alias("h")).alias("p"), F.octet_length(payload).alias("size"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["h"]), "")
-    return hashed.groupBy("book_id").agg(content_hash(joined).alias("sha256"), F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("chunks"))
+    """book_id, sha256, bytes and chunks of each book. order: a whole number that places a row in its
+    book. The hash is built in levels: that of a row's payload, of the hashes of each BLOCK
+    places, of each BLOCK such blocks, and so on, so that no array grows with the book."""
+    hashed = rows.select(
+        book.alias("book_id"), F.col(order).cast("long").alias("place"), content_hash(payload).alias("sha256"), F.octet_length(payload).cast("long").alias("bytes"), F.lit(1).cast("long").alias("chunks")
+    )
+    for level in range(LEVELS + 1):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "sha256"))), lambda x: x["sha256"]), "")
+        block = [F.floor(F.col("place") / BLOCK).alias("block")] if level < LEVELS else []
+        hashed = hashed.groupBy("book_id", *block).agg(content_hash(joined).alias("sha256"), F.sum("bytes").alias("bytes"), F.sum("chunks").alias("chunks"))
+        hashed = hashed.withColumnRenamed("block", "place")
+    return hashed.select("book_id", "sha256", "bytes", "chunks")
 
 
 def shard_totals(summaries: DataFrame) -> DataFrame:

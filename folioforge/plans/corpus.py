@@ -97,7 +97,14 @@ def filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy(failed.alias("outcome")).agg(F.count(F.lit(1)).alias("orders"))
 
 
-_HASHES = "SELECT source AS book_id, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS sha256, sum(octet_length(encode(text)))::BIGINT AS bytes, count(*) AS chunks FROM documents GROUP BY source"
+def _levels() -> str:
+    level = "SELECT source AS book_id, doc_id AS place, sha256(text) AS h, octet_length(encode(text)) AS bytes, 1 AS chunks FROM documents"
+    for _ in range(publish.LEVELS):
+        level = f"SELECT book_id, place // {publish.BLOCK} AS place, sha256(string_agg(h, '' ORDER BY place, h)) AS h, sum(bytes) AS bytes, sum(chunks) AS chunks FROM ({level}) GROUP BY book_id, place // {publish.BLOCK}"
+    return f"SELECT book_id, sha256(string_agg(h, '' ORDER BY place, h)) AS sha256, sum(bytes)::BIGINT AS bytes, sum(chunks)::BIGINT AS chunks FROM ({level}) GROUP BY book_id"
+
+
+_HASHES = _levels()
 
 
 def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,12 +234,16 @@ def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT arg_min(canonical, {{'a': -support, 'b': book_id}}) AS canonical, substrate, arg_min(gloss, {{'a': -support, 'b': book_id}}) AS gloss, count(*) AS size, round(avg(support), 6) AS support_mean,
-    list(book_id || '/' || chunk_id ORDER BY support DESC, book_id, chunk_id) AS citations, lower(any_value(canonical)) IN ('of the', 'of de') AS seed_match FROM {_OBS} GROUP BY lower(canonical), substrate"""
+    lower(canonical) AS key, lower(any_value(canonical)) IN ('of the', 'of de') AS seed_match FROM {_OBS} GROUP BY lower(canonical), substrate"""
 )
 def cluster_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     seed = spark.createDataFrame([("Of The",), ("of de",), ("of de",)], "term string")
-    found = harvest.ordered(harvest.cluster(_observations(spark, sf_dir), seed))
-    return found.withColumn("citations", F.transform("citations", lambda c: F.concat_ws("/", c["book_id"], c["chunk_id"])))
+    return harvest.ordered(harvest.cluster(_observations(spark, sf_dir), seed))
+
+
+@query(f"SELECT lower(canonical) AS key, substrate, book_id, chunk_id, support FROM {_OBS}")
+def cluster_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harvest.citations(_observations(spark, sf_dir))
 
 
 @query("SELECT doc_id, lang || ' term' AS canonical, source AS substrate FROM documents WHERE doc_id % 3 <> 2 AND doc_id % 5 <> 0")

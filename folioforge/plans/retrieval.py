@@ -1,8 +1,8 @@
 """Queries over BM25, the dense lane, fusion, search and evaluation.
 
 Document ids and vector ids are paired as if they named the same chunks; a document's
-source is its book. Text queries are a small table; vector queries are the vectors whose
-id is divisible by 50.
+source is its book. Queries are the rows whose id is divisible by 50, against all rows: their vectors,
+and as text the first five words of the document, or for a few ids a fixed text.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
-from folioforge.functions.vectors import cosine, embed, pack_half
+from folioforge.functions.vectors import embed, pack_half
 from folioforge.operators import bm25, dense, evaluation, fusion, search
 from folioforge.plans.registry import query
 from folioforge.plans.text import WORD, docs
@@ -20,7 +20,10 @@ from folioforge.session import table
 QUERIES = [(0, "the of and"), (50, "que la de"), (100, "der die und"), (150, "License version 3"), (200, ""), (250, "All rights reserved."), (300, "un pas des les, un")]
 PHRASES = [("all rights reserved", [3, 1, 77], 0), ("released under the mit license", [5], 1), ("rights", [8], 2)]
 
-_Q = "(VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QUERIES) + ") AS v(query_id, query)"
+_Q = (
+    f"(SELECT vec_id AS query_id, CASE vec_id {' '.join(f"WHEN {i} THEN '{q}'" for i, q in QUERIES)} ELSE "
+    r"array_to_string(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')[1:5], ' ') END AS query FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % 50 = 0) AS v"
+)
 _TOKENS = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]))"
 
 
@@ -55,8 +58,11 @@ _EXCERPT = """CASE WHEN octet_length(encode(text)) <= 200 THEN text ELSE
       (SELECT CASE WHEN contains(cut, ' ') THEN regexp_extract(cut, '(?s)^(.*) ', 1) ELSE cut END || '…' FROM (SELECT left(text, len(list_filter(list_transform(range(0, 201), lambda k: octet_length(encode(left(text, k)))), lambda s: s < 200))) AS cut)) END"""
 
 
-def _asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUERIES, "query_id long, query string")
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
+    fixed = F.create_map(*[F.lit(x) for q in QUERIES for x in q])[F.col("query_id").cast("int")]
+    first = F.array_join(F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, 5), " ")
+    return ids.join(docs(spark, sf_dir), F.col("doc_id") == F.col("query_id"), "left").select("query_id", F.coalesce(fixed, first).alias("query"))
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +76,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin([i for i, _ in QUERIES])).select(F.col("vec_id").alias("query_id"), "embedding")
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query(f"WITH {_bm25_sql('source')} SELECT scope, n AS n_docs, round(avg_dl, 6) AS avg_dl FROM st")
@@ -79,7 +85,7 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25_top(spark: SparkSession, sf_dir: str, scope: str | None) -> DataFrame:
-    scored = bm25.score(docs(spark, sf_dir), _asked(spark), "doc_id", "text", scope)
+    scored = bm25.score(docs(spark, sf_dir), _asked(spark, sf_dir), "doc_id", "text", scope)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(best)).where("rank <= 20").select("query_id", "doc_id", "score", "rank")
 
@@ -118,17 +124,17 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dense_topk_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = e.join(F.broadcast(asked) if asked.count() <= 100_000 else asked, F.lit(True)).withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")), 6))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     best = Window.partitionBy("query_id", "label").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where("rank <= 3").select("query_id", "label", "vec_id", "score", "rank")
+    scored = dense.score(e, asked, keep=3, group_col="label").withColumn("rank", F.row_number().over(best))
+    return scored.where("rank <= 3").select("query_id", "label", "vec_id", "score", "rank")
 
 
 def _lanes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     near = dense.score(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     near = near.withColumn("r", F.row_number().over(best)).where("r <= 500").join(_chunks(spark, sf_dir).drop("text"), "vec_id").select(*fusion.KEY, "score")
-    words = bm25.score(_chunks(spark, sf_dir).withColumn("key", F.struct("book_id", "chunk_id")), _asked(spark), "key", "text", "book_id")
+    words = bm25.score(_chunks(spark, sf_dir).withColumn("key", F.struct("book_id", "chunk_id")), _asked(spark, sf_dir), "key", "text", "book_id")
     return near, fusion.top(words.select("query_id", "key.*", "score"), 500).drop("rank")
 
 
@@ -189,18 +195,18 @@ def _phrases(spark: SparkSession) -> DataFrame:
 
 @query(f"WITH {_MATCH} SELECT * FROM gd")
 def phrase_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.guard(_asked(spark), _phrases(spark))
+    return search.guard(_asked(spark, sf_dir), _phrases(spark))
 
 
 @query(
     f"""WITH {_MATCH.replace("q <> '' AND (contains(' ' || q || ' ', ' ' || phrase || ' ') OR contains(' ' || phrase || ' ', ' ' || q || ' '))", "(contains(q, phrase) OR contains(phrase, q))")} SELECT * FROM gd"""
 )
 def phrase_guard_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.guard(_asked(spark), _phrases(spark), "compat")
+    return search.guard(_asked(spark, sf_dir), _phrases(spark), "compat")
 
 
 def _search(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
-    return search.search(_asked(spark), _chunks(spark, sf_dir), _vectors(spark, sf_dir), _query_vectors(spark, sf_dir), **how)
+    return search.search(_asked(spark, sf_dir), _chunks(spark, sf_dir), _vectors(spark, sf_dir), _query_vectors(spark, sf_dir), **how)
 
 
 _HITS = "query_id, rank, book_id, chunk_id, score, dense_score, bm25_score"
@@ -216,12 +222,14 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, phrases=_phrases(spark))
 
 
-_DROPPED = f"SELECT DISTINCT {_BOOK} AS book_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id % 7 = 0)"
+#: Books of which a larger share is toxic than of all.
+_DROPPED = f"SELECT {_BOOK} AS book_id FROM documents JOIN labels USING (doc_id) GROUP BY source HAVING avg(toxic) > (SELECT avg(toxic) FROM documents JOIN labels USING (doc_id))"
 
 
 def _dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toxic = table(spark, sf_dir, "labels").where("toxic = 1 and doc_id % 7 = 0").select("doc_id")
-    return docs(spark, sf_dir).join(toxic, "doc_id", "left_semi").select(F.substring("source", 4, 9).cast("int").alias("book_id")).distinct()
+    joined = docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    share = joined.groupBy(F.substring("source", 4, 9).cast("int").alias("book_id")).agg(F.avg("toxic").alias("share"))
+    return share.crossJoin(joined.agg(F.avg("toxic").alias("all"))).where(F.col("share") > F.col("all")).select("book_id")  # one row beside each
 
 
 @query(f"WITH {_LANES}{_RRF} SELECT {_HITS} FROM tp WHERE rank <= 10 AND book_id NOT IN ({_DROPPED})")
@@ -240,16 +248,19 @@ def search_drop_before(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _relevant(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Queries whose expected ids are the vectors of their label, by thirds of a kind each, and hits."""
+    """Queries that expect the vectors of their label, by thirds of a kind each, and hits. Labels are
+    compared hit by hit; what is expected is never listed."""
     e = table(spark, sf_dir, "embeddings")
     asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    other = e.select(F.col("vec_id").alias("book_id"), "label")
-    ids = asked.join(other, "label").where("book_id <> query_id").groupBy("query_id").agg(F.collect_list("book_id").alias("ids"))
+    alone = e.groupBy("label").agg((F.count(F.lit(1)) == 1).alias("alone"))
     kind = F.when(F.col("query_id") % 150 == 100, "adversarial").otherwise("phrase")
-    expected = F.when(F.col("query_id") % 150 == 50, F.array().cast("array<bigint>")).otherwise(F.coalesce("ids", F.array().cast("array<bigint>")))
+    asks = F.col("query_id") % 150 != 50
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     hits = _dense(spark, sf_dir, 51).where("vec_id <> query_id").withColumn("rank", F.row_number().over(best)).where("rank <= 50")
-    return asked.join(ids, "query_id", "left").select("query_id", kind.alias("kind"), expected.alias("expected_ids")), hits.select("query_id", F.col("vec_id").alias("book_id"), "score", "rank")
+    hits = hits.join(e.select("vec_id", F.col("label").alias("own")), "vec_id").join(asked, "query_id")
+    relevant = F.coalesce(asks & (F.col("own") == F.col("label")), F.lit(False))
+    queries = asked.join(alone, "label", "left").select("query_id", kind.alias("kind"), (asks & F.coalesce(~F.col("alone"), F.lit(False))).alias("expects"))
+    return queries, hits.select("query_id", F.col("vec_id").alias("book_id"), "score", "rank", relevant.alias("relevant"))
 
 
 _EVAL = f"""

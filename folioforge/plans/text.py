@@ -177,8 +177,8 @@ _LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docum
 
 @query(f"SELECT doc_id, count(*) AS lines, count(*) FILTER ({_META}) AS metadata FROM {_LINES} GROUP BY doc_id")
 def metadata_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(xhtml.is_metadata_line(F.col("line"))).alias("metadata"))
+    lines = docs(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("lines")).where("lines is not null")
+    return lines.select("doc_id", F.size("lines").cast("long").alias("lines"), F.size(F.filter("lines", xhtml.is_metadata_line)).cast("long").alias("metadata"))
 
 
 @query(
@@ -186,6 +186,6 @@ def metadata_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE 2 * hits <= n"""
 )
 def boilerplate_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The item filter, with license lines as hits."""
-    lines = docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return xhtml.without_boilerplate_items(lines, "doc_id", F.col("line").rlike("(?i)license|rights"))
+    """The item filter, with license lines as hits, within each document's row."""
+    lines = docs(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("lines"))
+    return xhtml.kept_items(lines, "lines", lambda line: line.rlike("(?i)license|rights")).select("doc_id", F.explode("lines").alias("line"))

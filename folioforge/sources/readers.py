@@ -6,6 +6,7 @@ from __future__ import annotations
 import io
 import json
 import re
+import uuid
 import zipfile
 import xml.etree.ElementTree as ElementTree
 from collections.abc import Iterator
@@ -14,11 +15,13 @@ from urllib.parse import unquote
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from folioforge.operators.catalogue import rdf_translators
+from folioforge.session import cut
 
 CATALOGUE = {"Text#": "book_id", "Type": "type", "Title": "title", "Language": "language", "Authors": "authors", "Subjects": "subjects", "LoCC": "locc", "Bookshelves": "bookshelves"}
 
@@ -55,12 +58,16 @@ def spine(content: bytes) -> Iterator[tuple[int, str | None]]:
 
 
 def read_epub(spark: SparkSession, path: str) -> DataFrame:
-    """book_id, item, html and ok of every spine item of the EPUBs at path, in spine order."""
+    """book_id, item, html and ok of every spine item of the EPUBs at path, in spine order; an archive
+    that can't be read gives one row that isn't ok."""
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = list(spine(content.as_py()))
+                try:
+                    found = list(spine(content.as_py()))
+                except (KeyError, StopIteration, RuntimeError, ValueError, zipfile.BadZipFile, ElementTree.ParseError):
+                    found = [(0, None)]  # a damaged archive, or one without a container or package file
                 number = re.search(r"(\d+)\.epub", name)
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -85,7 +92,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+    """One record a line, null fields included, so that what is read is what was written."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
@@ -143,27 +151,53 @@ def lexicon_file(text: str) -> dict:
 LEXICON = "file string, entry_ord int, entry_id string, fingerprint string, themes array<string>, author string, title string, tradition string, language string, terms array<struct<english:string,substrate:string,gloss:string,citation:string>>"
 
 
-def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+def _passages(name: str, text: str) -> list[list]:
+    parsed = lexicon_file(text)
+    source, rows = parsed["source"], []
+    for k, p in enumerate(parsed["passages"] or []):
+        terms = [{"english": e, "substrate": t["substrate"], "gloss": t["gloss"], "citation": t.get("citation")} for e, t in (p.get("terms") or {}).items()]
+        rows.append([name, k, p["id"], p["fingerprint"], p.get("themes") or [], source.get("author"), source.get("title"), source.get("tradition"), source.get("language"), terms])
+    return rows
+
+
+def _lexicon_files(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.y*ml")
+    return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("name"), "value")
+
+
+def read_lexicon(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """A row for each passage of the YAML files under path, with its terms; files of other kinds
-    are not read, and one that doesn't parse gives no rows."""
+    are not read. One that isn't understood fails if strict, else gives no rows and is in
+    refused_lexicon_files."""
 
     def passages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in LEXICON.split(", ")]
         for frame in frames:
             rows = []
             for name, text in zip(frame["name"], frame["value"]):
                 try:
-                    parsed = lexicon_file(text)
-                    source, found = parsed["source"], parsed["passages"] or []
-                    for k, p in enumerate(found):
-                        terms = [{"english": e, "substrate": t["substrate"], "gloss": t["gloss"], "citation": t.get("citation")} for e, t in (p.get("terms") or {}).items()]
-                        rows.append([name, k, p["id"], p["fingerprint"], p.get("themes") or [], source.get("author"), source.get("title"), source.get("tradition"), source.get("language"), terms])
-                except (ValueError, KeyError, TypeError, AttributeError):
-                    continue
-            yield pd.DataFrame(rows, columns=names)
+                    rows += _passages(name, text)
+                except (ValueError, KeyError, TypeError, AttributeError) as e:
+                    if strict:
+                        raise ValueError(f"{name}: {e}") from e
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in LEXICON.split(", ")])
+
+    return _lexicon_files(spark, path).mapInPandas(passages, LEXICON)
 
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.y*ml")
-    return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("name"), "value").mapInPandas(passages, LEXICON)
+
+def refused_lexicon_files(spark: SparkSession, path: str) -> DataFrame:
+    """file and reason of the files under path that aren't understood."""
+
+    def refused(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for name, text in zip(frame["name"], frame["value"]):
+                try:
+                    _passages(name, text)
+                except (ValueError, KeyError, TypeError, AttributeError) as e:
+                    rows.append([name, f"{type(e).__name__}: {e}"])
+            yield pd.DataFrame(rows, columns=["file", "reason"])
+
+    return _lexicon_files(spark, path).mapInPandas(refused, "file string, reason string")
 
 
 # The curated phrases and their books, in order.
@@ -215,3 +249,37 @@ def read_packed_vectors(spark: SparkSession, path: str, size: int = 384) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(np.arange(n)), lists], names=["name", "chunk_ord", "embedding"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unpacked, "name string, chunk_ord long, embedding array<float>")
+
+
+def write_packed_vectors(rows: DataFrame, path: str) -> DataFrame:
+    """Writes the vectors of rows (book_id, chunk_ord, embedding) as one file a book of half-precision
+    numbers in order of chunk_ord, without a header, under path (a URI). Returns book_id, file, vectors
+    and bytes. A file appears under its name when it is whole; books are dealt over tasks, and a
+    task holds no more than a batch of one."""
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = pyarrow.fs.FileSystem.from_uri(path)
+        fs.create_dir(folder, recursive=True)
+        book, sink, count, size, out = None, None, 0, 0, []
+        own = uuid.uuid4().hex
+
+        def close() -> None:
+            if sink is not None:
+                sink.close()
+                fs.move(f"{folder}/.{own}-{book}", f"{folder}/{book}.f16")
+                out.append((book, f"{book}.f16", count, size))
+
+        for batch in batches:
+            for name, vector in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if name != book:
+                    close()
+                    book, count, size = name, 0, 0
+                    sink = fs.open_output_stream(f"{folder}/.{own}-{book}")
+                packed = np.asarray(vector.values, "<f2").tobytes()
+                sink.write(packed)
+                count, size = count + 1, size + len(packed)
+        close()
+        yield pa.RecordBatch.from_pylist([dict(zip(("book_id", "file", "vectors", "bytes"), x)) for x in out], pa.schema([("book_id", pa.string()), ("file", pa.string()), ("vectors", pa.int64()), ("bytes", pa.int64())]))
+
+    ordered = rows.select(F.col("book_id").cast("string").alias("book_id"), "chunk_ord", "embedding").repartition("book_id").sortWithinPartitions("book_id", "chunk_ord")
+    return cut(ordered.select("book_id", "embedding").mapInArrow(written, "book_id string, file string, vectors long, bytes long"))

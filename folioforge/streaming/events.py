@@ -39,5 +39,12 @@ def ema(values: Column, keep: float = 0.7) -> Column:
 
 
 def ema_by_user(events: DataFrame, keep: float = 0.7) -> DataFrame:
+    """ema and n of each user. A day's events fold into what they keep of the average before and
+    what they add, and these into one another, so no array holds more than a day or a user's days."""
     ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", F.coalesce("value", F.lit(0.0)).alias("v"))))
-    return events.groupBy("user_id").agg(F.round(ema(F.transform(ordered, lambda x: x["v"]), keep), 6).alias("ema"), F.count(F.lit(1)).alias("n"))
+    days = events.groupBy("user_id", F.date_trunc("day", "ts").alias("day")).agg(ordered.alias("e"))
+    added = F.aggregate("e", F.lit(0.0), lambda a, x: a * keep + x["v"] * (1 - keep))
+    days = days.select("user_id", "day", F.size("e").alias("n"), F.get("e", F.lit(0))["v"].alias("first"), F.pow(F.lit(keep), F.size("e")).alias("kept"), added.alias("added"))
+    users = days.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("day", "first", "kept", "added"))).alias("d"), F.sum("n").alias("n"))
+    whole = F.aggregate("d", F.get("d", F.lit(0))["first"], lambda a, x: a * x["kept"] + x["added"])  # an average of one value is that value
+    return users.select("user_id", F.round(whole, 6).alias("ema"), "n")
