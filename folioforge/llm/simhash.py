@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col)).alias("fp"))
 
 
-def trie_join(values: np.ndarray, depth: int, budget: int = BUDGET, at_once: int = 1 << 18, seen: dict[str, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_join(values: np.ndarray, depth: int, budget: int = BUDGET, at_once: int = 1 << 14, seen: dict[str, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) of all pairs of the sorted distinct values that agree in their leading
     `depth` bits and differ in at most `budget` bits, some at a time. seen: gets the numbers of
     node pairs that went down, were pruned, and came to single values."""
@@ -91,9 +91,8 @@ def trie_join(values: np.ndarray, depth: int, budget: int = BUDGET, at_once: int
     while stack:
         at, frontier = stack.pop()
         if len(frontier[0]) > at_once:
-            half = len(frontier[0]) // 2
-            stack += [(at, tuple(x[:half] for x in frontier)), (at, tuple(x[half:] for x in frontier))]
-            continue
+            stack.append((at, tuple(x[at_once:] for x in frontier)))  # of each level at most a few times `at_once` wait
+            frontier = tuple(x[:at_once] for x in frontier)
         single = (frontier[1] - frontier[0] == 1) & (frontier[3] - frontier[2] == 1)
         i, j = frontier[0][single], frontier[2][single]
         if len(i):
