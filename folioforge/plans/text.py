@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import text as T
 from folioforge.functions.sentences import sentence_spans, snap_selection, split_sentences
 from folioforge.operators import chunking, xhtml
+from folioforge.plans import segments
 from folioforge.plans.registry import query
 from folioforge.session import texts
 
@@ -121,32 +122,45 @@ def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.withColumn("c", F.explode(chunking.chunks(F.col("canonical_text"), separator="\n")))
 
 
-@query()
+_CHUNKS = "WITH RECURSIVE " + segments.chunks(f"(SELECT doc_id, {canonical_sql('text')} AS text FROM documents WHERE text IS NOT NULL)")
+
+
+@query(f"{_CHUNKS} SELECT *, len({segments.words('text')}) AS token_count FROM ck")
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked(spark, sf_dir).select("doc_id", "c.*")
 
 
-@query("SELECT doc_id, true AS same FROM documents WHERE len(list_filter(regexp_split_to_array(text, '" + WS + "+'), lambda w: w <> '')) > 0")
+@query(f"{_CHUNKS} SELECT doc_id, count(*) AS chunks, sum(byte_end - byte_start)::BIGINT AS bytes, true AS same FROM ck GROUP BY doc_id")
 def chunk_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether all chunks of a document are the canonical text between their offsets."""
     c = chunked(spark, sf_dir)
     same = T.byte_slice(F.col("canonical_text"), F.col("c.byte_start"), F.col("c.byte_end")) == F.col("c.text")
-    return c.groupBy("doc_id").agg(F.bool_and(same).alias("same"))
+    return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.octet_length("c.text")).alias("bytes"), F.bool_and(same).alias("same"))
 
 
-@query()
+@query(f'SELECT d.doc_id, count(sentence) AS sentences, max(length(sentence)) AS longest, max("end") AS last_end FROM documents d LEFT JOIN {segments.sentences("documents")} s USING (doc_id) GROUP BY d.doc_id')
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).select("doc_id", split_sentences("text").alias("s"), sentence_spans("text").alias("spans"))
-    return d.select("doc_id", F.size("s").alias("sentences"), F.array_max(F.transform("s", F.length)).alias("longest"), F.element_at(F.col("spans.end"), -1).alias("last_end"))
+    return d.select("doc_id", F.size("s").cast("long").alias("sentences"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"), F.element_at(F.col("spans.end"), -1).alias("last_end"))
+
 
+_PREFIXES = "list_transform(range(0, 62), lambda k: octet_length(encode(left(text, k))))"
 
-@query()
+
+@query(
+    f"""WITH d AS (SELECT doc_id, least(40, octet_length(encode(text))) AS a, least(60, octet_length(encode(text))) AS b, {_PREFIXES} AS sizes FROM documents),
+    s AS (SELECT doc_id, min(start) FILTER (start <= a AND a < "end") AS first, max("end") FILTER (start < b AND b <= "end") AS last
+          FROM d LEFT JOIN {segments.sentences('documents')} s USING (doc_id) GROUP BY doc_id),
+    c AS (SELECT *, list_min(list_filter(sizes, lambda x: x >= a)) AS from_, list_max(list_filter(sizes, lambda x: x <= b)) AS to_, coalesce(first < last, false) AS snapped FROM d JOIN s USING (doc_id))
+    SELECT doc_id, CAST(CASE WHEN b <= a THEN NULL WHEN snapped THEN first WHEN to_ > from_ THEN from_ END AS BIGINT) AS start,
+    CAST(CASE WHEN b <= a THEN NULL WHEN snapped THEN last WHEN to_ > from_ THEN to_ END AS BIGINT) AS "end" FROM c"""
+)
 def snap_to_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).select("doc_id", snap_selection("text", F.lit(40), F.lit(60)).alias("span"))
     return d.select("doc_id", "span.start", "span.end")
 
 
-@query()
+@query(f'{_CHUNKS} SELECT pb.doc_id, CAST(pb.start AS BIGINT) AS "at", coalesce(max(chunk_id), \'\') AS chunk_id FROM pb LEFT JOIN ck ON ck.doc_id = pb.doc_id AND pb.start >= byte_start AND pb.start < byte_end GROUP BY ALL')
 def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunk that holds each paragraph's first byte."""
     canonical = docs(spark, sf_dir).select("doc_id", T.canonicalise(F.col("text")).alias("text"))
@@ -159,16 +173,33 @@ def _paragraphs(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
     return texts(spark, sf_dir, "pages").select("page_id", xhtml.paragraphs(F.col("html"), strict).alias("r"))
 
 
-@query()
+_BLOCKS = "(?:" + "|".join(sorted(xhtml._Lenient.BLOCKS - {"p"}, key=len, reverse=True)) + ")"
+_MARKED = reduce(
+    lambda x, y: f"regexp_replace({x}, '{y[0]}', {y[1]}, 'g')",
+    [("(?s)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", "''"), ("<p(?:[ /][^>]*)?>", "chr(1)"), (f"</?{_BLOCKS}(?:[ /][^>]*)?>|</p>", "chr(2)"), ("<[^>]*>", "' '")],
+    "html",
+)
+_TEXT = "replace(replace(replace(replace(p, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_PS = rf"list_filter(list_transform(regexp_extract_all({_MARKED}, '\x01([^\x01\x02]*)', 1), lambda p: trim(regexp_replace({_TEXT}, '{WS}+', ' ', 'g'))), lambda p: p <> '')"
+
+
+@query(f"SELECT page_id, unnest(range(len(ps))) AS pos, unnest(ps) AS paragraph FROM (SELECT page_id, {_PS} AS ps FROM pages)")
 def extract_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _paragraphs(spark, sf_dir, strict=False)
-    return p.select("page_id", F.posexplode("r.paragraphs").alias("pos", "paragraph"))
+    return p.select("page_id", F.posexplode("r.paragraphs").alias("pos", "paragraph")).withColumn("pos", F.col("pos").cast("long"))
+
+
+_LINE_PS = rf"list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '{WS}+', ' ', 'g'))), lambda x: x <> '')"
 
 
-@query("SELECT page_id, 0 AS paragraphs, false AS ok FROM pages")
+@query(f"SELECT page_id, CAST(0 AS BIGINT) AS paragraphs, false AS ok, NULL AS text_sha256 FROM pages UNION ALL SELECT doc_id, len(ps), true, sha256(array_to_string(ps, chr(10))) FROM (SELECT doc_id, {_LINE_PS} AS ps FROM documents WHERE text IS NOT NULL)")
 def extract_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No page is well-formed XML, so each is a warning."""
-    return _paragraphs(spark, sf_dir, strict=True).select("page_id", F.size("r.paragraphs").alias("paragraphs"), "r.ok")
+    """No page is well-formed XML, so each is a warning; documents, a paragraph a line, are written as such."""
+    escaped = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")), F.col("text"))
+    body = F.concat(F.lit('<?xml version="1.0"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml"><body><p>'), F.replace(escaped, F.lit("\n"), F.lit("</p><div><P>&nbsp;</P></div><p>")), F.lit("</p></body></html>"))
+    good = docs(spark, sf_dir).where("text is not null").select(F.col("doc_id").alias("page_id"), xhtml.paragraphs(body).alias("r"))
+    both = _paragraphs(spark, sf_dir, strict=True).unionByName(good)
+    return both.select("page_id", F.size("r.paragraphs").cast("long").alias("paragraphs"), "r.ok", F.when(F.col("r.ok"), T.content_hash(F.array_join("r.paragraphs", "\n"))).alias("text_sha256"))
 
 
 _META = " OR ".join(f"contains(line, '{x}')" for x in xhtml.METADATA)
