@@ -75,8 +75,15 @@ def _decided(spark: SparkSession) -> DataFrame:
     return catalogue.decisions(known.unionByName(stray), found)
 
 
-_DECIDED = """(VALUES (1, 'kept', 'TranslatorPublicDomain'), (2, 'kept', 'TranslatorPublicDomain'), (6, 'kept', 'TranslatorPublicDomain'), (7, 'kept', 'OriginalLanguagePublicDomain'),
-    (8, 'no-data', NULL), (9, 'kept', 'TranslatorPublicDomain'), (10, 'no-data', NULL), (99, 'missing-candidate', NULL)) AS d(book_id, decision, reason)"""
+_DECIDED = f"""(WITH {_AGENTS}, f AS (SELECT book_id, authors FROM {_V} WHERE {_FAILED} IS NULL),
+    r AS (SELECT * FROM (VALUES (6, 1970), (8, NULL), (2, 1999)) AS r(book_id, death)),
+    o AS (SELECT book_id, count(*) FILTER (role = 'Translator') AS n, max(death_year) FILTER (role = 'Translator') AS of_translator, max(death_year) FILTER (role = 'Author') AS of_author FROM ag GROUP BY book_id),
+    x AS (SELECT f.book_id, coalesce(n, 0) = 0 AND r.book_id IS NULL AND NOT contains(authors, '[Translator]') AS original, CASE WHEN coalesce(n, 0) > 0 THEN of_translator ELSE r.death END AS of_translator, of_author
+          FROM f LEFT JOIN o USING (book_id) LEFT JOIN r USING (book_id)),
+    y AS (SELECT book_id, original, CASE WHEN original THEN of_author ELSE of_translator END AS year FROM x),
+    z AS (SELECT book_id, original, CASE WHEN year IS NULL THEN 'no-data' WHEN year <= {catalogue.CUTOFF} THEN 'kept' ELSE 'too-recent' END AS decision FROM y)
+    SELECT book_id, decision, CASE WHEN decision = 'kept' THEN CASE WHEN original THEN 'OriginalLanguagePublicDomain' ELSE 'TranslatorPublicDomain' END END AS reason FROM z
+    UNION ALL SELECT 99, 'missing-candidate', NULL) AS d"""
 
 
 @query(f"SELECT * FROM {_DECIDED}")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.operators import grounding, judge
+from folioforge.plans import segments
 from folioforge.plans.registry import query
-from folioforge.plans.text import WS, docs
+from folioforge.plans.text import WORD, WS, docs
 from folioforge.session import table
 
 #: Fingerprints of the documents, some of which are in many.
@@ -56,28 +57,46 @@ ANSWERS = [
     (4, "PARAPHRASE: a: b\nand more"),
 ]
 KNOWN = {"eph' hēmin": "in our power", "ergon": "function"}
-PARSED = [
-    (0, False, "Some things are up to us.", [("in our power", "what is up to us", "eph' hēmin"), ("made up", "wrong", "made up")]),
-    (0, True, "Some things are up to us.", [("in our power", "what is up to us", "eph' hēmin")]),
-    (1, False, "Short.", [("ergon", "what it is for", "ergon"), ("plain", "quoted", None)]),
-    (1, True, "Short.", [("function", "what it is for", "ergon"), ("plain", "quoted", None)]),
-    (2, False, "just text, no headings", []),
-    (2, True, "just text, no headings", []),
-    (3, False, "", []),
-    (3, True, "", []),
-    (4, False, "a: b\nand more", []),
-    (4, True, "a: b\nand more", []),
-]
-_FLAT = [(i, known, p, pos, *e) for i, known, p, es in PARSED for pos, e in enumerate(es or [(None, None, None)])]
+#: The answers above, and one from each document: its text as paraphrase, its source and language as glossary.
+_ANSWERS = f"""(SELECT * FROM {_values(ANSWERS, 'answer_id, raw')} UNION ALL
+    SELECT 1000 + doc_id, 'Paraphrase (' || lang || '):  ' || text || chr(10) || 'GLOSSARY:' || chr(10) || '- ' || lang || ' (`' || CASE WHEN lang = 'en' THEN 'ergon' ELSE source END || '`): *' || source || '*' || chr(10) || '* plain: x' || chr(10) || 'no entry'
+    FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL)"""
+
+
+def _bare(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
 
+def _unquoted(x: str) -> str:
+    return f"""regexp_replace({_bare(x)}, '^[*"'']+|[*"'']+$', '', 'g')"""
 
-@query(f"SELECT * FROM {_values([(i, k, p, pos if t else None, t, g, s) for i, k, p, pos, t, g, s in _FLAT], 'answer_id, guarded, paraphrase, pos, term, gloss, substrate_term')}")
+
+_KNOWN = "MAP {" + ", ".join("'" + k.replace("'", "''") + f"': '{v}'" for k, v in KNOWN.items()) + "}"
+_PARSE = f"""WITH a AS (SELECT answer_id, guarded, raw FROM {_ANSWERS}, (SELECT unnest([false, true]) AS guarded)),
+    p AS (SELECT answer_id, guarded, {_bare(f"CASE WHEN regexp_matches(raw, '(?si)PARAPHRASE[^:]*:{WS}*.') THEN regexp_extract(raw, '(?si)PARAPHRASE[^:]*:{WS}*(.+?)(?:GLOSSARY:|$)', 1) ELSE raw END")} AS paraphrase,
+          regexp_split_to_array(regexp_extract(raw, '(?si)GLOSSARY:{WS}*(.+)', 1), '\r?\n') AS lines FROM a),
+    l AS (SELECT answer_id, guarded, k, {_bare(f"regexp_replace({_bare('line')}, '^[-*•]+', '')")} AS line FROM (SELECT answer_id, guarded, unnest(lines) AS line, unnest(range(len(lines))) AS k FROM p)),
+    c AS (SELECT *, left(line, position(':' IN line) - 1) AS before, {_unquoted("substr(line, position(':' IN line) + 1)")} AS gloss FROM l WHERE position(':' IN line) > 0),
+    s AS (SELECT *, CASE WHEN regexp_matches(before, '`[^`]+`') THEN {_bare("regexp_extract(before, '`([^`]+)`', 1)")} END AS substrate_term,
+          {_unquoted("regexp_replace(regexp_replace(before, '`[^`]+`', '', 'g'), '\\([^)]*\\)', '', 'g')")} AS named FROM c),
+    e AS (SELECT *, coalesce(CASE WHEN guarded THEN {_KNOWN}[substrate_term] END, CASE WHEN named <> '' THEN named ELSE coalesce(substrate_term, '') END) AS term FROM s),
+    g AS (SELECT *, row_number() OVER (PARTITION BY answer_id, guarded ORDER BY k) - 1 AS pos FROM e
+          WHERE gloss <> '' AND (term <> '' OR substrate_term IS NOT NULL) AND (NOT guarded OR substrate_term IS NULL OR {_KNOWN}[substrate_term] IS NOT NULL))
+    SELECT p.answer_id, p.guarded, sha256(paraphrase) AS paraphrase_sha256, pos, term, gloss, substrate_term FROM p LEFT JOIN g ON g.answer_id = p.answer_id AND g.guarded = p.guarded"""
+
+
+@query(_PARSE)
 def parse_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = spark.createDataFrame(ANSWERS, "answer_id int, raw string")
+    fixed = spark.createDataFrame(ANSWERS, "answer_id long, raw string")
+    d = docs(spark, sf_dir).dropna(subset=["text", "lang", "source"])
+    substrate = F.when(F.col("lang") == "en", "ergon").otherwise(F.col("source"))
+    made = F.concat(F.lit("Paraphrase ("), "lang", F.lit("):  "), "text", F.lit("\nGLOSSARY:\n- "), "lang", F.lit(" (`"), substrate, F.lit("`): *"), "source", F.lit("*\n* plain: x\nno entry"))
+    answers = fixed.unionByName(d.select((F.col("doc_id") + 1000).alias("answer_id"), made.alias("raw")))
     known = F.create_map(*[F.lit(x) for kv in KNOWN.items() for x in kv])
     free = grounding.parse_response(answers.withColumn("guarded", F.lit(False)))
     held = grounding.parse_response(answers.withColumn("guarded", F.lit(True)).withColumn("known", known), known_col="known").drop("known")
-    return free.unionByName(held).select("answer_id", "guarded", "paraphrase", F.posexplode_outer("glossary").alias("pos", "e")).select("answer_id", "guarded", "paraphrase", "pos", "e.term", "e.gloss", "e.substrate_term")
+    entries = free.unionByName(held).select("answer_id", "guarded", F.sha2(F.col("paraphrase").cast("binary"), 256).alias("paraphrase_sha256"), F.posexplode_outer("glossary").alias("pos", "e"))
+    return entries.select("answer_id", "guarded", "paraphrase_sha256", F.col("pos").cast("long").alias("pos"), "e.term", "e.gloss", "e.substrate_term")
 
 
 _MODE = "CASE passage_id % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'jit' WHEN 2 THEN 'no-substrate' ELSE 'auto' END"
@@ -93,7 +112,33 @@ def route_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.routed(_matched(spark, sf_dir).withColumn("mode", mode).withColumn("terms_json", answer)).select("passage_id", "resolution")
 
 
-@query()
+def _judged(pairs: str) -> str:
+    """Common table expressions up to jd: support, contradiction_max, introductions and faithful of the
+    rows of pairs (pair_id, source, paraphrase)."""
+    of = lambda side: segments.sentences(f"(SELECT pair_id, {side} AS text FROM pr)", "pair_id")
+    words = f"list_distinct(regexp_extract_all(lower(sentence), '{WORD}'))"
+    negated = lambda w: f"list_has_any({w}, ['no', 'not', 'never', 'none'])"
+    return f"""pr AS (SELECT * FROM {pairs}),
+    pm AS (SELECT pair_id, k, {words} AS w FROM {of('source')}), hy AS (SELECT pair_id, k, {words} AS w FROM {of('paraphrase')}),
+    sc AS (SELECT hy.pair_id, hy.k AS h, pm.k AS p, len(list_intersect(pm.w, hy.w)) / greatest(len(hy.w), 1)::DOUBLE AS share, {negated('pm.w')} <> {negated('hy.w')} AS flips FROM hy JOIN pm USING (pair_id)),
+    en AS (SELECT *, CASE WHEN flips THEN share * 0.1 ELSE share END AS entail, CASE WHEN flips THEN share * 0.8 ELSE 0 END AS contradict FROM sc),
+    bs AS (SELECT pair_id, h, coalesce(max(entail) FILTER (entail > 0), 0) AS e, coalesce(arg_min(contradict, {{'a': -entail, 'b': p}}) FILTER (entail > 0), 0) AS c FROM en GROUP BY pair_id, h),
+    ag AS (SELECT pair_id, round(avg(e), 6) AS support, max(c) AS contradiction_max, count(*) FILTER (e < 0.5) AS introductions FROM bs GROUP BY pair_id),
+    jd AS (SELECT pair_id, coalesce(support, 0)::DOUBLE AS support, coalesce(contradiction_max, 0)::DOUBLE AS contradiction_max, coalesce(introductions, 0) AS introductions,
+           coalesce(support > 0.6 AND contradiction_max < 0.1, false) AS faithful FROM pr LEFT JOIN ag USING (pair_id))"""
+
+
+_TURNS = "(SELECT conv_id || '/' || turn AS passage_id, text FROM conversations)"
+_HIT_TURN = f"(SELECT t.passage_id, t.text, arg_min(entry_id, ord) AS entry_id FROM (SELECT *, left({_fold('text')}, 300) AS prefix FROM {_TURNS}) t LEFT JOIN (SELECT entry_id, ord, {_fold('fingerprint')} AS print FROM {_values(LEXICON, 'entry_id, ord, fingerprint')}) ON contains(prefix, print) GROUP BY ALL)"
+
+
+@query(
+    f"""WITH {_judged(f"(SELECT passage_id AS pair_id, text AS source, {_bare('text')} AS paraphrase FROM {_TURNS})")}, ht AS (SELECT * FROM {_HIT_TURN}),
+    kn AS (SELECT DISTINCT entry_id FROM {_values(TERMS, 'entry_id, ord, english, substrate, gloss')}), er AS (SELECT DISTINCT entry_id FROM {_values(TERMS, 'entry_id, ord, english, substrate, gloss')} WHERE substrate = 'ergon')
+    SELECT passage_id, CASE WHEN entry_id IS NULL THEN 'no-substrate' ELSE 'curated' END AS resolution,
+           CASE WHEN entry_id IN (SELECT entry_id FROM kn) AND entry_id NOT IN (SELECT entry_id FROM er) THEN 0 ELSE 1 END AS entries, support, contradiction_max, faithful
+    FROM ht JOIN jd ON pair_id = passage_id"""
+)
 def ground_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole path over the conversations' turns, with a model that repeats its passage."""
     turns = table(spark, sf_dir, "conversations").select(F.format_string("%d/%d", "conv_id", "turn").alias("passage_id"), "text", F.lit(None).cast("string").alias("author"), F.lit("simple").alias("tier"), F.lit("auto").alias("mode"))
@@ -135,7 +180,10 @@ def nli_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _aggregated(spark).where(judge.is_faithful()).select("pair_id")
 
 
-@query()
+_PAIRS = "(SELECT a.conv_id || '/' || a.turn AS pair_id, u.text AS source, a.text AS paraphrase FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant' AND u.role = 'user')"
+
+
+@query(f"WITH {_judged(_PAIRS)} SELECT * FROM jd")
 def judged_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each assistant turn against the user turn before it, by word overlap."""
     turns = table(spark, sf_dir, "conversations")

@@ -198,6 +198,15 @@ def phrase_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.guard(_asked(spark, sf_dir), _phrases(spark))
 
 
+@query(
+    f"""WITH {_MATCH.replace(_Q, "(SELECT doc_id AS query_id, text AS query FROM documents WHERE text IS NOT NULL)")} SELECT * FROM gd"""
+)
+def phrase_guard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first phrase that each document holds, or that holds it."""
+    asked = docs(spark, sf_dir).where("text is not null").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    return search.guard(asked, _phrases(spark))
+
+
 @query(
     f"""WITH {_MATCH.replace("q <> '' AND (contains(' ' || q || ' ', ' ' || phrase || ' ') OR contains(' ' || phrase || ' ', ' ' || q || ' '))", "(contains(q, phrase) OR contains(phrase, q))")} SELECT * FROM gd"""
 )
@@ -296,7 +305,13 @@ def eval_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.span(_relevant(spark, sf_dir)[1]).withColumn("span", F.round("span", 6))
 
 
-@query()
+_TITLES = f"(SELECT {_BOOK} AS book_id, arg_min(text, doc_id) AS title FROM documents GROUP BY 1)"
+
+
+@query(
+    f"""WITH {_LANES}{_RRF} SELECT {', '.join('tp.' + c.strip() for c in _HITS.split(','))}, replace(left({_EXCERPT}, 200), chr(10), ' ') AS excerpt, split_part(title, chr(10), 1) AS title
+    FROM tp JOIN ch USING (book_id, chunk_id) JOIN {_TITLES} t ON t.book_id = tp.book_id WHERE rank <= 5"""
+)
 def eval_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hits as they are reported, with titles."""
     titles = docs(spark, sf_dir).groupBy(F.substring("source", 4, 9).cast("int").alias("book_id")).agg(F.min_by("text", "doc_id").alias("title"))
