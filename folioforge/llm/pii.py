@@ -74,12 +74,10 @@ PUBLIC = [i for i in range(1, 224) if i not in (10, 100, 127, 169, 172, 192, 198
 _CLASS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "arabic": r"\p{IsArabic}", "hebrew": r"\p{IsHebrew}", "devanagari": r"\p{IsDevanagari}", "han": r"\p{IsHan}", "hangul": r"\p{IsHangul}"}
 _ONE = r"\p{Lu}(?:['’]\p{Lu})?[\p{Ll}\p{M}]{1,40}(?:\p{Lu}[\p{Ll}\p{M}]{1,40})?"
 _END = r"(?![\p{L}\p{M}\p{N}])"
-_SOME = rf"{_ONE}(?:-{_ONE})?"  # within look-behinds
-_NAME = _SOME + _END
+_NAME = rf"{_ONE}(?:-{_ONE})?" + _END
 _CASELESS = r"[\p{IsArabic}\p{IsHebrew}\p{IsDevanagari}]{2,40}" + _END
 _ALL_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 _ALL_TITLES, _BEFORE, _AFTER, _STOP = "|".join(TITLES), "|".join(BEFORE), "|".join(AFTER), "|".join(STOP)
-_ALONE = r"(?<!\p{L})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _HEX = r"[0-9A-Fa-f]{1,4}"
 #: Country codes of telephone numbers, by the first digits.
@@ -95,19 +93,16 @@ KINDS = {
     "ipv6": rf"(?=[0-9A-Fa-f:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\p{{L}}\p{{N}}:])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
 }
-#: Places of names, by what stands around them.
+_TITLED = rf"(?:{_ALL_TITLES})\.? "
+#: Places of names with the words that give them away, from these on, so that nothing looks back.
 NAMES = [
-    rf"(?:{_ALL_GIVEN})(?= {_NAME})",
-    rf"(?<={_ALONE}(?:{_ALL_TITLES})\.? (?:\p{{Lu}}\. ?)?(?:\p{{Lu}}\. ?)?)(?:{_NAME}|{_CASELESS})",
-    rf"(?<={_ALONE}(?:{_ALL_TITLES})\.? {_SOME} ){_NAME}",
-    rf"(?<={_ALONE}(?:{_ALL_GIVEN}) ){_NAME}",
-    rf"(?<={_ALONE}(?:{_BEFORE}) ){_NAME}(?= {_NAME})",
-    rf"(?<={_ALONE}(?:{_BEFORE}) {_SOME} ){_NAME}",
-    rf"(?!(?:{_STOP}){_END}){_NAME}(?= {_SOME} (?:{_AFTER}){_END})",
-    rf"(?<={_ALONE}{_SOME} )(?<!{_ALONE}(?:{_STOP}) ){_NAME}(?= (?:{_AFTER}){_END})",
+    rf"{_TITLED}(?:\p{{Lu}}\. ?){{0,3}}(?:{_NAME}(?: {_NAME})?|{_CASELESS})",
+    rf"(?=\p{{Lu}}\p{{Ll}}+ \p{{Lu}})(?:(?:{_ALL_GIVEN}) )+{_NAME}",
+    rf"(?:{_BEFORE})(?: (?!(?:{_STOP}){_END}){_NAME}){{2}}",
+    rf"(?=\p{{Lu}}[\p{{L}}\p{{M}}'’-]+ \p{{Lu}})(?!(?:{_STOP}){_END}){_NAME} {_NAME}(?= (?:{_AFTER}){_END})",
     r"\p{IsHangul}{2,4}(?= 씨)",
 ]
-_HAN = rf"[{HAN_SURNAMES}]\p{{IsHan}}{{0,2}}?(?={'|'.join(HAN_TITLES)})"
+_HAN = rf"(?=[一-鿿])[{HAN_SURNAMES}]\p{{IsHan}}{{0,2}}?(?={'|'.join(HAN_TITLES)})"
 _LOOKS = {"email": "", "iban": r"(?=[A-Z]{2}\d)", "secret": r"(?=[0-9A-Za-z_-]{20})", "card": r"(?=\d{4})", "ssn": r"(?=\d{3}-)", "phone": r"(?=[\d(+])", "ipv6": r"(?=[0-9A-Fa-f]{1,4}:)"}
 
 
@@ -115,7 +110,7 @@ def _pattern(names: list[str]) -> str:
     """The kinds in order, each behind a cheap look at the next character or two, for nearly every
     place of a text is none of them; names last of all."""
     kinds = "|".join(f"{look}{KINDS[k]}" for k, look in _LOOKS.items())
-    return rf"(?<![\p{{L}}\p{{N}}])(?:{kinds}|(?=[\p{{Lu}}\p{{Lo}}])(?:{'|'.join(names)}))|(?=\d){KINDS['ip']}|{_HAN}"
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{kinds}|(?=\p{{L}})(?:{'|'.join(names)}))|(?=\d){KINDS['ip']}|{_HAN}"
 
 
 PATTERN = _pattern(NAMES)
@@ -124,10 +119,15 @@ WIDE = _pattern([_ONE + _END, _CASELESS, NAMES[-1]])
 
 
 def kind_of(entity: Column) -> Column:
-    chain = F.when(entity.rlike(r"^[\p{L}\p{M}'’-]+$"), F.lit("name"))
-    for kind, pattern in KINDS.items():
-        chain = chain.when(entity.rlike(f"^(?:{pattern})$"), F.lit(kind))
-    return chain.otherwise(F.lit("name"))
+    kinds = [F.when(entity.rlike(f"^(?:{pattern})$"), F.lit(kind)) for kind, pattern in KINDS.items()]
+    return F.coalesce(*kinds, F.lit("name"))
+
+
+def names_in(hit: Column) -> Column:
+    """The names in a place of names, without the words that gave them away; double names in halves."""
+    bare = F.regexp_replace(hit, rf"^(?:{_TITLED}|(?:{_BEFORE}) )", "")
+    each = F.regexp_extract_all(bare, F.lit(rf"{_ONE}|[\p{{IsArabic}}\p{{IsHebrew}}\p{{IsDevanagari}}]{{2,40}}|\p{{IsHan}}+|\p{{IsHangul}}+"), F.lit(0))
+    return F.filter(each, lambda w: ~w.isin([*TITLES, *STOP]))
 
 
 def canonical(kind: Column, entity: Column) -> Column:
@@ -307,10 +307,10 @@ def replace_entities(docs: DataFrame, key: str = "folioforge", id_col: str = "do
     text, every = F.col(text_col), lambda pattern: F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))
     hits = docs.withColumn("__ff_hits", every(PATTERN)).where(F.size("__ff_hits") > 0)
     is_name = lambda e: kind_of(e) == "name"
-    names = F.flatten(F.transform(F.filter("__ff_hits", is_name), lambda e: F.split(e, "-")))
+    names = F.flatten(F.transform(F.filter("__ff_hits", is_name), names_in))
     # the texts that hold entities are kept, so that the pattern runs over all texts once for them
     holding = cut(hits.withColumn("__ff_hash", F.xxhash64(text)).withColumn("__ff_names", F.array_distinct(names)))
-    named = F.size("__ff_names") > 0
+    named = F.exists("__ff_hits", is_name)
     slim = holding.select(F.col(id_col).alias("id"), F.col("__ff_hash").alias("hash"), "__ff_names", F.when(named, every(WIDE)).otherwise(F.col("__ff_hits")).alias("all"))
     places = slim.select("id", "hash", F.posexplode("all").alias("pos", "mention")).withColumn("kind", kind_of(F.col("mention")))
     places = cut(places.withColumn("entity", canonical(F.col("kind"), F.col("mention"))))
