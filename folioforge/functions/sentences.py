@@ -105,6 +105,32 @@ def snap(text: str, start: int, end: int) -> tuple[int, int] | None:
     return (start, end) if end > start else None
 
 
+def snap_near(text: str, start: int, end: int) -> tuple[int, int]:
+    """The span, in UTF-16 units, of the segments that a selection in UTF-16 units touches: those that hold
+    its first unit and its last, or are nearest to them. An empty selection takes one segment."""
+    units = [0]
+    for c in text:
+        units.append(units[-1] + (2 if ord(c) > 0xFFFF else 1))
+    if not text:
+        return 0, 0
+    spans = [(units[a], units[b]) for a, b in segments(text)]
+    start = min(max(start, 0), units[-1])
+    end = min(max(end, start), units[-1])
+
+    def holding(at: int) -> tuple[int, int]:
+        far = lambda s: 0 if s[0] <= at < s[1] else s[0] - at if at < s[0] else at - s[1] + 0.5  # noqa: E731  the segment that holds a unit comes before one that ends there
+        return min(spans, key=far)
+
+    first, last = holding(start), holding(end - 1 if end > start else end)
+    return first[0], max(first[0], last[1])
+
+
+@F.pandas_udf(SPAN)
+def snap_selection_near(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+    found = [None if t is None else snap_near(t, int(a), int(b)) for t, a, b in zip(texts, starts, ends)]
+    return pd.DataFrame({"start": [x and x[0] for x in found], "end": [x and x[1] for x in found]}, dtype="Int64")
+
+
 @F.pandas_udf(STRINGS)
 def split_sentences(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else [t[a:b] for a, b in sentences(t)])

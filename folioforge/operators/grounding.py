@@ -134,3 +134,17 @@ def grounded(passages: DataFrame, terms: DataFrame, model: Callable[[Column], Co
     ).otherwise(prompt("no-substrate", audience=for_whom, passage=F.col("text")))
     answered = joined.withColumn("raw", model(asked)).withColumn("guard", F.when(F.col("resolution") == "curated", F.col("known")))
     return parse_response(answered, "raw", "guard").drop("guard", "known", "substrate_list")
+
+
+def grounded_globally(passages: DataFrame, terms: DataFrame, model: Callable[[Column], Column]) -> DataFrame:
+    """Paraphrase and glossary of passages (passage_id, text, tier) with the terms of the whole lexicon, of each
+    English term the first entry's, instead of one matched entry's. The lexicon is curated and small: its
+    list is one row."""
+    line = F.concat(F.lit("- "), "english", F.lit(" (`"), "substrate", F.lit("`): "), "gloss")
+    mapped = substrate_map(terms)
+    listed = mapped.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("english", line.alias("line")))), lambda x: x["line"]), "\n").alias("listed"))
+    known = mapped.groupBy("substrate").agg(F.max("english").alias("english")).agg(F.map_from_entries(F.collect_list(F.struct("substrate", "english"))).alias("known"))
+    every = listed.crossJoin(known)
+    asked = prompt("curated", author=F.lit("an author of the library"), audience=audience(F.col("tier")), substrate=F.col("listed"), passage=F.col("text"))
+    answered = passages.crossJoin(F.broadcast(every)).withColumn("resolution", F.lit("curated")).withColumn("raw", model(asked))  # one row beside each
+    return parse_response(answered, "raw", "known").drop("known", "listed")

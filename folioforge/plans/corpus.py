@@ -104,14 +104,14 @@ def filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy(failed.alias("outcome")).agg(F.count(F.lit(1)).alias("orders"))
 
 
-def _levels() -> str:
-    level = "SELECT source AS book_id, doc_id AS place, sha256(text) AS h, octet_length(encode(text)) AS bytes, 1 AS chunks FROM documents"
+def levels(rows: str) -> str:
+    """book_id, sha256, bytes and chunks of rows (book_id, place, h, bytes, chunks), hashed in levels."""
     for _ in range(publish.LEVELS):
-        level = f"SELECT book_id, place // {publish.BLOCK} AS place, sha256(string_agg(h, '' ORDER BY place, h)) AS h, sum(bytes) AS bytes, sum(chunks) AS chunks FROM ({level}) GROUP BY book_id, place // {publish.BLOCK}"
-    return f"SELECT book_id, sha256(string_agg(h, '' ORDER BY place, h)) AS sha256, sum(bytes)::BIGINT AS bytes, sum(chunks)::BIGINT AS chunks FROM ({level}) GROUP BY book_id"
+        rows = f"SELECT book_id, place // {publish.BLOCK} AS place, sha256(string_agg(h, '' ORDER BY place, h)) AS h, sum(bytes) AS bytes, sum(chunks) AS chunks FROM ({rows}) GROUP BY book_id, place // {publish.BLOCK}"
+    return f"SELECT book_id, sha256(string_agg(h, '' ORDER BY place, h)) AS sha256, sum(bytes)::BIGINT AS bytes, sum(chunks)::BIGINT AS chunks FROM ({rows}) GROUP BY book_id"
 
 
-_HASHES = _levels()
+_HASHES = levels("SELECT source AS book_id, doc_id AS place, sha256(text) AS h, octet_length(encode(text)) AS bytes, 1 AS chunks FROM documents")
 
 
 def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,13 +46,13 @@ def sentences(source: str, key: str = "doc_id", text: str = "text") -> str:
       ) WHERE regexp_matches(seg, '[\\p{{L}}\\p{{N}}]'))"""
 
 
-def chunks(source: str, least: int = 50, most: int = 512) -> str:
+def chunks(source: str, least: int = 50, most: int = 512, feeds: int = 1) -> str:
     """Common table expressions, recursive ones among them, up to ck: the chunks of the rows of source
-    (doc_id, text), whose paragraphs are apart by one line feed."""
+    (doc_id, text), whose paragraphs are apart by so many line feeds."""
     return f"""
     src AS (SELECT doc_id, text FROM {source}),
-    pa AS (SELECT doc_id, part, coalesce(sum(octet_length(encode(part)) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place, i
-           FROM (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM src))),
+    pa AS (SELECT doc_id, part, coalesce(sum(octet_length(encode(part)) + {feeds}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place, i
+           FROM (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM (SELECT doc_id, string_split(text, repeat(chr(10), {feeds})) AS parts FROM src))),
     pb AS (SELECT doc_id, place + octet_length(encode(part)) - octet_length(encode(regexp_replace(part, '^{WS}+', ''))) AS start, octet_length(encode({bare('part')})) AS size,
                   len({words('part')}) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM pa WHERE {bare('part')} <> ''),
     -- one paragraph after the other: open is where what waits began, at this one if nothing did, and had its words

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place under the shared folder, as a URI."""
+    base = shared_dir(spark)
+    if "://" not in base:
+        base = "file://" + base.removeprefix("file:")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes df once into the shared checkpoint folder and returns a frame that
     reads it: later passes neither recompute nor depend on executors' own disks. Spark deletes the
