@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -70,8 +70,8 @@ def hashed(texts: list[str], size: int = 64, most_words: int = 512) -> np.ndarra
     out = np.zeros((len(texts), size), np.float32)
     for row, text in zip(out, texts):
         for word in text.lower().split()[:most_words]:
-            h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-            row[h % size] += 1 if h >> 31 else -1
+            h = int.from_bytes(hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[8:], "little")
+            row[h % size] += 1 if h >> 63 else -1
     norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return out / np.where(norms > 0, norms, 1)
 

@@ -14,7 +14,7 @@ from folioforge.functions import text as T
 from folioforge.functions.vectors import embed, pack_half
 from folioforge.operators import bm25, dense, evaluation, fusion, search
 from folioforge.plans.registry import query
-from folioforge.plans.text import WORD, docs
+from folioforge.plans.text import WORD, WS, docs
 from folioforge.session import table
 
 QUERIES = [(0, "the of and"), (50, "que la de"), (100, "der die und"), (150, "License version 3"), (200, ""), (250, "All rights reserved."), (300, "un pas des les, un")]
@@ -318,8 +318,15 @@ def eval_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.records(search.titled(_search(spark, sf_dir), titles), 5)
 
 
-@query()
+@query(
+    f"""WITH w AS (SELECT doc_id, md5_number_lower(unnest((list_filter(regexp_split_to_array(lower(text), '{WS}+'), lambda x: x <> ''))[1:512])) AS h FROM documents),
+    c AS (SELECT doc_id, h % 64 AS place, sum(CASE WHEN h >> 63 = 1 THEN 1 ELSE -1 END) AS v FROM w GROUP BY ALL)
+    SELECT d.doc_id, 64 AS size, 128 AS bytes, count(*) FILTER (v > 0) AS positive, count(*) FILTER (v < 0) AS negative, CAST(coalesce(sum((CAST(place AS INT) + 1) * sign(v)), 0) AS BIGINT) AS signs FROM documents d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id"""
+)
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of all documents by the stand-in model, packed as half-precision bytes."""
+    """Vectors of all documents by the stand-in model, and their size as half-precision bytes. The first 512
+    words count, as the model that it stands in for reads so many tokens."""
     vectors = docs(spark, sf_dir).select("doc_id", embed(F.col("text")).alias("v"))
-    return vectors.select("doc_id", F.size("v").alias("size"), F.length(pack_half("v")).alias("bytes"))
+    count = lambda f: F.size(F.filter("v", f)).cast("long")
+    signs = F.aggregate(F.transform("v", lambda x, i: (i + 1) * F.signum(x).cast("int")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return vectors.select("doc_id", F.size("v").alias("size"), F.length(pack_half("v")).alias("bytes"), count(lambda x: x > 0).alias("positive"), count(lambda x: x < 0).alias("negative"), signs.alias("signs"))
