@@ -69,7 +69,7 @@ def repeat_words(v: Column) -> Column:
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Counts of every row; windows are compared by 64-bit hashes within one text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hits = lambda pattern: F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).cast("long")
+    hits = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
     of_words = let(
         words(F.col(text_col)),
         lambda v: F.struct(
@@ -86,7 +86,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(source_col).alias("source"),
         of_words.alias("w"),
         of_lines.alias("l"),
-        hits(r"[#*$%&|<>]").alias("n_symbols"),
+        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         hits(r"\p{Lu}").alias("n_upper"),
         hits(r"[\p{P}\p{S}]").alias("n_marks"),
     )
