@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from folioforge.session import cut
 
 ROUNDS = 6
+#: Rows of a range at most, about.
+RANGE_ROWS = 4_000_000
 _M1, _M2, _GOLD = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 
 
@@ -80,7 +82,7 @@ def _permuted(row: Column, n: int, seed: int) -> Column:
 
 def number_rows(rows: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
     """rows with a column of global row numbers 0..N-1 in the given order, and N."""
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
     ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     placed = cut(ranged.withColumn("__ff_at", F.monotonically_increasing_id()))
     part = F.shiftright("__ff_at", 33)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from folioforge.session import cut, remove_path, shared_dir
+from folioforge.session import cut, remove_path, scratch
 
 END_ID = 1
 LENGTH = 2048
@@ -326,8 +326,7 @@ def read_tokens(spark: SparkSession, path: str, id_type: str = "long") -> DataFr
 def round_trip(docs: DataFrame, tokenizer_file: str, length: int = LENGTH) -> DataFrame:
     """Writes docs as token files in the shared folder, reads them back, and removes them."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    path = path if "://" in path else f"file://{path}"
+    path = scratch(spark, "tokens")
     try:
         write_tokens(docs, path, tokenizer_file, length)
         return cut(read_tokens(spark, path, docs.schema["doc_id"].dataType.simpleString()))

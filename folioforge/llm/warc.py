@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.session import broadcast_if_small, cut, remove_path, shared_dir
+from folioforge.session import broadcast_if_small, cut, remove_path, scratch
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -286,8 +286,7 @@ def resolved(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
     """Writes pages into archives in the shared folder, reads them back, and removes them."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    path = path if "://" in path else f"file://{path}"
+    path = scratch(spark, "warc")
     try:
         write_warc(pages, path, least)
         return cut(resolved(cut(read_warc(spark, path, id_type=pages.schema["page_id"].dataType.simpleString()).drop("html"))))
