@@ -18,11 +18,11 @@ from folioforge.session import broadcast_if_small
 PREFIX = 300
 ENTRY = "array<struct<term:string,gloss:string,substrate_term:string>>"
 
-# Who each tier is for. Prompts take these and a passage.
+#: Whom each tier writes for. Prompts take these and a passage.
 AUDIENCE = {
-    "simple": "a curious 15-year-old encountering philosophy for the first time. Use short sentences and common words. Avoid jargon. Stay strictly within the passage: do not invent characters, relationships, or details that are not in the source text. Do not add commentary about the passage itself (e.g. 'the passage stops there'). If the passage mentions a mother, do not write father; if it mentions an accident at sea, do not generalise to 'an accident'.",
-    "standard": "a university undergraduate in their first philosophy course. Standard sentence structure, accessible academic English. Stay grounded in the passage: do not introduce facts, characters, or examples that are not in the source text.",
-    "scholarly": "a graduate student or scholar comfortable with technical philosophical prose. Complex sentence structure, full register, sustained argument. Stay grounded in the passage: every claim in the paraphrase must trace to a claim in the source text.",
+    "simple": "readers of about fifteen who have read no philosophy. Write plainly, in short sentences. Say only what the passage says: no persons, ties or details of your own, nothing made vaguer or more general, and no remarks about the passage.",
+    "standard": "students in a first course of philosophy. Write clear academic English and add no facts, persons or examples.",
+    "scholarly": "readers at home in technical philosophical prose. Keep its register and the whole of its argument; each claim must be one that the passage makes.",
 }
 FORM = 'Answer in this form:\n\nPARAPHRASE:\n[the paraphrase]\n\nGLOSSARY:\n- term (`original term`): meaning\n\nPASSAGE:\n"""\n{passage}\n"""\n'
 PROMPTS = {
