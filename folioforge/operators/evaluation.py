@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import one_line
+from folioforge.functions.text import one_line, trim
+from folioforge.functions.vectors import embed, hashed
+from folioforge.operators import search
+from folioforge.session import cut
+from folioforge.sources.readers import write_jsonl
 
 
 def marked(hits: DataFrame, expected: DataFrame) -> DataFrame:
@@ -60,3 +66,21 @@ def records(hits: DataFrame, limit: int = 10) -> DataFrame:
 def report(measured: DataFrame) -> DataFrame:
     """Queries by rank, those without one last."""
     return measured.orderBy(F.col("expected_rank").asc_nulls_last(), "query_id")
+
+
+def run(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, model: Callable = hashed, n: int = 50, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An evaluation: hits, the measures of each query, and their summary. queries: query_id, kind (phrase,
+    topical or adversarial), query, expected_ids. A blank query isn't searched for and has no hits.
+    model: what gives texts their vectors; how: the ways of a search."""
+    asked = queries.where(trim(F.col("query")) != "")
+    found = search.search(asked.select("query_id", "query"), chunks, vectors, asked.select("query_id", embed(F.col("query"), model).alias("embedding")), n=n, **how)
+    kinds, expected = expecting(queries)
+    hits = cut(marked(found, expected))
+    measured = per_query(kinds, hits)
+    return hits, measured, summary(kinds, measured, hits)
+
+
+def write_results(hits: DataFrame, measured: DataFrame, summed: DataFrame, path: str) -> None:
+    """The results as JSON lines: the summary, the queries by rank, and their first hits."""
+    for name, rows in (("summary", summed), ("queries", report(measured)), ("hits", records(hits).orderBy("query_id", "rank"))):
+        write_jsonl(rows, f"{path}/{name}")
