@@ -111,6 +111,8 @@ class Lattice:
             self.bytes[i] = piece.replace(SPACE, " ").encode()
         for b, i in self.byte_ids.items():
             self.bytes[i] = bytes([b])
+        self.sizes = np.array(list(map(len, self.bytes)), np.int64)
+        self.starts, self.flat = self.sizes.cumsum() - self.sizes, np.frombuffer(b"".join(self.bytes), np.uint8)
         prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         keys = {self._hash(p): self.ids.get(p, -1) for p in prefixes}
         if len(keys) != len(prefixes):
@@ -383,9 +385,21 @@ _lattices: dict[tuple[str, str], Lattice] = {}
 FIELDS = "ids array<int>, n_tokens long, score double, nbest_scores array<double>, nbest_tokens array<long>, nbest_crc32 array<long>, round_trip boolean"
 
 
-def round_trips(lattice: Lattice, text: str | None, arrays: list[np.ndarray]) -> bool:
-    """Whether every segmentation decodes to the text."""
-    return all(lattice.decode(x) == (text or "") for x in arrays)
+def round_trips(lattice: Lattice, text: str | None, arrays: list[np.ndarray], at_once: int = 1 << 20) -> bool:
+    """Whether every segmentation decodes to the text: the bytes of all their pieces, put in a row,
+    against the text's, as often as there are segmentations."""
+    if not text:
+        return not any(len(x) for x in arrays)
+    want = (" " + text).encode("utf-8", "surrogatepass")
+    if len(want) * len(arrays) > at_once:
+        return all(lattice.decode(x) == text for x in arrays)
+    ids = np.concatenate(arrays)
+    sizes = lattice.sizes[ids]
+    ends = sizes.cumsum()
+    if (ends[np.cumsum([len(x) for x in arrays]) - 1] != len(want) * np.arange(1, len(arrays) + 1)).any():
+        return False
+    places = np.repeat(lattice.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1])
+    return lattice.flat[places].tobytes() == want * len(arrays)
 
 
 def encode_documents(docs: DataFrame, model_file: str, nbest: int = 4, scores: str = "zipf", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

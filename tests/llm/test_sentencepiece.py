@@ -75,8 +75,12 @@ def test_empty_and_scores_of_the_file(spark, empty):
 def test_round_trip_reads_every_segmentation(lattice):
     arrays = [np.frombuffer(x, "<u2") for _, x in next(iter(lattice.encode(["the end"], 4)))]
     assert len(arrays) == 4 and S.round_trips(lattice, "the end", arrays)
-    for k in range(4):
-        assert not S.round_trips(lattice, "the end", [x[:-1] if i == k else x for i, x in enumerate(arrays)])
+    for at_once in (1, 1 << 20):
+        for k in range(4):
+            assert not S.round_trips(lattice, "the end", [x[:-1] if i == k else x for i, x in enumerate(arrays)], at_once)
+            assert not S.round_trips(lattice, "the enc", arrays, at_once) and S.round_trips(lattice, "the end", arrays, at_once)
+        swapped = [np.concatenate((arrays[0], arrays[1][:1])), arrays[1][1:], *arrays[2:]]  # the same pieces in all, but not the same texts
+        assert not S.round_trips(lattice, "the end", swapped, at_once)
 
 
 def test_other_normalizers_are_refused(tmp_path):
