@@ -19,9 +19,16 @@ from folioforge.plans.corpus import levels
 from folioforge.plans.grounding import TERMS, _judged
 from folioforge.plans.registry import query
 from folioforge.plans.text import _LINE_PS, WORD, canonical_sql, docs
-from folioforge.session import scratch, table
+from folioforge.session import cut, remove_path, scratch, table
 from folioforge.sources import readers, writers
 
+def _read(rows: DataFrame, path: str) -> DataFrame:
+    """rows, which come from the files under path, computed; then the files go."""
+    out = cut(rows)
+    remove_path(rows.sparkSession, path)
+    return out
+
+
 _NUMBER = "CAST(substr(source, 4) AS INT)"
 _GIVEN = "documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL"
 
@@ -51,7 +58,7 @@ def catalogue_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "catalogue")
     _write_catalogue(_books(spark, sf_dir), path)
     found = readers.read_catalogue(spark, path)
-    return found.select(F.col("book_id").cast("long").alias("book_id"), "type", "title", "language", "authors", "locc", "bookshelves")
+    return _read(found.select(F.col("book_id").cast("long").alias("book_id"), "type", "title", "language", "authors", "locc", "bookshelves"), path)
 
 
 _RDF = "<rdf xmlns:m='urn:marc'><m:trl><m:agent><m:name> {} </m:name><m:birthdate>{}</m:birthdate><m:deathdate>1999</m:deathdate></m:agent></m:trl>{}"
@@ -73,7 +80,7 @@ def rdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "rdf")
     writers.write_files(_rdf(_books(spark, sf_dir), table(spark, sf_dir, "labels")), path)
     found = readers.read_rdf(spark, path).withColumn("t", F.get("translators", F.lit(0)))
-    return found.select(F.col("book_id").cast("long").alias("book_id"), F.col("translators").isNotNull().alias("readable"), "t.name", "t.birth_year", "t.death_year")
+    return _read(found.select(F.col("book_id").cast("long").alias("book_id"), F.col("translators").isNotNull().alias("readable"), "t.name", "t.birth_year", "t.death_year"), path)
 
 
 def _item(lines: Column) -> Column:
@@ -100,7 +107,8 @@ _REST = "CASE WHEN contains(text, chr(10)) THEN substr(text, position(chr(10) IN
 def epub_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "epub")
     writers.write_files(_epubs(_books(spark, sf_dir)), path)
-    return readers.read_epub(spark, path).select(F.col("book_id").cast("long").alias("book_id"), F.col("item").cast("long").alias("item"), T.content_hash(F.col("html")).alias("html_sha256"))
+    items = readers.read_epub(spark, path).select(F.col("book_id").cast("long").alias("book_id"), F.col("item").cast("long").alias("item"), T.content_hash(F.col("html")).alias("html_sha256"))
+    return _read(items, path)
 
 
 @query("SELECT doc_id, sha256(text) AS text_sha256, lang, source, n_chars FROM documents")
@@ -108,7 +116,7 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "jsonl")
     readers.write_jsonl(docs(spark, sf_dir).select("doc_id", "text", "lang", "source", "n_chars"), path)
     found = readers.read_jsonl(spark, path, "doc_id long, text string, lang string, source string, n_chars long")
-    return found.select("doc_id", T.content_hash(F.col("text")).alias("text_sha256"), "lang", "source", "n_chars")
+    return _read(found.select("doc_id", T.content_hash(F.col("text")).alias("text_sha256"), "lang", "source", "n_chars"), path)
 
 
 _BAD_FILE = "source: [\n  what\n"
@@ -132,7 +140,7 @@ def lexicon_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = readers.read_lexicon(spark, path).select("file", "entry_id", "fingerprint", "author", F.explode("terms").alias("t")).select("file", "entry_id", "fingerprint", "author", "t.english", "t.substrate", "t.gloss")
     none = F.lit(None).cast("string")
     refused = readers.refused_lexicon_files(spark, path).select("file", *[none.alias(c) for c in ("entry_id", "fingerprint", "author", "english", "substrate", "gloss")])
-    return found.unionByName(refused)
+    return _read(found.unionByName(refused), path)
 
 
 @query("SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'phrase' WHEN 1 THEN 'topical' ELSE 'adversarial' END AS kind, left(text, 30) AS query, item_id % 3 = 0 AS expects FROM benchmark")
@@ -145,7 +153,7 @@ def eval_query_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = readers.read_eval_queries(spark, path)
     items = b.select(F.col("item_id").alias("item"), F.substring("text", 1, 30).alias("q"), F.element_at(F.array(*map(F.lit, ("phrase", "topical", "adversarial"))), (F.col("item_id") % 3 + 1).cast("int")).alias("k"))
     joined = found.join(items, (found["query"] == items["q"]) & (found["kind"] == items["k"]))
-    return joined.select(F.col("item").alias("query_id"), "kind", "query", (F.size("expected_ids") > 0).alias("expects")).distinct()
+    return _read(joined.select(F.col("item").alias("query_id"), "kind", "query", (F.size("expected_ids") > 0).alias("expects")).distinct(), path)
 
 
 @query("SELECT item_id AS book_id, ['reality', 'meaning'] AS themes, CASE WHEN item_id % 2 = 0 THEN 'duplicate' END AS reason FROM benchmark")
@@ -155,7 +163,7 @@ def themes_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = b.agg(F.collect_list(F.struct("book_id", F.array(F.lit("reality"), F.lit("meaning")).alias("themes"))).alias("assignments"), F.collect_list(F.when(F.col("item_id") % 2 == 0, F.struct("book_id", F.lit("duplicate").alias("reason")))).alias("dropped"))
     one.withColumn("themes", themes).coalesce(1).write.json(path)
     _, assigned, dropped = readers.read_themes(spark, path)
-    return assigned.join(dropped, "book_id", "left").select(F.col("book_id").cast("long").alias("book_id"), "themes", "reason")
+    return _read(assigned.join(dropped, "book_id", "left").select(F.col("book_id").cast("long").alias("book_id"), "themes", "reason"), path)
 
 
 #: A number rounded to 11 significant bits, to even, as half precision keeps it.
@@ -173,7 +181,7 @@ def packed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
     ids = e.select(F.col("label").cast("string").alias("of"), "label", "vec_id").withColumn("place", order.cast("long"))
     joined = found.join(ids, (found["book"] == ids["of"]) & (found["chunk_ord"] == ids["place"]))
-    return joined.select(F.col("label").alias("book"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return _read(joined.select(F.col("label").alias("book"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")), path)
 
 
 def _inputs(spark: SparkSession, sf_dir: str, path: str) -> build.Inputs:
@@ -190,8 +198,9 @@ _YEAR = f"CASE WHEN doc_id IN (SELECT doc_id FROM {_TOXIC}) THEN 1999 ELSE 1940
 
 @query(f"SELECT doc_id AS book_id, CASE WHEN {_YEAR} <= {catalogue.CUTOFF} THEN 'kept' ELSE 'too-recent' END AS decision, CASE WHEN {_YEAR} <= {catalogue.CUTOFF} THEN 'OriginalLanguagePublicDomain' END AS reason FROM {_GIVEN} AND lang = 'en'")
 def build_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = build.decided(spark, _inputs(spark, sf_dir, scratch(spark, "build")))
-    return found.select(F.col("book_id").cast("long").alias("book_id"), "decision", "reason")
+    path = scratch(spark, "build")
+    found = build.decided(spark, _inputs(spark, sf_dir, path))
+    return _read(found.select(F.col("book_id").cast("long").alias("book_id"), "decision", "reason"), path)
 
 
 _META = " OR ".join(f"contains(x, '{x}')" for x in xhtml.METADATA)
@@ -210,7 +219,7 @@ def build_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = build.build(spark, _inputs(spark, sf_dir, out), out, least_kept=1)
     again = build.verified(spark, out)
     joined = rows.join(again, "book_id", "left").withColumn("shard", F.coalesce("outcome", F.lit("as declared")))
-    return joined.select(F.col("book_id").cast("long").alias("book_id"), "sha256", "bytes", "chunks", "title", "locc", "tradition", "shard")
+    return _read(joined.select(F.col("book_id").cast("long").alias("book_id"), "sha256", "bytes", "chunks", "title", "locc", "tradition", "shard"), out)
 
 
 def _answers() -> tuple:
@@ -236,7 +245,7 @@ def harvest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     clusters, _ = harvest.harvested(chunks, identify, gloss, judge.overlap, spark.createDataFrame([("The",), ("la",)], "term string"))
     path = scratch(spark, "harvest")
     readers.write_jsonl(clusters, path)
-    return readers.read_jsonl(spark, path, clusters.schema.simpleString().removeprefix("struct<").removesuffix(">"))
+    return _read(readers.read_jsonl(spark, path, clusters.schema.simpleString().removeprefix("struct<").removesuffix(">")), path)
 
 
 @query("SELECT conv_id || '/' || turn AS passage_id, 'curated' AS resolution, 1 AS entries, 'function' AS term FROM conversations WHERE text IS NOT NULL")
