@@ -15,7 +15,7 @@ from folioforge.functions.vectors import embed, pack_half
 from folioforge.operators import bm25, dense, evaluation, fusion, search
 from folioforge.plans.registry import query
 from folioforge.plans.text import WORD, WS, docs
-from folioforge.session import table
+from folioforge.session import cut, table
 
 QUERIES = [(0, "the of and"), (50, "que la de"), (100, "der die und"), (150, "License version 3"), (200, ""), (250, "All rights reserved."), (300, "un pas des les, un")]
 PHRASES = [("all rights reserved", [3, 1, 77], 0), ("released under the mit license", [5], 1), ("rights", [8], 2)]
@@ -62,7 +62,8 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
     fixed = F.create_map(*[F.lit(x) for q in QUERIES for x in q])[F.col("query_id").cast("int")]
     first = F.array_join(F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, 5), " ")
-    return ids.join(docs(spark, sf_dir), F.col("doc_id") == F.col("query_id"), "left").select("query_id", F.coalesce(fixed, first).alias("query"))
+    # a few words each, read in several places
+    return cut(ids.join(table(spark, sf_dir, "documents"), F.col("doc_id") == F.col("query_id"), "left").select("query_id", F.coalesce(fixed, first).alias("query")))
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
