@@ -4,7 +4,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use themselves.
-CLASHES = "size long, kept boolean, key string, run int, fp long, pos int, entity string, level int, bucket int, n_words long, score double, budget double, epochs int, html string"
+CLASHES = "size long, kept boolean, key string, run int, fp long, pos int, entity string, level int, bucket int, n_words long, score double, budget double, epochs int, html string, kind string, node long, hash long, id long, mention string, surrogate string, all int, new string, hit int, range string, place long, limits string, share double, of_lang string, failed string, hits int, n_entities string, wide string, bits int, part long"
 
 
 def make(spark, rows, clashes=False):
