@@ -195,16 +195,22 @@ def _apart(size: np.ndarray, node: np.ndarray, bits: np.ndarray, part: np.ndarra
             yield np.minimum(node[at], node[k]), np.maximum(node[at], node[k])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 4_000) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, for the sets of all rows of one are held at once."""
+    for batch in batches:
+        yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 _PRINTS = ["kind", "doc_id", "node", "hash", "size", "fp", "bits", "wide"]
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, of_batch: int = 5_000) -> DataFrame:
-    """_PRINTS of every row (kind 0), and the shingles (node) that are common within Arrow batches
-    with their counts (size; kind 1), so that all texts are read once for both."""
+    """_PRINTS of every row (kind 0), and the shingles (node) that are common within some thousand
+    rows with their counts (size; kind 1), so that all texts are read once for both."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             n = batch.num_rows
             sets = list(shingle_sets(batch.column(1).to_pylist()))
             made = [[node_of(x) for x in sets], batch.column(2), [len(x) for x in sets], [fingerprint(x) for x in sets]]
@@ -317,7 +323,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = every.where("kind = 0")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out = {node_of(s): prefix(s, *shared.value) for s in shingle_sets(batch.column(0).to_pylist())}
             if out:
                 columns = np.concatenate(list(out.values())).view(np.int64), np.repeat(np.array(list(out), np.int64), [len(p) for p in out.values()])

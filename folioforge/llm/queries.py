@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.llm import exact_dedup, language_id, mixing, pii, quality, sentencepiece_nbest, sharding, simhash, sql, token_files, warc
-from folioforge.session import texts
+from folioforge.session import table, texts
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,8 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(texts(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    # rows are dealt anew there, so they needn't be here
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,7 +78,7 @@ def check_normalizer(model: bytes) -> None:
 class Lattice:
     """A model file's pieces and the searches over them."""
 
-    def __init__(self, model_file: str, scores: str = "zipf", most: int = 400_000):
+    def __init__(self, model_file: str, scores: str = "zipf", most: int = 250_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -412,8 +412,8 @@ def encode_documents(docs: DataFrame, model_file: str, nbest: int = 4, scores: s
             _lattices[model_file, scores] = Lattice(model_file, scores)
         lattice = _lattices[model_file, scores]
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                rows = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 1000):
+                rows = batch.slice(at, 1000)
                 texts = rows.column(1).to_pylist()
                 flat, counts, best, each, tokens, sums, same = [], [], [], [], [], [], []
                 for text, found in zip(texts, lattice.encode(texts, nbest)):
