@@ -1,7 +1,7 @@
 """Surrogates for personal data and secrets.
 
 Detected entities (one pattern, matched from left to right): e-mail addresses, IBANs,
-payment cards, social security numbers, telephone numbers, IPv4 and IPv6 addresses, long
+payment cards (first digit 2 to 6, Luhn check passed; other numbers stay), social security numbers, telephone numbers, IPv4 and IPv6 addresses, long
 hex secrets and common key formats, and names. Names are found by context and shape: after a
 title (of several languages and scripts), a given name of a small lexicon before a
 capitalised word, words such as "my name is" before two capitalised words, or words such as
@@ -87,9 +87,9 @@ KINDS = {
     "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "secret": r"(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,})(?![\p{L}\p{N}])",
-    "card": r"(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
+    "card": r"[2-6](?:\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}|\d{3}[ -]\d{6}[ -]\d{5})(?!\d)",
     "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)",
+    "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d|\.\d)",
     "ipv6": rf"(?=[0-9A-Fa-f:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\p{{L}}\p{{N}}:])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
 }
@@ -103,7 +103,7 @@ NAMES = [
     r"\p{IsHangul}{2,4}(?= 씨)",
 ]
 _HAN = rf"(?=[一-鿿])[{HAN_SURNAMES}]\p{{IsHan}}{{0,2}}?(?={'|'.join(HAN_TITLES)})"
-_LOOKS = {"email": "", "iban": r"(?=[A-Z]{2}\d)", "secret": r"(?=[0-9A-Za-z_-]{20})", "card": r"(?=\d{4})", "ssn": r"(?=\d{3}-)", "phone": r"(?=[\d(+])", "ipv6": r"(?=[0-9A-Fa-f]{1,4}:)"}
+_LOOKS = {"email": "", "iban": r"(?=[A-Z]{2}\d)", "secret": r"(?=[0-9A-Za-z_-]{20})", "card": r"(?=[2-6]\d{3})", "ssn": r"(?=\d{3}-)", "phone": r"(?=[\d(+])", "ipv6": r"(?=[0-9A-Fa-f]{1,4}:)"}
 
 
 def _pattern(names: list[str]) -> str:
@@ -119,8 +119,10 @@ WIDE = _pattern([_ONE + _END, _CASELESS, NAMES[-1]])
 
 
 def kind_of(entity: Column) -> Column:
-    kinds = [F.when(entity.rlike(f"^(?:{pattern})$"), F.lit(kind)) for kind, pattern in KINDS.items()]
-    return F.coalesce(*kinds, F.lit("name"))
+    """The kind of a match; `none` for numbers that look like cards and fail the Luhn check."""
+    kinds = {kind: F.lit(kind) for kind in KINDS}
+    kinds["card"] = F.when(F.call_function("luhn_check", F.regexp_replace(entity, r"\D", "")), F.lit("card")).otherwise(F.lit("none"))
+    return F.coalesce(*[F.when(entity.rlike(f"^(?:{KINDS[k]})$"), said) for k, said in kinds.items()], F.lit("name"))
 
 
 def names_in(hit: Column) -> Column:
@@ -317,12 +319,12 @@ def replace_entities(docs: DataFrame, key: str = "folioforge", id_col: str = "do
     own = slim.select("id", "hash", F.explode("__ff_names").alias("entity")).distinct()
     # entities are few bytes but much work each: AQE would put them into one task
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = places.where("kind <> 'name'").select("kind", "entity").unionByName(own.select(F.lit("name").alias("kind"), "entity")).distinct()
+    found = places.where("kind not in ('name', 'none')").select("kind", "entity").unionByName(own.select(F.lit("name").alias("kind"), "entity")).distinct()
     known = assign_surrogates(cut(found.repartition(parts)), key)
     own = own.join(known.where("kind = 'name'").drop("kind"), "entity").select(F.col("id").alias("own_id"), F.col("hash").alias("own_hash"), F.col("entity").alias("own"), "surrogate")
-    others = places.where("kind <> 'name'").join(known, ["kind", "entity"])
+    others = places.where("kind not in ('name', 'none')").join(known, ["kind", "entity"])
     others = others.select("id", "hash", "pos", rendered(F.col("kind"), F.col("mention"), F.col("entity"), F.col("surrogate")).alias("new"), F.lit(1).alias("hit"))
-    words = places.where("kind = 'name'")
+    words = places.where("kind in ('name', 'none')")
     words = words.join(own, words["id"].eqNullSafe(own["own_id"]) & (words["hash"] == own["own_hash"]) & (words["entity"] == own["own"]), "left")
     words = words.select("id", "hash", "pos", F.coalesce("surrogate", "mention").alias("new"), F.when(F.col("surrogate").isNotNull(), 2).otherwise(0).alias("hit"))
     swaps = others.unionByName(words).groupBy(F.col("id").alias("__ff_id"), F.col("hash").alias("__ff_of")).agg(F.sort_array(F.collect_set(F.struct("pos", "new", "hit"))).alias("__ff_new"))
