@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import exact_dedup, language_id, mixing, pii, quality, sentencepiece_nbest, sharding, simhash, sql, token_files, warc
+from folioforge.llm import divergence, exact_dedup, language_id, mixing, packing, pii, quality, sentencepiece_nbest, sharding, simhash, spelling, sql, token_files, warc
 from folioforge.session import table, texts
 
 
@@ -55,6 +55,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(texts(spark, sf_dir, "documents")).drop("row_number")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(texts(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(texts(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(texts(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
@@ -148,8 +160,10 @@ FROM w
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [op1_mixing, op2_exact_dedup, op3_quality, op4_pii, op5_sentencepiece, op6_token_files, op7_simhash, op8_language_id, op9_warc, op10_sharding]
+    named += [op11_spelling, op12_packing, op13_divergence]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": sql.mixing_sql(), "op2_exact_dedup": OP2_SQL, "op3_quality": OP3_SQL, "op9_warc": OP9_SQL, "op10_sharding": sql.sharding_sql()}
+    found = {"op1_mixing": sql.mixing_sql(), "op2_exact_dedup": OP2_SQL, "op3_quality": OP3_SQL, "op9_warc": OP9_SQL, "op10_sharding": sql.sharding_sql()}
+    return found | {"op11_spelling": sql.SPELLING, "op13_divergence": sql.DIVERGENCE}

@@ -104,3 +104,67 @@ WITH RECURSIVE d AS (
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(x % {shards} AS INT) AS shard, CAST(x // {shards} AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
 FROM p JOIN walk USING (rn) WHERE x < n
 """
+
+
+#: Every near pair by a join of words without one letter each, forms by rank, chains by recursion.
+SPELLING = rf"""
+WITH RECURSIVE d AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), o AS (
+  SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS times FROM d GROUP BY ALL
+), c AS (
+  SELECT w, times, xor({_CRC}, 4294967295) AS h FROM (SELECT w, times, encode(id || ':' || w) AS b FROM o WHERE length(w) >= 5), (SELECT {_TABLE} AS crc)
+), v AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 97 = 0 THEN w[1:CAST(h % length(w) AS INT)] || w[CAST(h % length(w) AS INT) + 2:] ELSE w END AS word, times FROM c)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3
+), g AS (
+  SELECT word, n, i, word[1:i] AS before, word[i + 2:] AS after FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)
+), p AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM g a JOIN g b ON a.before = b.before AND a.after = b.after AND a.word <> b.word
+  UNION SELECT g.word, v.word, v.n FROM g JOIN v ON v.word = g.before || g.after
+  UNION SELECT v.word, g.word, g.n FROM g JOIN v ON v.word = g.before || g.after
+), r AS (
+  SELECT word, other, other_n, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS at, count(*) OVER (PARTITION BY word) AS n_near FROM p
+), f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * v.n THEN other END AS form, CASE WHEN other_n >= 2 * v.n THEN other_n END AS form_n
+  FROM v LEFT JOIN r ON r.word = v.word AND r.at = 1
+), walk AS (
+  SELECT word, word AS root FROM f
+  UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, walk.root, f.n, f.n_near, f.form_n
+FROM f JOIN walk ON walk.word = f.word JOIN f e ON e.word = walk.root WHERE e.form IS NULL
+"""
+
+#: Every count of every kept term in every group, zeros too, and all pairs of groups.
+DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), t AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), k AS (
+  SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), n AS (
+  SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL
+), c AS (
+  SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN n USING (lang, source, term)
+), p AS (
+  SELECT *, CAST(1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS BIGINT) AS p FROM c
+), q AS (
+  SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS BIGINT) AS p
+  FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL)
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(sum(abs(x.p - y.p)), 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+), terms AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, p.p - q.p AS value FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.p
+)
+SELECT lang, source, part, item, value, CAST(rank AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+) WHERE part = 'pair' OR rank <= 50
+"""
