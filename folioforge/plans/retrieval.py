@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 from folioforge.functions.vectors import embed, pack_half
-from folioforge.operators import bm25, dense, evaluation, fusion, search
+from folioforge.operators import bm25, dense, evaluation, fusion, inverted, search
 from folioforge.plans.registry import query
 from folioforge.plans.text import WORD, WS, docs
-from folioforge.session import cut, table
+from folioforge.session import cut, once, scratch, table
 
 QUERIES = [(0, "the of and"), (50, "que la de"), (100, "der die und"), (150, "License version 3"), (200, ""), (250, "All rights reserved."), (300, "un pas des les, un")]
 PHRASES = [("all rights reserved", [3, 1, 77], 0), ("released under the mit license", [5], 1), ("rights", [8], 2)]
@@ -80,13 +80,24 @@ def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> inverted.InvertedIndex:
+    """The index of the documents as chunks, built by the first search of a session that needs it."""
+
+    def built() -> inverted.InvertedIndex:
+        keyed = _chunks(spark, sf_dir).select(F.struct("book_id", "chunk_id", "vec_id").alias("key"), "book_id", "text")
+        return inverted.build(keyed, scratch(spark, "index"), "key", "text", "book_id")
+
+    return once(spark, "index", table(spark, sf_dir, "documents"), built)
+
+
 @query(f"WITH {_bm25_sql('source')} SELECT scope, n AS n_docs, round(avg_dl, 6) AS avg_dl FROM st")
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.corpus_stats(docs(spark, sf_dir), "doc_id", "text", "source").withColumn("avg_dl", F.round("avg_dl", 6))
 
 
 def _bm25_top(spark: SparkSession, sf_dir: str, scope: str | None) -> DataFrame:
-    scored = bm25.score(docs(spark, sf_dir), _asked(spark, sf_dir), "doc_id", "text", scope)
+    found = _index(spark, sf_dir).search(_asked(spark, sf_dir), 20, scope is not None).rows
+    scored = found.select("query_id", F.col("id.vec_id").alias("doc_id"), "score")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(best)).where("rank <= 20").select("query_id", "doc_id", "score", "rank")
 
@@ -135,8 +146,8 @@ def _lanes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     near = dense.score(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     near = near.withColumn("r", F.row_number().over(best)).where("r <= 500").join(_chunks(spark, sf_dir).drop("text"), "vec_id").select(*fusion.KEY, "score")
-    words = bm25.score(_chunks(spark, sf_dir).withColumn("key", F.struct("book_id", "chunk_id")), _asked(spark, sf_dir), "key", "text", "book_id")
-    return near, fusion.top(words.select("query_id", "key.*", "score"), 500).drop("rank")
+    words = _index(spark, sf_dir).search(_asked(spark, sf_dir), 500).rows
+    return near, fusion.top(words.select("query_id", "id.book_id", "id.chunk_id", "score"), 500).drop("rank")
 
 
 def _fused(spark: SparkSession, sf_dir: str, mode: str, **how) -> DataFrame:
@@ -216,7 +227,7 @@ def phrase_guard_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
-    return search.search(_asked(spark, sf_dir), _chunks(spark, sf_dir), _vectors(spark, sf_dir), _query_vectors(spark, sf_dir), **how)
+    return search.search(_asked(spark, sf_dir), _chunks(spark, sf_dir), _vectors(spark, sf_dir), _query_vectors(spark, sf_dir), index=_index(spark, sf_dir), **how)
 
 
 _HITS = "query_id, rank, book_id, chunk_id, score, dense_score, bm25_score"

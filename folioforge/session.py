@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "folioforge") -> SparkSession:
     """A session for tests and local runs; a cluster passes its own session instead."""
@@ -79,3 +83,15 @@ def texts(spark: SparkSession, sf_dir: str, name: str, small: int = 1 << 30) ->
     cores = spark.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if len(df.inputFiles()) < cores and size < small else df
+
+
+_kept: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, name: str, source: DataFrame, build: Callable[[], T]) -> T:
+    """What build gives for the files of source, built once in an application."""
+    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    key = (spark.sparkContext.applicationId, name, size, *sorted(source.inputFiles()))
+    if key not in _kept:
+        _kept[key] = build()
+    return _kept[key]
