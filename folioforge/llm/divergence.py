@@ -5,12 +5,13 @@ of at least `least` of its documents. Each source of a language, and the languag
 each kept term a smoothed share p; sources are compared with one another by the sum of differences over all
 kept terms, and each source with its language by the terms that it uses more.
 
-Counting: a task counts the terms of its documents into byte radix tries, one a language, whose
-leaves hold a counter for each source and the number of documents. Its tries are walked
-in UTF-8 order and emptied whenever their leaves are too many for the task's memory. What the walks give is dealt
-by ranges of language and term, and a task merges its range's leaves as one sorted stream,
-in which equal terms meet: its memory doesn't depend on the range. The leaf of the empty term
-counts documents by source, so that sources without any term are there too.
+Counting: a task counts the terms of its documents by source and, whenever these counters are too many for
+its memory, lays them out as byte radix tries, one a language: leaves in UTF-8 preorder, each by how many bytes it shares with the leaf
+before it and the bytes that follow, and under each leaf a counter a source and the number of documents. Tries are
+cut at ranges of prefixes, whose bounds come from a bounded sample of terms (`SAMPLED`; it decides nothing but
+where ranges begin), and the pieces of a range are merged, a bounded number of counters at a time, so that a task
+holds the distinct terms of one range. The leaf of the empty term counts documents by source, so that
+sources without any term are there too.
 
 Comparing: kept terms stay in order, in blocks of some `BLOCK` counters of a language. A block and its language's sources
 give a matrix of shares, from which come the block's part of each pair's sum and, from a walk
@@ -26,6 +27,9 @@ Rows that repeat count again, ids are not read, an empty table gives no rows, ot
 
 from __future__ import annotations
 
+import heapq
+import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,178 +43,204 @@ from folioforge.session import cut
 
 LEAST, TOP, SMOOTH, SCALE = 30, 50, 5, 1_000_000_000
 
-#: Counters of a block, sums that a task holds at once, counters held before tries are filled, counters of a task's tries.
-BLOCK, CELLS, STAGED, LEAVES = 1 << 16, 1 << 20, 1 << 18, 1 << 19
+#: Counters of a block, sums that a task holds at once, counters that a task holds before it lays them out, bytes of text a range, ranges, terms sampled.
+BLOCK, CELLS, STAGED, RANGE, RANGES, SAMPLED = 1 << 16, 1 << 20, 1 << 20, 16 << 20, 20_000, 100_000
 
 #: What a byte of a text becomes: itself, its lower case, or a blank between terms.
 FOLD = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 0x20 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
-class Trie:
-    """A radix trie over byte strings with counters at its leaves.
+def _shared(a: bytes, b: bytes) -> int:
+    """How many bytes b begins with as a does."""
+    if b.startswith(a):
+        return len(a)
+    for k, (x, y) in enumerate(zip(a, b)):
+        if x != y:
+            return k
+    return len(b)
 
-    A node is [label, children by first byte or None, counters or None]: counters map a
-    source (bytes) to a number, and None to the number of documents."""
 
-    def __init__(self):
-        self.root: list = [b"", None, None]
-        self.counters = 0
-
-    def leaf(self, term: bytes) -> dict:
-        """The counters of a term, made if they aren't there."""
-        node, at = self.root, 0
-        while at < len(term):
-            if node[1] is None:
-                node[1] = {}
-            child = node[1].get(term[at])
-            if child is None:
-                child = [term[at:], None, None]
-                node[1][term[at]] = child
-                node = child
-                break
-            label = child[0]
-            if term.startswith(label, at):
-                node, at = child, at + len(label)
-                continue
-            same = 1
-            while at + same < len(term) and label[same : same + 1] == term[at + same : at + same + 1]:
-                same += 1
-            upper = [label[:same], {label[same]: child}, None]
-            child[0] = label[same:]
-            node[1][term[at]] = upper
-            node, at = upper, at + same
-        if node[2] is None:
-            node[2] = {}
-        return node[2]
-
-    def add(self, term: bytes, source: bytes | None, n: int) -> None:
-        counters = self.leaf(term)
-        before = counters.get(source)
-        if before is None:
-            self.counters += 1
-        counters[source] = n + (before or 0)
-
-    def walk(self) -> Iterator[tuple[bytes, dict]]:
-        """Terms in byte order with their counters."""
-        held = [(b"", self.root)]
-        while held:
-            lead, node = held.pop()
-            term = lead + node[0]
-            if node[2] is not None:
-                yield term, node[2]
-            if node[1]:
-                held.extend((term, node[1][b]) for b in sorted(node[1], reverse=True))
-
-    def merge(self, other: Trie) -> None:
-        for term, counters in other.walk():
-            for source, n in counters.items():
-                self.add(term, source, n)
+class Trie:
+    """A radix trie over byte strings with counters by source at its leaves, laid out in preorder.
+
+    terms: the leaves' strings in byte order; docs: their numbers of documents; names: sources; leaf,
+    source and n: the counters, in order of leaf and source."""
+
+    def __init__(self, terms: list[bytes], docs: np.ndarray, names: list[bytes], leaf: np.ndarray, source: np.ndarray, n: np.ndarray):
+        self.terms, self.docs, self.names, self.leaf, self.source, self.n = terms, docs, names, leaf, source, n
+
+    @classmethod
+    def counted(cls, docs: Counter, by_source: dict[bytes, Counter]) -> Trie:
+        terms, names = sorted(docs), list(by_source)
+        place = dict(zip(terms, range(len(terms))))
+        leaf = [np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in by_source.values()]
+        n = [np.fromiter(c.values(), np.int64, len(c)) for c in by_source.values()]
+        source = np.repeat(np.arange(len(names)), [len(x) for x in leaf])
+        return cls._summed(terms, np.fromiter(map(docs.__getitem__, terms), np.int64, len(terms)), names, np.concatenate(leaf), source, np.concatenate(n))
+
+    @classmethod
+    def merged(cls, tries: list[Trie]) -> Trie:
+        number: dict[bytes, int] = {}
+        of_source: dict[bytes, int] = {}
+        places = [np.fromiter((number.setdefault(x, len(number)) for x in t.terms), np.int64, len(t.terms)) for t in tries]
+        sources = [np.array([of_source.setdefault(s, len(of_source)) for s in t.names], np.int64) for t in tries]
+        terms = sorted(number)
+        rank = np.empty(len(terms), np.int64)
+        rank[np.fromiter(map(number.__getitem__, terms), np.int64, len(terms))] = np.arange(len(terms))
+        docs = np.zeros(len(terms), np.int64)
+        for t, at in zip(tries, places):
+            docs[rank[at]] += t.docs  # each place is there once a trie
+        leaf = np.concatenate([rank[at][t.leaf] for t, at in zip(tries, places)])
+        source = np.concatenate([of[t.source] for t, of in zip(tries, sources)])
+        return cls._summed(terms, docs, list(of_source), leaf, source, np.concatenate([t.n for t in tries]))
+
+    @classmethod
+    def _summed(cls, terms: list[bytes], docs: np.ndarray, names: list[bytes], leaf: np.ndarray, source: np.ndarray, n: np.ndarray) -> Trie:
+        order = np.lexsort((source, leaf))
+        leaf, source, n = leaf[order], source[order], n[order]
+        new = np.append(True, (leaf[1:] != leaf[:-1]) | (source[1:] != source[:-1])) if len(leaf) else np.empty(0, bool)
+        starts = np.flatnonzero(new)
+        return cls(terms, docs, names, leaf[starts], source[starts], np.add.reduceat(n, starts) if len(starts) else n)
+
+    def pack(self, a: int, b: int) -> tuple[list[bytes], bytes]:
+        """Leaves a to b as the names of their sources and bytes."""
+        terms = self.terms[a:b]
+        shared = [0, *map(_shared, terms, terms[1:])]
+        rest = [t[k:] for t, k in zip(terms, shared)]
+        lo, hi = np.searchsorted(self.leaf, (a, b))
+        used, source = np.unique(self.source[lo:hi], return_inverse=True)
+        each = np.bincount(self.leaf[lo:hi] - a, minlength=b - a)
+        parts = [np.array([len(terms), hi - lo]), shared, [len(r) for r in rest], self.docs[a:b], each, source, self.n[lo:hi]]
+        return [self.names[k] for k in used], zlib.compress(b"".join([*(np.asarray(x, "<i8").tobytes() for x in parts), *rest]), 1)
+
+    @classmethod
+    def unpack(cls, names: list[bytes], data: bytes) -> Trie:
+        data = zlib.decompress(data)
+        leaves, counters = np.frombuffer(data, "<i8", 2).tolist()
+        sizes = [2, leaves, leaves, leaves, leaves, counters, counters]
+        at = np.cumsum([0, *sizes])
+        flat = np.frombuffer(data, "<i8", int(at[-1]))
+        shared, lengths, docs, each, source, n = (flat[x:y] for x, y in zip(at[1:], at[2:]))
+        terms, term, place = [], b"", 8 * int(at[-1])
+        for k, size in zip(shared.tolist(), lengths.tolist()):
+            term = term[:k] + data[place : place + size]
+            place += size
+            terms.append(term)
+        return cls(terms, docs, names, np.repeat(np.arange(leaves), each), source, n)
 
 
 class Counts:
-    """Tries of a task, a language each, behind staged counters by language and source."""
+    """Counters of a task by language and source."""
 
-    def __init__(self, staged: int = STAGED):
-        self.tries: dict[bytes, Trie] = {}
-        self.most, self.read = staged, 0
-        self.staged: dict[tuple[bytes, bytes | None], Counter] = {}
+    def __init__(self):
+        self.by: dict[bytes, dict[bytes, Counter]] = {}
+        self.docs: dict[bytes, Counter] = {}
 
     def add(self, lang: bytes, source: bytes, text: bytes) -> None:
         terms = text.translate(FOLD).split()
-        mine, whole = self.staged.setdefault((lang, source), Counter()), self.staged.setdefault((lang, None), Counter())
+        mine = self.by.setdefault(lang, {}).setdefault(source, Counter())
         mine.update(terms)
         mine[b""] += 1
+        whole = self.docs.setdefault(lang, Counter({b"": 0}))
         whole.update(set(terms))
-        self.read += 1
-        if not self.read % 64 and sum(map(len, self.staged.values())) > self.most:
-            self.settle()
-
-    def settle(self) -> int:
-        """Staged counters into tries; how many counters these hold."""
-        for (lang, source), counted in self.staged.items():
-            trie = self.tries.setdefault(lang, Trie())
-            for term, n in counted.items():
-                trie.add(term, source, n)
-        self.staged = {}
-        return sum(t.counters for t in self.tries.values())
-
-    def emptied(self) -> Iterator[pa.RecordBatch]:
-        """All leaves in order of language and term."""
-        self.settle()
-        rows: list = []
-        for lang in sorted(self.tries):
-            for term, counters in self.tries[lang].walk():
-                by = [(s, n) for s, n in counters.items() if s is not None]
-                rows.append((lang, term, counters.get(None, 0), [s for s, _ in by], [n for _, n in by]))
-                if len(rows) >= 8192:
-                    yield _leaves(rows)
-                    rows = []
-        self.tries = {}
-        if rows:
-            yield _leaves(rows)
-
-
-_LEAVES = pa.schema([("lang", pa.binary()), ("term", pa.binary()), ("docs", pa.int64()), ("sources", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))])
-
-
-def _leaves(rows: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _LEAVES)], schema=_LEAVES)
-
-
-def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = LEAST, leaves: int = LEAVES) -> DataFrame:
+
+    def __len__(self) -> int:
+        return sum(len(c) for by in self.by.values() for c in by.values())
+
+    def tries(self) -> Iterator[tuple[bytes, Trie]]:
+        """A trie a language; the counters are gone then."""
+        for lang in sorted(self.by):
+            yield lang, Trie.counted(self.docs.pop(lang), self.by.pop(lang))
+
+
+def _pieces(counts: Counts, bounds: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """The tries cut at bounds, each piece with its range's number."""
+    for lang, trie in counts.tries():
+        first, last = bisect_right(bounds, (lang, b"")), bisect_left(bounds, (lang + b"\0", b""))
+        cuts = [0, *(bisect_left(trie.terms, term) for _, term in bounds[first:last]), len(trie.terms)]
+        rows = [(first + k, lang, *trie.pack(a, b)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
+
+
+_PIECES = pa.schema([("range", pa.int32()), ("lang", pa.binary()), ("names", pa.list_(pa.binary())), ("leaves", pa.binary())])
+
+
+def _bounds(texts: DataFrame, ranges: int, n_docs: int) -> list[tuple[bytes, bytes]]:
+    """Where ranges of language and term begin, by the terms of least hash of some documents."""
+    a_doc = 16
+    every = max(1, n_docs * a_doc // SAMPLED)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(lang, t) for lang, text in zip(*(c.to_pylist() for c in batch.columns)) for t in heapq.nsmallest(a_doc, set(text.translate(FOLD).split()), key=zlib.crc32)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(2)], names=["lang", "term"])
+
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("lang", "text")
+    terms = sorted({(r["lang"], r["term"]) for r in some.mapInArrow(least, "lang binary, term binary").limit(2 * SAMPLED).collect()})
+    return [terms[len(terms) * k // ranges] for k in range(1, ranges)] if len(terms) >= ranges else terms
+
+
+def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = LEAST, staged: int = STAGED, ranges: int | None = None) -> DataFrame:
     """lang, term, docs, sources, counts and block of all terms in at least `least` documents of their language, and of
-    the empty term, in order of language and term within partitions of ranges; all as binary."""
-    empty = lambda c: F.coalesce(F.col(c), F.lit("")).cast("binary")
+    the empty term, in order of term within each range and language; all as binary."""
+    empty = lambda c, to: F.coalesce(F.col(c), F.lit("")).cast("binary").alias(to)
+    texts = docs.select(empty(lang_col, "lang"), empty(source_col, "source"), empty(text_col, "text"))
+    tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n_docs, n_bytes = texts.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    bounds = _bounds(texts, ranges or min(RANGES, max(4 * tasks, (n_bytes or 0) // RANGE)), n_docs)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for lang, source, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+            for at in range(0, batch.num_rows, 64):
+                for lang, source, text in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
                     counts.add(lang, source, text)
-                if sum(t.counters for t in counts.tries.values()) > leaves:
-                    yield from counts.emptied()
-        yield from counts.emptied()
+                if len(counts) > staged:
+                    yield from _pieces(counts, bounds)
+        yield from _pieces(counts, bounds)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Leaves of equal terms, which follow one another, as one; rare terms go."""
-        key, n_docs, by, rows, in_block, block = None, 0, {}, [], 0, 0
-
-        def ended() -> None:
-            nonlocal in_block, block
-            if key and (n_docs >= least or not key[1]):
-                if in_block >= BLOCK or rows and rows[-1][0] != key[0]:
+        """The merged tries of ranges and languages, whose pieces follow one another, without rare terms."""
+        key, held, size, block = None, [], 0, 0
+
+        def kept() -> Iterator[pa.RecordBatch]:
+            nonlocal block
+            trie = Trie.merged(held)
+            ends = np.searchsorted(trie.leaf, np.arange(len(trie.terms) + 1))
+            rows, in_block = [], 0
+            for k in np.flatnonzero((trie.docs >= least) | (np.arange(len(trie.terms)) == 0)).tolist():
+                if trie.docs[k] < least and trie.terms[k]:
+                    continue
+                own = slice(ends[k], ends[k + 1])
+                if in_block >= BLOCK:
                     in_block, block = 0, block + 1
-                in_block += len(by)
-                rows.append((*key, n_docs, list(by), list(by.values()), block))
+                in_block += ends[k + 1] - ends[k]
+                rows.append((key[1], trie.terms[k], int(trie.docs[k]), [trie.names[s] for s in trie.source[own]], trie.n[own].tolist(), block))
+            block += 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _KEPT)], schema=_KEPT)
 
         for batch in batches:
-            for lang, term, n, sources, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != (lang, term):
-                    ended()
-                    key, n_docs, by = (lang, term), 0, {}
-                n_docs += n
-                for s, c in zip(sources, counts):
-                    by[s] = by.get(s, 0) + c
-            if len(rows) > 8192:
-                yield _kept(rows[:-1])
-                rows = rows[-1:]
-        ended()
-        if rows:
-            yield _kept(rows)
-
-    schema = "lang binary, term binary, docs long, sources array<binary>, counts array<long>"
-    walked = cut(docs.select(empty(lang_col), empty(source_col), empty(text_col)).mapInArrow(counted, schema))
-    tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = walked.repartitionByRange(tasks, "lang", "term").sortWithinPartitions("lang", "term")
-    return cut(ranged.mapInArrow(merged, f"{schema}, block long").withColumn("part", F.spark_partition_id()))
-
-
-_KEPT = pa.schema([*_LEAVES, pa.field("block", pa.int64())])
-
-
-def _kept(rows: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _KEPT)], schema=_KEPT)
+            for number, lang, names, leaves in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != (number, lang):
+                    if key:
+                        yield from kept()
+                    key, held, size = (number, lang), [], 0
+                held.append(Trie.unpack(names, leaves))
+                size += len(held[-1].n)
+                if size > 2 * max(staged, len(held[0].n)):
+                    held = [Trie.merged(held)]
+                    size = len(held[0].n)
+        if key:
+            yield from kept()
+
+    pieces = texts.mapInArrow(counted, "range int, lang binary, names array<binary>, leaves binary")
+    ranged = pieces.repartition(tasks, "range").sortWithinPartitions("range", "lang")
+    schema = "lang binary, term binary, docs long, sources array<binary>, counts array<long>, block long"
+    return cut(ranged.mapInArrow(merged, schema).withColumn("part", F.spark_partition_id()))
+
+
+_KEPT = pa.schema([("lang", pa.binary()), ("term", pa.binary()), ("docs", pa.int64()), ("sources", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("block", pa.int64())])
 
 
 def shares(counts: np.ndarray, total: np.ndarray | int, kept: int) -> np.ndarray:

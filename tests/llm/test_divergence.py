@@ -70,8 +70,9 @@ def test_small_blocks_and_tries_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(divergence, "CELLS", 8)
     monkeypatch.setattr(divergence, "BLOCK", 7)
     assert rows_of(divergence.audit(make(spark, rows).repartition(2), least=3)) == brute(rows, 3)
-    counts = divergence.term_counts(make(spark, rows).repartition(2), least=3, leaves=10)
-    assert counts.count() == divergence.term_counts(make(spark, rows), least=3).count()
+    flat = lambda x: sorted((r["lang"], r["term"], r["docs"], sorted(zip(r["sources"], r["counts"]))) for r in x.collect() if r["term"])
+    small = divergence.term_counts(make(spark, rows).repartition(2), least=3, staged=10, ranges=9)
+    assert flat(small) == flat(divergence.term_counts(make(spark, rows), least=3, ranges=1))
 
 
 def test_a_very_long_text_and_a_hot_source(spark):
@@ -79,21 +80,23 @@ def test_a_very_long_text_and_a_hot_source(spark):
     assert rows_of(divergence.audit(make(spark, rows))) == brute(rows, 30)
 
 
-def test_trie():
+def test_tries_merge_and_pack():
     rng = random.Random(4)
-    tries, want = [], Counter()
+    tries, want, docs = [], Counter(), Counter()
     for _ in range(3):
-        trie = divergence.Trie()
+        by, seen = {b"s": Counter(), b"t": Counter()}, Counter()
         for _ in range(500):
-            term, source = bytes(rng.choices(b"ab\xc3", k=rng.randrange(9))), rng.choice([b"s", b"t", None])
-            trie.add(term, source, 2)
+            term, source = bytes(rng.choices(b"ab\xc3", k=rng.randrange(9))), rng.choice([b"s", b"t"])
+            by[source][term] += 2
             want[term, source] += 2
-        tries.append(trie)
-    for other in tries[1:]:
-        tries[0].merge(other)
-    walked = [(t, dict(c)) for t, c in tries[0].walk()]
-    assert [t for t, _ in walked] == sorted({t for t, _ in want})
-    assert {(t, s): n for t, c in walked for s, n in c.items()} == dict(want) and tries[0].counters == len(want)
+            seen[term] += 1
+        docs.update(seen)
+        trie = divergence.Trie.counted(seen, by)
+        half = len(trie.terms) // 2
+        tries += [divergence.Trie.unpack(*trie.pack(a, b)) for a, b in ((0, half), (half, len(trie.terms)))]
+    whole = divergence.Trie.merged(tries)
+    assert whole.terms == sorted(docs) and whole.docs.tolist() == [docs[t] for t in whole.terms]
+    assert {(whole.terms[k], whole.names[s]): n for k, s, n in zip(whole.leaf, whole.source, whole.n)} == dict(want) and len(whole.n) == len(want)
 
 
 def test_shares_are_exact():
