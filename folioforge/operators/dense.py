@@ -17,16 +17,16 @@ from pyspark.sql import DataFrame
 HELD, PRODUCTS = 4_000_000, 2_000_000
 
 
-class _Best:
+class Best:
     """The best rows of each query so far: score from high to low, then id."""
 
     def __init__(self, queries: int, keep: int):
         self.keep, self.scores, self.ids = keep, [np.empty(0)] * queries, [None] * queries
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """scores: a row for each of ids, a column for each query."""
-        for q in range(scores.shape[1]):
-            own, held = scores[:, q], self.scores[q]
+    def add(self, scores: np.ndarray, ids: np.ndarray, queries: np.ndarray | None = None) -> None:
+        """scores: a row for each of ids, a column for each query (of queries, if not of all)."""
+        for k, q in enumerate(range(scores.shape[1]) if queries is None else queries.tolist()):
+            own, held = scores[:, k], self.scores[q]
             if len(held) == self.keep:
                 better = np.flatnonzero(own >= held[-1])
                 if not len(better):
@@ -42,6 +42,17 @@ class _Best:
             order = np.lexsort((new, -own))[: self.keep]
             self.scores[q], self.ids[q] = own[order], new[order]
 
+    def batches(self, queries: np.ndarray, names: list[str], group: tuple | None = None) -> Iterator[pa.RecordBatch]:
+        """The best rows with the ids of their queries and, with group (name, value and type), a column of that."""
+        for q in range(0, len(queries), 1000):
+            parts = [k for k in range(q, min(q + 1000, len(queries))) if len(self.scores[k])]
+            if parts:
+                columns = [np.repeat(queries[parts], [len(self.scores[k]) for k in parts]), np.concatenate([self.ids[k] for k in parts]), np.concatenate([self.scores[k] for k in parts])]
+                arrays = [pa.array(c) for c in columns]
+                if group:
+                    arrays, names = [*arrays, pa.array([group[1]] * len(columns[0]), group[2])], [*names[:3], group[0]]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
 
 def score(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = 500, group_col: str | None = None) -> DataFrame:
     """query_id, id and score (rounded to 6 places) of at least each query's `keep` best rows
@@ -80,16 +91,9 @@ def _scored(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, id_col: str
                 groups = some.column(2).to_pylist() if group_col else [None]
                 for g in set(groups):
                     of = np.array([x == g for x in groups]) if group_col else slice(None)
-                    held.setdefault(g, _Best(len(ids), keep)).add(scores[of], own[of])
+                    held.setdefault(g, Best(len(ids), keep)).add(scores[of], own[of])
         for g, found in held.items():
-            for q in range(0, len(ids), 1000):
-                parts = [k for k in range(q, min(q + 1000, len(ids))) if len(found.scores[k])]
-                if parts:
-                    columns = [np.repeat(ids[parts], [len(found.scores[k]) for k in parts]), np.concatenate([found.ids[k] for k in parts]), np.concatenate([found.scores[k] for k in parts])]
-                    arrays, names = [pa.array(c) for c in columns], ["query_id", id_col, "score"]
-                    if group_col:
-                        arrays, names = [*arrays, pa.array([g] * len(columns[0]), kind)], [*names, group_col]
-                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+            yield from found.batches(ids, ["query_id", id_col, "score"], (group_col, g, kind) if group_col else None)
 
     more = [group_col] if group_col else []
     schema = f"query_id long, {id_col} long, score double" + "".join(f", {c} {vectors.schema[c].dataType.simpleString()}" for c in more)

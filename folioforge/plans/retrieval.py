@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 from folioforge.functions.vectors import embed, pack_half
-from folioforge.operators import bm25, dense, evaluation, fusion, inverted, search
+from folioforge.operators import bm25, dense, evaluation, fusion, inverted, pivots, search
 from folioforge.plans.registry import query
 from folioforge.plans.text import WORD, WS, docs
 from folioforge.session import cut, once, scratch, table
@@ -130,6 +130,16 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(spark, sf_dir, 10).withColumn("rank", F.row_number().over(best)).where("rank <= 10")
 
 
+@query(f"SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) WHERE rank <= 10")
+def dense_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of dense_topk by the index round pivots."""
+    e = table(spark, sf_dir, "embeddings")
+    index = once(spark, "pivots", e, lambda: pivots.build(e, scratch(spark, "pivots")))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return index.search(asked, 10).withColumn("rank", F.row_number().over(best)).where("rank <= 10")
+
+
 @query(
     f"""SELECT * FROM (SELECT q.vec_id AS query_id, e.label, e.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id, e.label ORDER BY {_COS} DESC, e.vec_id) AS rank
     FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) WHERE rank <= 3"""
