@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import folded, render, trim
+from folioforge.operators.containment import matches
 from folioforge.operators.harvest import parsed_terms
-from folioforge.session import broadcast_if_small
+from folioforge.session import broadcast_if_small, cut
 
 PREFIX = 300
 ENTRY = "array<struct<term:string,gloss:string,substrate_term:string>>"
@@ -40,11 +41,12 @@ def audience(tier: Column) -> Column:
 def lexicon_match(passages: DataFrame, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
     """passages with entry_id, the first entry (by ord) whose fingerprint, case and white space
     aside, is in their first 300 characters; null if none is. lexicon: entry_id, ord,
-    fingerprint. The lexicon is curated and small; its size is checked."""
+    fingerprint, of any number."""
     prefix = F.substring(folded(F.col(text_col)), 1, PREFIX)
-    prints = lexicon.select("entry_id", "ord", folded(F.col("fingerprint")).alias("print"))
-    hits = passages.select("passage_id", prefix.alias("prefix")).join(broadcast_if_small(prints, prints.count()), F.col("prefix").contains(F.col("print")))
-    first = hits.groupBy("passage_id").agg(F.min_by("entry_id", "ord").alias("entry_id"))
+    prints = cut(lexicon.groupBy(folded(F.col("fingerprint")).alias("pattern")).agg(F.min("ord").alias("number"), F.min_by("entry_id", "ord").alias("entry_id")))
+    hits = matches(passages.select(F.col("passage_id").alias("key"), prefix.alias("text")), prints.select("number", "pattern"), first=True)
+    named = hits.join(broadcast_if_small(prints.select("pattern", "entry_id"), prints.count()), "pattern")
+    first = named.groupBy(F.col("key").alias("passage_id")).agg(F.min_by("entry_id", F.struct("number", "pattern")).alias("entry_id"))
     return passages.join(first, "passage_id", "left")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import space_words
 from folioforge.operators import grounding, judge
 from folioforge.plans import segments
 from folioforge.plans.registry import query
@@ -39,6 +40,23 @@ def lexicon_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir).select("passage_id", "entry_id")
 
 
+_WINDOWS = f"""(SELECT item_id || '/' || k AS entry_id, item_id * 100000 + k AS ord, array_to_string(w[k:k + 2], ' ') AS fingerprint
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS k FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS w FROM benchmark)))"""
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id AS passage_id, left({_fold('text')}, 300) AS prefix FROM documents), l AS (SELECT entry_id, ord, {_fold('fingerprint')} AS print FROM {_WINDOWS})
+    SELECT p.passage_id, arg_min(entry_id, ord) AS entry_id FROM p LEFT JOIN l ON contains(prefix, print) GROUP BY p.passage_id"""
+)
+def window_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three-word window of a benchmark text in the first page of each document: a lexicon of many entries."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", space_words(F.col("text")).alias("w"))
+    placed = items.where(F.size("w") > 2).select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 2)).alias("k"))
+    lexicon = placed.select(F.concat_ws("/", "item_id", "k").alias("entry_id"), (F.col("item_id") * 100_000 + F.col("k")).alias("ord"), F.array_join(F.slice("w", F.col("k"), 3), " ").alias("fingerprint"))
+    passages = docs(spark, sf_dir).select(F.col("doc_id").alias("passage_id"), "text")
+    return grounding.lexicon_match(passages, lexicon).select("passage_id", "entry_id")
+
+
 @query(f"SELECT english, arg_min(substrate, ord) AS substrate, arg_min(gloss, ord) AS gloss FROM {_values(TERMS, 'entry_id, ord, english, substrate, gloss')} GROUP BY english")
 def substrate_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.substrate_map(spark.createDataFrame(TERMS, "entry_id string, ord int, english string, substrate string, gloss string"))
