@@ -182,7 +182,7 @@ def _bounds(texts: DataFrame, ranges: int, n_docs: int) -> list[tuple[bytes, byt
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = LEAST, staged: int = STAGED, ranges: int | None = None) -> DataFrame:
     """lang, term, docs, sources, counts and block of all terms in at least `least` documents of their language, and of
-    the empty term, in order of term within each range and language; all as binary."""
+    the empty term; strings as binary. Blocks are numbered in order of term within their language."""
     empty = lambda c, to: F.coalesce(F.col(c), F.lit("")).cast("binary").alias(to)
     texts = docs.select(empty(lang_col, "lang"), empty(source_col, "source"), empty(text_col, "text"))
     tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -201,22 +201,18 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The merged tries of ranges and languages, whose pieces follow one another, without rare terms."""
-        key, held, size, block = None, [], 0, 0
+        key, held, size = None, [], 0
 
         def kept() -> Iterator[pa.RecordBatch]:
-            nonlocal block
             trie = Trie.merged(held)
             ends = np.searchsorted(trie.leaf, np.arange(len(trie.terms) + 1))
-            rows, in_block = [], 0
+            rows, before = [], 0
             for k in np.flatnonzero((trie.docs >= least) | (np.arange(len(trie.terms)) == 0)).tolist():
                 if trie.docs[k] < least and trie.terms[k]:
                     continue
                 own = slice(ends[k], ends[k + 1])
-                if in_block >= BLOCK:
-                    in_block, block = 0, block + 1
-                in_block += ends[k + 1] - ends[k]
-                rows.append((key[1], trie.terms[k], int(trie.docs[k]), [trie.names[s] for s in trie.source[own]], trie.n[own].tolist(), block))
-            block += 1
+                rows.append((key[1], trie.terms[k], int(trie.docs[k]), [trie.names[s] for s in trie.source[own]], trie.n[own].tolist(), key[0], before))
+                before += int(ends[k + 1] - ends[k])
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _KEPT)], schema=_KEPT)
 
@@ -236,11 +232,17 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
     pieces = texts.mapInArrow(counted, "range int, lang binary, names array<binary>, leaves binary")
     ranged = pieces.repartition(tasks, "range").sortWithinPartitions("range", "lang")
-    schema = "lang binary, term binary, docs long, sources array<binary>, counts array<long>, block long"
-    return cut(ranged.mapInArrow(merged, schema).withColumn("part", F.spark_partition_id()))
+    schema = "lang binary, term binary, docs long, sources array<binary>, counts array<long>, range int, before long"
+    kept = cut(ranged.mapInArrow(merged, schema))
+    # counters before each range of a language: a row a range
+    sizes = kept.groupBy("lang", "range").agg(F.sum(F.size("counts")).alias("size"))
+    below = F.sum("size").over(Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    based = sizes.select("lang", "range", F.coalesce(below, F.lit(0)).alias("base"))
+    block = F.floor((F.col("base") + F.col("before")) / BLOCK)
+    return cut(kept.join(based, ["lang", "range"]).select("lang", "term", "docs", "sources", "counts", block.alias("block")))
 
 
-_KEPT = pa.schema([("lang", pa.binary()), ("term", pa.binary()), ("docs", pa.int64()), ("sources", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("block", pa.int64())])
+_KEPT = pa.schema([("lang", pa.binary()), ("term", pa.binary()), ("docs", pa.int64()), ("sources", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("range", pa.int32()), ("before", pa.int64())])
 
 
 def shares(counts: np.ndarray, total: np.ndarray | int, kept: int) -> np.ndarray:
@@ -298,11 +300,11 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     numbered = totals.withColumn("nth", F.row_number().over(of_lang.orderBy("source")) - 1).withColumn("all", F.count(F.lit(1)).over(of_lang))
     groups = cut(numbered.join(langs, "lang").withColumn("some", F.ceil(F.col("all") * F.col("all") / CELLS)))  # a row a source and language
     # each block meets the sources of its language, once for each part of them; the block of the empty term is there even if it holds no other
-    blocks = counts.select("lang", "part", "block").distinct().join(groups.select("lang", "some").distinct(), "lang")
-    blocks = blocks.select("lang", "part", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("some") - 1)).alias("of"))
-    key = ["lang", "part", "block", "of"]
+    blocks = counts.select("lang", "block").distinct().join(groups.select("lang", "some").distinct(), "lang")
+    blocks = blocks.select("lang", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("some") - 1)).alias("of"))
+    key = ["lang", "block", "of"]
     right = blocks.join(groups, "lang").select(*(F.col(k).alias(f"of_{k}") for k in key), "source", "total", "kept", (F.col("nth") % F.col("some") == F.col("of")).alias("mine"))
-    left = counts.where(F.octet_length("term") > 0).join(blocks, ["lang", "part", "block"]).select(*key, "term", "sources", "counts")
+    left = counts.where(F.octet_length("term") > 0).join(blocks, ["lang", "block"]).select(*key, "term", "sources", "counts")
     schema = "lang binary, source binary, part string, item binary, value long"
     compared = left.groupBy(*key).cogroup(right.groupBy(*(f"of_{k}" for k in key))).applyInPandas(lambda k, a, b: _compared(k, a, b, top), schema)
     compared = cut(compared)
