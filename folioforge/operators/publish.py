@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import byte_slice, content_hash
+from folioforge.sources import shards
 
-SHARD_VERSION, MANIFEST_VERSION = 2, 1
+SHARD_VERSION, MANIFEST_VERSION = shards.FORMAT, 1
 
 
 def filtered_only(chunks: DataFrame, filtered: DataFrame) -> DataFrame:
@@ -65,9 +66,9 @@ def manifest(summaries: DataFrame, filtered: DataFrame, traditions: DataFrame) -
 
 
 def write_shards(chunks: DataFrame, path: str) -> None:
-    """One folder a book, so that a reader of one book reads nothing else."""
-    out = chunks.withColumn("format_version", F.lit(SHARD_VERSION))
-    out.repartition("book_id").sortWithinPartitions("book_id", "chunk_id").write.mode("overwrite").option("compression", "zstd").partitionBy("book_id").parquet(path)
+    """A shard for each book and each PART_ROWS of its chunks; the store's next version names these alone."""
+    order = F.col("chunk_ord") if "chunk_ord" in chunks.columns else F.regexp_extract("chunk_id", r"(\d*)$", 1).try_cast("long")
+    shards.write(chunks, path, F.coalesce(order, F.lit(0)))
 
 
 def version_gate(rows: DataFrame, wanted: int = SHARD_VERSION, column: str = "format_version") -> DataFrame:
@@ -76,8 +77,9 @@ def version_gate(rows: DataFrame, wanted: int = SHARD_VERSION, column: str = "fo
     return rows.where(F.when(F.coalesce(F.col(column) == wanted, F.lit(False)), F.lit(True)).otherwise(wrong)).drop(column)
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    return version_gate(spark.read.parquet(path))
+def read_shards(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """The rows of all shards; one that isn't as its index says, or is of another version, fails the query."""
+    return shards.read(spark, path, **options)
 
 
 def write_manifest(rows: DataFrame, path: str, build_id: str, embed_model_id: str, generated: str) -> None:

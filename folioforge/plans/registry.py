@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ["text", "retrieval", "corpus", "grounding", "relational", "build", "small"]
+MODULES = ["text", "retrieval", "corpus", "grounding", "relational", "build", "store", "small"]
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
