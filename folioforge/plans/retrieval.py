@@ -95,6 +95,19 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.corpus_stats(docs(spark, sf_dir), "doc_id", "text", "source").withColumn("avg_dl", F.round("avg_dl", 6))
 
 
+@query(
+    f"""WITH {_bm25_sql('source')}, tk AS (SELECT scope, doc_id, unnest(t) AS token FROM dt), pt AS (SELECT scope, count(*) AS postings, count(DISTINCT token) AS tokens FROM (SELECT DISTINCT * FROM tk) GROUP BY scope)
+    SELECT substr(scope, 4) AS scope, n AS n_docs, round(avg_dl, 6) AS avg_dl, CAST(postings AS BIGINT) AS postings, tokens FROM st JOIN pt USING (scope)"""
+)
+def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stored index holds of each book."""
+    index = _index(spark, sf_dir)
+    texts = index.texts.groupBy("scope").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("dl"), 6).alias("avg_dl"))
+    # a token's blocks in a book are of different segments
+    tokens = index.rows.groupBy("scope", "token").agg(F.sum("n").alias("n")).groupBy("scope").agg(F.sum("n").alias("postings"), F.count(F.lit(1)).alias("tokens"))
+    return texts.join(tokens, "scope")
+
+
 def _bm25_top(spark: SparkSession, sf_dir: str, scope: str | None) -> DataFrame:
     found = _index(spark, sf_dir).search(_asked(spark, sf_dir), 20, scope is not None).rows
     scored = found.select("query_id", F.col("id.vec_id").alias("doc_id"), "score")
