@@ -19,15 +19,18 @@ are merged, each context has a row of code lengths for all byte classes and thes
 languages, with the escapes already added up. Bytes that no tree saw share one class.
 Texts of any length are scored whole, in pieces of bounded size.
 
-Fitting uses at most some `docs_per_lang` texts a language (a hash of the id decides
-which), and of a text over `most_bytes` a window of so many bytes at a place that the hash
+Fitting uses at most `docs_per_lang` texts a language, those of the least hashes of id and text, and of a
+text over `most_bytes` a window of so many bytes at a place that the hash
 decides, of rows whose crc32 of the id in decimal, modulo 5, is not 0 and whose language is
 not null; a quarter of these texts gives medians and spreads, the rest the trees. So the model
-has a bounded size for each language, some 10 MB laid out. More than `most_langs` languages
-raise an error. Two jobs do the fitting: counts of the languages, and the sample.
-
-Texts that are null or have no letter are `und` with score 0; so is everything if
-there is nothing to learn from. Ties go to the language first in code point order.
+has a bounded size for each language, some 6 to 25 MB laid out, and every language with a text to learn from
+is in it, however many there are: a worker keeps the tables of at most `KEPT` languages, and beyond that lays
+them out one after the other for each batch of texts. Two jobs do the fitting: the hashes that bound each
+language's sample, found as each task's least ones, and the sample.
+
+Rows that repeat an id are drawn by their texts, rows that repeat both count once in the sample. Texts that are null or
+have no letter are `und` with score 0; so is everything if there is nothing to learn from. Ties go
+to the language first in code point order. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -40,10 +43,11 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.session import cut
+from folioforge.session import broadcast_if_small
 
 UND = "und"
 FOLDS = 5
@@ -54,6 +58,9 @@ _LETTER = re.compile(r"[^\W\d_]")
 REACH = 20.0
 WINDOW = 64
 
+#: Languages whose tables a worker keeps, and languages whose bounds stand in the plan.
+KEPT, LITERAL = 64, 1000
+
 
 @dataclass
 class Trees:
@@ -79,13 +86,20 @@ class Model:
     trees: list[Trees]
     spread: np.ndarray
 
+    def scorers(self) -> Iterator[Scorer]:
+        """The trees laid out, once a worker if there are few."""
+        if len(self.langs) <= KEPT:
+            yield from self._kept
+        else:
+            yield from map(Scorer, self.trees)
+
     @cached_property
-    def scorers(self) -> list[Scorer]:
-        return [Scorer(t) for t in self.trees]  # laid out once a worker
+    def _kept(self) -> list[Scorer]:
+        return [Scorer(t) for t in self.trees]
 
     def code_lengths(self, texts: list[bytes], at_once: int = 1 << 18) -> np.ndarray:
         """Bits of each text (row) under each language (column)."""
-        return np.concatenate([s.code_lengths(texts, at_once) for s in self.scorers], axis=1)
+        return np.concatenate([s.code_lengths(texts, at_once) for s in self.scorers()], axis=1)
 
     def fits(self, bits: np.ndarray, lengths: np.ndarray, langs: np.ndarray) -> np.ndarray:
         """How well texts of so many bits and bytes fit their languages (places), from 1 down to 0."""
@@ -115,15 +129,15 @@ def fit(samples: dict[str, list[bytes]], order: int = 3, held: dict[str, list[by
     langs = sorted(samples)
     together = together or (4 if len(langs) <= 16 else 1)
     model = Model(langs, [_trees({x: samples[x] for x in langs[i : i + together]}, order) for i in range(0, len(langs), together)], np.empty((0, 3)))
-    model.spread = np.array([_spread(model, i, [t for t in (held or {}).get(lang, []) if t]) for i, lang in enumerate(langs)]).reshape(-1, 3)
+    spreads = [_spread(scorer, i, [t for t in (held or {}).get(lang, []) if t]) for scorer in model.scorers() for i, lang in enumerate(scorer.model.langs)]
+    model.spread = np.array(spreads).reshape(-1, 3)
     return model
 
 
-def _spread(model: Model, lang: int, texts: list[bytes]) -> tuple[float, float, float]:
+def _spread(own: Scorer, lang: int, texts: list[bytes]) -> tuple[float, float, float]:
     if not texts:
         return 0.0, math.inf, 0.0
-    own = model.scorers[lang // len(model.trees[0].langs)]
-    bits = lambda x: own.code_lengths(x)[:, lang % len(model.trees[0].langs)]
+    bits = lambda x: own.code_lengths(x)[:, lang]
     lengths = np.array(list(map(len, texts)), np.float64)
     of_text = bits(texts)
     each = of_text / lengths
@@ -256,23 +270,43 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
-def fit_on(docs: DataFrame, docs_per_lang: int = 400, most_bytes: int = 5_000, most_langs: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 3) -> Model:
+def _limits(hashes: DataFrame, most: int) -> DataFrame:
+    """lang and limit, the `most`-th least of each language's different hashes (lang, h)."""
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs, h = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+            codes = langs.indices.to_numpy()
+            for code, lang in enumerate(langs.dictionary.to_pylist()):
+                held[lang] = np.unique(np.concatenate((held.get(lang, np.empty(0, np.int64)), h[codes == code])))[:most]
+        for lang, own in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own)], names=["lang", "h"])
+
+    each = hashes.mapInArrow(least, "lang string, h long")
+    ranked = each.withColumn("at", F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("at") <= most)
+    return ranked.groupBy("lang").agg(F.max("h").alias("limit"))
+
+
+def fit_on(docs: DataFrame, docs_per_lang: int = 400, most_bytes: int = 5_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 3) -> Model:
     """A model of the languages of docs, from a bounded sample of its training folds."""
-    train = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    sizes = train.groupBy(F.col(lang_col).alias("lang")).count().limit(most_langs + 1).collect()
-    if not sizes:
+    train = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.octet_length(text_col) > 0))
+    train = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+    limits = _limits(train.select("lang", "h"), docs_per_lang).collect()  # a row a language
+    if not limits:
         return fit({})
-    if len(sizes) > most_langs:
-        raise ValueError(f"more than {most_langs} languages")
-    # rows whose hash falls under docs_per_lang / count: about as many for each language, by no shuffle
-    chance = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, docs_per_lang / r["count"])))])
-    draw = lambda seed: F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30))
-    data, size = F.col(text_col).cast("binary"), F.octet_length(text_col)
+    draw = lambda seed: F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(1 << 30))
+    data, size = F.col("text").cast("binary"), F.octet_length("text")
     window = F.substring(data, (draw(12) % F.greatest(size - most_bytes + 1, F.lit(1))).cast("int") + 1, F.lit(most_bytes))
-    sample = train.where((size > 0) & (draw(11) / float(1 << 30) < chance[F.col(lang_col)]))
+    if len(limits) <= LITERAL:
+        drawn = train.where(F.col("h") <= F.create_map(*[F.lit(x) for r in limits for x in r])[F.col("lang")])
+    else:
+        bounds = docs.sparkSession.createDataFrame([tuple(r) for r in limits], "lang string, limit long")
+        drawn = train.join(broadcast_if_small(bounds, len(limits)), "lang").where("h <= limit")
+    sample = drawn.groupBy("lang", "h", (draw(13) % 4 == 0).alias("held")).agg(F.min(window).alias("data"))  # rows that repeat are one
     samples: dict[str, list[bytes]] = {}
     held: dict[str, list[bytes]] = {}
-    for r in sample.select(F.col(lang_col).alias("lang"), window.alias("data"), (draw(13) % 4 == 0).alias("held")).collect():  # of bounded size
+    for r in sample.collect():  # docs_per_lang a language
         (held if r["held"] else samples).setdefault(r["lang"], []).append(bytes(r["data"]))
     return fit({x: samples.get(x) or held.pop(x) for x in samples.keys() | held.keys()}, order, held)
 

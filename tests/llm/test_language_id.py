@@ -88,10 +88,27 @@ def test_long_texts_are_fitted_on_by_windows(spark):
     assert model.langs == ["en", "la"] and model.predict([rows[0][1], rows[1][1]])[0] == ["en", "la"]
 
 
-def test_too_many_languages_are_an_error(spark):
-    rows = [(i, "some text", f"l{i}", "a") for i in range(60)]
-    with pytest.raises(ValueError, match="more than 10 languages"):
-        L.fit_on(make(spark, rows), most_langs=10)
+def test_many_languages_are_all_learned(spark, monkeypatch):
+    rows = [(i, f"word{i % 300}x " * 20, f"l{i % 300:03d}", "a") for i in range(1500)]
+    docs = make(spark, rows)
+    model = L.fit_on(docs, docs_per_lang=3, order=2)
+    trained = {lang for i, _, lang, _ in rows if zlib.crc32(str(i).encode()) % 5}
+    assert model.langs == sorted(trained) and len(trained) > 290
+    texts = [rows[i][1] for i in range(0, 300, 60)]
+    assert model.predict(texts)[0] == [rows[i][2] for i in range(0, 300, 60)]
+    monkeypatch.setattr(L, "KEPT", 1000)  # laid out once instead of for each batch
+    assert model.predict(texts)[0] == [rows[i][2] for i in range(0, 300, 60)]
+
+
+@pytest.mark.parametrize("same", range(1, 9))
+def test_rows_that_share_an_id(spark, same, monkeypatch):
+    """Half of the rows are in a language whose rows all have one id; texts differ or are all the same."""
+    seen = {}
+    monkeypatch.setattr(L, "fit", lambda samples, order=3, held=None: seen.update({k: [*samples.get(k, []), *(held or {}).get(k, [])] for k in {*samples, *(held or {})}}))
+    trained = zlib.crc32(str(same).encode()) % 5 != 0
+    rows = [(same, f"aaa text {i}", "aa", "s") for i in range(1500)] + [(i + 100, f"bbb text {i}", "bb", "s") for i in range(1500)] + [(same, "once and again", "cc", "s")] * 50
+    L.fit_on(make(spark, rows), docs_per_lang=100)
+    assert {k: len(v) for k, v in seen.items()} == ({"aa": 100, "bb": 100, "cc": 1} if trained else {"bb": 100})
 
 
 def test_held_out_accuracy_and_folds(spark):
