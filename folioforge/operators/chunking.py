@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.sentences import byte_spans
 from folioforge.functions.text import trim
+from folioforge.operators.intervals import holding
 
 LEAST, MOST = 50, 512
 CHUNK = "array<struct<chunk_id:string,paragraph_id:string,section_id:string,text:string,byte_start:long,byte_end:long,token_count:int>>"
@@ -105,11 +106,6 @@ def paragraph_offsets(docs: DataFrame, id_col: str, text: Column, separator: str
 
 
 def containing_chunk(chunked: DataFrame, points: DataFrame, key: str) -> DataFrame:
-    """points (key, at) with the chunk whose span holds the offset, "" if none: spans of a text
-    are ordered and apart, so the last span that starts at or before a point decides."""
-    marks = chunked.select(key, F.col("byte_start").alias("at"), F.lit(0).alias("kind"), F.struct("byte_end", "chunk_id").alias("span")).unionByName(
-        points.select(key, "at", F.lit(1).alias("kind"), F.lit(None).cast("struct<byte_end:long,chunk_id:string>").alias("span"))
-    )
-    upto = Window.partitionBy(key).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = marks.withColumn("last", F.last("span", ignorenulls=True).over(upto)).where("kind = 1")
-    return last.select(key, "at", F.when(F.col("at") < F.col("last.byte_end"), F.col("last.chunk_id")).otherwise(F.lit("")).alias("chunk_id"))
+    """points (key, at) with the chunk whose span holds the offset, "" if none."""
+    found = holding(points.select(key, "at"), chunked.select(key, "byte_start", "byte_end", "chunk_id"), key, "at", "byte_start", "byte_end")
+    return found.select(key, "at", F.coalesce("chunk_id", F.lit("")).alias("chunk_id"))

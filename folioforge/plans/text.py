@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 from folioforge.functions.sentences import sentence_spans, snap_selection, split_sentences
-from folioforge.operators import chunking, xhtml
+from folioforge.operators import chunking, intervals, xhtml
 from folioforge.plans import segments
 from folioforge.plans.registry import query
-from folioforge.session import texts
+from folioforge.session import cut, texts
 
 #: In SQL: Unicode white space and word characters, and the word pattern.
 WS = r"[\x09-\x0D\x85\p{Z}]"
@@ -160,6 +160,32 @@ def snap_to_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "span.start", "span.end")
 
 
+def _byte(at: str) -> str:
+    return f"substr(hx, CAST(2 * ({at}) + 1 AS BIGINT), 2) BETWEEN '80' AND 'BF'"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, octet_length(encode(text)) AS size, hex(encode(text)) AS hx FROM documents WHERE text IS NOT NULL),
+    q AS (SELECT doc_id, unnest(range(0, size + 1, 100)) AS start, size FROM d), p AS (SELECT doc_id, start, least(start, size) AS a, least(start + 37, size) AS b FROM q),
+    sn AS (SELECT * FROM {segments.sentences('documents')}),
+    f AS (SELECT p.doc_id, p.start, max(s.start) AS first FROM p LEFT JOIN sn s ON s.doc_id = p.doc_id AND s.start <= a AND a < s."end" GROUP BY ALL),
+    l AS (SELECT p.doc_id, p.start, max(s."end") AS last FROM p LEFT JOIN sn s ON s.doc_id = p.doc_id AND s.start < b AND b <= s."end" GROUP BY ALL),
+    c AS (SELECT p.*, first, last, coalesce(first < last, false) AS whole, CASE WHEN NOT {_byte('a')} THEN a WHEN NOT {_byte('a + 1')} THEN a + 1 WHEN NOT {_byte('a + 2')} THEN a + 2 ELSE a + 3 END AS from_,
+          CASE WHEN NOT {_byte('b')} THEN b WHEN NOT {_byte('b - 1')} THEN b - 1 WHEN NOT {_byte('b - 2')} THEN b - 2 ELSE b - 3 END AS to_
+          FROM p JOIN f USING (doc_id, start) JOIN l USING (doc_id, start) JOIN d USING (doc_id))
+    SELECT doc_id, start AS selected, CAST(CASE WHEN b <= a THEN NULL WHEN whole THEN first WHEN to_ > from_ THEN from_ END AS BIGINT) AS start,
+    CAST(CASE WHEN b <= a THEN NULL WHEN whole THEN last WHEN to_ > from_ THEN to_ END AS BIGINT) AS "end" FROM c"""
+)
+def snap_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A selection of 37 bytes at every 100th of each document, snapped to sentences all at once."""
+    d = docs(spark, sf_dir).where("text is not null").select("doc_id", "text")
+    places = d.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.octet_length("text").cast("long"), F.lit(100).cast("long"))).alias("selected"))
+    selections = places.select(F.struct("doc_id", "selected").alias("sel"), "doc_id", F.col("selected").alias("start"), (F.col("selected") + 37).alias("end"))
+    spans = cut(d.select("doc_id", F.inline(sentence_spans("text"))))
+    found = intervals.snapped(selections, spans, d, "doc_id", "sel")
+    return found.select("doc_id", "sel.selected", "span.start", "span.end")
+
+
 @query(f'{_CHUNKS} SELECT pb.doc_id, CAST(pb.start AS BIGINT) AS "at", coalesce(max(chunk_id), \'\') AS chunk_id FROM pb LEFT JOIN ck ON ck.doc_id = pb.doc_id AND pb.start >= byte_start AND pb.start < byte_end GROUP BY ALL')
 def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunk that holds each paragraph's first byte."""
