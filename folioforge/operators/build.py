@@ -1,10 +1,15 @@
-"""The build as one plan: catalogue, rights, books, paragraphs, chunks, vectors, shards, manifest."""
+"""The build as one plan: catalogue, rights, books, paragraphs, chunks, vectors, shards, manifest.
+
+Each stage counts as it writes: observed metrics are read when a stage's write is done and lie beside its
+output, so no stage is computed once more to be counted. The floor under the kept books is checked on them, after the
+decisions are written.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
@@ -29,42 +34,93 @@ class Inputs:
     skip: set[str] = field(default_factory=set)
 
 
-def decided(spark: SparkSession, inputs: Inputs) -> DataFrame:
+class Counters:
+    """Metrics of stages, observed while their rows pass."""
+
+    def __init__(self):
+        self.seen: dict[str, Observation] = {}
+
+    def on(self, frame: DataFrame, stage: str, /, **metrics: Column) -> DataFrame:
+        """frame, whose metrics are known once an action has run over it."""
+        self.seen[stage] = Observation()
+        return frame.observe(self.seen[stage], *(F.coalesce(m, F.lit(0)).cast("long").alias(name) for name, m in metrics.items()))
+
+    def of(self, stage: str) -> dict[str, int]:
+        return self.seen[stage].get
+
+    def write(self, spark: SparkSession, out: str, *stages: str) -> None:
+        """Writes the metrics of stages that have run, in place of those of an earlier run."""
+        for stage in stages:
+            rows = [(stage, name, value) for name, value in self.of(stage).items()]
+            spark.createDataFrame(rows, "stage string, metric string, value long").coalesce(1).write.mode("overwrite").json(f"{out}/counters/{stage}")
+
+
+def counters(spark: SparkSession, out: str) -> DataFrame:
+    """stage, metric and value of a build's stages."""
+    return spark.read.schema("stage string, metric string, value long").json(f"{out}/counters/*")
+
+
+def rows_where(condition: Column) -> Column:
+    return F.count_if(condition)
+
+
+EVERY = F.count(F.lit(1))
+
+
+def decided(spark: SparkSession, inputs: Inputs, counted: Counters | None = None) -> DataFrame:
     """Every candidate of the catalogue with its decision."""
-    found = cut(catalogue.candidates(readers.read_catalogue(spark, inputs.catalogue)))
-    return catalogue.decisions(catalogue.with_translators(found, readers.read_rdf(spark, inputs.rdf)), found)
+    counted = counted or Counters()
+    parsed = catalogue.parsed(readers.read_catalogue(spark, inputs.catalogue))
+    failed = lambda test: rows_where(F.col("failed") == test)
+    tested = counted.on(catalogue.first_failure(parsed), "catalogue", rows=EVERY, type=failed("type"), language=failed("language"), **{"class": failed("class")}, kept=rows_where(F.col("failed").isNull()))
+    found = cut(catalogue.passed(tested))
+    known = counted.on(catalogue.with_translators(found, readers.read_rdf(spark, inputs.rdf)), "translators", works=EVERY, from_rdf=rows_where(F.col("rdf_has_translator")), original=rows_where(F.col("is_original_language")))
+    of = lambda decision: rows_where(F.col("decision") == decision)
+    return counted.on(catalogue.decisions(known, found), "filter", kept=of("kept"), too_recent=of("too-recent"), no_data=of("no-data"), missing_candidate=of("missing-candidate"))
 
 
-def canonical_texts(spark: SparkSession, inputs: Inputs, books: DataFrame) -> DataFrame:
+def canonical_texts(spark: SparkSession, inputs: Inputs, books: DataFrame, counted: Counters | None = None) -> DataFrame:
     """book_id, canonical_text and parse_warnings of the books (book_id): the paragraphs of their items in
     order, without metadata lines, and without items most of whose paragraphs are boilerplate."""
+    counted = counted or Counters()
     items = readers.read_epub(spark, inputs.epub).join(books.select("book_id"), "book_id", "left_semi")
     parsed = items.select("book_id", "item", xhtml.paragraphs(F.col("html")).alias("p"), "ok")
     parsed = parsed.select("book_id", "item", F.filter("p.paragraphs", lambda x: ~xhtml.is_metadata_line(x)).alias("paragraphs"), (F.col("ok") & F.col("p.ok")).alias("ok"))
+    parsed = counted.on(parsed, "items", items=EVERY, unreadable=rows_where(~F.col("ok")), paragraphs=F.sum(F.size("paragraphs")))
     ok = F.when(F.size(F.filter("paragraphs", xhtml.is_boilerplate)) * 2 <= F.size("paragraphs"), F.filter("paragraphs", lambda x: ~xhtml.is_boilerplate(x))).otherwise(F.array().cast("array<string>"))
     # a book is one row from here on, as it is one file before
     whole = parsed.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("item", ok.alias("paragraphs")))).alias("items"), F.count_if(~F.col("ok")).alias("parse_warnings"))
     raw = F.array_join(F.flatten(F.transform("items", lambda x: x["paragraphs"])), inputs.separator)
-    return whole.select("book_id", T.canonicalise(raw).alias("canonical_text"), "parse_warnings")
+    texts = whole.select("book_id", T.canonicalise(raw).alias("canonical_text"), "parse_warnings")
+    return counted.on(texts, "texts", books=EVERY, empty=rows_where(F.col("canonical_text") == ""), with_warnings=rows_where(F.col("parse_warnings") > 0))
 
 
 def build(spark: SparkSession, inputs: Inputs, out: str, least_kept: int = catalogue.LEAST_KEPT, build_id: str = "local", embed_model_id: str = "hashed-64") -> DataFrame:
     """Writes decisions, texts, chunks with vectors, shards and the manifest under out (a URI); returns the
     manifest's rows. Every step's table is written, so that a run may go on from the last one."""
+    counted = Counters()
     if PREPARE not in inputs.skip:
-        catalogue.enough_kept(cut(decided(spark, inputs)), least_kept).write.mode("overwrite").parquet(f"{out}/decisions")
+        decided(spark, inputs, counted).write.mode("overwrite").parquet(f"{out}/decisions")
+        counted.write(spark, out, "catalogue", "translators", "filter")
+        catalogue.above_floor(counted.of("filter")["kept"], least_kept)
         kept = spark.read.parquet(f"{out}/decisions").where("decision = 'kept'")
-        canonical_texts(spark, inputs, kept).write.mode("overwrite").parquet(f"{out}/texts")
+        canonical_texts(spark, inputs, kept, counted).write.mode("overwrite").parquet(f"{out}/texts")
+        counted.write(spark, out, "items", "texts")
         texts = spark.read.parquet(f"{out}/texts")
         chunks = texts.select("book_id", F.posexplode(chunking.chunks(F.col("canonical_text"), separator=inputs.separator)).alias("chunk_ord", "c")).select("book_id", F.col("chunk_ord").cast("long").alias("chunk_ord"), "c.*")
-        chunks.withColumn("embedding", embed(F.col("text"))).write.mode("overwrite").parquet(f"{out}/chunks")
+        chunks = counted.on(chunks, "chunks", chunks=EVERY, tokens=F.sum("token_count"), bytes=F.sum(F.octet_length("text")))
+        vectors = counted.on(chunks.withColumn("embedding", embed(F.col("text"))), "vectors", vectors=rows_where(F.col("embedding").isNotNull()), numbers=F.sum(F.size("embedding")))
+        vectors.write.mode("overwrite").parquet(f"{out}/chunks")
+        counted.write(spark, out, "chunks", "vectors")
     decisions, chunks = spark.read.parquet(f"{out}/decisions"), spark.read.parquet(f"{out}/chunks")
     kept = decisions.where("decision = 'kept'")
     if SHARDS not in inputs.skip:
-        publish.write_shards(publish.filtered_only(chunks, kept), f"{out}/shards")
+        publish.write_shards(counted.on(publish.filtered_only(chunks, kept), "shards", rows=EVERY, bytes=F.sum(F.octet_length("text"))), f"{out}/shards")
+        counted.write(spark, out, "shards")
     summaries = publish.shard_summary(chunks, F.col("book_id"), F.col("text"), "chunk_ord")
-    rows = publish.manifest(summaries, kept, inputs.traditions)
+    rows = counted.on(publish.manifest(summaries, kept, inputs.traditions), "manifest", books=EVERY, chunks=F.sum("chunks"), bytes=F.sum("bytes"))
     publish.write_manifest(rows, f"{out}/manifest", build_id, embed_model_id, "")
+    counted.write(spark, out, "manifest")
     return publish.read_manifest(spark, f"{out}/manifest")[1]
 
 

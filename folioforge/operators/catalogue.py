@@ -95,18 +95,27 @@ def first_failure(rows: DataFrame) -> DataFrame:
     return rows.withColumn("failed", failed)
 
 
-def candidates(catalogue: DataFrame) -> DataFrame:
-    """Catalogue rows that pass all tests, as candidates."""
-    parsed = catalogue.select(
+def parsed(catalogue: DataFrame) -> DataFrame:
+    """Catalogue rows with their lists taken apart."""
+    return catalogue.select(
         "book_id", "type", trim(F.col("title")).alias("title"), trim(F.col("language")).alias("language"), semi_list(F.col("locc")).alias("locc"),
         semi_list(F.col("subjects")).alias("subjects"), semi_list(F.col("bookshelves")).alias("bookshelves"), F.col("authors").alias("authors_raw"),
     )
-    return first_failure(parsed).where("failed is null").drop("failed", "type").withColumn("csv_translators", of_role(agents(F.col("authors_raw")), "Translator"))
 
 
-def rejections(parsed: DataFrame) -> DataFrame:
+def passed(tested: DataFrame) -> DataFrame:
+    """Rows of first_failure that fail no test, as candidates."""
+    return tested.where("failed is null").drop("failed", "type").withColumn("csv_translators", of_role(agents(F.col("authors_raw")), "Translator"))
+
+
+def candidates(catalogue: DataFrame) -> DataFrame:
+    """Catalogue rows that pass all tests, as candidates."""
+    return passed(first_failure(parsed(catalogue)))
+
+
+def rejections(rows: DataFrame) -> DataFrame:
     """How many rows fail each test first; `kept` for the rest."""
-    return first_failure(parsed).groupBy(F.coalesce("failed", F.lit("kept")).alias("outcome")).agg(F.count(F.lit(1)).alias("rows"))
+    return first_failure(rows).groupBy(F.coalesce("failed", F.lit("kept")).alias("outcome")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def with_translators(found: DataFrame, rdf: DataFrame) -> DataFrame:
@@ -137,9 +146,13 @@ def decisions(translators: DataFrame, found: DataFrame, cutoff: int = CUTOFF) ->
     return out.select("book_id", "title", "locc", "translators", "decision", "reason")
 
 
-def enough_kept(decided: DataFrame, least: int = LEAST_KEPT) -> DataFrame:
-    """decided, once at least `least` works are kept; fails otherwise."""
-    kept = decided.where("decision = 'kept'").count()
+def above_floor(kept: int, least: int = LEAST_KEPT) -> None:
+    """Fails if fewer than `least` works are kept."""
     if kept < least:
         raise ValueError(f"only {kept} works are kept; {least} is the least")
+
+
+def enough_kept(decided: DataFrame, least: int = LEAST_KEPT) -> DataFrame:
+    """decided, once at least `least` works are kept; fails otherwise."""
+    above_floor(decided.where("decision = 'kept'").count(), least)
     return decided

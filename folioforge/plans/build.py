@@ -222,6 +222,29 @@ def build_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(joined.select(F.col("book_id").cast("long").alias("book_id"), "sha256", "bytes", "chunks", "title", "locc", "tradition", "shard"), out)
 
 
+_KEPT = f"(SELECT * FROM {_GIVEN} AND lang = 'en' AND {_YEAR} <= {catalogue.CUTOFF})"
+_TOXIC_EN = f"(SELECT count(*) FROM {_TOXIC} WHERE lang = 'en')"
+
+
+@query(
+    f"""WITH RECURSIVE {segments.chunks(_BOOK_TEXT, feeds=2)}, g AS (SELECT count(*) AS n, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'en' AND {_YEAR} <= {catalogue.CUTOFF}) AS kept FROM {_GIVEN}),
+    c AS (SELECT count(*) AS n, coalesce(sum(octet_length(encode(text))), 0) AS bytes, coalesce(sum(len({segments.words('text')})), 0) AS tokens, count(DISTINCT doc_id) AS books FROM ck),
+    t AS (SELECT count(*) AS n, count(*) FILTER (text = '') AS empty FROM {_BOOK_TEXT}),
+    i AS (SELECT coalesce(sum(len(list_filter({_LINE_PS}, lambda x: NOT ({_META})))), 0) AS n FROM {_KEPT})
+    SELECT stage, metric, CAST(value AS BIGINT) AS value FROM g, c, t, i, LATERAL (VALUES ('catalogue', 'rows', g.n), ('catalogue', 'type', 0), ('catalogue', 'language', g.n - en), ('catalogue', 'class', 0), ('catalogue', 'kept', en),
+      ('translators', 'works', en), ('translators', 'from_rdf', {_TOXIC_EN}), ('translators', 'original', en - {_TOXIC_EN}),
+      ('filter', 'kept', kept), ('filter', 'too_recent', en - kept), ('filter', 'no_data', 0), ('filter', 'missing_candidate', 0),
+      ('items', 'items', 2 * kept), ('items', 'unreadable', 0), ('items', 'paragraphs', i.n), ('texts', 'books', t.n), ('texts', 'empty', t.empty), ('texts', 'with_warnings', 0),
+      ('chunks', 'chunks', c.n), ('chunks', 'tokens', c.tokens), ('chunks', 'bytes', c.bytes), ('vectors', 'vectors', c.n), ('vectors', 'numbers', 64 * c.n), ('shards', 'rows', c.n), ('shards', 'bytes', c.bytes),
+      ('manifest', 'books', c.books), ('manifest', 'chunks', c.n), ('manifest', 'bytes', c.bytes)) AS m(stage, metric, value)"""
+)
+def build_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every stage of the whole build counted as it wrote."""
+    out = scratch(spark, "build")
+    build.build(spark, _inputs(spark, sf_dir, out), out, least_kept=0)
+    return _read(build.counters(spark, out), out)
+
+
 def _answers() -> tuple:
     """Stand-ins for a model: the terms and the gloss of a text are words and lines of its own."""
     first = F.get(T.search_words(F.col("text")), F.lit(0))

@@ -116,3 +116,25 @@ def test_the_whole_lexicon_guards_the_glossary(spark):
     model = lambda prompt: F.concat(F.lit("PARAPHRASE: ok\nGLOSSARY:\n- a (`eph`): one\n- b (`later`): two\n- c: "), F.when(prompt.contains("`later`"), "first entry lost").otherwise("three"))
     got = grounding.grounded_globally(passages, terms, model).first()
     assert (got.paraphrase, [(e.term, e.gloss) for e in got.glossary]) == ("ok", [("power", "one"), ("c", "three")])
+
+
+def test_the_floor_is_checked_when_decisions_are_written(spark, tmp_path):
+    out = f"file://{tmp_path}"
+    with pytest.raises(ValueError, match="is the least"):
+        build.build(spark, plans._inputs(spark, SF, out), out, least_kept=1000)
+    decisions = spark.read.parquet(f"{out}/decisions")
+    told = {(r.stage, r.metric): r.value for r in build.counters(spark, out).collect()}
+    assert told["filter", "kept"] == decisions.where("decision = 'kept'").count() > 0
+    assert sum(v for (stage, _), v in told.items() if stage == "filter") == decisions.count() == told["catalogue", "kept"] == told["translators", "works"]
+    assert ("texts", "books") not in told and not (tmp_path / "texts").exists()
+
+
+def test_a_run_that_leaves_steps_out_keeps_their_counters(spark, tmp_path):
+    out = f"file://{tmp_path}"
+    inputs = plans._inputs(spark, SF, out)
+    build.build(spark, inputs, out, least_kept=1)
+    first = sorted(map(tuple, build.counters(spark, out).collect()))
+    assert {r[0] for r in first} == {"catalogue", "translators", "filter", "items", "texts", "chunks", "vectors", "shards", "manifest"}
+    inputs.skip = {build.PREPARE, build.SHARDS}
+    build.build(spark, inputs, out, least_kept=1)
+    assert sorted(map(tuple, build.counters(spark, out).collect())) == first
