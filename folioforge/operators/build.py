@@ -64,7 +64,8 @@ def rows_where(condition: Column) -> Column:
     return F.count_if(condition)
 
 
-EVERY = F.count(F.lit(1))
+def every() -> Column:
+    return F.count(F.lit(1))
 
 
 def decided(spark: SparkSession, inputs: Inputs, counted: Counters | None = None) -> DataFrame:
@@ -72,9 +73,9 @@ def decided(spark: SparkSession, inputs: Inputs, counted: Counters | None = None
     counted = counted or Counters()
     parsed = catalogue.parsed(readers.read_catalogue(spark, inputs.catalogue))
     failed = lambda test: rows_where(F.col("failed") == test)
-    tested = counted.on(catalogue.first_failure(parsed), "catalogue", rows=EVERY, type=failed("type"), language=failed("language"), **{"class": failed("class")}, kept=rows_where(F.col("failed").isNull()))
+    tested = counted.on(catalogue.first_failure(parsed), "catalogue", rows=every(), type=failed("type"), language=failed("language"), **{"class": failed("class")}, kept=rows_where(F.col("failed").isNull()))
     found = cut(catalogue.passed(tested))
-    known = counted.on(catalogue.with_translators(found, readers.read_rdf(spark, inputs.rdf)), "translators", works=EVERY, from_rdf=rows_where(F.col("rdf_has_translator")), original=rows_where(F.col("is_original_language")))
+    known = counted.on(catalogue.with_translators(found, readers.read_rdf(spark, inputs.rdf)), "translators", works=every(), from_rdf=rows_where(F.col("rdf_has_translator")), original=rows_where(F.col("is_original_language")))
     of = lambda decision: rows_where(F.col("decision") == decision)
     return counted.on(catalogue.decisions(known, found), "filter", kept=of("kept"), too_recent=of("too-recent"), no_data=of("no-data"), missing_candidate=of("missing-candidate"))
 
@@ -86,13 +87,13 @@ def canonical_texts(spark: SparkSession, inputs: Inputs, books: DataFrame, count
     items = readers.read_epub(spark, inputs.epub).join(books.select("book_id"), "book_id", "left_semi")
     parsed = items.select("book_id", "item", xhtml.paragraphs(F.col("html")).alias("p"), "ok")
     parsed = parsed.select("book_id", "item", F.filter("p.paragraphs", lambda x: ~xhtml.is_metadata_line(x)).alias("paragraphs"), (F.col("ok") & F.col("p.ok")).alias("ok"))
-    parsed = counted.on(parsed, "items", items=EVERY, unreadable=rows_where(~F.col("ok")), paragraphs=F.sum(F.size("paragraphs")))
+    parsed = counted.on(parsed, "items", items=every(), unreadable=rows_where(~F.col("ok")), paragraphs=F.sum(F.size("paragraphs")))
     ok = F.when(F.size(F.filter("paragraphs", xhtml.is_boilerplate)) * 2 <= F.size("paragraphs"), F.filter("paragraphs", lambda x: ~xhtml.is_boilerplate(x))).otherwise(F.array().cast("array<string>"))
     # a book is one row from here on, as it is one file before
     whole = parsed.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("item", ok.alias("paragraphs")))).alias("items"), F.count_if(~F.col("ok")).alias("parse_warnings"))
     raw = F.array_join(F.flatten(F.transform("items", lambda x: x["paragraphs"])), inputs.separator)
     texts = whole.select("book_id", T.canonicalise(raw).alias("canonical_text"), "parse_warnings")
-    return counted.on(texts, "texts", books=EVERY, empty=rows_where(F.col("canonical_text") == ""), with_warnings=rows_where(F.col("parse_warnings") > 0))
+    return counted.on(texts, "texts", books=every(), empty=rows_where(F.col("canonical_text") == ""), with_warnings=rows_where(F.col("parse_warnings") > 0))
 
 
 def build(spark: SparkSession, inputs: Inputs, out: str, least_kept: int = catalogue.LEAST_KEPT, build_id: str = "local", embed_model_id: str = "hashed-64") -> DataFrame:
@@ -108,17 +109,17 @@ def build(spark: SparkSession, inputs: Inputs, out: str, least_kept: int = catal
         counted.write(spark, out, "items", "texts")
         texts = spark.read.parquet(f"{out}/texts")
         chunks = texts.select("book_id", F.posexplode(chunking.chunks(F.col("canonical_text"), separator=inputs.separator)).alias("chunk_ord", "c")).select("book_id", F.col("chunk_ord").cast("long").alias("chunk_ord"), "c.*")
-        chunks = counted.on(chunks, "chunks", chunks=EVERY, tokens=F.sum("token_count"), bytes=F.sum(F.octet_length("text")))
+        chunks = counted.on(chunks, "chunks", chunks=every(), tokens=F.sum("token_count"), bytes=F.sum(F.octet_length("text")))
         vectors = counted.on(chunks.withColumn("embedding", embed(F.col("text"))), "vectors", vectors=rows_where(F.col("embedding").isNotNull()), numbers=F.sum(F.size("embedding")))
         vectors.write.mode("overwrite").parquet(f"{out}/chunks")
         counted.write(spark, out, "chunks", "vectors")
     decisions, chunks = spark.read.parquet(f"{out}/decisions"), spark.read.parquet(f"{out}/chunks")
     kept = decisions.where("decision = 'kept'")
     if SHARDS not in inputs.skip:
-        publish.write_shards(counted.on(publish.filtered_only(chunks, kept), "shards", rows=EVERY, bytes=F.sum(F.octet_length("text"))), f"{out}/shards")
+        publish.write_shards(counted.on(publish.filtered_only(chunks, kept), "shards", rows=every(), bytes=F.sum(F.octet_length("text"))), f"{out}/shards")
         counted.write(spark, out, "shards")
     summaries = publish.shard_summary(chunks, F.col("book_id"), F.col("text"), "chunk_ord")
-    rows = counted.on(publish.manifest(summaries, kept, inputs.traditions), "manifest", books=EVERY, chunks=F.sum("chunks"), bytes=F.sum("bytes"))
+    rows = counted.on(publish.manifest(summaries, kept, inputs.traditions), "manifest", books=every(), chunks=F.sum("chunks"), bytes=F.sum("bytes"))
     publish.write_manifest(rows, f"{out}/manifest", build_id, embed_model_id, "")
     counted.write(spark, out, "manifest")
     return publish.read_manifest(spark, f"{out}/manifest")[1]
