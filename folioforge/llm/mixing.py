@@ -53,16 +53,17 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def mix(docs: DataFrame, seed: int = 7, range_rows: int = 512, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **targets) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, epochs and cut of every row of docs;
-    taken = epochs * size + cut."""
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size")))
+    """doc_id, source, size, source_size, target, taken, epochs, cut and hash (of the text) of every row of docs;
+    taken = epochs * size + cut. Order is by hash of id and text, so rows that share an id lie apart."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("hash")))
     sources = cut(source_targets(sized, **targets))
     bits = F.greatest(F.lit(1), F.least(F.lit(40), F.ceil(F.log2(F.col("rows") / F.lit(float(range_rows)))).cast("int")))
     sources = sources.withColumn("bits", bits).withColumnRenamed("source", "__ff_source")
     rows = (
         sized.join(broadcast_if_small(sources, sources.count()), F.col("source").eqNullSafe(F.col("__ff_source")))
         .drop("__ff_source", "rows")
-        .withColumn("key", F.xxhash64("doc_id", F.lit(seed)))
+        .withColumn("key", F.xxhash64("doc_id", "crc", F.lit(seed)))
         .withColumn("range", F.expr("shiftrightunsigned(key, 64 - bits)"))
     )
     ranges = rows.groupBy("sid", "range").agg(F.sum("size").alias("words")).withColumn("block", F.shiftright("range", 10))
@@ -81,20 +82,27 @@ def mix(docs: DataFrame, seed: int = 7, range_rows: int = 512, id_col: str = "do
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("before")))
     out = placed.withColumn("budget", budget).withColumn("epochs", epochs).withColumn("cut", part)
     taken = F.col("epochs") * F.col("size") + F.col("cut")
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "epochs", "cut")
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "epochs", "cut", "hash")
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **how) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", **how) -> DataFrame:
     """The mix itself, in the columns of docs: a row for each time a document is taken,
     the one at its source's cut with its leading words only (and n_chars to match).
-    Rows of one id are all taken as the largest of them."""
-    taken = mix(docs, id_col=id_col, text_col=text_col, **how).groupBy("doc_id").agg(F.max(F.struct("size", "epochs", "cut")).alias("__ff_mix"))
-    taken = taken.withColumnRenamed("doc_id", "__ff_id")
-    whole = F.col("__ff_mix.epochs").cast("int") + (F.col("__ff_mix.cut") >= F.col("__ff_mix.size")).cast("int")
-    rest = F.when(F.col("__ff_mix.cut") < F.col("__ff_mix.size"), F.col("__ff_mix.cut")).otherwise(F.lit(0)).cast("int")
-    copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    joined = docs.join(taken.where((F.col("__ff_mix.epochs") > 0) | (F.col("__ff_mix.cut") > 0)), docs[id_col].eqNullSafe(taken["__ff_id"]))
-    each = joined.where(F.col("__ff_mix.size") > 0).withColumn("__ff_words", F.explode(copies))
+    Rows that share id, source and text follow one another in the mix: of such rows as many are taken as are due. They are
+    numbered only where the cut falls among them, which is once a source at most."""
+    group = ["doc_id", "source", "hash"]
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).groupBy(*group, "size").agg(F.count(F.lit(1)).alias("rows"), F.max("epochs").cast("int").alias("epochs"), F.sum("cut").alias("cut"))
+    due = taken.where((F.col("size") > 0) & ((F.col("epochs") > 0) | (F.col("cut") > 0))).select(F.struct(*group, "size", "rows", "epochs", F.expr("cut div size").alias("whole"), (F.col("cut") % F.col("size")).cast("int").alias("rest")).alias("__ff_mix"))
+    hashed = docs.withColumn("__ff_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    m = lambda name: F.col(f"__ff_mix.{name}")
+    joined = hashed.join(due, hashed[id_col].eqNullSafe(m("doc_id")) & hashed[source_col].eqNullSafe(m("source")) & (hashed["__ff_hash"] == m("hash")))
+    alike = (m("whole") == m("rows")) | (m("whole") == 0) & (m("rest") == 0)
+    same = Window.partitionBy(m("doc_id"), m("source"), m("hash")).orderBy("__ff_hash")
+    placed = joined.where(alike).withColumn("__ff_nth", F.lit(0)).unionByName(joined.where(~alike).withColumn("__ff_nth", F.row_number().over(same) - 1))
+    once_more = (F.col("__ff_nth") < m("whole")).cast("int")
+    rest = F.when(F.col("__ff_nth") == m("whole"), m("rest")).otherwise(F.lit(0))
+    copies = F.concat(F.array_repeat(F.lit(-1), m("epochs") + once_more), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    each = placed.withColumn("__ff_words", F.explode(copies))
     led = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     text = F.when(F.col("__ff_words") < 0, F.col(text_col)).otherwise(F.array_join(F.slice(led, 1, F.greatest(F.col("__ff_words"), F.lit(1))), ""))
     out = each.withColumn(text_col, text)
@@ -102,4 +110,3 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         kind = docs.schema[chars_col].dataType
         out = out.withColumn(chars_col, F.when(F.col("__ff_words") < 0, F.col(chars_col)).otherwise(F.length(text_col)).cast(kind))
     return out.select(*[out[c] for c in docs.columns])
-

@@ -37,21 +37,35 @@ def steps(source: str, *each: str) -> str:
 _FINISH = (shifted("h", 33), mul("h", P2), shifted("h", 29), mul("h", P3), shifted("h", 32))
 
 
-def _keys(source: str, column: str, seed: int) -> str:
-    """source with h: the hash of a long column (null leaves the seed as it is), then of the seed."""
+def _long(source: str, column: str) -> str:
+    """source with h hashed on by a long column; null leaves it as it is."""
     kept = lambda x: f"CASE WHEN {column} IS NULL THEN h ELSE {x} END"
     value = f"CAST((CAST({column} AS HUGEINT) + {_WRAP}) % {_WRAP} AS UBIGINT)"
-    of_long = f"(SELECT *, {mul(value, P2)} AS __v, CAST(42 AS UBIGINT) AS h FROM {source})"
-    of_long = f"(SELECT * REPLACE ({rotated('__v', 31)} AS __v) FROM {of_long})"
-    of_long = steps(of_long, kept(f"xor({add('h', P5 + 8)}, {mul('__v', P1)})"), kept(rotated("h", 27)), kept(add(mul("h", P1), P4)), *map(kept, _FINISH))
-    return steps(of_long, f"xor({add('h', P5 + 4)}, CAST({seed * P1 % _WRAP} AS UBIGINT))", rotated("h", 23), add(mul("h", P2), P3), *_FINISH)
+    out = f"(SELECT *, {mul(value, P2)} AS __v FROM {source})"
+    out = f"(SELECT * REPLACE ({rotated('__v', 31)} AS __v) FROM {out})"
+    out = steps(out, kept(f"xor({add('h', P5 + 8)}, {mul('__v', P1)})"), kept(rotated("h", 27)), kept(add(mul("h", P1), P4)), *map(kept, _FINISH))
+    return f"(SELECT * EXCLUDE (__v) FROM {out})"
+
+
+def _keys(source: str, seed: int, *columns: str) -> str:
+    """source with h: the hash of long columns, then of the seed."""
+    out = f"(SELECT *, CAST(42 AS UBIGINT) AS h FROM {source})"
+    for column in columns:
+        out = _long(out, column)
+    return steps(out, f"xor({add('h', P5 + 4)}, CAST({seed * P1 % _WRAP} AS UBIGINT))", rotated("h", 23), add(mul("h", P2), P3), *_FINISH)
+
+
+_CRC = """list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(octet_length(b)), lambda i: ('0x' || substr(hex(b), 2 * i + 1, 2))::UBIGINT)),
+         lambda c, x: xor(c >> 8, crc[CAST(xor(c, x) & 255 AS INT) + 1]))"""
+_TABLE = "list_transform(range(256), lambda n: list_reduce(list_concat([n::UBIGINT], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END))"
 
 
 def mixing_sql(seed: int = 7, share: float = 1.5, most: float = 2.0) -> str:
     weights = "[" + ", ".join(f"{float(w)}::DOUBLE" for w in mixing.WEIGHTS) + "]"
     return rf"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+  SELECT doc_id, source, size, CAST(xor({_CRC}, 4294967295) AS BIGINT) AS crc
+  FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, encode(coalesce(text, '')) AS b FROM documents), (SELECT {_TABLE} AS crc)
 ), s AS (
   SELECT *, {most}::DOUBLE * source_size AS cap, {most}::DOUBLE * source_size / weight AS ratio FROM (
     SELECT *, {weights}[sid % {len(mixing.WEIGHTS)} + 1] AS weight FROM (
@@ -67,7 +81,7 @@ WITH d AS (
 ), k AS (
   SELECT k.doc_id, size, source_size, target, CAST(round(target) AS BIGINT) AS budget,
          coalesce(sum(size) OVER (PARTITION BY sid ORDER BY h, k.doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM {_keys("d", "doc_id", seed)} k JOIN t ON k.source IS NOT DISTINCT FROM t.source
+  FROM {_keys("d", seed, "doc_id", "crc")} k JOIN t ON k.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
        CASE WHEN source_size > 0 THEN budget // source_size * size + greatest(0, least(size, budget % source_size - before)) ELSE 0 END AS taken
@@ -75,11 +89,6 @@ FROM k
 """
 
 
-_CRC = """list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(octet_length(b)), lambda i: ('0x' || substr(hex(b), 2 * i + 1, 2))::UBIGINT)),
-         lambda c, x: xor(c >> 8, crc[CAST(xor(c, x) & 255 AS INT) + 1]))"""
-_TABLE = "list_transform(range(256), lambda n: list_reduce(list_concat([n::UBIGINT], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END))"
-
-
 def sharding_sql(shards: int = 24, seed: int = 20240229) -> str:
     def once(source: str) -> str:
         """The Feistel rounds over column x of source."""

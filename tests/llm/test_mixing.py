@@ -84,3 +84,30 @@ def test_empty(empty, clashing):
     assert mixing.mix(empty).count() == 0
     assert mixing.mix_documents(empty).count() == 0
     assert mixing.mix_documents(clashing).columns == clashing.columns
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "copies"])
+def test_documents_of_one_id_meet_the_target(spark, ids):
+    """Two thirds of the rows share an id, or are copies of each other."""
+    same = None if ids == "null" else 7
+    rows = [(same, words(5, 0 if ids == "copies" else i), "en", "a") for i in range(10)] + [(100 + i, words(4, i), "en", "a") for i in range(5)]
+    sizes = {"a": sum(count(t) for _, t, *_ in rows)}
+    frame = make(spark, rows)
+    out = mixing.mix_documents(frame).collect()
+    assert sum(count(r.text) for r in out) == round(filled(sizes)["a"]) == 105
+    times = {}
+    for r in out:
+        full = [t for i, t, *_ in rows if i == r.doc_id and t.startswith(r.text)]
+        times[r.doc_id, full[0]] = times.get((r.doc_id, full[0]), 0) + count(r.text)
+    for (i, t), n in times.items():
+        assert n <= 2 * count(t) * sum(x[0] == i and x[1] == t for x in rows)
+
+
+def test_rows_of_one_id_lie_apart(spark):
+    """A third of all rows without an id: their ranges are as small as any."""
+    rows = [(None if i % 3 == 0 else i, words(3, i), "en", "a") for i in range(3000)]
+    frame = make(spark, rows)
+    keys = frame.select(mixing.F.xxhash64("doc_id", mixing.F.crc32(mixing.F.col("text").cast("binary")), mixing.F.lit(7)).alias("key"), "doc_id")
+    ranges = keys.withColumn("range", mixing.F.expr("shiftrightunsigned(key, 60)")).groupBy("range").count().collect()
+    assert len(ranges) == 16 and max(r["count"] for r in ranges) < 300
+    check(rows, mixing.mix(frame, range_rows=64).collect())
