@@ -3,11 +3,12 @@ themes, evaluation queries, packed vectors."""
 
 from __future__ import annotations
 
-import io
 import json
 import re
+import struct
 import uuid
 import zipfile
+import zlib
 import xml.etree.ElementTree as ElementTree
 from collections.abc import Iterator
 from urllib.parse import unquote
@@ -40,45 +41,94 @@ def read_rdf(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("name", r"pg(\d+)\.rdf", 1).cast("int").alias("book_id"), rdf_translators("value").alias("translators"))
 
 
-def spine(content: bytes) -> Iterator[tuple[int, str | None]]:
-    """Place and text of each item of an EPUB's spine; text is null if it can't be read."""
+_DAMAGED = (KeyError, StopIteration, RuntimeError, ValueError, zipfile.BadZipFile, ElementTree.ParseError, struct.error, zlib.error, OSError)
+
+
+def spine(book: zipfile.ZipFile) -> Iterator[str | None]:
+    """The entries of an EPUB's spine in order; null for an item that the package doesn't list. Of the archive only its
+    directory, the container and the package file are read."""
     local = lambda e: e.tag.rpartition("}")[2]
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        container = ElementTree.fromstring(book.read("META-INF/container.xml"))
-        root = next(e.get("full-path") for e in container.iter() if local(e) == "rootfile")
-        package = ElementTree.fromstring(book.read(root))
-        folder = root.rpartition("/")[0]
-        hrefs = {e.get("id"): e.get("href") for e in package.iter() if local(e) == "item"}
-        for k, ref in enumerate(e.get("idref") for e in package.iter() if local(e) == "itemref"):
-            try:
-                name = unquote(hrefs[ref])
-                yield k, book.read(f"{folder}/{name}" if folder else name).decode("utf-8")
-            except (KeyError, UnicodeDecodeError, zipfile.BadZipFile):
-                yield k, None
-
-
-def read_epub(spark: SparkSession, path: str) -> DataFrame:
+    container = ElementTree.fromstring(book.read("META-INF/container.xml"))
+    root = next(e.get("full-path") for e in container.iter() if local(e) == "rootfile")
+    package = ElementTree.fromstring(book.read(root))
+    folder = root.rpartition("/")[0]
+    hrefs = {e.get("id"): e.get("href") for e in package.iter() if local(e) == "item"}
+    for ref in (e.get("idref") for e in package.iter() if local(e) == "itemref"):
+        name = unquote(hrefs.get(ref) or "")
+        yield (f"{folder}/{name}" if folder else name) if name else None
+
+
+def entry(source, offset: int, packed: int, method: int, crc: int) -> bytes:
+    """The bytes of an archive's entry, by its place; its own header tells where they begin."""
+    source.seek(offset)
+    head = source.read(30)
+    signature, names = struct.unpack("<4s22xHH", head)[0], struct.unpack("<HH", head[26:30])
+    if signature != b"PK\x03\x04" or method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        raise zipfile.BadZipFile("no entry here, or one packed otherwise")
+    source.seek(offset + 30 + sum(names))
+    data = source.read(packed)
+    data = zlib.decompress(data, -15) if method == zipfile.ZIP_DEFLATED else data
+    if zlib.crc32(data) != crc:
+        raise zipfile.BadZipFile("the entry differs from its checksum")
+    return data
+
+
+def _opened(path: str):
+    uri = re.sub(r"^file:/+", "file:///", path).replace("s3a://", "s3://", 1)
+    fs, place = pyarrow.fs.FileSystem.from_uri(uri)
+    return fs.open_input_file(place)
+
+
+#: Packed bytes that a task reads, about.
+TASK_BYTES = 32 << 20
+
+
+def read_epub(spark: SparkSession, path: str, task_bytes: int = TASK_BYTES) -> DataFrame:
     """book_id, item, html and ok of every spine item of the EPUBs at path, in spine order; an archive
-    that can't be read gives one row that isn't ok."""
+    that can't be read gives one row that isn't ok, and so does an item that can't.
+
+    Archives of any size: their directories are read by range, and then items, which are dealt over tasks by their
+    packed sizes whatever archive they are in. No archive is held whole, only an item."""
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    names = ["path", "book_id", "item", "place", "packed", "method", "crc"]
 
-    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for file in batch.column(0).to_pylist():
+                number = re.search(r"(\d+)\.epub", file)
+                book_id, rows = int(number[1]) if number else None, []
                 try:
-                    found = list(spine(content.as_py()))
-                except (KeyError, StopIteration, RuntimeError, ValueError, zipfile.BadZipFile, ElementTree.ParseError):
-                    found = [(0, None)]  # a damaged archive, or one without a container or package file
-                number = re.search(r"(\d+)\.epub", name)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "book_id": pa.array([int(number[1]) if number else None] * len(found), pa.int32()),
-                        "item": pa.array([k for k, _ in found], pa.int32()),
-                        "html": pa.array([t for _, t in found], pa.string()),
-                        "ok": pa.array([t is not None for _, t in found]),
-                    }
-                )
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(items, "book_id int, item int, html string, ok boolean")
+                    with _opened(file) as source, zipfile.ZipFile(source) as book:
+                        there = {i.filename: i for i in book.infolist()}
+                        for k, name in enumerate(spine(book)):
+                            i = there.get(name)
+                            rows.append((file, book_id, k, i and i.header_offset, i and i.compress_size, i and i.compress_type, i and i.CRC))
+                except _DAMAGED:
+                    rows = [(file, book_id, 0, None, None, None, None)]  # a damaged archive, or one without a container or package file
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=names)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, source = None, None
+        for batch in batches:
+            for file, book_id, item, place, packed, method, crc in zip(*(c.to_pylist() for c in batch.columns)):
+                html = None
+                if place is not None:
+                    try:
+                        if file != held:
+                            held, source = file, _opened(file)
+                        html = entry(source, place, packed, method, crc).decode("utf-8")
+                    except _DAMAGED:
+                        pass
+                columns = [pa.array([book_id], pa.int32()), pa.array([item], pa.int32()), pa.array([html], pa.string()), pa.array([html is not None])]
+                yield pa.RecordBatch.from_arrays(columns, names=["book_id", "item", "html", "ok"])
+
+    files = spark.read.format("binaryFile").load(path).select("path")  # contents aren't read
+    found = cut(files.mapInArrow(listed, "path string, book_id int, item int, place long, packed long, method int, crc long"))
+    total = found.agg(F.sum("packed")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_bytes))
+    dealt = found.repartition(tasks, "path", F.floor(F.col("place") / task_bytes)).sortWithinPartitions("path", "place")
+    return dealt.mapInArrow(read, "book_id int, item int, html string, ok boolean")
 
 
 def parse_warnings(items: DataFrame) -> DataFrame:
