@@ -2,7 +2,8 @@
 
 The search is exhaustive. Query vectors, few by contract, are shipped as one matrix behind a
 check of their number; a task multiplies it with its rows some at a time and keeps a running
-best of `keep` rows a query, so that only these leave it. More queries go in blocks.
+best of `keep` rows a query, so that only these leave it. More queries go in blocks. Rows of groups come
+one group after the other, and a group's best leave when its rows are over.
 """
 
 from __future__ import annotations
@@ -82,6 +83,9 @@ def _scored(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, id_col: str
         kind = None
         for batch in batches:
             kind = batch.column(2).type if group_col else None
+            if group_col and batch.num_rows:  # rows are sorted by group: those before this batch's are over
+                for g in held.keys() - set(batch.column(2).to_pylist()):
+                    yield from held.pop(g).batches(ids, ["query_id", id_col, "score"], (group_col, g, kind))
             for at in range(0, batch.num_rows, step):
                 some = batch.slice(at, step)
                 own = np.asarray(some.column(0))
@@ -97,4 +101,5 @@ def _scored(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, id_col: str
 
     more = [group_col] if group_col else []
     schema = f"query_id long, {id_col} long, score double" + "".join(f", {c} {vectors.schema[c].dataType.simpleString()}" for c in more)
-    return vectors.where(vectors[vector_col].isNotNull()).select(id_col, vector_col, *more).mapInArrow(best, schema)
+    rows = vectors.where(vectors[vector_col].isNotNull()).select(id_col, vector_col, *more)
+    return (rows.sortWithinPartitions(group_col) if group_col else rows).mapInArrow(best, schema)

@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 from folioforge.functions.sentences import snap_selection_near
-from folioforge.functions.vectors import embed
 from folioforge.operators import build, catalogue, grounding, harvest, judge, xhtml
 from folioforge.plans import segments
 from folioforge.plans.corpus import levels
-from folioforge.plans.grounding import TERMS, _judged
+from folioforge.plans.grounding import TERMS, _bare, _judged
 from folioforge.plans.registry import query
 from folioforge.plans.text import _LINE_PS, WORD, canonical_sql, docs
 from folioforge.session import cut, remove_path, scratch, table
@@ -271,14 +270,18 @@ def harvest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(readers.read_jsonl(spark, path, clusters.schema.simpleString().removeprefix("struct<").removesuffix(">")), path)
 
 
-@query("SELECT conv_id || '/' || turn AS passage_id, 'curated' AS resolution, 1 AS entries, 'function' AS term FROM conversations WHERE text IS NOT NULL")
+@query("SELECT conv_id || '/' || turn AS passage_id, 'curated' AS resolution, 1 AS entries, 'function' AS term, trim(regexp_replace(split_part(text, chr(10), 1), '[:`()]', ' ', 'g'), ' ') || '.' AS gloss, sha256(" + _bare("text") + ") AS paraphrase_sha256 FROM conversations WHERE text IS NOT NULL")
 def ground_globally(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn with the whole lexicon's terms; the model names one that the lexicon has and one that it lacks."""
     turns = table(spark, sf_dir, "conversations").where("text is not null").select(F.format_string("%d/%d", "conv_id", "turn").alias("passage_id"), "text", F.lit("simple").alias("tier"))
     terms = spark.createDataFrame(TERMS, "entry_id string, ord int, english string, substrate string, gloss string")
-    echo = lambda prompt: F.concat(F.lit("PARAPHRASE: x\nGLOSSARY:\n- it (`ergon`): that\n- other (`"), F.when(prompt.contains("`none`"), "ergon").otherwise("none"), F.lit("`): no"))
+    passage = lambda prompt: F.regexp_extract(prompt, '(?s)"""\n(.*)\n"""', 1)
+    line = lambda prompt: F.trim(F.regexp_replace(T.first_line(passage(prompt)), "[:`()]", " "))
+    other = lambda prompt: F.when(prompt.contains("`none`"), "ergon").otherwise("none")
+    echo = lambda prompt: F.concat(F.lit("PARAPHRASE: "), passage(prompt), F.lit("\nGLOSSARY:\n- it (`ergon`): "), line(prompt), F.lit(".\n- other (`"), other(prompt), F.lit("`): no"))
     found = grounding.grounded_globally(turns, terms, echo)
-    return found.select("passage_id", "resolution", F.size("glossary").alias("entries"), F.get("glossary", F.lit(0))["term"].alias("term"))
+    entry = F.get("glossary", F.lit(0))
+    return found.select("passage_id", "resolution", F.size("glossary").alias("entries"), entry["term"].alias("term"), entry["gloss"].alias("gloss"), F.sha2(F.col("paraphrase").cast("binary"), 256).alias("paraphrase_sha256"))
 
 
 @query(

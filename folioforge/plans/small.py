@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
-from folioforge.functions.vectors import softmax3, unit
-from folioforge.operators import search, xhtml
+from folioforge.functions.vectors import mean_pool, softmax3, unit
+from folioforge.operators import grounding, publish, search, xhtml
 from folioforge.plans.registry import query
 from folioforge.plans.text import WS, docs
 from folioforge.session import table
@@ -60,3 +60,33 @@ def titles_of_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("book_id"))
     books = docs(spark, sf_dir).select((F.col("doc_id") - 190).alias("book_id"), F.col("text").alias("title"))
     return search.titled(hits, books, "pg{id}")
+
+
+#: Of each vector as 8 tokens of 8 numbers, those whose place and id tell are masked in.
+_POOL = "list_transform(range(8), lambda j: list_sum(list_transform(range(8), lambda t: CASE WHEN (t + vec_id) % 3 = 0 OR t = 0 THEN embedding[8 * t + j + 1]::DOUBLE ELSE 0 END)))"
+
+
+@query(f"SELECT vec_id, round(m[1] / sqrt(list_inner_product(m, m)), 4) AS first, round(m[8] / sqrt(list_inner_product(m, m)), 4) AS last FROM (SELECT vec_id, {_POOL} AS m FROM embeddings)")
+def pooled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as 8 token vectors, pooled over those of a mask."""
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.when(((t + F.col("vec_id")) % 3 == 0) | (t == 0), 1).otherwise(0))
+    pooled = table(spark, sf_dir, "embeddings").select("vec_id", mean_pool("embedding", mask).alias("v"))
+    return pooled.select("vec_id", *[F.round(F.get("v", F.lit(k)).cast("double"), 4).alias(n) for k, n in ((0, "first"), (7, "last"))])
+
+
+_TIERS = ["simple", "standard", "scholarly"]
+
+
+@query("SELECT conv_id, turn, length(CASE turn % 3 " + " ".join(f"WHEN {k} THEN '{grounding.AUDIENCE[t].replace(chr(39), chr(39) * 2)}'" for k, t in enumerate(_TIERS)) + " END) AS chars FROM conversations")
+def tier_audiences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For whom each turn would be rewritten, its tier being told by its number."""
+    tier = F.element_at(F.array(*map(F.lit, _TIERS)), (F.col("turn") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(grounding.audience(tier)).cast("long").alias("chars"))
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) AS INT) AS place FROM documents WHERE doc_id IS NOT NULL QUALIFY place <= 25")
+def first_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 25 documents in the order of their files' names, as a run with a limit takes them."""
+    named = docs(spark, sf_dir).where("doc_id is not null").select("doc_id", F.col("doc_id").cast("string").alias("name"))
+    first = publish.head(named, 25, "name")
+    return first.select("doc_id", F.row_number().over(Window.orderBy(publish.name_order("doc_id"))).alias("place"))  # of 25 rows
