@@ -138,6 +138,16 @@ def chunk_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.octet_length("c.text")).alias("bytes"), F.bool_and(same).alias("same"))
 
 
+_OF_SOURCES = segments.chunks(f"(SELECT coalesce(source, '') AS doc_id, string_agg(coalesce({canonical_sql('text')}, ''), chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY 1)")
+
+
+@query(f"WITH RECURSIVE {_OF_SOURCES} SELECT doc_id AS source, chunk_id, paragraph_id, section_id, text, byte_start, byte_end, len({segments.words('text')}) AS token_count FROM ck")
+def chunk_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of one text a source, which is all its documents by doc_id; no task holds a source."""
+    canonical = docs(spark, sf_dir).select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", T.canonicalise(F.col("text")).alias("text"))
+    return chunking.chunks_of_blocks(canonical, "source", "doc_id", "text", separator="\n")
+
+
 @query(f'SELECT d.doc_id, count(sentence) AS sentences, max(length(sentence)) AS longest, max("end") AS last_end FROM documents d LEFT JOIN {segments.sentences("documents")} s USING (doc_id) GROUP BY d.doc_id')
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).select("doc_id", split_sentences("text").alias("s"), sentence_spans("text").alias("spans"))

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.operators import chunking
+from folioforge.operators import chunking, folds
 
 
 def tokens(*counts):
@@ -53,3 +53,74 @@ def test_frames(spark):
     points = spark.createDataFrame([(1, 0), (1, 2), (1, 4), (1, 5), (1, 11), (2, 0)], "id int, at long")
     found = chunking.containing_chunk(spans, points, "id").orderBy("id", "at").collect()
     assert [r.chunk_id for r in found] == ["", "c000000", "c000000", "", "c000001", ""]
+
+
+FIELDS = ["chunk_id", "paragraph_id", "section_id", "text", "byte_start", "byte_end", "token_count"]
+
+
+def dealt(text, separator, rng, longest):
+    """text as blocks of some paragraphs each."""
+    parts, out = text.split(separator), []
+    while parts:
+        n = rng.randrange(1, longest + 1)
+        out.append(separator.join(parts[:n]))
+        parts = parts[n:]
+    return out
+
+
+def prose(rng, paragraphs, words):
+    sentence = lambda: " ".join(rng.choice(["é", "word", "’tis", "日本", "e.g."]) for _ in range(rng.randrange(1, 9))) + rng.choice([". ", "! ", ".” ", " "])
+    part = lambda: rng.choice(["", "  ", "\n", "\x1f"]) if rng.random() < 0.3 else rng.choice(["", " "]) + "".join(sentence() for _ in range(rng.randrange(1, words)))
+    return "\n\n".join(part() for _ in range(paragraphs))
+
+
+def test_blocks_give_the_chunks_of_the_whole_text(spark):
+    rng, rows, want = random.Random(3), [], []
+    for key in range(60):
+        # 1 in 5 has no break but those between single words, so that no block resets what waits
+        text = "\n\n".join("w" for _ in range(rng.randrange(200))) if key % 5 == 0 else prose(rng, rng.randrange(1, 60), rng.choice([2, 5, 30]))
+        want += [(key, *(c[f] for f in FIELDS)) for c in chunking.chunk(text, 9, 21)]
+        rows += [(key, 10 * k, block, "clash") for k, block in enumerate(dealt(text, "\n\n", rng, rng.choice([1, 3, 1000])))]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "book int, at int, text string, unit string")
+    for fan in (2, 256):
+        got = chunking.chunks_of_blocks(frame, "book", "at", "text", 9, 21, fan=fan)
+        assert got.columns == ["book", *FIELDS]
+        assert sorted(map(tuple, got.collect()), key=lambda r: (r[0], r[1])) == want
+
+
+def test_one_huge_text_lies_over_all_tasks(spark):
+    """A text of 20 MB in blocks: no task gets more than a part of it, and its chunks join to the whole."""
+    sentence = "Some words of a sentence that goes on for a while and then ends. "
+    blocks = spark.range(400).select(F.lit("one").alias("k"), F.col("id").alias("o"), F.expr(f"array_join(transform(sequence(1, 20), i -> repeat('{sentence}', 1 + cast((id * 7 + i * 3) % 77 as int))), '\n\n')").alias("t"))
+    got = chunking.chunks_of_blocks(blocks.repartition(8), "k", "o", "t")
+    one = got.agg(F.count("*").alias("n"), F.sum("token_count").alias("words"), F.countDistinct("chunk_id").alias("ids"), F.max("chunk_id").alias("last"), F.max("byte_end").alias("end")).first()
+    size = blocks.agg(F.sum(F.octet_length("t")).alias("bytes"), F.sum(F.size(F.expr("filter(split(t, '\\\\s+'), w -> w != '')"))).alias("words")).first()
+    assert one.words == size.words and one.n == one.ids and one.last == f"c{one.n - 1:06d}"
+    assert one.end == size.bytes + 2 * 399 - 1  # the last blank is trimmed
+
+
+def test_blocks_without_words(spark):
+    frame = spark.createDataFrame([(1, 0, None), (1, 1, " "), (2, 0, ""), (3, 0, None), (3, 1, "a b"), (3, 2, " \n "), (3, 3, None)], "k int, o int, t string")
+    got = chunking.chunks_of_blocks(frame, "k", "o", "t", 5, 9).collect()
+    assert [(r.k, r.chunk_id, r.paragraph_id, r.text, r.byte_start, r.byte_end) for r in got] == [(3, "c000000", "p000000", "a b", 2, 5)]
+    assert chunking.chunks_of_blocks(frame.where("k > 9"), "k", "o", "t").collect() == []
+
+
+def test_what_waits_at_the_end_is_one_chunk_where_least_is_above_most(spark):
+    text = "One two. Three four. Five six."
+    frame = spark.createDataFrame([(1, 0, text), (1, 1, "Seven.")], "k int, o int, t string")
+    got = [r.text for r in chunking.chunks_of_blocks(frame, "k", "o", "t", 20, 3).collect()]
+    assert got == [c["text"] for c in chunking.chunk(text + "\n\nSeven.", 20, 3)] == [text + "\n\nSeven."]
+
+
+@pytest.mark.parametrize("fan", [1, 2, 7, 256])
+def test_folds_in_levels(spark, fan):
+    rng = random.Random(fan)
+    rows = [(k, o, rng.randrange(-9, 10)) for k, n in enumerate([1, 0, 300, 5]) for o in rng.sample(range(1000), n)]
+    got = folds.sums_before(spark.createDataFrame(rows, "k int, o int, x int"), "k", "o", F.col("x"), fan).collect()
+    want, sums = {}, {}
+    for k, o, x in sorted(rows):
+        want[k, o] = sums.get(k, 0)
+        sums[k] = want[k, o] + x
+    assert {(r.k, r.o): r.before for r in got} == want and len(got) == len(rows)
