@@ -11,6 +11,11 @@ No link is lost: sets as similar as that share one of the first n - ceil(4n/5) +
 elements under any order that holds for all sets. The order here puts shingles that are
 common in the corpus last (a bounded list, which decides speed alone) and others by hash,
 so a passage that many texts hold brings no pairs unless it is nearly all of them.
+A pair is looked at in the group of the first element that it shares, before which all of both
+sets' elements differ; so an element at place p of n is of use only with sets of at most
+9/4 (n - p) - n elements (`reach`). Beyond a ninth of the set these are smaller sets, never those
+that have the element beyond a ninth themselves: pages of one template whose own words are more than
+a link allows share such elements alone, and make no pairs.
 
 Texts of equal sets are one node. The trie's links, and pairs within a shingle's group at
 distances of 1, 2 and 4 (by size), are checked first; then all pairs that their components left
@@ -120,6 +125,29 @@ def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndar
     return found[np.argsort(weight, kind="stable")[: n - -(-LEAST[0] * n // LEAST[1]) + 1]]
 
 
+def reach(size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The largest size of a set that may be linked to one of this size if the first element that they
+    share has this place (from 0) in its prefix: at most size - place elements are shared then."""
+    return sum(LEAST) * (size - place) // LEAST[0] - size
+
+
+def of_use(group: np.ndarray, size: np.ndarray, far: np.ndarray, small: int = 64) -> np.ndarray:
+    """Whether a member of a group (sorted) may have a partner there. Two members whose reach is under
+    their own size have none in each other, so a member needs one that reaches its own size; in
+    larger groups one of a size that fits."""
+    if not len(group):
+        return np.empty(0, bool)
+    inner, starts = far >= size, np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    counts = np.diff(np.append(starts, len(group)))
+    some = np.logical_or.reduceat(inner, starts)
+    out = np.repeat(some & (counts > 1), counts)
+    for k in np.flatnonzero(some & (counts > small)).tolist():
+        own = slice(starts[k], starts[k] + counts[k])
+        sizes = np.sort(size[own][inner[own]])
+        out[own] = inner[own] | (np.searchsorted(sizes, far[own], "right") > np.searchsorted(sizes, -(-LEAST[0] * size[own] // LEAST[1])))
+    return out
+
+
 def parities(found: np.ndarray, classes: int = CLASSES) -> bytes:
     """A bit for each class of elements: as many bits differ at most as elements do."""
     return np.packbits(np.bincount((found % np.uint64(classes)).astype(np.int64), minlength=classes) & 1 == 1).tobytes()
@@ -153,9 +181,10 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return LEAST[1] * shared >= LEAST[0] * (len(both) - shared)
 
 
-def candidates(group: np.ndarray, size: np.ndarray, node: np.ndarray, bits: np.ndarray, part: np.ndarray | None, large: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes of one group whose sizes and parities (bits, a row of words each) allow a link:
-    those at distances of 1, 2 and 4 by size, or if `part` is given all those of different parts."""
+def candidates(group: np.ndarray, size: np.ndarray, node: np.ndarray, bits: np.ndarray, part: np.ndarray | None, large: int = 256, far: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of one group whose sizes, reach (far) and parities (bits, a row of words each) allow
+    a link: those at distances of 1, 2 and 4 by size, or if `part` is given all those of different parts."""
+    far = np.full(len(size), np.iinfo(np.int64).max) if far is None else far
     order = np.lexsort((node, size, group))
     if part is not None:  # groups of one part have no pairs
         starts = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1])) if len(group) else np.empty(0, np.int64)
@@ -163,10 +192,10 @@ def candidates(group: np.ndarray, size: np.ndarray, node: np.ndarray, bits: np.n
         mixed = np.minimum.reduceat(part[order], starts) != np.maximum.reduceat(part[order], starts) if len(group) else np.empty(0, bool)
         for k in np.flatnonzero(mixed & (sizes > large)).tolist():
             own = order[starts[k] : starts[k] + sizes[k]]
-            yield from _apart(size[own], node[own], bits[own], part[own])
+            yield from _apart(size[own], node[own], bits[own], part[own], far[own])
         order = order[np.repeat(mixed & (sizes <= large), sizes)]
         part = part[order]
-    group, size, node, bits = group[order], size[order], node[order], bits[order]
+    group, size, node, bits, far = group[order], size[order], node[order], bits[order], far[order]
     at, step = np.arange(len(group)), 1
     while part is not None or step <= 4:
         at = at[at + step < len(group)]
@@ -174,25 +203,33 @@ def candidates(group: np.ndarray, size: np.ndarray, node: np.ndarray, bits: np.n
         if not len(at):
             return
         kept = at if part is None else at[part[at] != part[at + step]]
+        kept = kept[(size[kept + step] <= far[kept]) & (size[kept] <= far[kept + step])]
         differ = np.bitwise_count(bits[kept] ^ bits[kept + step]).sum(axis=1, dtype=np.int64)
         kept = kept[sum(LEAST) * differ <= (LEAST[1] - LEAST[0]) * (size[kept] + size[kept + step])]
         yield np.minimum(node[kept], node[kept + step]), np.maximum(node[kept], node[kept + step])
         step = step * 2 if part is None else step + 1
 
 
-def _apart(size: np.ndarray, node: np.ndarray, bits: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _apart(size: np.ndarray, node: np.ndarray, bits: np.ndarray, part: np.ndarray, far: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The pairs of one large group, ordered by size: each member outside its largest part with all of
-    other parts, so that what the largest part has is not gone through pair by pair."""
+    other parts, so that what the largest part has is not gone through pair by pair. A member that doesn't
+    reach its own size looks at those only that do."""
     parts, counts = np.unique(part, return_counts=True)
-    outside = part != parts[counts.argmax()]
-    for k in np.flatnonzero(outside).tolist():
-        lo, hi = np.searchsorted(size, -(-LEAST[0] * size[k] // LEAST[1])), np.searchsorted(size, LEAST[1] * size[k] // LEAST[0], "right")
-        at = np.arange(lo, hi)
-        at = at[(part[at] != part[k]) & (~outside[at] | (at > k))]
-        differ = np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1, dtype=np.int64)
-        at = at[sum(LEAST) * differ <= (LEAST[1] - LEAST[0]) * (size[at] + size[k])]
-        if len(at):
-            yield np.minimum(node[at], node[k]), np.maximum(node[at], node[k])
+    outside, inner = part != parts[counts.argmax()], far >= size
+    every, near = np.arange(len(size)), np.flatnonzero(inner)
+    least, most = -(-LEAST[0] * size // LEAST[1]), np.minimum(LEAST[1] * size // LEAST[0], far)
+    for at_once, own in ((every, np.flatnonzero(outside & inner)), (near, np.flatnonzero(outside & ~inner))):
+        lo, hi = np.searchsorted(size[at_once], least[own]), np.searchsorted(size[at_once], most[own], "right")
+        some = lo < hi
+        for k, i, j in zip(own[some].tolist(), lo[some].tolist(), hi[some].tolist()):
+            at = at_once[i:j]
+            # of two members that both look, the pair is that of the later one, or of the one that reaches its size
+            twice = outside[at] & ((at <= k) if inner[k] else inner[at]) & (inner[at] | ~inner[k])
+            at = at[(part[at] != part[k]) & ~twice & (size[k] <= far[at])]
+            differ = np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1, dtype=np.int64)
+            at = at[sum(LEAST) * differ <= (LEAST[1] - LEAST[0]) * (size[at] + size[k])]
+            if len(at):
+                yield np.minimum(node[at], node[k]), np.maximum(node[at], node[k])
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 4_000) -> Iterator[pa.RecordBatch]:
@@ -305,14 +342,14 @@ def _trie_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def _candidate_pairs(members: DataFrame, parted: bool) -> DataFrame:
-    """Distinct candidate pairs (a, b) of the members (shingle, node, size, bits, part)."""
+    """Distinct candidate pairs (a, b) of the members (shingle, node, size, far, bits, part)."""
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, node, size, part, bits in whole_groups(batches, 1, width=CLASSES // 8):
-            for a, b in candidates(group, size, node, bits.view(np.uint64).reshape(len(node), -1), part if parted else None):
+        for group, node, size, far, part, bits in whole_groups(batches, 1, width=CLASSES // 8):
+            for a, b in candidates(group, size, node, bits.view(np.uint64).reshape(len(node), -1), part if parted else None, far=far):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    sorted_ = members.select("shingle", "node", "size", "part", "bits").repartition("shingle").sortWithinPartitions("shingle")
+    sorted_ = members.select("shingle", "node", "size", "far", "part", "bits").repartition("shingle").sortWithinPartitions("shingle")
     return cut(sorted_.mapInArrow(paired, "a long, b long").where("a <> b").distinct())
 
 
@@ -324,25 +361,32 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            out = {node_of(s): prefix(s, *shared.value) for s in shingle_sets(batch.column(0).to_pylist())}
+            out = {node_of(s): (len(s), prefix(s, *shared.value)) for s in shingle_sets(batch.column(0).to_pylist())}
             if out:
-                columns = np.concatenate(list(out.values())).view(np.int64), np.repeat(np.array(list(out), np.int64), [len(p) for p in out.values()])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "node"])
+                sizes, prefixes = zip(*out.values())
+                lengths = [len(p) for p in prefixes]
+                size = np.repeat(np.array(sizes, np.int64), lengths)
+                place = np.concatenate([np.arange(n) for n in lengths])
+                columns = np.concatenate(prefixes).view(np.int64), np.repeat(np.array(list(out), np.int64), lengths), size, reach(size, place)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "node", "size", "far"])
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, node in whole_groups(batches, 1):
+        for columns in whole_groups(batches, 1):
+            shingle, node = columns[:2]
             new = np.append(True, (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1]))
-            shingle, node = shingle[new], node[new]
-            again = shingle[1:] == shingle[:-1]
-            many = np.append(again, False) | np.append(False, again)
-            yield pa.RecordBatch.from_arrays([pa.array(shingle[many]), pa.array(node[many])], names=["shingle", "node"])
+            columns = [c[new] for c in columns]
+            useful = of_use(columns[0], columns[2], columns[3])
+            columns = [c[useful] for c in columns]
+            again = columns[0][1:] == columns[0][:-1]
+            many = (np.append(again, False) | np.append(False, again))[: len(columns[0])]
+            yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in columns], names=["shingle", "node", "size", "far"])
 
     row = F.min(F.struct("doc_id", "hash", "size", "fp", "bits", "wide")).alias("row")
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"), row)
     nodes = cut(nodes.select("node", "least", F.col("row.doc_id").alias("row_id"), F.col("row.hash").alias("row_hash"), "row.size", "row.fp", "row.bits", "row.wide"))
-    prefixes = docs.select(text_col).mapInArrow(first, "shingle long, node long")
-    members = cut(prefixes.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(groups, "shingle long, node long"))
-    members = members.join(nodes.select("node", "size", "bits"), "node")
+    prefixes = docs.select(text_col).mapInArrow(first, "shingle long, node long, size long, far long")
+    members = cut(prefixes.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(groups, "shingle long, node long, size long, far long"))
+    members = members.join(nodes.select("node", "bits"), "node")
     tried = _candidate_pairs(members.withColumn("part", F.col("node")), parted=False)
     tried = cut(tried.unionByName(_trie_pairs(nodes)).distinct())
     linked = cut(_similar_pairs(tried, nodes, docs, id_col, text_col))

@@ -65,6 +65,66 @@ def test_candidates_of_parts_are_complete(large):
     assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if fits(i, j)}
 
 
+@pytest.mark.parametrize("large", [256, 8])
+def test_candidates_within_reach_are_complete(large):
+    rng = np.random.default_rng(4)
+    group, size, part = rng.integers(0, 4, 200), rng.integers(20, 40, 200), rng.integers(0, 5, 200)
+    size[group == 3] = 30
+    far, node = near_dedup.reach(size, np.where(group == 3, 5, rng.integers(0, 9, 200))), np.arange(200)
+    order = np.argsort(group, kind="stable")
+    useful = np.empty(200, bool)
+    useful[order] = near_dedup.of_use(group[order], size[order], far[order], 8)
+    assert not useful.all()
+    keep = np.flatnonzero(useful)
+    got = {p for a, b in near_dedup.candidates(group[keep], size[keep], node[keep], np.zeros((len(keep), 4), np.uint64), part[keep], large, far[keep]) for p in zip(a.tolist(), b.tolist())}
+    fits = lambda i, j: group[i] == group[j] and part[i] != part[j] and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j]) and size[i] <= far[j] and size[j] <= far[i]
+    want = {(i, j) for i in range(200) for j in range(i + 1, 200) if fits(i, j)}
+    assert got == want and len(want) > 100
+
+
+def test_reach_never_cuts_a_link():
+    """Sets that are just linked: each is within the other's reach where their first shared element lies."""
+    rng, seen = np.random.default_rng(6), 0
+    for _ in range(2000):
+        n = int(rng.integers(1, 120))
+        base = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        gone, new = rng.integers(0, len(base) // 5 + 1), rng.integers(0, len(base) // 5 + 2)
+        other = np.unique(np.concatenate((base[gone:], rng.integers(0, 1 << 63, new).astype(np.uint64))))
+        if near_dedup.similar(base, other):
+            a, b = (near_dedup.prefix(x, base[:0], np.empty(0, np.int64)).tolist() for x in (base, other))
+            first = next(x for x in a if x in set(b))
+            places = np.array([a.index(first), b.index(first)])
+            far = near_dedup.reach(np.array([len(base), len(other)]), places)
+            assert len(other) <= far[0] and len(base) <= far[1]
+            seen += 1
+    assert seen > 500
+
+
+def pages(n, own, key):
+    """Texts of one template of 105 words with so many words of their own in one place."""
+    shape = words(105 - own, key, 5000).split()
+    return [(i, " ".join([*shape[:40], *(f"own{i}x{k}" for k in range(own)), *shape[40:]]), "en", "a") for i in range(n)]
+
+
+@pytest.mark.parametrize("own", [13, 18])
+def test_pages_of_a_template_make_hardly_any_pairs(spark, monkeypatch, own):
+    """Every page shares elements of its prefix with every other, and is no copy of it."""
+    counts, candidate_pairs = [], near_dedup._candidate_pairs
+
+    def counted(members, parted):
+        out = candidate_pairs(members, parted)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "_candidate_pairs", counted)
+    n = 600
+    rows = pages(n, own, 77)
+    near = [(n + k, t.replace(f"own{k}x0 ", "other "), "en", "a") for k, (_, t, *_) in enumerate(rows[:9])]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_copies(make(spark, rows + near)).collect()}
+    assert got == {i: i for i in range(n)} | {n + k: k for k in range(9)}
+    assert max(counts) <= 60, counts
+
+
 def test_parities_never_refuse_a_link():
     rng = np.random.default_rng(5)
     for n in (1, 2, 9, 40, 300, 3000):
