@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.operators.judge import is_faithful, score_paraphrases
-from folioforge.session import broadcast_if_small
+from folioforge.operators.judge import is_faithful, score_supports
+from folioforge.session import broadcast_if_small, cut
 
 PER_CHUNK = 5
 TERMS = "struct<terms:array<string>>"
@@ -64,9 +64,15 @@ def citations(observations: DataFrame) -> DataFrame:
 def harvested(chunks: DataFrame, identify: Callable[[Column], Column], gloss: Callable[[Column, Column], Column], score: Callable[[Column, Column], Column], seed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chunks to clusters and their citations: terms by a model's answers, glosses, the gate by the
     sentences of gloss and chunk, clusters. chunks: book_id, chunk_id, text."""
-    found = glossed(candidates(chunks, identify), gloss).withColumn("observation", F.concat_ws("/", "book_id", "chunk_id", "canonical"))
-    scored = score_paraphrases(found, "observation", "text", "gloss", score).select("observation", "support", "contradiction_max")
-    kept = gated(found.join(scored, "observation")).select("book_id", "chunk_id", "canonical", "substrate", "gloss", "support")
+    found = glossed(candidates(chunks, identify), gloss)
+    # terms of a chunk that have the same gloss are judged once
+    key = F.unhex(F.sha2(F.concat_ws("\x00", "text", "gloss").cast("binary"), 256))
+    found = cut(found.withColumn("judged", F.substring(key, 1, 16)))
+    alike = found.groupBy("judged").agg(F.min(F.struct("book_id", "chunk_id", "gloss")).alias("x")).select("judged", "x.*")
+    of = alike.join(found.select("judged", "book_id", "chunk_id", "gloss", "text"), ["judged", "book_id", "chunk_id", "gloss"]).dropDuplicates(["judged"])
+    scored = score_supports(of, "judged", "text", "gloss", score)
+    found = found.drop("text")
+    kept = gated(found.join(scored, "judged")).select("book_id", "chunk_id", "canonical", "substrate", "gloss", "support")
     return cluster(kept, seed), citations(kept)
 
 
