@@ -17,11 +17,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.binding import let
+from folioforge.functions.binding import in_slices, let
 from folioforge.functions.sentences import byte_spans
 from folioforge.functions.text import trim
 from folioforge.operators.folds import before_each, sums_before
@@ -32,6 +32,11 @@ LEAST, MOST = 50, 512
 CHUNK = "array<struct<chunk_id:string,paragraph_id:string,section_id:string,text:string,byte_start:long,byte_end:long,token_count:int>>"
 
 
+_NAMES, _SPAN = [(c, pa.string()) for c in ("chunk_id", "paragraph_id", "section_id")], [("text", pa.string()), ("byte_start", pa.int64()), ("byte_end", pa.int64()), ("token_count", pa.int32())]
+_CHUNK = pa.list_(pa.struct(_NAMES + _SPAN))
+_DONE = pa.list_(pa.struct([("paragraph", pa.int64()), *_SPAN]))
+_PIECE = pa.struct([("done", _DONE), ("open", pa.list_(pa.struct([("unit", pa.int64()), ("closes", pa.bool_()), ("paragraph", pa.int64()), ("text", pa.string()), ("byte_start", pa.int64())])))])
+
 # White space as Python's str.split has it, beside what (?U)\s holds
 _BLANK = r"(?U)[\s\x1C-\x1F]+"
 _PIECES = "struct<done:array<struct<paragraph:long,text:string,byte_start:long,byte_end:long,token_count:int>>,open:array<struct<unit:long,closes:boolean,paragraph:long,text:string,byte_start:long>>>"
@@ -100,9 +105,9 @@ def chunk(text: str, least: int = LEAST, most: int = MOST, separator: str = "\n\
 def chunks(text: Column, least: int = LEAST, most: int = MOST, separator: str = "\n\n") -> Column:
     """The chunks of each text, as an array of structs."""
 
-    @F.pandas_udf(CHUNK)
-    def chunked(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else chunk(t, least, most, separator))
+    @F.arrow_udf(CHUNK)
+    def chunked(texts: pa.Array) -> pa.Array:
+        return in_slices(lambda t: [] if t is None else chunk(t, least, most, separator), _CHUNK, texts)
 
     return chunked(text)
 
@@ -189,15 +194,14 @@ def chunks_of_blocks(blocks: DataFrame, key: str, order: str, text: str, least:
     states = cut(before_each(values, "k", "o", F.col("v"), start, apply, compose, fan))
     rows = states.count()
 
-    @F.pandas_udf(_PIECES)
-    def pieces(texts: pd.Series, waits: pd.Series, units: pd.Series, paragraphs: pd.Series, places: pd.Series) -> pd.DataFrame:
-        found = [_pieces(*row, least, most, separator) for row in zip(texts, waits, units, paragraphs, places)]
-        return pd.DataFrame(found, columns=["done", "open"])
+    @F.arrow_udf(_PIECES)
+    def pieces(texts: pa.Array, waits: pa.Array, units: pa.Array, paragraphs: pa.Array, places: pa.Array) -> pa.Array:
+        return in_slices(lambda *row: _pieces(*row, least, most, separator), _PIECE, texts, waits, units, paragraphs, places, rows=16)
 
-    @F.pandas_udf("array<struct<paragraph:long,text:string,byte_start:long,byte_end:long,token_count:int>>")
-    def cut_up(texts: pd.Series, places: pd.Series, paragraphs: pd.Series, closed: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<struct<paragraph:long,text:string,byte_start:long,byte_end:long,token_count:int>>")
+    def cut_up(texts: pa.Array, places: pa.Array, paragraphs: pa.Array, closed: pa.Array) -> pa.Array:
         # what waits at the end is one chunk
-        return pd.Series([_cut_up(t.rstrip(), a, int(p), most if c else max(least, most)) for t, a, p, c in zip(texts, places, paragraphs, closed)])
+        return in_slices(lambda t, a, p, c: _cut_up(t.rstrip(), a, int(p), most if c else max(least, most)), _DONE, texts, places, paragraphs, closed, rows=16)
 
     known = given.join(broadcast_if_small(states, rows), ["k", "o"])
     held = cut(known.select("k", "o", pieces("t", "before.waits", "before.unit", "before.paragraph", "before.at").alias("p")))

@@ -8,10 +8,11 @@ from collections.abc import Callable
 from functools import reduce
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions.binding import in_slices
 from folioforge.functions.text import resolve_entities, strip_doctype, trim
 
 # Phrases of metadata lines, and patterns of boilerplate lines.
@@ -30,6 +31,7 @@ BOILERPLATE = [
 ]
 
 PARSED = "struct<paragraphs:array<string>,ok:boolean>"
+_PARSED = pa.struct([("paragraphs", pa.list_(pa.string())), ("ok", pa.bool_())])
 
 
 class _Lenient(HTMLParser):
@@ -90,10 +92,10 @@ def paragraphs(html: Column, strict: bool = True) -> Column:
     """The non-blank p elements of an item, text nodes joined by spaces, and whether it parsed:
     strict reads well-formed XML only, else an item gives no paragraphs and ok is false."""
 
-    @F.pandas_udf(PARSED)
-    def parsed(items: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(PARSED)
+    def parsed(items: pa.Array) -> pa.Array:
         read = _strict if strict else _lenient
-        return pd.DataFrame([{"paragraphs": [], "ok": False} if x is None else read(x) for x in items], columns=["paragraphs", "ok"])
+        return in_slices(lambda x: {"paragraphs": [], "ok": False} if x is None else read(x), _PARSED, items)
 
     return parsed(strip_doctype(resolve_entities(html)) if strict else html)
 

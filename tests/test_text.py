@@ -137,3 +137,24 @@ def test_embed(spark):
             assert np.linalg.norm(r.v) == pytest.approx(1 if t else 0)
     near, far = (np.dot(rows[0].v, rows[k].v) for k in (1, 4))
     assert near > far
+
+
+def test_few_rows_are_held_as_python_objects():
+    import pyarrow as pa
+
+    from folioforge.functions.binding import in_slices
+
+    live, most = set(), []
+
+    class Held(dict):
+        def __init__(self, x):
+            super().__init__(x=x)
+            live.add(id(self))
+            most.append(len(live))
+
+        def __del__(self):
+            live.discard(id(self))
+
+    found = in_slices(lambda x: None if x is None else Held(x), pa.struct([("x", pa.int64())]), pa.array([*range(1000), None]), rows=10)
+    assert found.to_pylist() == [*({"x": x} for x in range(1000)), None] and max(most) <= 30
+    assert len(in_slices(Held, pa.struct([("x", pa.int64())]), pa.array([], pa.int64()))) == 0
