@@ -43,7 +43,7 @@ from folioforge.llm import simhash
 from folioforge.llm.columns import keep_rows
 from folioforge.llm.components import connected_components
 from folioforge.llm.groups import whole_groups
-from folioforge.session import cut
+from folioforge.session import cut, few
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
@@ -292,9 +292,10 @@ def _possible(keys: DataFrame, name: str, words: int = 1 << 17):
 
 
 def _beside(pairs: DataFrame, frame: DataFrame) -> DataFrame:
-    """pairs (a, b) with the other columns of frame (node, ...) for a and for b."""
+    """pairs (a, b), which are computed, with the other columns of frame (node, ...) for a and for b."""
+    rows = pairs.count()
     for x in "ab":
-        pairs = pairs.join(frame.select(*[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in frame.columns]), x)
+        pairs = few(pairs, rows, 20_000).join(frame.select(*[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in frame.columns]), x)
     return pairs.select("a", "b", *[f"{c}_{x}" for x in "ab" for c in frame.columns if c != "node"])
 
 
@@ -307,6 +308,7 @@ def _similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int32())], names=["a", "b", "said"])
 
     judged = cut(_beside(pairs, nodes.select("node", "wide", "size")).mapInArrow(said, "a long, b long, said int").where("said <> 0"))
+    judged = few(judged, judged.count())
     linked, unsure = (judged.where(f"said = {k}").select("a", "b") for k in (1, -1))
     return linked if unsure.isEmpty() else linked.unionByName(_by_sets(unsure, nodes, docs, id_col, text_col))
 
@@ -389,6 +391,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = members.join(nodes.select("node", "bits"), "node")
     tried = _candidate_pairs(members.withColumn("part", F.col("node")), parted=False)
     tried = cut(tried.unionByName(_trie_pairs(nodes)).distinct())
+    tried = few(tried, tried.count())
     linked = cut(_similar_pairs(tried, nodes, docs, id_col, text_col))
     parts = connected_components(linked)
     apart = members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
