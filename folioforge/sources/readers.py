@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from folioforge.operators.catalogue import rdf_translators
-from folioforge.session import cut
+from folioforge.session import cut, of_files
 
 CATALOGUE = {"Text#": "book_id", "Type": "type", "Title": "title", "Language": "language", "Authors": "authors", "Subjects": "subjects", "LoCC": "locc", "Bookshelves": "bookshelves"}
 
@@ -37,7 +37,7 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 def read_rdf(spark: SparkSession, path: str) -> DataFrame:
     """book_id (from the file name) and translators (null if unreadable), a row a file."""
-    files = spark.read.text(path, wholetext=True).withColumn("name", F.input_file_name())
+    files = of_files(spark.read.text(path, wholetext=True).withColumn("name", F.input_file_name()))
     return files.select(F.regexp_extract("name", r"pg(\d+)\.rdf", 1).cast("int").alias("book_id"), rdf_translators("value").alias("translators"))
 
 
@@ -123,7 +123,7 @@ def read_epub(spark: SparkSession, path: str, task_bytes: int = TASK_BYTES) -> D
                 columns = [pa.array([book_id], pa.int32()), pa.array([item], pa.int32()), pa.array([html], pa.string()), pa.array([html is not None])]
                 yield pa.RecordBatch.from_arrays(columns, names=["book_id", "item", "html", "ok"])
 
-    files = spark.read.format("binaryFile").load(path).select("path")  # contents aren't read
+    files = of_files(spark.read.format("binaryFile").load(path).select("path"))  # contents aren't read
     found = cut(files.mapInArrow(listed, "path string, book_id int, item int, place long, packed long, method int, crc long"))
     total = found.agg(F.sum("packed")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_bytes))
