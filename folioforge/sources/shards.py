@@ -41,8 +41,9 @@ from pyspark.sql.types import StructType
 
 FORMAT, NAME = 2, "folio_shards"
 
-#: Rows of a book in one shard, and shards in one input partition, at most.
-PART_ROWS, AT_ONCE = 4096, 64
+#: Rows of a book in one shard, and shards in one input partition, at most. A partition reads its index file whole, so
+#: that few shards in each would read it anew very often.
+PART_ROWS, AT_ONCE = 4096, 1024
 
 INDEX = pa.schema([("key", pa.string()), ("part", pa.int32()), ("file", pa.string()), ("rows", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string()), ("content", pa.string()), ("built", pa.int64())])
 INDEX_DDL = "key string, part int, file string, rows long, bytes long, sha256 string, content string, built long"

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from folioforge.session import remove_path, scratch
-from folioforge.sources import readers, writers
+from folioforge.sources import readers, shards, writers
 
 
 def test_many_files_in_few_tasks(spark):
@@ -20,6 +20,13 @@ def test_many_files_in_few_tasks(spark):
         remove_path(spark, path)
 
 
+def test_an_index_file_is_read_a_few_times(spark, tmp_path):
+    store = shards.Store(f"file://{tmp_path}")
+    store.publish({"indexes": [["run/a/index", 5000], ["run/b/index", 0]], "schema": {}, "key": "book_id"})
+    parts = [p.value for p in shards.ShardReader({"path": f"file://{tmp_path}"}, None).partitions()]
+    assert [(a, b) for _, a, b in parts] == [(k, min(5000, k + 1024)) for k in range(0, 5000, 1024)]
+
+
 def test_remove_path(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "a" / "b" / "x").write_text("1")
