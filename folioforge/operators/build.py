@@ -84,7 +84,7 @@ def canonical_texts(spark: SparkSession, inputs: Inputs, books: DataFrame, count
     """book_id, canonical_text and parse_warnings of the books (book_id): the paragraphs of their items in
     order, without metadata lines, and without items most of whose paragraphs are boilerplate."""
     counted = counted or Counters()
-    items = readers.read_epub(spark, inputs.epub).join(books.select("book_id"), "book_id", "left_semi")
+    items = readers.read_epub(spark, inputs.epub, books=books)
     parsed = items.select("book_id", "item", xhtml.paragraphs(F.col("html")).alias("p"), "ok")
     parsed = parsed.select("book_id", "item", F.filter("p.paragraphs", lambda x: ~xhtml.is_metadata_line(x)).alias("paragraphs"), (F.col("ok") & F.col("p.ok")).alias("ok"))
     parsed = counted.on(parsed, "items", items=every(), unreadable=rows_where(~F.col("ok")), paragraphs=F.sum(F.size("paragraphs")))

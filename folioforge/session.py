@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import os
 import shutil
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 T = TypeVar("T")
 
+#: Files of a folder that the driver deletes by itself.
+MANY = 5_000
+
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "folioforge") -> SparkSession:
     """A session for tests and local runs; a cluster passes its own session instead."""
@@ -64,12 +71,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _files(folder: str) -> Iterator[str]:
+    """The files under a folder of this machine."""
+    with contextlib.suppress(OSError), os.scandir(folder) as entries:
+        for entry in entries:
+            if entry.is_dir(follow_symlinks=False):
+                yield from _files(entry.path)
+            else:
+                yield entry.path
+
+
+def _unlinked(spark: SparkSession, folder: str) -> None:
+    """Deletes the files under a folder that tasks can reach; each task has a share of them by name."""
+    tasks = spark.sparkContext.defaultParallelism
+
+    def unlink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in batch.column(0).to_pylist():
+                for file in _files(folder):
+                    if zlib.crc32(os.fsencode(file)) % tasks == own:
+                        with contextlib.suppress(OSError):
+                            os.remove(file)
+        yield from ()
+
+    spark.range(0, tasks, 1, tasks).mapInArrow(unlink, "id long").count()
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Deletes a file or folder of any file system Spark can reach. Folders of this machine's hold a file a book, which
-    Hadoop deletes some ten times slower."""
+    Hadoop deletes some ten times slower; those of many are left to tasks, and what these can't reach to the driver."""
     if path.startswith("file:"):
         local = "/" + path.removeprefix("file:").lstrip("/")
-        shutil.rmtree(local, ignore_errors=True) if os.path.isdir(local) else os.path.lexists(local) and os.remove(local)
+        if os.path.isdir(local):
+            if next(itertools.islice(_files(local), MANY, None), None) is not None:
+                _unlinked(spark, local)
+            shutil.rmtree(local, ignore_errors=True)
+        elif os.path.lexists(local):
+            os.remove(local)
         return
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

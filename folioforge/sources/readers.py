@@ -82,10 +82,14 @@ def _opened(path: str):
 #: Packed bytes that a task reads, about.
 TASK_BYTES = 32 << 20
 
+#: Rows and characters that leave a task at once.
+ROWS, CHARS = 256, 1 << 20
 
-def read_epub(spark: SparkSession, path: str, task_bytes: int = TASK_BYTES) -> DataFrame:
+
+def read_epub(spark: SparkSession, path: str, task_bytes: int = TASK_BYTES, books: DataFrame | None = None) -> DataFrame:
     """book_id, item, html and ok of every spine item of the EPUBs at path, in spine order; an archive
-    that can't be read gives one row that isn't ok, and so does an item that can't.
+    that can't be read gives one row that isn't ok, and so does an item that can't. With books (book_id) only the
+    archives of these are opened.
 
     Archives of any size: their directories are read by range, and then items, which are dealt over tasks by their
     packed sizes whatever archive they are in. No archive is held whole, only an item."""
@@ -94,6 +98,7 @@ def read_epub(spark: SparkSession, path: str, task_bytes: int = TASK_BYTES) -> D
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            every = []
             for file in batch.column(0).to_pylist():
                 number = re.search(r"(\d+)\.epub", file)
                 book_id, rows = int(number[1]) if number else None, []
@@ -105,11 +110,16 @@ def read_epub(spark: SparkSession, path: str, task_bytes: int = TASK_BYTES) -> D
                             rows.append((file, book_id, k, i and i.header_offset, i and i.compress_size, i and i.compress_type, i and i.CRC))
                 except _DAMAGED:
                     rows = [(file, book_id, 0, None, None, None, None)]  # a damaged archive, or one without a container or package file
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=names)
+                every += rows
+                if len(every) >= ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*every), kinds)], names=names)
+                    every = []
+            if every:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*every), kinds)], names=names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, source = None, None
+        held, source, rows, chars = None, None, [], 0
+        of = lambda: pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int32(), pa.int32(), pa.string(), pa.bool_()))], names=["book_id", "item", "html", "ok"])
         for batch in batches:
             for file, book_id, item, place, packed, method, crc in zip(*(c.to_pylist() for c in batch.columns)):
                 html = None
@@ -120,10 +130,19 @@ def read_epub(spark: SparkSession, path: str, task_bytes: int = TASK_BYTES) -> D
                         html = entry(source, place, packed, method, crc).decode("utf-8")
                     except _DAMAGED:
                         pass
-                columns = [pa.array([book_id], pa.int32()), pa.array([item], pa.int32()), pa.array([html], pa.string()), pa.array([html is not None])]
-                yield pa.RecordBatch.from_arrays(columns, names=["book_id", "item", "html", "ok"])
+                rows.append((book_id, item, html, html is not None))
+                chars += len(html or "")
+                if len(rows) >= ROWS or chars >= CHARS:
+                    yield of()
+                    rows, chars = [], 0
+        if rows:
+            yield of()
 
     files = of_files(spark.read.format("binaryFile").load(path).select("path"))  # contents aren't read
+    if books is not None:
+        number = F.regexp_extract("path", r"(\d+)\.epub", 1).try_cast("int")
+        wanted = files.withColumn("of", number).join(books.select(F.col("book_id").alias("of")), "of", "left_semi")
+        files = wanted.select("path").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     found = cut(files.mapInArrow(listed, "path string, book_id int, item int, place long, packed long, method int, crc long"))
     total = found.agg(F.sum("packed")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_bytes))

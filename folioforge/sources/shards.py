@@ -69,6 +69,11 @@ class Store:
             sink.write(data)
         self.fs.move(own, target)
 
+    def create(self, name: str, data: bytes) -> None:
+        """A file in a folder that is there, which counts only once another names it."""
+        with self.fs.open_output_stream(f"{self.folder}/{name}", compression=None) as sink:
+            sink.write(data)
+
     def delete(self, name: str) -> None:
         self.fs.delete_file(f"{self.folder}/{name}")
 
@@ -132,9 +137,10 @@ class ShardWriter(DataSourceArrowWriter):
             sink = io.BytesIO()
             pyarrow.parquet.write_table(table.replace_schema_metadata({"format_version": str(FORMAT)}), sink, compression="zstd")
             data, file = sink.getvalue(), f"{self.run}/{attempt}/{len(rows)}.shard"
-            store.put(f"data/{file}", data)
+            store.create(f"data/{file}", data)
             rows.append((at[0], at[1], file, table.num_rows, len(data), hashlib.sha256(data).hexdigest(), said, int(self.options.get("built", 0))))
 
+        store.fs.create_dir(f"{store.folder}/{own}", recursive=True)
         try:
             for batch in iterator:
                 keys = [None if k is None else str(k) for k in batch.column(batch.schema.get_field_index(key)).to_pylist()]

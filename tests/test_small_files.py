@@ -1,7 +1,10 @@
 """A file a book: what reads many of them takes few tasks."""
 
+import os
+
 from pyspark.sql import functions as F
 
+from folioforge import session
 from folioforge.session import remove_path, scratch
 from folioforge.sources import readers, shards, writers
 
@@ -35,3 +38,26 @@ def test_remove_path(spark, tmp_path):
         remove_path(spark, f"file://{tmp_path}/{name}")
     remove_path(spark, f"file:{tmp_path}/z")
     assert list(tmp_path.iterdir()) == []
+
+
+def test_many_files_are_deleted_by_tasks(spark, tmp_path, monkeypatch):
+    for k in range(40):
+        (tmp_path / "books" / f"{k % 3}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "books" / f"{k % 3}" / f"{k}.shard").write_text("x")
+    left, of = [], session.shutil.rmtree
+    monkeypatch.setattr(session, "MANY", 10, raising=False)
+    monkeypatch.setattr(session.shutil, "rmtree", lambda path, **how: left.append(sum(len(names) for _, _, names in os.walk(path))) or of(path, **how))
+    remove_path(spark, f"file://{tmp_path}/books")
+    assert left == [0] and list(tmp_path.iterdir()) == []
+
+
+def test_only_the_books_asked_for_are_opened(spark):
+    path = scratch(spark, "epub")
+    books = spark.range(60).select(F.format_string("pg%d.epub", "id").alias("name"), writers.epub(F.array(F.concat(F.lit("<p>"), F.col("id").cast("string"), F.lit("</p>")), F.lit("<p/>"))).alias("content"))
+    writers.write_files(books.unionByName(spark.createDataFrame([("pg60.epub", b"damaged"), ("other.epub", b"damaged")], "name string, content binary")), path)
+    every = {(r["book_id"], r["item"]): (r["html"], r["ok"]) for r in readers.read_epub(spark, path).collect()}
+    assert len(every) == 122 and every[(59, 0)] == ("<p>59</p>", True) and every[(60, 0)] == every[(None, 0)] == (None, False)
+    asked = spark.createDataFrame([(7,), (60,), (99,)], "book_id int")
+    some = {(r["book_id"], r["item"]): (r["html"], r["ok"]) for r in readers.read_epub(spark, path, books=asked).collect()}
+    assert some == {k: every[k] for k in [(7, 0), (7, 1), (60, 0)]}
+    remove_path(spark, path)
