@@ -151,7 +151,8 @@ def chunk_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f'SELECT d.doc_id, count(sentence) AS sentences, max(length(sentence)) AS longest, max("end") AS last_end FROM documents d LEFT JOIN {segments.sentences("documents")} s USING (doc_id) GROUP BY d.doc_id')
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).select("doc_id", split_sentences("text").alias("s"), sentence_spans("text").alias("spans"))
-    return d.select("doc_id", F.size("s").cast("long").alias("sentences"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"), F.element_at(F.col("spans.end"), -1).alias("last_end"))
+    count = F.coalesce(F.size("s"), F.lit(0)).cast("long")
+    return d.select("doc_id", count.alias("sentences"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"), F.try_element_at(F.col("spans.end"), F.lit(-1)).alias("last_end"))
 
 
 _PREFIXES = "list_transform(range(0, 62), lambda k: octet_length(encode(left(text, k))))"

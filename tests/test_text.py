@@ -158,3 +158,17 @@ def test_few_rows_are_held_as_python_objects():
     found = in_slices(lambda x: None if x is None else Held(x), pa.struct([("x", pa.int64())]), pa.array([*range(1000), None]), rows=10)
     assert found.to_pylist() == [*({"x": x} for x in range(1000)), None] and max(most) <= 30
     assert len(in_slices(Held, pa.struct([("x", pa.int64())]), pa.array([], pa.int64()))) == 0
+
+
+def test_texts_without_sentences(spark, tmp_path):
+    import duckdb
+
+    from folioforge.plans import registry
+
+    texts = ["One. Two!", "...", "", " \n", "12", "* * *\n?", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.execute(f"SELECT doc_id, sentences, longest, last_end FROM ({registry.oracle_sql()['sentences']})").fetchall()
+    rows = registry.queries()["sentences"](spark, str(tmp_path)).select("doc_id", "sentences", "longest", "last_end").collect()
+    assert sorted(map(tuple, rows)) == sorted(found)
