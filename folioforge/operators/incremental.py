@@ -3,7 +3,7 @@
 Books arrive as files in a folder: book_id, text and `at`, by which the last word on a book counts; a null text takes the
 book away. A run reads the files that no run before it has read (a file stream with availableNow, whose checkpoint lies
 beside the store). Of each batch the last row of a book is held against the digest under which the store has the
-book; only what differs is cut into chunks and written, as shards of a run that isn't published yet. The next manifest names
+book; only what differs is cut into chunks and written, as packed shards of a run that isn't published yet. The next manifest names
 these and, in an index of its own, the shards of all other books as they lie. Then it takes the old one's place at once:
 readers see either version whole, and the old one stays readable until `Store.vacuum`.
 
@@ -29,16 +29,20 @@ Chunker = Callable[[DataFrame], DataFrame]
 
 
 def canonical_chunks(books: DataFrame) -> DataFrame:
-    """book_id, chunk_ord and the chunks of the canonical texts of books (book_id, text)."""
+    """book_id, chunk_ord and the chunks of the canonical texts of books (book_id, text), with content, their digests, if
+    books have it."""
+    told = [c for c in ("content",) if c in books.columns]
     cut_up = F.posexplode(chunking.chunks(canonicalise(F.col("text")))).alias("chunk_ord", "c")
-    return books.select("book_id", cut_up).select("book_id", F.col("chunk_ord").cast("long").alias("chunk_ord"), "c.*")
+    return books.select("book_id", *told, cut_up).select("book_id", F.col("chunk_ord").cast("long").alias("chunk_ord"), "c.*", *told)
 
 
 def changed_books(changes: DataFrame, have: DataFrame) -> DataFrame:
     """key, book_id, text and content (its digest) of the books of changes (book_id, text, at) that aren't in have (key, content)
     as they are, or that are to go (null text)."""
-    last = changes.groupBy("book_id").agg(F.max(F.struct("at", "text")).alias("last")).select("book_id", "last.text")
-    keyed = last.select(F.col("book_id").cast("string").alias("key"), "book_id", "text", content_hash(F.col("text")).alias("content"))
+    # grouped by the key of the join, so that texts are shuffled once
+    named = changes.where("book_id is not null").withColumn("key", F.col("book_id").cast("string"))
+    last = named.groupBy("key").agg(F.max(F.struct("at", "text", "book_id")).alias("last"))
+    keyed = last.select("key", "last.book_id", "last.text", content_hash(F.col("last.text")).alias("content"))
     known = have.select(F.col("key").alias("known"), F.col("content").alias("before")).distinct()
     return keyed.join(known, keyed["key"] == known["known"], "left").where("known is not null and (text is null or content <> before) or known is null and text is not null").select("key", "book_id", "text", "content")
 
@@ -55,9 +59,10 @@ def apply(changes: DataFrame, path: str, chunked: Chunker = canonical_chunks, ba
     if changed.isEmpty():
         return version
     run = uuid.uuid4().hex
-    rows = chunked(changed.where("text is not null").select("book_id", "text"))
-    rows = rows.join(changed.select(F.col("book_id").alias("__ff_book"), "content"), F.col("book_id") == F.col("__ff_book")).drop("__ff_book")
-    shards.write(rows, path, F.col("chunk_ord"), mode="append", publish="false", run=run, content="content", built=str(version + 1))
+    rows = chunked(changed.where("text is not null").select("book_id", "text", "content"))
+    if "content" not in rows.columns:
+        rows = rows.join(changed.select(F.col("book_id").alias("__ff_book"), "content"), F.col("book_id") == F.col("__ff_book")).drop("__ff_book")
+    shards.write(rows, path, F.col("chunk_ord"), mode="append", publish="false", run=run, content="content", built=str(version + 1), pack="true")
     told = json.loads(store.read(f"runs/{run}.json"))
     if version:
         carried = have.join(changed.select("key"), "key", "left_anti")

@@ -64,9 +64,11 @@ def incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     revised = F.when(F.coalesce(F.col("lang") == "fr", F.lit(False)), F.lit(None).cast("string")).otherwise(F.concat("text", F.lit("\n\nRevised.")))
     toxic.select("book_id", revised.alias("text"), F.lit(2).cast("long").alias("at")).write.parquet(f"{place}/incoming/2")
     incremental.run(spark, f"{place}/incoming/*", f"{place}/store")
+    built = cut(incremental.manifest(spark, f"{place}/store"))
+    remove_path(spark, f"{place}/store")  # the two stores needn't lie there at once
     incremental.apply(spark.read.parquet(f"{place}/incoming/1", f"{place}/incoming/2"), f"{place}/whole")
     whole = incremental.manifest(spark, f"{place}/whole").select("key", F.col("sha256").alias("whole"))
-    joined = incremental.manifest(spark, f"{place}/store").join(whole, "key", "full")
+    joined = built.join(whole, "key", "full")
     found = cut(joined.select(F.col("key").cast("long").alias("book_id"), "built", "content", "chunks", F.coalesce(F.col("sha256") == F.col("whole"), F.lit(False)).alias("as_if_built_whole")))
     remove_path(spark, place)
     return found

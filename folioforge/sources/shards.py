@@ -3,7 +3,8 @@
     path/CURRENT                       the number of the manifest that counts
     path/manifests/N.json              format, schema, key and the index files of version N
     path/data/RUN/ATTEMPT/*.shard      a part of a book each: Parquet with the format's version in its metadata
-    path/data/RUN/ATTEMPT/index        a row a shard: key, part, file, rows, bytes, sha256, content, built
+    path/data/RUN/ATTEMPT/*.pack       with pack=true in their place: the same shards one after another
+    path/data/RUN/ATTEMPT/index        a row a shard: key, part, file, rows, bytes, sha256, content, built, place (in a pack)
 
 Writing: `df.write.format("folio_shards").option("path", uri).mode("append" or "overwrite").save()`. Rows of a key and part lie
 together in a partition (`laid_out` deals them so: a large book is several parts, on several tasks). A task writes into
@@ -19,7 +20,8 @@ failures=skip is left out. rows=outcomes gives a row a shard instead of its rows
 outcome (cached, fetched, refreshed for a replaced stale copy, broken, missing, version), tries, rows and bytes. Equality
 and IN filters on the key choose shards with pushdown=true, for which spark.sql.python.filterPushdown.enabled must be set.
 
-Neither manifest nor commit grows with the shards: they name an index file a task.
+Neither manifest nor commit grows with the shards: they name an index file a task. Nor does the number of files with
+pack=true, which is for stores whose books are many and short: a file takes a block of disk, however little it holds.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -45,8 +48,11 @@ FORMAT, NAME = 2, "folio_shards"
 #: that few shards in each would read it anew very often.
 PART_ROWS, AT_ONCE = 4096, 1024
 
-INDEX = pa.schema([("key", pa.string()), ("part", pa.int32()), ("file", pa.string()), ("rows", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string()), ("content", pa.string()), ("built", pa.int64())])
-INDEX_DDL = "key string, part int, file string, rows long, bytes long, sha256 string, content string, built long"
+#: Bytes after which a task begins another pack.
+PACK_BYTES = 256 << 20
+
+INDEX = pa.schema([("key", pa.string()), ("part", pa.int32()), ("file", pa.string()), ("rows", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string()), ("content", pa.string()), ("built", pa.int64()), ("place", pa.int64())])
+INDEX_DDL = "key string, part int, file string, rows long, bytes long, sha256 string, content string, built long, place long"
 OUTCOMES = "key string, part int, outcome string, tries int, rows long, bytes long"
 
 
@@ -60,6 +66,11 @@ class Store:
         with self.fs.open_input_stream(f"{self.folder}/{name}", compression=None) as source:
             return source.read()
 
+    def read_part(self, name: str, place: int, size: int) -> bytes:
+        with self.fs.open_input_file(f"{self.folder}/{name}") as source:
+            source.seek(place)
+            return source.read(size)
+
     def put(self, name: str, data: bytes) -> None:
         """A file that appears under its name when it is whole."""
         target = f"{self.folder}/{name}"
@@ -121,6 +132,45 @@ class Written(WriterCommitMessage):
     shards: int
 
 
+#: Types that Parquet gives back as they were only beside Arrow's own schema.
+_TOLD = re.compile("timestamp|time32|time64|duration|large|dictionary|view")
+
+
+def _encoded(table: pa.Table) -> bytes:
+    """A shard's bytes. Most books are short, so that what Parquet says of its columns would be several times their rows:
+    no statistics, no dictionaries, and Arrow's schema only where types need it."""
+    sink, told = io.BytesIO(), any(_TOLD.search(str(field.type)) for field in table.schema)
+    version = {"format_version": str(FORMAT)}
+    table = table.replace_schema_metadata(version)
+    with pyarrow.parquet.ParquetWriter(sink, table.schema, compression="zstd", write_statistics=False, use_dictionary=False, store_schema=told) as out:
+        out.write_table(table)
+        if not told:  # else it goes with the schema
+            out.add_key_value_metadata(version)
+    return sink.getvalue()
+
+
+class Packs:
+    """A task's shards, one after another in files of its attempt's folder."""
+
+    def __init__(self, store: Store, own: str, most: int = PACK_BYTES):
+        self.store, self.own, self.most, self.sink, self.number, self.size = store, own, most, None, -1, 0
+
+    def add(self, data: bytes) -> tuple[str, int]:
+        """The pack's name and the shard's place in it."""
+        if self.sink is None or self.size >= self.most:
+            self.close()
+            self.number, self.size = self.number + 1, 0
+            self.sink = self.store.fs.open_output_stream(f"{self.store.folder}/{self.own}/{self.number}.pack", compression=None)
+        place, self.size = self.size, self.size + len(data)
+        self.sink.write(data)
+        return f"{self.number}.pack", place
+
+    def close(self) -> None:
+        if self.sink is not None:
+            self.sink.close()
+            self.sink = None
+
+
 class ShardWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
         self.options, self.schema, self.overwrite, self.run = dict(options), schema.json(), overwrite, options.get("run") or uuid.uuid4().hex
@@ -129,16 +179,18 @@ class ShardWriter(DataSourceArrowWriter):
         store, attempt = Store(self.options["path"]), uuid.uuid4().hex
         key, part, content = self.options.get("key", "book_id"), self.options.get("part"), self.options.get("content")
         own, rows, held, at = f"data/{self.run}/{attempt}", [], [], None
+        packs = Packs(store, own) if self.options.get("pack", "false").lower() == "true" else None
 
         def finish() -> None:
             table = pa.Table.from_batches(held).combine_chunks()
             said = table.column(content)[0].as_py() if content else None
             table = table.drop_columns([c for c in (part, content) if c])
-            sink = io.BytesIO()
-            pyarrow.parquet.write_table(table.replace_schema_metadata({"format_version": str(FORMAT)}), sink, compression="zstd")
-            data, file = sink.getvalue(), f"{self.run}/{attempt}/{len(rows)}.shard"
-            store.create(f"data/{file}", data)
-            rows.append((at[0], at[1], file, table.num_rows, len(data), hashlib.sha256(data).hexdigest(), said, int(self.options.get("built", 0))))
+            data, place = _encoded(table), None
+            if packs is not None:
+                file, place = packs.add(data)
+            else:
+                store.create(f"{own}/{(file := f'{len(rows)}.shard')}", data)
+            rows.append((at[0], at[1], f"{self.run}/{attempt}/{file}", table.num_rows, len(data), hashlib.sha256(data).hexdigest(), said, int(self.options.get("built", 0)), place))
 
         store.fs.create_dir(f"{store.folder}/{own}", recursive=True)
         try:
@@ -156,10 +208,14 @@ class ShardWriter(DataSourceArrowWriter):
                         begin = k
             if held:
                 finish()
+            if packs is not None:
+                packs.close()
             sink = io.BytesIO()
             pyarrow.parquet.write_table(pa.Table.from_pylist([dict(zip(INDEX.names, r)) for r in rows], INDEX), sink)
             store.put(f"{own}/index", sink.getvalue())
         except BaseException:
+            if packs is not None:
+                packs.close()
             if store.names(own):
                 store.fs.delete_dir(f"{store.folder}/{own}")
             raise
@@ -242,7 +298,8 @@ def fetched(store: Store, cache: Store | None, row: dict, most: int = 2) -> tupl
             pass
     for tries in range(1, most + 1):
         try:
-            data = store.read(f"data/{row['file']}")
+            place = row.get("place")
+            data = store.read(f"data/{row['file']}") if place is None else store.read_part(f"data/{row['file']}", place, row["bytes"])
         except FileNotFoundError:
             return None, "missing", tries
         if whole(data):

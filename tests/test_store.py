@@ -161,3 +161,32 @@ def test_books_without_chunks_and_an_empty_batch(spark):
     assert incremental.apply(spark.createDataFrame([], BOOK), path) == 0
     assert incremental.apply(spark.createDataFrame([(1, " \n ", 1), (2, "A text.", 1)], BOOK), path) == 1
     assert [r["key"] for r in incremental.manifest(spark, path).collect()] == ["2"]
+
+
+def test_packed_shards(spark):
+    path, copies = scratch(spark, "store"), scratch(spark, "copies")
+    rows = chunks(spark, 400, 100).withColumn("when", F.timestamp_seconds("chunk_ord")).withColumn("v", F.array(F.col("chunk_ord").cast("float")))
+    shards.write(rows, path, F.col("chunk_ord"), pack="true")
+    assert rows_of(shards.read(spark, path)) == rows_of(rows)
+    store, index = shards.Store(path), shards.index(spark, path).orderBy("file", "place").collect()
+    assert len(index) == 100 and len({r["file"] for r in index}) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bad, good = index[0], index[1]
+    data = bytearray(store.read(f"data/{bad['file']}"))
+    assert bad["place"] == 0 and good["place"] == bad["bytes"]
+    data[5] ^= 1
+    store.put(f"data/{bad['file']}", bytes(data))
+    found = {r["key"]: (r["outcome"], r["tries"]) for r in shards.read(spark, path, cache=copies, rows="outcomes").collect()}
+    assert found.pop(bad["key"]) == ("broken", 2) and set(found.values()) == {("fetched", 1)}
+    store.delete(f"data/{bad['file']}")
+    there = {r["key"] for r in index if r["file"] != bad["file"]}
+    assert {str(r["book_id"]) for r in shards.read(spark, path, failures="skip").select("book_id").distinct().collect()} == there
+
+
+def test_many_short_books_take_few_files_and_little_disk(spark):
+    path = scratch(spark, "incremental")
+    books = spark.range(500).select(F.col("id").alias("book_id"), F.concat(F.lit("A short text, number "), "id").alias("text"), F.lit(1).cast("long").alias("at"))
+    assert incremental.apply(books, path) == 1
+    index = shards.index(spark, path).collect()
+    assert len(index) == 500 and len({r["file"] for r in index}) <= spark.sparkContext.defaultParallelism * 2
+    assert sum(r["bytes"] for r in index) < 500 * 3000  # 7,400 each with statistics and dictionaries
+    assert shards.read(spark, path).count() == 500
