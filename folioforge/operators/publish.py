@@ -66,9 +66,9 @@ def manifest(summaries: DataFrame, filtered: DataFrame, traditions: DataFrame) -
 
 
 def write_shards(chunks: DataFrame, path: str) -> None:
-    """A shard for each book and each PART_ROWS of its chunks; the store's next version names these alone."""
+    """A shard for each book and each PART_ROWS of its chunks, packed; the store's next version names these alone."""
     order = F.col("chunk_ord") if "chunk_ord" in chunks.columns else F.regexp_extract("chunk_id", r"(\d*)$", 1).try_cast("long")
-    shards.write(chunks, path, F.coalesce(order, F.lit(0)))
+    shards.write(chunks, path, F.coalesce(order, F.lit(0)), pack="true")
 
 
 def version_gate(rows: DataFrame, wanted: int = SHARD_VERSION, column: str = "format_version") -> DataFrame:

@@ -77,7 +77,7 @@ _TOXIC = f"(SELECT DISTINCT d.* FROM {_GIVEN.replace('documents', 'documents d')
 @query(f"SELECT doc_id AS book_id, lang <> 'fr' AS readable, CASE WHEN lang <> 'fr' THEN source END AS name, CASE WHEN lang <> 'fr' THEN 1900 + {_NUMBER} END AS birth_year, CASE WHEN lang <> 'fr' THEN 1999 END AS death_year FROM {_TOXIC}")
 def rdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "rdf")
-    writers.write_files(_rdf(_books(spark, sf_dir), table(spark, sf_dir, "labels")), path)
+    writers.write_files(_rdf(_books(spark, sf_dir), table(spark, sf_dir, "labels")), path, writers.FOLDERS)
     found = readers.read_rdf(spark, path).withColumn("t", F.get("translators", F.lit(0)))
     return _read(found.select(F.col("book_id").cast("long").alias("book_id"), F.col("translators").isNotNull().alias("readable"), "t.name", "t.birth_year", "t.death_year"), path)
 
@@ -105,7 +105,7 @@ _REST = "CASE WHEN contains(text, chr(10)) THEN substr(text, position(chr(10) IN
 )
 def epub_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "epub")
-    writers.write_files(_epubs(_books(spark, sf_dir)), path)
+    writers.write_files(_epubs(_books(spark, sf_dir)), path, writers.FOLDERS)
     items = readers.read_epub(spark, path).select(F.col("book_id").cast("long").alias("book_id"), F.col("item").cast("long").alias("item"), T.content_hash(F.col("html")).alias("html_sha256"))
     return _read(items, path)
 
@@ -186,8 +186,8 @@ def packed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _inputs(spark: SparkSession, sf_dir: str, path: str) -> build.Inputs:
     books = _books(spark, sf_dir)
     _write_catalogue(books, f"{path}/catalogue")
-    writers.write_files(_rdf(books, table(spark, sf_dir, "labels")), f"{path}/rdf")
-    writers.write_files(_epubs(books), f"{path}/epub")
+    writers.write_files(_rdf(books, table(spark, sf_dir, "labels")), f"{path}/rdf", writers.FOLDERS)
+    writers.write_files(_epubs(books), f"{path}/epub", writers.FOLDERS)
     traditions = books.where("lang = 'en' and number % 3 = 0").select(F.col("doc_id").cast("int").alias("book_id"), F.lit("stoic").alias("tradition"))
     return build.Inputs(f"{path}/catalogue", f"{path}/rdf", f"{path}/epub", traditions)
 

@@ -134,11 +134,15 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def tasks_of_files(spark: SparkSession) -> int:
+    """Tasks for rows of many small files."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def of_files(df: DataFrame) -> DataFrame:
     """Rows of many small files, in as many tasks as shuffles have: a scan gives a task to every few files, whatever
     little they hold."""
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.coalesce(max(1, tasks, df.sparkSession.sparkContext.defaultParallelism))
+    return df.coalesce(tasks_of_files(df.sparkSession))
 
 
 def few(df: DataFrame, rows: int, a_task: int = 100_000) -> DataFrame:

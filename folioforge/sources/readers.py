@@ -4,6 +4,7 @@ themes, evaluation queries, packed vectors."""
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
@@ -11,7 +12,8 @@ import zipfile
 import zlib
 import xml.etree.ElementTree as ElementTree
 from collections.abc import Iterator
-from urllib.parse import unquote
+from functools import reduce
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from folioforge.operators.catalogue import rdf_translators
-from folioforge.session import cut, of_files
+from folioforge.session import cut, of_files, tasks_of_files
 
 CATALOGUE = {"Text#": "book_id", "Type": "type", "Title": "title", "Language": "language", "Authors": "authors", "Subjects": "subjects", "LoCC": "locc", "Bookshelves": "bookshelves"}
 
@@ -35,10 +37,91 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[F.col(f"`{c}`").cast("int").alias(n) if n == "book_id" else F.col(c).alias(n) for c, n in CATALOGUE.items()])
 
 
+#: Rows and characters that leave a task at once.
+ROWS, CHARS = 256, 1 << 20
+
+
+def _uri(path: str) -> str:
+    return re.sub(r"^file:/+", "file:///", path).replace("s3a://", "s3://", 1)
+
+
+def _entries(uri: str) -> Iterator[tuple[str, bool]]:
+    """URI of each file and folder in a folder, and whether it is a folder; those that Spark's readers pass over are left out."""
+    fs, place = pyarrow.fs.FileSystem.from_uri(uri)
+    if isinstance(fs, pyarrow.fs.LocalFileSystem):
+        with os.scandir(place) as found:
+            every = ((e.name, e.is_dir()) for e in found)
+            yield from ((f"{uri}/{quote(name)}", folder) for name, folder in every if name[0] not in "._")
+    else:
+        every = ((i.base_name, i.type == pyarrow.fs.FileType.Directory) for i in fs.get_file_info(pyarrow.fs.FileSelector(place)))
+        yield from ((f"{uri}/{quote(name)}", folder) for name, folder in every if name[0] not in "._")
+
+
+def _listed_by_tasks(path: str) -> bool:
+    """Whether path is a folder that tasks can list: no pattern, no file, and in a file system that Arrow opens."""
+    if re.search(r"[*?\[\]{}]", path):
+        return False
+    try:
+        fs, place = pyarrow.fs.FileSystem.from_uri(_uri(path))
+        return fs.get_file_info(place).type == pyarrow.fs.FileType.Directory
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+
+
+def files_under(spark: SparkSession, path: str) -> DataFrame:
+    """path of every file in a folder and the folders below it. Tasks list them, a folder each, so that the driver holds none of
+    the files; it does for other places (a pattern, or a file system that Arrow doesn't open), which Spark lists."""
+    if not _listed_by_tasks(path):
+        return of_files(spark.read.format("binaryFile").load(path).select("path"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.string(), pa.bool_()))], names=["path", "folder"])
+        rows = []
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                for entry in _entries(folder):
+                    rows.append(entry)
+                    if len(rows) == 10_000:
+                        yield of(rows)
+                        rows = []
+        if rows:
+            yield of(rows)
+
+    found, folders, tasks = [], spark.createDataFrame([(_uri(path).rstrip("/"),)], "path string"), tasks_of_files(spark)
+    while True:
+        level = cut(folders.mapInArrow(listed, "path string, folder boolean"))
+        found.append(level.where("not folder").select("path"))
+        if not (n := level.where("folder").count()):
+            return reduce(DataFrame.unionAll, found).repartition(tasks)
+        folders = level.where("folder").select("path").repartition(min(n, tasks))
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """name (a URI) and value (the text) of the files under path, a row a file."""
+    if not _listed_by_tasks(path):
+        return of_files(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("name"), "value"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["name", "value"])
+        rows, chars = [], 0
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                with _opened(file) as source:
+                    rows.append((file, source.read().decode("utf-8", "replace")))
+                chars += len(rows[-1][1])
+                if len(rows) >= ROWS or chars >= CHARS:
+                    yield of(rows)
+                    rows, chars = [], 0
+        if rows:
+            yield of(rows)
+
+    return files_under(spark, path).mapInArrow(read, "name string, value string")
+
+
 def read_rdf(spark: SparkSession, path: str) -> DataFrame:
     """book_id (from the file name) and translators (null if unreadable), a row a file."""
-    files = of_files(spark.read.text(path, wholetext=True).withColumn("name", F.input_file_name()))
-    return files.select(F.regexp_extract("name", r"pg(\d+)\.rdf", 1).cast("int").alias("book_id"), rdf_translators("value").alias("translators"))
+    files = read_texts(spark, path)
+    return files.select(F.regexp_extract("name", r"pg(\d+)\.rdf", 1).try_cast("int").alias("book_id"), rdf_translators("value").alias("translators"))
 
 
 _DAMAGED = (KeyError, StopIteration, RuntimeError, ValueError, zipfile.BadZipFile, ElementTree.ParseError, struct.error, zlib.error, OSError)
@@ -74,17 +157,13 @@ def entry(source, offset: int, packed: int, method: int, crc: int) -> bytes:
 
 
 def _opened(path: str):
-    uri = re.sub(r"^file:/+", "file:///", path).replace("s3a://", "s3://", 1)
-    fs, place = pyarrow.fs.FileSystem.from_uri(uri)
+    fs, place = pyarrow.fs.FileSystem.from_uri(_uri(path))
     return fs.open_input_file(place)
 
 
 #: Packed bytes that a task reads, about.
 TASK_BYTES = 32 << 20
 
-#: Rows and characters that leave a task at once.
-ROWS, CHARS = 256, 1 << 20
-
 
 def read_epub(spark: SparkSession, path: str, task_bytes: int = TASK_BYTES, books: DataFrame | None = None) -> DataFrame:
     """book_id, item, html and ok of every spine item of the EPUBs at path, in spine order; an archive
@@ -138,11 +217,11 @@ def read_epub(spark: SparkSession, path: str, task_bytes: int = TASK_BYTES, book
         if rows:
             yield of()
 
-    files = of_files(spark.read.format("binaryFile").load(path).select("path"))  # contents aren't read
+    files = files_under(spark, path)
     if books is not None:
         number = F.regexp_extract("path", r"(\d+)\.epub", 1).try_cast("int")
         wanted = files.withColumn("of", number).join(books.select(F.col("book_id").alias("of")), "of", "left_semi")
-        files = wanted.select("path").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+        files = wanted.select("path").repartition(tasks_of_files(spark))
     found = cut(files.mapInArrow(listed, "path string, book_id int, item int, place long, packed long, method int, crc long"))
     total = found.agg(F.sum("packed")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_bytes))

@@ -7,6 +7,7 @@ import io
 import json
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,21 +20,30 @@ from pyspark.sql.types import BinaryType
 from folioforge.session import cut
 
 
-def write_files(rows: DataFrame, path: str) -> DataFrame:
-    """Writes each row (name, content: string or binary) as a file of that name under path (a URI);
-    names are distinct. A file appears under its name when it is whole, so a task may run again.
-    Returns name and bytes."""
+#: Folders for files of which there is one a book.
+FOLDERS = 256
+
+
+def write_files(rows: DataFrame, path: str, folders: int = 1) -> DataFrame:
+    """Writes each row (name, content: string or binary) as a file of that name under path (a URI), or, with more than one of
+    folders, in the one below it that a hash of the name gives; names are distinct. A file appears under its name when it is
+    whole, so a task may run again. Returns name and bytes."""
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = pyarrow.fs.FileSystem.from_uri(path)
         fs.create_dir(folder, recursive=True)
+        there = set()
         for batch in batches:
             names, sizes = batch.column(0).to_pylist(), []
             for name, content in zip(names, batch.column(1).to_pylist()):
+                of = f"{folder}/{zlib.crc32(name.encode()) % folders:04x}" if folders > 1 else folder
+                if folders > 1 and of not in there:
+                    fs.create_dir(of, recursive=True)
+                    there.add(of)
                 own = f"{folder}/.{uuid.uuid4().hex}"
                 with fs.open_output_stream(own, compression=None) as sink:
                     sink.write(content)
-                fs.move(own, f"{folder}/{name}")
+                fs.move(own, f"{of}/{name}")
                 sizes.append(len(content))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["name", "bytes"])
 

@@ -61,3 +61,20 @@ def test_only_the_books_asked_for_are_opened(spark):
     some = {(r["book_id"], r["item"]): (r["html"], r["ok"]) for r in readers.read_epub(spark, path, books=asked).collect()}
     assert some == {k: every[k] for k in [(7, 0), (7, 1), (60, 0)]}
     remove_path(spark, path)
+
+
+def test_files_in_folders_are_listed_by_tasks(spark, monkeypatch):
+    path, scan = scratch(spark, "rdf"), spark.read
+    files = spark.range(300).select(F.format_string("pg%d.rdf", "id").alias("name"), F.lit("<a/>").alias("content"))
+    writers.write_files(files.unionByName(spark.createDataFrame([("pg 300 ä%.rdf", "<a/>"), ("_no.rdf", "<"), (".no.rdf", "<")], "name string, content string")), path, 16)
+    place = path.removeprefix("file://")
+    assert len(os.listdir(place)) == 16 and not any(e.is_file() for e in os.scandir(place))
+    listed = []
+    of = type(scan).load
+    monkeypatch.setattr(type(scan), "load", lambda self, *a, **k: listed.append(a) or of(self, *a, **k))
+    monkeypatch.setattr(type(scan), "text", lambda self, *a, **k: listed.append(a))
+    found = readers.read_rdf(spark, path).collect()
+    assert len(found) == 301 and {r["book_id"] for r in found} >= set(range(300)) and all(r["translators"] == [] for r in found)
+    assert readers.files_under(spark, f"{path}/").count() == 301 and not listed  # the driver lists none
+    assert readers.files_under(spark, f"{path}/*/pg1*.rdf").count() == 111 and listed
+    remove_path(spark, path)
