@@ -63,15 +63,16 @@ def citations(observations: DataFrame) -> DataFrame:
 
 def harvested(chunks: DataFrame, identify: Callable[[Column], Column], gloss: Callable[[Column, Column], Column], score: Callable[[Column, Column], Column], seed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chunks to clusters and their citations: terms by a model's answers, glosses, the gate by the
-    sentences of gloss and chunk, clusters. chunks: book_id, chunk_id, text."""
-    found = glossed(candidates(chunks, identify), gloss)
+    sentences of gloss and chunk, clusters. chunks (book_id, chunk_id, text) are read twice: their texts are shuffled
+    once, to the glosses that they are judged by, and aren't kept beside every term."""
     # terms of a chunk that have the same gloss are judged once
-    key = F.unhex(F.sha2(F.concat_ws("\x00", "text", "gloss").cast("binary"), 256))
-    found = cut(found.withColumn("judged", F.substring(key, 1, 16)))
+    key = F.substring(F.unhex(F.sha2(F.concat_ws("\x00", "text", "gloss").cast("binary"), 256)), 1, 16)
+    found = cut(glossed(candidates(chunks, identify), gloss).withColumn("judged", key).drop("text"))
     alike = found.groupBy("judged").agg(F.min(F.struct("book_id", "chunk_id", "gloss")).alias("x")).select("judged", "x.*")
-    of = alike.join(found.select("judged", "book_id", "chunk_id", "gloss", "text"), ["judged", "book_id", "chunk_id", "gloss"]).dropDuplicates(["judged"])
-    scored = score_supports(of, "judged", "text", "gloss", score)
-    found = found.drop("text")
+    # by number of tasks: sentences meet in the square of their number, so that a task's bytes don't tell its work
+    dealt = lambda rows: rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "book_id", "chunk_id")
+    of = dealt(chunks.select("book_id", "chunk_id", "text")).join(dealt(alike), ["book_id", "chunk_id"]).where(F.col("judged") == key)
+    scored = score_supports(of, "judged", "text", "gloss", score, True)
     kept = gated(found.join(scored, "judged")).select("book_id", "chunk_id", "canonical", "substrate", "gloss", "support")
     return cluster(kept, seed), citations(kept)
 
