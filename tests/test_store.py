@@ -188,5 +188,5 @@ def test_many_short_books_take_few_files_and_little_disk(spark):
     assert incremental.apply(books, path) == 1
     index = shards.index(spark, path).collect()
     assert len(index) == 500 and len({r["file"] for r in index}) <= spark.sparkContext.defaultParallelism * 2
-    assert sum(r["bytes"] for r in index) < 500 * 3000  # 7,400 each with statistics and dictionaries
+    assert sum(r["bytes"] for r in index) < 500 * 3000
     assert shards.read(spark, path).count() == 500
